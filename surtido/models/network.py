@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,9 +163,9 @@ def fit_network(
     """Train with early stopping; the weights of the best validation loss are kept.
 
     ``train``: scaled features, target, ``n`` (equal rows a row stands for) and
-    ``es_validacion``. Store it first: every epoch scans it. ``rows`` is its
-    row count, which sets the batch size and keeps each partition at 50 batches
-    or more.
+    ``es_validacion``, read from a stored table; it is spread and cached for the
+    epochs. ``rows`` is its row count, which sets the batch size and keeps each
+    partition at 50 batches or more.
     """
     spark = train.sparkSession
     batch_size = max(4, min(32, rows // 10))
@@ -172,7 +173,8 @@ def fit_network(
         partitions = max(1, min(spark.sparkContext.defaultParallelism, rows // (50 * batch_size)))
     columns = [*(F.col(c).cast("double") for c in FEATURES), F.col(TARGET).cast("double"),
                F.col("n").cast("double"), "es_validacion"]
-    data = train.select(*columns).coalesce(partitions)
+    spread = [*FEATURES, TARGET]  # rows are distinct on these, so they spread evenly
+    data = train.select(*columns).repartition(partitions, *spread).persist(StorageLevel.MEMORY_AND_DISK)
 
     flat = initial_parameters(layers, seed)
     state = AdamState(flat, np.zeros_like(flat), np.zeros_like(flat))
@@ -198,6 +200,7 @@ def fit_network(
         if training:
             params = sums[sums.kind == "param"].sort_values("place")
             state = AdamState.unpack((params["value"] / params["n"]).to_numpy())
+    data.unpersist()
     return Network(best, layers, losses)
 
 

@@ -18,6 +18,7 @@ from ..fixed_values import (
     SAFETY_STOCK_FACTOR,
     SOBRESTOCK,
 )
+from .demand import horizon_demand, sku_averages
 from .snapshots import change_state
 from .thresholds import active_thresholds
 

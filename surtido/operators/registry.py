@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,8 +59,11 @@ def list_approved(files: DataFrame) -> DataFrame:
     )
 
 
-def set_file_states(files: DataFrame, changes: DataFrame) -> DataFrame:
-    return change_state(files, changes, FILE_STATES)
+def set_file_states(
+    files: DataFrame, changes: DataFrame, order: Sequence[str] = ("estado",)
+) -> DataFrame:
+    """Set states by id; of several allowed changes the last by ``order`` counts."""
+    return change_state(files, changes, FILE_STATES, order)
 
 
 def approve_valid(files: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(changes: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The last change of each key by ``order``; combined before the shuffle."""
-    rest = [c for c in changes.columns if c != key]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return changes.groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
+    """The last change of each key by ``order``, then by its other columns; combined before the shuffle."""
+    rest = [c for c in changes.columns if c != key and c not in order]
+    last = F.max(F.struct(*[c for c in order if c != key], *rest)).alias("_row")
+    return changes.groupBy(key).agg(last).select(key, "_row.*").select(*changes.columns)
 
 
 def upsert(

@@ -25,6 +25,7 @@ from ..fixed_values import (
 )
 from ..operators.sales import missing_columns
 from ..schemas import RAW_SALES
+from .uris import filesystem_of
 from .xlsx import MissingSheet, sheet_rows
 
 RAW_WITH_PROBLEM = T.StructType([*RAW_SALES.fields, T.StructField("problema", T.StringType())])
@@ -57,13 +58,7 @@ def _missing_message(source: str, missing: list[str]) -> str:
 
 def _first_line(path: str) -> str:
     """First non-blank line of a file, through the filesystem its URI names."""
-    from pyarrow import fs
-
-    uri = path.replace("s3a://", "s3://", 1)
-    if uri.startswith("file:"):
-        uri = uri[len("file:"):]
-        uri = "/" + uri.lstrip("/")
-    filesystem, inner = fs.FileSystem.from_uri(uri)
+    filesystem, inner = filesystem_of(path)
     with filesystem.open_input_stream(inner) as stream:
         data = b""
         while True:
