@@ -19,7 +19,6 @@ from ..plans.forecasting import forecast, forecast_horizon
 from ..plans.ingest import ingest_files
 from ..plans.training import hash_split, train
 from ..session import scratch_path
-from ..sources.sales_files import list_files
 from ..sources.snapshots import read_snapshot
 from ..sources.tables import append_sales, read_sales
 from ..streaming.sales_stream import start_ingest
@@ -464,14 +463,14 @@ def _inbox(spark: SparkSession, sf: str) -> str:
 @query
 def file_ingest_sales(spark, sf):
     sales_path, registry_root = scratch_path(spark, "sales"), scratch_path(spark, "registry")
-    ingest_files(list_files(spark, _inbox(spark, sf)), sales_path, registry_root, 1, MOMENT)
+    ingest_files(spark, _inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
     return read_sales(spark, sales_path).select("id_producto", "fecha", "cantidad_vendida", "source_file")
 
 
 @query
 def file_ingest_registry(spark, sf):
     sales_path, registry_root = scratch_path(spark, "sales"), scratch_path(spark, "registry")
-    ingest_files(list_files(spark, _inbox(spark, sf)), sales_path, registry_root, 1, MOMENT)
+    ingest_files(spark, _inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
     files = read_snapshot(spark, registry_root, schemas.FILES)
     return files.select("nombre_archivo", "estado", "filas_guardadas", "mensaje")
 

@@ -33,7 +33,7 @@ def lookup_join(
     broadcast_rows: int = BROADCAST_ROWS,
     slices: int = SLICES,
 ) -> DataFrame:
-    """Join on ``key``; ``lookup`` has one row per key.
+    """Join on ``key``; ``lookup`` is narrow and has one row per key.
 
     ``how``: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
     """

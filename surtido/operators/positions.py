@@ -18,32 +18,33 @@ from ..session import materialize
 _ID_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Sorted rows with ``_part`` and ``_row``, fixed by writing them once.
-
-    The last range key only breaks ties, so that many copies of one row do not
-    have to share a partition.
-    """
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+def _placed(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
+    """Sorted rows with ``_part`` and ``_row``, fixed by writing them once."""
+    keys = list(order)
+    if ties:
+        df, keys = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
     ranged = (
-        keyed.repartitionByRange(*order, "_tie")
-        .sortWithinPartitions(*order, "_tie")
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", _ID_BITS).cast("int"))
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
         .drop("_tie", "_id")
     )
-    return materialize(ranged)
+    return materialize(ranged, "positions")
 
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "posicion") -> DataFrame:
+def with_position(
+    df: DataFrame, order: Sequence[str], name: str = "posicion", ties: bool = False
+) -> DataFrame:
     """Add the 0-based global position in ``order`` (ascending, nulls first).
 
-    Rows equal in every order column take neighbouring positions in any order.
-    Read ``df`` from a stored table, so that a retried task sees its
-    rows in the same sequence.
+    Pass ``ties`` if many rows can be equal in every order column: they are then
+    spread over partitions and take neighbouring positions in any order. That
+    numbers rows as they are read, so ``df`` must come straight from a stored
+    table, which gives a retried task the same sequence.
     """
-    placed = _placed(df, order)
+    placed = _placed(df, order, ties)
     # One row per shuffle partition: the only thing this window ever sees.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -64,9 +65,9 @@ def with_group_position(
 
     The offsets are joined on (partition, group): no key there has more rows
     than one range partition, whatever share of the table the group holds.
-    ``group`` columns must not be null.
+    ``group`` columns must not be null, and ``order`` must tell rows of a group apart.
     """
-    placed = _placed(df, [*group, *order])
+    placed = _placed(df, [*group, *order], ties=False)
     pieces = placed.groupBy("_part", *group).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first")
     )

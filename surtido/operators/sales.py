@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import DATE_FORMATS, MSG_NO_VALID_ROWS, MSG_SAVED, REQUIRED_COLUMNS, STORED_NAMES
 from ..functions.calendar import day_text
 from ..functions.coerce import finite_or_null, to_quantity, to_sale_date, to_sku
+from .lookups import lookup_join
 from .positions import with_position
 
 BUSINESS_KEYS = ("id_producto", "fecha", "cantidad_vendida")
@@ -140,9 +141,12 @@ def sku_history(sales: DataFrame, sku: str) -> DataFrame:
 def sku_histories(sales: DataFrame, skus: DataFrame) -> DataFrame:
     """History of every SKU listed in ``skus`` (column ``id_producto``)."""
     wanted = skus.select("id_producto").distinct()
+    numbered = sales.select("id_producto", "fecha", "cantidad_vendida").withColumn(
+        "_tie", F.monotonically_increasing_id()
+    )
     return (
-        sales.join(wanted, "id_producto", "left_semi")
-        .orderBy("id_producto", "fecha", "cantidad_vendida", F.monotonically_increasing_id())
+        lookup_join(numbered, wanted, "id_producto", "left_semi")
+        .orderBy("id_producto", "fecha", "cantidad_vendida", "_tie")
         .select("id_producto", day_text(F.col("fecha")).alias("fecha"), "cantidad_vendida")
     )
 
@@ -152,10 +156,12 @@ def stratified_split(sales: DataFrame, num: int = 1, den: int = 5) -> DataFrame:
 
     Rows are put in (SKU, md5 of the row) order and taken at a fixed step, so the
     test side has exactly ``ceil(rows * num / den)`` rows, at least one, and each
-    SKU its share within one row.
+    SKU its share within one row. ``sales`` comes straight from a stored table.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in BUSINESS_KEYS]))
-    placed = with_position(sales.withColumn("_digest", digest), ["id_producto", "_digest"], "_pos")
+    placed = with_position(
+        sales.withColumn("_digest", digest), ["id_producto", "_digest"], "_pos", ties=True
+    )
     return placed.withColumn("es_prueba", F.pmod(-F.col("_pos") * num, F.lit(den)) < num).drop(
         "_pos", "_digest"
     )

@@ -5,15 +5,16 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed_values import MSG_EMPTY_FILE
+from ..operators.lookups import lookup_join
 from ..operators.registry import approve_valid, register_files
 from ..operators.sales import coerce_sales, file_outcomes, quality_report, rejected_sales, valid_sales
 from ..schemas import FILES
 from ..session import materialize
-from ..sources.sales_files import read_sales_files
+from ..sources.sales_files import list_files, read_sales_files
 from ..sources.snapshots import read_snapshot, write_snapshot
 from ..sources.tables import append_sales
 
@@ -26,9 +27,9 @@ class Ingested:
     outcomes: DataFrame
 
 
-def check_files(files: DataFrame, multiline: bool = False) -> Ingested:
-    """Read and coerce the listed files once; rows, rejects and reports share the result."""
-    raw = read_sales_files(files, multiline)
+def check_files(spark: SparkSession, source: str | list[str], multiline: bool = False) -> Ingested:
+    """Read and coerce a folder or list of files once; rows, rejects and reports share the result."""
+    raw = read_sales_files(spark, source, multiline)
     coerced = coerce_sales(raw.filter(F.col("problema").isNull())).withColumn(
         "problema", F.lit(None).cast("string")
     )
@@ -39,14 +40,14 @@ def check_files(files: DataFrame, multiline: bool = False) -> Ingested:
     problems = staged.filter(F.col("problema").isNotNull()).groupBy("source_file").agg(
         F.min("problema").alias("problema")
     )
-    rows = (
-        staged.filter(F.col("problema").isNull()).drop("problema")
-        .join(problems, "source_file", "left_anti")
+    rows = lookup_join(
+        staged.filter(F.col("problema").isNull()).drop("problema"),
+        problems.select("source_file"), "source_file", "left_anti",
     )
     report = quality_report(rows)
     # Listed files that gave neither rows nor a problem hold a header only.
     silent = (
-        files.select("source_file").distinct()
+        list_files(spark, source).select("source_file").distinct()
         .join(staged.select("source_file").distinct(), "source_file", "left_anti")
         .withColumn("problema", F.lit(MSG_EMPTY_FILE))
     )
@@ -59,7 +60,8 @@ def check_files(files: DataFrame, multiline: bool = False) -> Ingested:
 
 
 def ingest_files(
-    files: DataFrame,
+    spark: SparkSession,
+    source: str | list[str],
     sales_path: str,
     registry_root: str,
     batch_id: int,
@@ -74,8 +76,7 @@ def ingest_files(
     registered for this batch are not registered again. ``approve`` promotes valid
     files, as the periodic ingest does.
     """
-    spark = files.sparkSession
-    checked = check_files(files, multiline)
+    checked = check_files(spark, source, multiline)
     append_sales(checked.valid, sales_path, batch_id, loaded_at)
 
     registered = read_snapshot(spark, registry_root, FILES)

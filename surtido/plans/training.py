@@ -97,7 +97,10 @@ def train(
         return Trained("error", "La base de datos está vacía o no se pudo leer.")
 
     table, ranges = feature_table(counted, encoder, stratified, fit_on_train)
-    table = materialize(table.select(*FEATURES, TARGET, "n", "es_prueba", "es_validacion"), "scaled")
+    # Training passes over this table many times: one even slice per core.
+    columns = [*FEATURES, TARGET, "n", "es_prueba", "es_validacion"]
+    cores = spark.sparkContext.defaultParallelism
+    table = materialize(table.select(*columns).repartition(cores, *FEATURES, TARGET), "scaled")
     train_rows, test_rows = table.filter(~F.col("es_prueba")), table.filter("es_prueba")
     sizes = table.agg(
         F.count_if(~F.col("es_prueba")).alias("train"), F.count_if("es_prueba").alias("test")

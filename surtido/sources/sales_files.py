@@ -9,10 +9,9 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,33 +22,40 @@ from ..fixed_values import (
     REQUIRED_COLUMNS,
     SHEET_NAME,
 )
+from ..operators.lookups import lookup_join
 from ..operators.sales import missing_columns
 from ..schemas import RAW_SALES
+from ..session import materialize
 from .uris import filesystem_of
 from .xlsx import MissingSheet, sheet_rows
 
 RAW_WITH_PROBLEM = T.StructType([*RAW_SALES.fields, T.StructField("problema", T.StringType())])
 _HEADER = T.StructType([
-    T.StructField("path", T.StringType()),
+    T.StructField("uri", T.StringType()),
     T.StructField("source_file", T.StringType()),
-    T.StructField("positions", T.ArrayType(T.IntegerType())),
+    *[T.StructField(f"at_{name}", T.IntegerType()) for name in ("sku", "fecha", "cantidad")],
     T.StructField("problema", T.StringType()),
 ])
+_CSV, _EXCEL = "*.[cC][sS][vV]", "*.[xX][lL][sS]{,[xX]}"
 _CHUNK_ROWS = 20_000
 _HEADER_BYTES = 1 << 16
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Path, name and modification time of the files under ``root``; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", "modificationTime")
-    )
-    return with_file_name(files)
+def _reader(spark: SparkSession, pattern: str | None = None) -> DataFrameReader:
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader
+
+
+def list_files(spark: SparkSession, source: str | list[str], pattern: str | None = None) -> DataFrame:
+    """Path, name and URI of the files in a folder or a list; contents are not read."""
+    files = _reader(spark, pattern).format("binaryFile").load(source)
+    return files.select("path", F.col("_metadata.file_path").alias("uri"), _file_name())
 
 
-def with_file_name(files: DataFrame) -> DataFrame:
-    return files.withColumn("source_file", F.element_at(F.split("path", "/"), -1))
+def _file_name() -> Column:
+    return F.element_at(F.split("path", "/"), -1).alias("source_file")
 
 
 def _missing_message(source: str, missing: list[str]) -> str:
@@ -72,8 +78,8 @@ def _first_line(path: str) -> str:
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
-        for path, source in zip(batch["path"], batch["source_file"]):
-            positions, problem = None, None
+        for path, uri, source in zip(batch["path"], batch["uri"], batch["source_file"]):
+            places, problem = (None, None, None), None
             try:
                 names = next(csv.reader(io.StringIO(_first_line(path))), [])
                 missing = missing_columns(names)
@@ -82,54 +88,51 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif missing:
                     problem = _missing_message(source, missing)
                 else:
-                    positions = [names.index(name) for name in REQUIRED_COLUMNS]
+                    places = tuple(names.index(name) for name in REQUIRED_COLUMNS)
             except (OSError, UnicodeDecodeError, csv.Error) as error:
                 problem = f"Error general al leer el archivo: {error}"
-            found.append((path, source, positions, problem))
-        yield pd.DataFrame(found, columns=_HEADER.names)
+            found.append((uri, source, *places, problem))
+        # Object columns keep missing places null instead of turning them into NaN.
+        yield pd.DataFrame(found, columns=_HEADER.names, dtype=object)
 
 
-def read_csv_files(files: DataFrame, multiline: bool = False) -> DataFrame:
-    """CSV files, each read by its own header.
+def read_csv_files(
+    spark: SparkSession, source: str | list[str], multiline: bool = False
+) -> DataFrame:
+    """CSV files, each row taken by its own file's header.
 
-    Spark binds CSV columns by place, so files are grouped by where their header
-    has the required columns, one scan per arrangement. The driver sees the paths
-    only, as it does for any scan.
+    Spark binds CSV columns by place and files may order them differently, so
+    every file's header line is read first, in parallel, and the one scan of the
+    data looks the places up by file. ``multiline`` allows line breaks inside
+    quotes, at the price of reading each file in one task.
     """
-    spark = files.sparkSession
-    # One tiny read per file; spread them over the cluster.
-    headers = files.select("path", "source_file").repartition("path").mapInPandas(_read_headers, _HEADER)
-    grouped = (
-        headers.groupBy("positions").agg(
-            F.collect_list(F.when(F.col("problema").isNull(), F.col("path"))).alias("paths"),
-            F.collect_list(
-                F.when(F.col("problema").isNotNull(), F.struct("source_file", "problema"))
-            ).alias("problems"),
-        ).collect()
+    listed = list_files(spark, source, _CSV)
+    # One small read per file; spread them over the cluster.
+    headers = materialize(
+        listed.repartition("uri").mapInPandas(_read_headers, _HEADER), "headers"
     )
-    parts = []
-    for group in grouped:
-        if group.positions is None:
-            broken = [(p.source_file, None, None, None, p.problema) for p in group.problems]
-            parts.append(spark.createDataFrame(broken, RAW_WITH_PROBLEM))
-            continue
-        width = max(group.positions) + 1
-        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-        rows = (
-            spark.read.schema(schema)
-            .option("header", "true").option("escape", '"').option("mode", "PERMISSIVE")
-            .option("multiLine", str(multiline).lower())
-            .csv(group.paths)
-        )
-        sku, fecha, cantidad = (F.col(f"c{i}") for i in group.positions)
-        parts.append(
-            rows.select(
-                F.col("_metadata.file_name").alias("source_file"),
-                sku.alias("sku_raw"), fecha.alias("fecha_raw"), cantidad.alias("cantidad_raw"),
-                F.lit(None).cast("string").alias("problema"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], RAW_WITH_PROBLEM))
+    at = ["at_sku", "at_fecha", "at_cantidad"]
+    last = headers.agg(F.max(F.greatest(*at))).first()[0]
+    problems = headers.filter(F.col("problema").isNotNull()).select(
+        "source_file", *[F.lit(None).cast("string").alias(f.name) for f in RAW_SALES.fields[1:]], "problema"
+    )
+    if last is None:
+        return problems
+    columns = [f"c{i}" for i in range(last + 1)]
+    rows = (
+        _reader(spark, _CSV).schema(", ".join(f"{c} string" for c in columns))
+        .option("header", "true").option("escape", '"').option("mode", "PERMISSIVE")
+        .option("multiLine", str(multiline).lower())
+        .csv(source)
+        .select(F.array(*columns).alias("values"), F.col("_metadata.file_path").alias("uri"))
+    )
+    places = headers.filter(F.col("problema").isNull()).drop("problema")
+    taken = lookup_join(rows, places, "uri", "inner")
+    return taken.select(
+        "source_file",
+        *[F.get("values", F.col(a)).alias(f.name) for a, f in zip(at, RAW_SALES.fields[1:])],
+        F.lit(None).cast("string").alias("problema"),
+    ).unionByName(problems)
 
 
 def _workbook_frames(content: bytes, source: str) -> Iterator[pd.DataFrame]:
@@ -172,28 +175,32 @@ def _read_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame([(source, None, None, None, text)], columns=RAW_WITH_PROBLEM.names)
 
 
-def read_workbooks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Sheet ``Detalle`` of xlsx files, spread over tasks file by file."""
-    if not paths:
-        return spark.createDataFrame([], RAW_WITH_PROBLEM)
-    files = with_file_name(spark.read.format("binaryFile").load(paths).select("path", "content"))
-    return files.mapInPandas(_read_workbooks, RAW_WITH_PROBLEM)
+def read_workbooks(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """Sheet ``Detalle`` of Excel files, spread over tasks file by file.
 
+    A workbook that breaks half way gives rows as well as a problem; whoever
+    stores the rows leaves out those of files with a problem.
+    """
+    files = _reader(spark, _EXCEL).format("binaryFile").load(source)
+    return files.select("content", _file_name()).mapInPandas(_read_workbooks, RAW_WITH_PROBLEM)
 
-def read_sales_files(files: DataFrame, multiline: bool = False) -> DataFrame:
-    """All listed files, by extension; other extensions become problems.
 
-    A workbook that breaks half way leaves rows as well as a problem: take rows
-    only from files without one (see ``readable_rows``).
-    """
-    spark = files.sparkSession
+def unsupported_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """A problem for each file that is neither CSV nor Excel."""
     ending = F.lower(F.element_at(F.split("source_file", r"\."), -1))
-    listed = files.select("path", "source_file", ending.alias("ending"))
-    workbooks = [r.path for r in listed.filter(F.col("ending").isin("xlsx", "xls")).select("path").collect()]
-    other = listed.filter(~F.col("ending").isin("csv", "xlsx", "xls")).select(
+    return list_files(spark, source).filter(~ending.isin("csv", "xlsx", "xls")).select(
         "source_file",
-        *[F.lit(None).cast("string").alias(c) for c in ("sku_raw", "fecha_raw", "cantidad_raw")],
+        *[F.lit(None).cast("string").alias(f.name) for f in RAW_SALES.fields[1:]],
         F.lit(MSG_BAD_FORMAT).alias("problema"),
     )
-    text = read_csv_files(listed.filter(F.col("ending") == "csv"), multiline)
-    return text.unionByName(read_workbooks(spark, workbooks)).unionByName(other)
+
+
+def read_sales_files(
+    spark: SparkSession, source: str | list[str], multiline: bool = False
+) -> DataFrame:
+    """All sales files of a folder or a list, by extension."""
+    return (
+        read_csv_files(spark, source, multiline)
+        .unionByName(read_workbooks(spark, source))
+        .unionByName(unsupported_files(spark, source))
+    )

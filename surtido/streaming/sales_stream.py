@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import ingest_files
-from ..sources.sales_files import with_file_name
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -33,12 +32,12 @@ def start_ingest(
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        now = dt.datetime.now(dt.timezone.utc)
-        ingest_files(batch, sales_path, registry_root, batch_id, now, approve=approve)
+        paths = [row.path for row in batch.collect()]  # at most ``max_files`` names
+        if paths:
+            now = dt.datetime.now(dt.timezone.utc)
+            ingest_files(batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve)
 
-    arrivals = with_file_name(
+    arrivals = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(max_files))
         .load(source).select("path")
