@@ -17,8 +17,7 @@ MOMENT = dt.datetime(2001, 11, 5, 6, 0, 0, tzinfo=dt.timezone.utc)
 _SKU = "concat('SKU-', lpad(CAST({0} AS STRING), 6, '0'))"
 _L, _P = _SKU.format("l_partkey"), _SKU.format("p_partkey")
 _STEM = (
-    "concat('Factura_Importacion_PLUS_', CAST(l_suppkey AS STRING), '_', "
-    "CAST(year(l_shipdate) AS STRING), "
+    "concat('Factura_Importacion_PLUS_', CAST(l_suppkey AS STRING), "
     "CASE WHEN l_suppkey % 20 = 7 THEN '.txt' WHEN l_suppkey % 2 = 0 THEN '.csv' ELSE '.xlsx' END)"
 )
 
@@ -38,18 +37,17 @@ FIXTURES = {
                     WHEN l_linenumber = 6 THEN CAST(NULL AS STRING)
                     ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS cantidad_raw,
                {_STEM} AS source_file,
-               CAST(l_suppkey AS INT) AS proveedor, CAST(year(l_shipdate) AS INT) AS anio
+               CAST(l_suppkey AS INT) AS proveedor
         FROM {{lineitem}}""",
     "archivos": f"""
-        SELECT CAST(k * 10000 + y AS BIGINT) AS id, nombre_archivo,
-               CAST(concat(CAST(y AS STRING), '-12-31 ', lpad(CAST(k % 24 AS STRING), 2, '0'), ':30:00')
-                    AS TIMESTAMP) AS fecha_carga,
-               CASE (k + y) % 4 WHEN 0 THEN 'aprobado' WHEN 1 THEN 'valido' WHEN 2 THEN 'procesado'
+        SELECT CAST(k AS BIGINT) AS id, nombre_archivo,
+               CAST(concat('2001-10-', lpad(CAST(1 + k % 28 AS STRING), 2, '0'), ' ',
+                           lpad(CAST(k % 24 AS STRING), 2, '0'), ':30:00') AS TIMESTAMP) AS fecha_carga,
+               CASE k % 4 WHEN 0 THEN 'aprobado' WHEN 1 THEN 'valido' WHEN 2 THEN 'procesado'
                     ELSE 'invalido' END AS estado,
                n AS filas_guardadas, CAST(NULL AS STRING) AS mensaje, 'Sistema' AS cargado_por
-        FROM (SELECT l_suppkey AS k, CAST(year(l_shipdate) AS INT) AS y, {_STEM} AS nombre_archivo,
-                     count(*) AS n
-              FROM {{lineitem}} GROUP BY 1, 2, 3) t""",
+        FROM (SELECT l_suppkey AS k, {_STEM} AS nombre_archivo, count(*) AS n
+              FROM {{lineitem}} GROUP BY 1, 2) t""",
     "umbrales": f"""
         SELECT {_P} AS producto_id, CAST(p_size AS INT) AS umbral_minimo,
                CAST(p_size * 20 AS INT) AS umbral_sobreabastecimiento,
@@ -95,7 +93,7 @@ FIXTURES = {
                     WHEN 3 THEN 'CERRADA' ELSE CAST(NULL AS STRING) END AS estado
         FROM {part}""",
     "cambios_archivos": """
-        SELECT CAST(l_suppkey * 10000 + year(l_shipdate) AS BIGINT) AS id,
+        SELECT CAST(l_suppkey AS BIGINT) AS id,
                CASE l_linenumber WHEN 1 THEN 'valido' WHEN 2 THEN 'aprobado' WHEN 3 THEN 'borrado'
                     WHEN 4 THEN 'invalido' ELSE 'procesado' END AS estado,
                CAST(l_shipdate AS TIMESTAMP) AS momento

@@ -18,7 +18,7 @@ from ..plans.daily_alerts import run_daily_alerts
 from ..plans.forecasting import forecast, forecast_horizon
 from ..plans.ingest import ingest_files
 from ..plans.training import hash_split, train
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.snapshots import read_snapshot
 from ..sources.tables import append_sales, read_sales
 from ..streaming.sales_stream import start_ingest
@@ -48,6 +48,17 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.stock_alerts(*parts, _stock_forecast(spark, sf), AS_OF)
 
 
+_RAW: dict[tuple[str, str], DataFrame] = {}
+
+
+def _raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw sales texts as stored rows, the way file readers hand them over."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RAW:
+        _RAW[key] = materialize(fixture(spark, sf, "ventas_raw"), "raw")
+    return _RAW[key]
+
+
 def _round(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -189,7 +200,7 @@ def sales_scan(spark, sf):
 
 @query
 def required_columns(spark, sf):
-    raw = fixture(spark, sf, "ventas_raw").withColumnsRenamed(
+    raw = _raw(spark, sf).withColumnsRenamed(
         dict(zip(("sku_raw", "fecha_raw", "cantidad_raw"), REQUIRED_COLUMNS))
     )
     return sales.project_required(raw)
@@ -197,27 +208,27 @@ def required_columns(spark, sf):
 
 @query
 def coerced_sales(spark, sf):
-    return sales.coerce_sales(fixture(spark, sf, "ventas_raw"))
+    return sales.coerce_sales(_raw(spark, sf))
 
 
 @query
 def valid_sales(spark, sf):
-    return sales.valid_sales(sales.coerce_sales(fixture(spark, sf, "ventas_raw")))
+    return sales.valid_sales(sales.coerce_sales(_raw(spark, sf)))
 
 
 @query
 def rejected_sales(spark, sf):
-    return sales.rejected_sales(sales.coerce_sales(fixture(spark, sf, "ventas_raw")))
+    return sales.rejected_sales(sales.coerce_sales(_raw(spark, sf)))
 
 
 @query
 def quality_report(spark, sf):
-    return sales.quality_report(sales.coerce_sales(fixture(spark, sf, "ventas_raw")))
+    return sales.quality_report(sales.coerce_sales(_raw(spark, sf)))
 
 
 @query
 def file_outcomes(spark, sf):
-    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(fixture(spark, sf, "ventas_raw"))))
+    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(_raw(spark, sf))))
 
 
 @query
@@ -254,7 +265,7 @@ def sku_histories(spark, sf):
 @query
 def appended_sales(spark, sf):
     path = scratch_path(spark, "sales")
-    rows = sales.valid_sales(sales.coerce_sales(fixture(spark, sf, "ventas_raw")))
+    rows = sales.valid_sales(sales.coerce_sales(_raw(spark, sf)))
     for _ in range(2):  # the second write replaces the first
         append_sales(rows, path, 1, MOMENT)
     return read_sales(spark, path).select(
@@ -454,10 +465,17 @@ def metric_series(spark, sf):
 
 # --- files to tables: batch and stream ----------------------------------------
 
+_INBOXES: dict[tuple[str, str], str] = {}
+
+
 def _inbox(spark: SparkSession, sf: str) -> str:
-    root = scratch_path(spark, "inbox")
-    write_inbox(fixture(spark, sf, "ventas_raw"), root)
-    return root
+    """The raw sales as real files, written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INBOXES:
+        root = scratch_path(spark, "inbox")
+        write_inbox(_raw(spark, sf), root)
+        _INBOXES[key] = root
+    return _INBOXES[key]
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -9,29 +10,45 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DATE_FORMATS, MISSING_MARKERS
 
-INT_MAX = 2147483647
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def to_number(raw: Column) -> Column:
-    """Finite double, or null for a text that is not a plain decimal number."""
+def to_quantity(raw: Column) -> Column:
+    """Whole units, truncated toward zero; unreadable or out-of-range values are 0.
+
+    The pattern keeps out texts that only a cast would read as a number, such
+    as ``5d`` or ``inf``.
+    """
     text = raw.cast("string")
     number = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return F.coalesce(number.try_cast("int"), F.lit(0))
 
 
-def to_quantity(raw: Column) -> Column:
-    """Whole units, truncated toward zero; unreadable or out-of-range values are 0."""
-    number = F.coalesce(to_number(raw), F.lit(0.0))
-    in_range = F.abs(number) < F.lit(float(INT_MAX) + 1)
-    return F.when(in_range, number).otherwise(F.lit(0.0)).cast("int")
+def _shape(fmt: str) -> str:
+    """Regular expression of the texts a date format can read."""
+    digits = {"yyyy": "[0-9]{4}", "SSSSSS": "[0-9]{6}"}
+    tokens = re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", fmt)
+    return "^" + "".join(
+        re.escape(t[1]) if t[1] is not None
+        else digits.get(t[0], "[0-9]{1,2}") if t[2]
+        else re.escape(t[0])
+        for t in tokens
+    ) + "$"
 
 
 def to_sale_date(raw: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Date of the first format that reads the text, else null."""
+    """Date of the first format that reads the text, else null.
+
+    The shape of the text picks the format, so that a text is parsed once and
+    unreadable ones not at all: a failing parse costs far more than a match.
+    """
     text = F.trim(raw.cast("string"))
-    attempts = [F.try_to_timestamp(text, F.lit(fmt)).cast("date") for fmt in formats]
-    return F.coalesce(*attempts)
+    cases = F.when(F.lit(False), F.lit(None).cast("date"))
+    for fmt in formats:
+        plain = fmt == "yyyy-M-d"  # what a cast reads by itself, and faster
+        parsed = text.try_cast("date") if plain else F.try_to_timestamp(text, F.lit(fmt)).cast("date")
+        cases = cases.when(text.rlike(_shape(fmt)), parsed)
+    return cases
 
 
 def to_sku(raw: Column) -> Column:

@@ -29,7 +29,8 @@ class Ingested:
 
 def check_files(spark: SparkSession, source: str | list[str], multiline: bool = False) -> Ingested:
     """Read and coerce a folder or list of files once; rows, rejects and reports share the result."""
-    raw = read_sales_files(spark, source, multiline)
+    listed = list_files(spark, source)
+    raw = read_sales_files(spark, source, listed, multiline)
     coerced = coerce_sales(raw.filter(F.col("problema").isNull())).withColumn(
         "problema", F.lit(None).cast("string")
     )
@@ -47,7 +48,7 @@ def check_files(spark: SparkSession, source: str | list[str], multiline: bool =
     report = quality_report(rows)
     # Listed files that gave neither rows nor a problem hold a header only.
     silent = (
-        list_files(spark, source).select("source_file").distinct()
+        listed.select("source_file").distinct()
         .join(staged.select("source_file").distinct(), "source_file", "left_anti")
         .withColumn("problema", F.lit(MSG_EMPTY_FILE))
     )

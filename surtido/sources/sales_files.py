@@ -11,7 +11,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,22 +36,29 @@ _HEADER = T.StructType([
     *[T.StructField(f"at_{name}", T.IntegerType()) for name in ("sku", "fecha", "cantidad")],
     T.StructField("problema", T.StringType()),
 ])
-_CSV, _EXCEL = "*.[cC][sS][vV]", "*.[xX][lL][sS]{,[xX]}"
+# Per kind of file: its endings, and the glob that selects them inside a folder.
+_KINDS = {"csv": (("csv",), "*.[cC][sS][vV]"), "excel": (("xlsx", "xls"), "*.[xX][lL][sS]{,[xX]}")}
 _CHUNK_ROWS = 20_000
 _HEADER_BYTES = 1 << 16
 
 
-def _reader(spark: SparkSession, pattern: str | None = None) -> DataFrameReader:
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader
+def _ending(path: str) -> str:
+    return path.rsplit(".", 1)[-1].lower()
 
 
-def list_files(spark: SparkSession, source: str | list[str], pattern: str | None = None) -> DataFrame:
-    """Path, name and URI of the files in a folder or a list; contents are not read."""
-    files = _reader(spark, pattern).format("binaryFile").load(source)
-    return files.select("path", F.col("_metadata.file_path").alias("uri"), _file_name())
+def _select(spark: SparkSession, source: str | list[str], kind: str):
+    """Reader and paths that see only the files of one kind."""
+    endings, pattern = _KINDS[kind]
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    return reader, source if isinstance(source, str) else [p for p in source if _ending(p) in endings]
+
+
+def list_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+    """Path, URI, name and ending of the files in a folder or a list; contents are not read."""
+    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(source)
+    listed = files.select("path", F.col("_metadata.file_path").alias("uri"), _file_name())
+    listed = listed.withColumn("ending", F.lower(F.element_at(F.split("source_file", r"\."), -1)))
+    return materialize(listed, "listing")
 
 
 def _file_name() -> Column:
@@ -97,7 +104,7 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_csv_files(
-    spark: SparkSession, source: str | list[str], multiline: bool = False
+    spark: SparkSession, source: str | list[str], listed: DataFrame, multiline: bool = False
 ) -> DataFrame:
     """CSV files, each row taken by its own file's header.
 
@@ -106,11 +113,11 @@ def read_csv_files(
     data looks the places up by file. ``multiline`` allows line breaks inside
     quotes, at the price of reading each file in one task.
     """
-    listed = list_files(spark, source, _CSV)
-    # One small read per file; spread them over the cluster.
-    headers = materialize(
-        listed.repartition("uri").mapInPandas(_read_headers, _HEADER), "headers"
-    )
+    files = listed.filter(F.col("ending") == "csv").select("path", "uri", "source_file")
+    # One small read per file. A fixed number of slices, because by their bytes
+    # a million paths would look like work for one task.
+    slices = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
+    headers = materialize(files.repartition(slices, "uri").mapInPandas(_read_headers, _HEADER), "headers")
     at = ["at_sku", "at_fecha", "at_cantidad"]
     last = headers.agg(F.max(F.greatest(*at))).first()[0]
     problems = headers.filter(F.col("problema").isNotNull()).select(
@@ -119,11 +126,12 @@ def read_csv_files(
     if last is None:
         return problems
     columns = [f"c{i}" for i in range(last + 1)]
+    reader, paths = _select(spark, source, "csv")
     rows = (
-        _reader(spark, _CSV).schema(", ".join(f"{c} string" for c in columns))
+        reader.schema(", ".join(f"{c} string" for c in columns))
         .option("header", "true").option("escape", '"').option("mode", "PERMISSIVE")
         .option("multiLine", str(multiline).lower())
-        .csv(source)
+        .csv(paths)
         .select(F.array(*columns).alias("values"), F.col("_metadata.file_path").alias("uri"))
     )
     places = headers.filter(F.col("problema").isNull()).drop("problema")
@@ -181,14 +189,16 @@ def read_workbooks(spark: SparkSession, source: str | list[str]) -> DataFrame:
     A workbook that breaks half way gives rows as well as a problem; whoever
     stores the rows leaves out those of files with a problem.
     """
-    files = _reader(spark, _EXCEL).format("binaryFile").load(source)
+    reader, paths = _select(spark, source, "excel")
+    if not paths:
+        return spark.createDataFrame([], RAW_WITH_PROBLEM)
+    files = reader.format("binaryFile").load(paths)
     return files.select("content", _file_name()).mapInPandas(_read_workbooks, RAW_WITH_PROBLEM)
 
 
-def unsupported_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
+def unsupported_files(listed: DataFrame) -> DataFrame:
     """A problem for each file that is neither CSV nor Excel."""
-    ending = F.lower(F.element_at(F.split("source_file", r"\."), -1))
-    return list_files(spark, source).filter(~ending.isin("csv", "xlsx", "xls")).select(
+    return listed.filter(~F.col("ending").isin("csv", "xlsx", "xls")).select(
         "source_file",
         *[F.lit(None).cast("string").alias(f.name) for f in RAW_SALES.fields[1:]],
         F.lit(MSG_BAD_FORMAT).alias("problema"),
@@ -196,11 +206,11 @@ def unsupported_files(spark: SparkSession, source: str | list[str]) -> DataFrame
 
 
 def read_sales_files(
-    spark: SparkSession, source: str | list[str], multiline: bool = False
+    spark: SparkSession, source: str | list[str], listed: DataFrame, multiline: bool = False
 ) -> DataFrame:
-    """All sales files of a folder or a list, by extension."""
+    """All sales files of a folder or a list, by extension; ``listed`` is its ``list_files``."""
     return (
-        read_csv_files(spark, source, multiline)
+        read_csv_files(spark, source, listed, multiline)
         .unionByName(read_workbooks(spark, source))
-        .unionByName(unsupported_files(spark, source))
+        .unionByName(unsupported_files(listed))
     )
