@@ -113,9 +113,9 @@ def _last(table: str, key: str, order: str) -> str:
     return f"SELECT * FROM {table} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {ordered}) = 1"
 
 
-def _below(salt: str) -> str:
+def _below(salt: str, num: str = "1") -> str:
     key = f"concat_ws('|', '{salt}', id_producto, CAST(fecha AS VARCHAR), CAST(cantidad_vendida AS VARCHAR))"
-    return f"CAST(concat('0x', substring(md5({key}), 1, 8)) AS BIGINT) * 5 < 4294967296"
+    return f"CAST(concat('0x', substring(md5({key}), 1, 8)) AS BIGINT) * 5 < {num} * 4294967296"
 
 
 def _metrics(name: str, column: str) -> str:
@@ -449,6 +449,14 @@ ORACLES = {
     "hash_split_rows": _with(
         "ventas", f"SELECT id_producto, fecha, cantidad_vendida, {_below('prueba')} AS es_prueba FROM ventas"
     ),
+    "split_sales_counts": _with(
+        "ventas",
+        """SELECT id_producto, fecha, cantidad_vendida, true AS es_prueba, t AS n FROM c WHERE t > 0
+           UNION ALL
+           SELECT id_producto, fecha, cantidad_vendida, false, n - t FROM c WHERE n > t""",
+        f"""c AS (SELECT *, n // 5 + CASE WHEN {_below('prueba', '(n % 5)')} THEN 1 ELSE 0 END AS t
+             FROM (SELECT id_producto, fecha, cantidad_vendida, count(*) AS n FROM ventas GROUP BY 1, 2, 3) g)""",
+    ),
     "stratified_split_rows": _with(
         "ventas",
         """SELECT id_producto, fecha, cantidad_vendida, (row_number() OVER (ORDER BY id_producto, md5(

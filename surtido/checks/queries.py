@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..fixed_values import ALERT_STATES, FEATURES, REQUIRED_COLUMNS, TARGET
+from ..fixed_values import ALERT_STATES, FEATURES, REQUIRED_COLUMNS, TARGET, TEST_SHARE
 from ..functions.calendar import day_text, minute_text
 from ..functions.numbers import mean_of_present
 from ..models.artifacts import Artifacts, load_artifacts
@@ -436,6 +436,12 @@ def hash_split_rows(spark, sf):
     return hash_split(fixture(spark, sf, "ventas")).drop("source_file")
 
 
+@query
+def split_sales_counts(spark, sf):
+    counts = sales.sales_counts(fixture(spark, sf, "ventas"))
+    return sales.split_counts(counts, "es_prueba", TEST_SHARE, "prueba")
+
+
 @query
 def stratified_split_rows(spark, sf):
     return sales.stratified_split(fixture(spark, sf, "ventas").drop("source_file"))

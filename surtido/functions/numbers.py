@@ -30,11 +30,15 @@ def rescale(value: Column, low: float, high: float) -> Column:
     return (value.cast("double") - F.lit(float(low))) / F.lit(float(span))
 
 
-def hash_below(num: int, den: int, *columns: Column) -> Column:
-    """True for about ``num/den`` of the distinct key values, by md5 of the key.
+def hash32(*columns: Column) -> Column:
+    """First 32 bits of the md5 of the key, as a number. The same in any engine."""
+    key = F.concat_ws("|", *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+
+
+def hash_below(num: Column | int, den: int, *columns: Column) -> Column:
+    """True for about ``num/den`` of the distinct key values.
 
     Needs no shuffle, repeats exactly, and equal rows always agree.
     """
-    key = F.concat_ws("|", *[c.cast("string") for c in columns])
-    bucket = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
-    return bucket * den < F.lit(num * 2**32)
+    return hash32(*columns) * den < F.lit(num) * F.lit(2**32)

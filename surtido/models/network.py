@@ -28,6 +28,7 @@ from ..fixed_values import (
 
 PREDICTION = "pred_network"
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-7
+MAX_PIECES = 10_000
 _STATS = "kind string, place int, value double, n double"
 
 
@@ -150,6 +151,23 @@ def _epoch_task(shared, layers, batch_size: int, rate: float, seed: int, train:
     return run
 
 
+def _even_pieces(rows: DataFrame) -> DataFrame:
+    """Rows that stand for many equal ones, cut into pieces of about the mean weight.
+
+    A mini-batch weighs its rows against each other, so a very heavy row has to
+    appear in as many batches as its weight deserves. This at most doubles the
+    rows; a single row gives at most ``MAX_PIECES``, then heavier ones. The
+    total weight stays the same.
+    """
+    mean = rows.agg(F.avg("n")).first()[0] or 1.0
+    pieces = F.least(F.ceil(F.col("n") / F.lit(mean)), F.lit(MAX_PIECES)).cast("int")
+    return (
+        rows.withColumn("_pieces", F.greatest(pieces, F.lit(1)))
+        .withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_pieces"))))
+        .withColumn("n", F.col("n") / F.col("_pieces")).drop("_pieces")
+    )
+
+
 def fit_network(
     train: DataFrame,
     rows: int,
@@ -173,8 +191,10 @@ def fit_network(
         partitions = max(1, min(spark.sparkContext.defaultParallelism, rows // (50 * batch_size)))
     columns = [*(F.col(c).cast("double") for c in FEATURES), F.col(TARGET).cast("double"),
                F.col("n").cast("double"), "es_validacion"]
-    spread = [*FEATURES, TARGET]  # rows are distinct on these, so they spread evenly
-    data = train.select(*columns).repartition(partitions, *spread).persist(StorageLevel.MEMORY_AND_DISK)
+    data = (
+        _even_pieces(train.select(*columns)).repartition(partitions, *FEATURES, TARGET, "_piece")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
 
     flat = initial_parameters(layers, seed)
     state = AdamState(flat, np.zeros_like(flat), np.zeros_like(flat))

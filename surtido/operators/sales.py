@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import DATE_FORMATS, MSG_NO_VALID_ROWS, MSG_SAVED, REQUIRED_COLUMNS, STORED_NAMES
 from ..functions.calendar import day_text
 from ..functions.coerce import finite_or_null, to_quantity, to_sale_date, to_sku
+from ..functions.numbers import hash_below
 from .lookups import lookup_join
 from .positions import with_position
 
@@ -127,6 +128,31 @@ def sales_counts(sales: DataFrame) -> DataFrame:
     return sales.groupBy(*BUSINESS_KEYS).agg(F.count(F.lit(1)).alias("n"))
 
 
+def split_counts(
+    counts: DataFrame, name: str, share: Sequence[int], salt: str, where: Column | None = None
+) -> DataFrame:
+    """Divide the ``n`` copies of every row in the given share, flagged in ``name``.
+
+    A row of many copies is divided like any other group of rows, so a hot one
+    cannot upset the share; a hash of the row decides about the remainder. Rows
+    outside ``where`` stay whole. No shuffle.
+    """
+    num, den = share
+    keys = [F.lit(salt), *[F.col(c) for c in BUSINESS_KEYS]]
+    taken = F.floor(F.col("n") * num / den) + hash_below((F.col("n") * num) % den, den, *keys).cast("int")
+    if where is not None:
+        taken = F.when(where, taken).otherwise(F.lit(0))
+    others = [c for c in counts.columns if c != "n"]
+    both = F.array(
+        F.struct(F.lit(True).alias(name), F.col("_taken").alias("n")),
+        F.struct(F.lit(False).alias(name), (F.col("n") - F.col("_taken")).alias("n")),
+    )
+    return (
+        counts.withColumn("_taken", taken.cast("bigint"))
+        .select(*others, F.inline(both)).filter(F.col("n") > 0)
+    )
+
+
 def sku_history(sales: DataFrame, sku: str) -> DataFrame:
     """Dates and quantities of one SKU, oldest first. The filter reaches the scan."""
     return (

@@ -25,7 +25,7 @@ from ..models.artifacts import Artifacts, save_artifacts
 from ..operators.evaluation import evaluate, stamp_metrics
 from ..operators.features import encode, fit_encoder, fit_scaler, scale, with_date_features
 from ..operators.registry import approved_files, mark_processed, training_rows
-from ..operators.sales import BUSINESS_KEYS, sales_counts, stratified_split
+from ..operators.sales import BUSINESS_KEYS, sales_counts, split_counts, stratified_split
 from ..schemas import FILES
 from ..session import materialize
 from ..sources.snapshots import read_snapshot, write_snapshot
@@ -52,25 +52,35 @@ def hash_split(sales: DataFrame, share: Sequence[int] = TEST_SHARE, salt: str =
     return sales.withColumn("es_prueba", hash_below(*share, F.lit(salt), *keys))
 
 
-def feature_table(
-    sales: DataFrame, encoder: DataFrame, stratified: bool = False, fit_on_train: bool = False
-) -> tuple[DataFrame, dict]:
-    """Scaled features of distinct sales with counts ``n``, split flags, and the ranges.
+def training_cells(sales: DataFrame, stratified: bool = False) -> DataFrame:
+    """Distinct sales with counts ``n`` and the sides ``es_prueba`` and ``es_validacion``, stored.
 
-    Equal sales are collapsed first, so what follows is bounded by SKUs x days x
-    quantities and no SKU is hot any more.
+    Equal sales are collapsed here, in the only pass over the sales, so what
+    follows is bounded by SKUs x days x quantities and no SKU is hot any more.
+    A stratified split numbers single rows, so it stores those first.
     """
     if stratified:
-        flagged = stratified_split(sales)
-        counted = flagged.groupBy(*BUSINESS_KEYS, "es_prueba").agg(F.count(F.lit(1)).alias("n"))
+        flagged = stratified_split(materialize(sales, "rows"))
+        cells = flagged.groupBy(*BUSINESS_KEYS, "es_prueba").agg(F.count(F.lit(1)).alias("n"))
     else:
-        counted = hash_split(sales_counts(sales))
-    features = materialize(with_date_features(encode(counted, encoder)), "features")
-    fitted_on = features.filter(~F.col("es_prueba")) if fit_on_train else features
-    ranges = fit_scaler(fitted_on)
-    keys = [F.col(c) for c in BUSINESS_KEYS]
-    held = hash_below(*NETWORK_VALIDATION_SHARE, F.lit("validacion"), *keys) & ~F.col("es_prueba")
-    return scale(features.withColumn("es_validacion", held), ranges), ranges
+        cells = split_counts(sales_counts(sales), "es_prueba", TEST_SHARE, "prueba")
+    held = split_counts(cells, "es_validacion", NETWORK_VALIDATION_SHARE, "validacion", ~F.col("es_prueba"))
+    return materialize(held, "cells")
+
+
+def feature_table(
+    cells: DataFrame, encoder: DataFrame, fit_on_train: bool = False
+) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """Scaled features of the cells, and the ranges used."""
+    features = materialize(with_date_features(encode(cells, encoder)), "features")
+    ranges = fit_scaler(features.filter(~F.col("es_prueba")) if fit_on_train else features)
+    return scale(features, ranges), ranges
+
+
+def _sides(cells: DataFrame) -> tuple[int, int]:
+    """Training and test cells."""
+    row = cells.agg(F.count_if(~F.col("es_prueba")), F.count_if("es_prueba")).first()
+    return row[0], row[1]
 
 
 def train(
@@ -91,22 +101,24 @@ def train(
     """
     spark = sales.sparkSession
     chosen = training_rows(sales, files, on_empty).select(*BUSINESS_KEYS)
-    counted = materialize(chosen, "training") if stratified else chosen
-    encoder = materialize(fit_encoder(counted), "encoder")
-    if encoder.isEmpty():
+    cells = training_cells(chosen, stratified)
+    trained_on, tested_on = _sides(cells)
+    if not stratified and trained_on + tested_on and not (trained_on and tested_on):
+        # So few sales that the hash left one side empty: split them exactly.
+        cells = training_cells(chosen, stratified=True)
+        trained_on, tested_on = _sides(cells)
+    if not trained_on + tested_on:
         return Trained("error", "La base de datos está vacía o no se pudo leer.")
+    if not trained_on or not tested_on:
+        return Trained("error", "No hay suficientes datos para entrenamiento o prueba después de dividir.")
 
-    table, ranges = feature_table(counted, encoder, stratified, fit_on_train)
+    encoder = materialize(fit_encoder(cells), "encoder")
+    table, ranges = feature_table(cells, encoder, fit_on_train)
     # Training passes over this table many times: one even slice per core.
     columns = [*FEATURES, TARGET, "n", "es_prueba", "es_validacion"]
     cores = spark.sparkContext.defaultParallelism
     table = materialize(table.select(*columns).repartition(cores, *FEATURES, TARGET), "scaled")
     train_rows, test_rows = table.filter(~F.col("es_prueba")), table.filter("es_prueba")
-    sizes = table.agg(
-        F.count_if(~F.col("es_prueba")).alias("train"), F.count_if("es_prueba").alias("test")
-    ).first()
-    if not sizes.train or not sizes.test:
-        return Trained("error", "No hay suficientes datos para entrenamiento o prueba después de dividir.")
 
     artifacts = Artifacts(encoder, ranges)
     names, scored = {}, test_rows
@@ -115,7 +127,7 @@ def train(
         scored = gbt.predict_trees(artifacts.trees, scored)
         names[gbt.PREDICTION] = MODEL_TREES
     if "network" in use:
-        artifacts.network = net.fit_network(train_rows, sizes.train)
+        artifacts.network = net.fit_network(train_rows, trained_on)
         scored = net.predict_network(artifacts.network, scored)
         names[net.PREDICTION] = MODEL_NETWORK
     if len(names) > 1:

@@ -66,6 +66,22 @@ def test_network_learns_and_keeps_the_best_weights(spark, learnable):
     assert loss == pytest.approx(min(model.losses), rel=1e-6)
 
 
+def test_heavy_rows_are_cut_without_losing_weight(spark):
+    rows = spark.createDataFrame([(1, 1_000_000.0), (2, 1.0), (3, 2.0), (4, 1.0)], "id int, n double")
+    cut = net._even_pieces(rows)
+    assert cut.agg(F.sum("n")).first()[0] == pytest.approx(1_000_004)
+    assert cut.count() <= 8 and cut.agg(F.max("n")).first()[0] <= 1_000_004 / 4
+
+
+def test_few_sales_still_give_both_sides(spark):
+    sales = materialize(spark.range(6).select(
+        F.lit("A").alias("id_producto"), F.lit("2024-01-01").cast("date").alias("fecha"),
+        F.lit(3).alias("cantidad_vendida"), F.lit("a.csv").alias("source_file"),
+    ))
+    cells = training.training_cells(sales.limit(2).drop("source_file"), stratified=True)
+    assert training._sides(cells) == (1, 1)
+
+
 def test_network_table_round_trip(spark, learnable):
     model = net.Network(net.initial_parameters(NETWORK_LAYERS, 5))
     back = net.network_from_table(net.network_table(spark, model))

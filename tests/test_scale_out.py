@@ -109,3 +109,16 @@ def test_counts_collapse_copies(skewed):
 def test_unknown_join_kind_is_refused(spark, skewed):
     with pytest.raises(ValueError):
         lookups.lookup_join(skewed, skewed, "id_producto", "full")
+
+
+def test_split_divides_a_hot_row_in_proportion(skewed):
+    counted = sales.sales_counts(skewed)
+    split = sales.split_counts(counted, "es_prueba", (1, 5), "prueba")
+    assert split.agg(F.sum("n")).first()[0] == skewed.count()
+    hot = counted.orderBy(F.desc("n")).first()
+    sides = split.filter(
+        (F.col("id_producto") == hot.id_producto) & (F.col("fecha") == hot.fecha)
+        & (F.col("cantidad_vendida") == hot.cantidad_vendida)
+    ).groupBy("es_prueba").agg(F.sum("n").alias("n"))
+    test = {r.es_prueba: r.n for r in sides.collect()}[True]
+    assert abs(test - hot.n / 5) < 1
