@@ -158,7 +158,7 @@ ORACLES = {
             FROM alertas_previas p LEFT JOIN alertas a
               ON p.estado = 'PENDIENTE' AND a.sku = p.sku AND a.tipo_alerta = p.tipo_alerta
             UNION ALL
-            SELECT substring(sha256(concat_ws('|', a.sku, a.tipo_alerta, '2001-11-05 06:00:00.000000')), 1, 32),
+            SELECT substring(sha256(concat_ws('|', a.sku, a.tipo_alerta, CAST(epoch_us(TIMESTAMP '2001-11-05 06:00:00') AS VARCHAR))), 1, 32),
                    a.sku, a.tipo_alerta, a.mensaje, a.fecha_proyeccion, 'PENDIENTE', '2001-11-05 06:00'
             FROM alertas a WHERE NOT EXISTS (
                 SELECT 1 FROM alertas_previas p WHERE p.estado = 'PENDIENTE'
@@ -459,8 +459,8 @@ ORACLES = {
     ),
     "stratified_split_rows": _with(
         "ventas",
-        """SELECT id_producto, fecha, cantidad_vendida, (row_number() OVER (ORDER BY id_producto, md5(
-               concat_ws('|', id_producto, CAST(fecha AS VARCHAR), CAST(cantidad_vendida AS VARCHAR)))) - 1) % 5 = 0
+        """SELECT id_producto, fecha, cantidad_vendida, (row_number() OVER (ORDER BY id_producto, substring(md5(
+               concat_ws('|', id_producto, CAST(fecha AS VARCHAR), CAST(cantidad_vendida AS VARCHAR))), 1, 15)) - 1) % 5 = 0
                AS es_prueba
            FROM ventas""",
     ),
@@ -482,6 +482,11 @@ ORACLES = {
         "entrenamiento",
         f"SELECT {_minute('fecha_registro')}, mae, rmse FROM entrenamiento e ORDER BY e.fecha_registro",
     ),
+    "appended_metrics": _with(
+        "entrenamiento",
+        f"""SELECT model, mae, rmse, r2, {_minute('fecha_registro')} FROM entrenamiento
+            UNION ALL SELECT model, mae, rmse, r2, '2001-11-05 06:00' FROM entrenamiento""",
+    ),
     # --- files
     "file_ingest_sales": _with(
         "ventas_raw", f"SELECT {_COERCED} FROM coercionadas WHERE {_LEGIBLES}", _COERCIONADAS

@@ -20,7 +20,7 @@ from ..plans.ingest import ingest_files
 from ..plans.training import hash_split, train
 from ..session import materialize, scratch_path
 from ..sources.snapshots import read_snapshot
-from ..sources.tables import append_sales, read_sales
+from ..sources.tables import append_metrics, append_sales, read_sales, read_table
 from ..streaming.sales_stream import start_ingest
 from .fixtures import AS_OF, MOMENT, fixture
 from .inbox import write_inbox
@@ -469,6 +469,16 @@ def metric_series(spark, sf):
     return log.withColumn("fecha_registro", minute_text(F.col("fecha_registro")))
 
 
+@query
+def appended_metrics(spark, sf):
+    path, log = scratch_path(spark, "metrics"), fixture(spark, sf, "entrenamiento")
+    append_metrics(log, path)
+    append_metrics(evaluation.stamp_metrics(log, MOMENT), path)
+    return read_table(spark, path, schemas.METRICS).withColumn(
+        "fecha_registro", minute_text(F.col("fecha_registro"))
+    )
+
+
 # --- files to tables: batch and stream ----------------------------------------
 
 _INBOXES: dict[tuple[str, str], str] = {}

@@ -30,10 +30,14 @@ def rescale(value: Column, low: float, high: float) -> Column:
     return (value.cast("double") - F.lit(float(low))) / F.lit(float(span))
 
 
-def hash32(*columns: Column) -> Column:
-    """First 32 bits of the md5 of the key, as a number. The same in any engine."""
+def _md5_digits(digits: int, columns: tuple[Column, ...]) -> Column:
+    """Leading hexadecimal digits of the md5 of the key, as a number. The same in any engine."""
     key = F.concat_ws("|", *[c.cast("string") for c in columns])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("bigint")
+
+
+def hash60(*columns: Column) -> Column:
+    return _md5_digits(15, columns)
 
 
 def hash_below(num: Column | int, den: int, *columns: Column) -> Column:
@@ -41,4 +45,4 @@ def hash_below(num: Column | int, den: int, *columns: Column) -> Column:
 
     Needs no shuffle, repeats exactly, and equal rows always agree.
     """
-    return hash32(*columns) * den < F.lit(num) * F.lit(2**32)
+    return _md5_digits(8, columns) * den < F.lit(num) * F.lit(2**32)

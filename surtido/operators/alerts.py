@@ -104,7 +104,7 @@ def upsert_alerts(current: DataFrame, found: DataFrame, moment: dt.datetime) ->
         current.filter(F.col("estado") == "PENDIENTE").groupBy(*keys).agg(F.min("id").alias("id"))
     )
     fresh = found.select(*keys, "mensaje", "fecha_proyeccion").join(pending, keys, "left")
-    text = F.concat_ws("|", "sku", "tipo_alerta", F.date_format(now, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    text = F.concat_ws("|", "sku", "tipo_alerta", F.unix_micros(now).cast("string"))
     inserts = fresh.filter(F.col("id").isNull()).select(
         F.substring(F.sha2(text, 256), 1, 32).alias("id"), *keys, "mensaje", "fecha_proyeccion",
         F.lit("PENDIENTE").alias("estado"), now.alias("creado_en"),

@@ -18,8 +18,8 @@ from ..session import materialize
 _ID_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def _placed(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
-    """Sorted rows with ``_part`` and ``_row``, fixed by writing them once."""
+def _placed(df: DataFrame, order: Sequence[str], ties: bool, drop: Sequence[str] = ()) -> DataFrame:
+    """Sorted rows with ``_part`` and ``_row``, fixed by writing them once, without ``drop``."""
     keys = list(order)
     if ties:
         df, keys = df.withColumn("_tie", F.monotonically_increasing_id()), [*order, "_tie"]
@@ -29,22 +29,27 @@ def _placed(df: DataFrame, order: Sequence[str], ties: bool) -> DataFrame:
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_id", _ID_BITS).cast("int"))
         .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
-        .drop("_tie", "_id")
+        .drop("_tie", "_id", *drop)
     )
     return materialize(ranged, "positions")
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str], name: str = "posicion", ties: bool = False
+    df: DataFrame,
+    order: Sequence[str],
+    name: str = "posicion",
+    ties: bool = False,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 0-based global position in ``order`` (ascending, nulls first).
 
     Pass ``ties`` if many rows can be equal in every order column: they are then
     spread over partitions and take neighbouring positions in any order. That
     numbers rows as they are read, so ``df`` must come straight from a stored
-    table, which gives a retried task the same sequence.
+    table, which gives a retried task the same sequence. ``drop`` names order
+    columns that are not wanted in the result.
     """
-    placed = _placed(df, order, ties)
+    placed = _placed(df, order, ties, drop)
     # One row per shuffle partition: the only thing this window ever sees.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

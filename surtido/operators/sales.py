@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import DATE_FORMATS, MSG_NO_VALID_ROWS, MSG_SAVED, REQUIRED_COLUMNS, STORED_NAMES
 from ..functions.calendar import day_text
 from ..functions.coerce import finite_or_null, to_quantity, to_sale_date, to_sku
-from ..functions.numbers import hash_below
+from ..functions.numbers import hash60, hash_below
 from .lookups import lookup_join
 from .positions import with_position
 
@@ -180,17 +180,15 @@ def sku_histories(sales: DataFrame, skus: DataFrame) -> DataFrame:
 def stratified_split(sales: DataFrame, num: int = 1, den: int = 5) -> DataFrame:
     """Flag ``num/den`` of the rows of every SKU as test rows, in ``es_prueba``.
 
-    Rows are put in (SKU, md5 of the row) order and taken at a fixed step, so the
-    test side has exactly ``ceil(rows * num / den)`` rows, at least one, and each
-    SKU its share within one row. ``sales`` comes straight from a stored table.
+    Rows are put in order of SKU and a hash of the row and taken at a fixed step,
+    so the test side has exactly ``ceil(rows * num / den)`` rows, at least one,
+    and each SKU its share within one row. ``sales`` comes straight from a stored
+    table.
     """
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in BUSINESS_KEYS]))
-    placed = with_position(
-        sales.withColumn("_digest", digest), ["id_producto", "_digest"], "_pos", ties=True
-    )
-    return placed.withColumn("es_prueba", F.pmod(-F.col("_pos") * num, F.lit(den)) < num).drop(
-        "_pos", "_digest"
-    )
+    hashed = sales.withColumn("_hash", hash60(*[F.col(c) for c in BUSINESS_KEYS]))
+    placed = with_position(hashed, ["id_producto", "_hash"], "_pos", ties=True, drop=["_hash"])
+    taken = F.pmod(-F.col("_pos") * num, F.lit(den)) < num
+    return placed.withColumn("es_prueba", taken).drop("_pos")
 
 
 def can_stratify(sales: DataFrame) -> DataFrame:
