@@ -46,7 +46,7 @@ _POSICION = """posicion AS (
 _LIMITES = """limites AS (
     SELECT p.*, u.email_notificacion,
            coalesce(u.umbral_minimo, p.stock_seguridad) AS minimo,
-           coalesce(u.umbral_sobreabastecimiento, CAST(trunc(p.promedio_historico * 30) AS INT)) AS maximo
+           coalesce(u.umbral_sobreabastecimiento, CAST(trunc(p.promedio_historico * 30) AS BIGINT)) AS maximo
     FROM posicion p LEFT JOIN umbrales u ON u.producto_id = p.id_producto AND u.is_active)"""
 _PROYECTADO = """proyectado AS (
     SELECT l.*, coalesce(d.demanda_48h, 0) AS demanda_48h,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -399,7 +398,7 @@ def encoded_sales(spark, sf):
 def encoded_sales_large_lookup(spark, sf):
     """The join used when the encoder is too large to broadcast."""
     rows = fixture(spark, sf, "ventas")
-    return features.encode(rows, features.fit_encoder(rows), broadcast_rows=0).drop("source_file")
+    return features.encode(rows, features.fit_encoder(rows), broadcast_bytes=0).drop("source_file")
 
 
 @query

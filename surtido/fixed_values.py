@@ -29,7 +29,6 @@ MSG_EMPTY_FILE = "El archivo o la hoja 'Detalle' está vacía."
 MSG_NO_SHEET = "El archivo Excel no contiene una hoja llamada 'Detalle'."
 MSG_BAD_FORMAT = "Formato de archivo no soportado (solo .csv, .xls, .xlsx)"
 MSG_SAVED = "Procesamiento exitoso. Datos guardados con éxito en 'ventas_detalle'."
-MSG_BAD_THRESHOLDS = "umbral_sobreabastecimiento debe ser mayor que umbral_minimo"
 
 # --- Fixed values: alert defaults.
 DEFAULT_AVERAGE = 10.0

@@ -11,7 +11,6 @@ from ..sources.snapshots import latest_path, next_path
 from .network import Network, network_from_table, network_table
 
 _SCALER = "columna string, minimo double, maximo double"
-_MANIFEST = "parte string"
 
 
 @dataclass
@@ -35,7 +34,7 @@ def save_artifacts(spark: SparkSession, artifacts: Artifacts, root: str) -> str:
     if artifacts.network is not None:
         network_table(spark, artifacts.network).coalesce(1).write.parquet(f"{path}/network")
         parts.append("network")
-    manifest = spark.createDataFrame([(p,) for p in parts], _MANIFEST).coalesce(1)
+    manifest = spark.createDataFrame([(p,) for p in parts], "parte string").coalesce(1)
     # Appending files beside the part folders leaves those in place.
     manifest.write.mode("append").text(path)
     return path

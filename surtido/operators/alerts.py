@@ -44,7 +44,7 @@ def stock_position(averages: DataFrame, stock: DataFrame) -> DataFrame:
 
 def effective_thresholds(position: DataFrame) -> DataFrame:
     """Configured thresholds, else safety stock and thirty times the average."""
-    ceiling = (F.col("promedio_historico") * OVERSTOCK_FACTOR).cast("int")
+    ceiling = (F.col("promedio_historico") * OVERSTOCK_FACTOR).cast("bigint")
     return position.withColumns({
         "umbral_minimo": F.coalesce("umbral_minimo", "stock_seguridad"),
         "umbral_sobreabastecimiento": F.coalesce(F.col("umbral_sobreabastecimiento"), ceiling),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import FEATURES
 from ..functions.calendar import date_features
 from ..functions.numbers import rescale
-from .lookups import BROADCAST_ROWS, lookup_join
+from .lookups import BROADCAST_BYTES, lookup_join
 from .positions import with_position
 
 CODE = FEATURES[0]
@@ -30,14 +30,14 @@ def fit_encoder(sales: DataFrame) -> DataFrame:
     return placed.withColumn(CODE, F.col(CODE).cast("int"))
 
 
-def encode(rows: DataFrame, encoder: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def encode(rows: DataFrame, encoder: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows of known SKUs with their code."""
-    return lookup_join(rows, encoder, "id_producto", "inner", broadcast_rows)
+    return lookup_join(rows, encoder, "id_producto", "inner", broadcast_bytes)
 
 
-def unknown_skus(rows: DataFrame, encoder: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def unknown_skus(rows: DataFrame, encoder: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Rows whose SKU has no code."""
-    return lookup_join(rows, encoder, "id_producto", "left_anti", broadcast_rows)
+    return lookup_join(rows, encoder, "id_producto", "left_anti", broadcast_bytes)
 
 
 def unknown_sku_count(rows: DataFrame, encoder: DataFrame) -> DataFrame:

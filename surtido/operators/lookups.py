@@ -1,6 +1,6 @@
 """Joins of a large table with a keyed lookup table.
 
-A lookup is broadcast only when its counted size allows it. Beyond that the
+A lookup is broadcast only when its measured size allows it. Beyond that the
 join shuffles, except for rows whose key is hot: those keys are few by
 arithmetic (fewer than ``slices`` keys can each hold more than 1/``slices`` of
 the rows), so their part of the lookup is broadcast and the hot rows never move.
@@ -13,10 +13,19 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 SLICES = 1000
 
 
+def measured_bytes(table: DataFrame) -> int:
+    """Size of the rows in memory: the texts as they are, 16 bytes a column for the rest."""
+    texts = [name for name, kind in table.dtypes if kind == "string"]
+    width = F.lit(16 * len(table.columns)).cast("bigint")
+    for name in texts:
+        width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    return table.agg(F.sum(width)).first()[0] or 0
+
+
 def hot_keys(df: DataFrame, key: str, slices: int = SLICES) -> DataFrame:
     """Keys holding more than 1/``slices`` of the keyed rows: fewer than ``slices`` rows."""
     loads = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(key).isNotNull())
@@ -30,7 +39,7 @@ def lookup_join(
     lookup: DataFrame,
     key: str,
     how: str = "left",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     slices: int = SLICES,
 ) -> DataFrame:
     """Join on ``key``; ``lookup`` is narrow and has one row per key.
@@ -39,8 +48,7 @@ def lookup_join(
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
-    # Counting stops mattering above the bound, but it is one cheap distributed pass.
-    if lookup.count() <= broadcast_rows:
+    if measured_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), key, how)
 
     hot = materialize(

@@ -26,6 +26,18 @@ def build_session(app_name: str = "surtido", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shuffle_settings(shuffled_bytes: int, partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for ``build_session`` that keep shuffle partitions near ``partition_bytes``.
+
+    Adaptive execution only merges partitions, so their number has to start
+    high enough for the largest shuffle of the run.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-shuffled_bytes // partition_bytes))),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -69,9 +69,9 @@ def _missing_message(source: str, missing: list[str]) -> str:
     return f"Faltan columnas requeridas en '{source}': {', '.join(missing)}"
 
 
-def _first_line(path: str) -> str:
+def _first_line(path: str, opened: dict) -> str:
     """First non-blank line of a file, through the filesystem its URI names."""
-    filesystem, inner = filesystem_of(path)
+    filesystem, inner = filesystem_of(path, opened)
     with filesystem.open_input_stream(inner) as stream:
         data = b""
         while True:
@@ -83,12 +83,13 @@ def _first_line(path: str) -> str:
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    opened: dict = {}
     for batch in batches:
         found = []
         for path, uri, source in zip(batch["path"], batch["uri"], batch["source_file"]):
             places, problem = (None, None, None), None
             try:
-                names = next(csv.reader(io.StringIO(_first_line(path))), [])
+                names = next(csv.reader(io.StringIO(_first_line(path, opened))), [])
                 missing = missing_columns(names)
                 if not names:
                     problem = MSG_EMPTY_FILE

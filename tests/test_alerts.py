@@ -138,6 +138,15 @@ def test_default_stock_and_thresholds(spark):
     assert (got.stock_actual, got.umbral_minimo, got.umbral_sobreabastecimiento) == (0, 3, 210)
 
 
+def test_very_large_averages_do_not_overflow(spark):
+    averages = spark.createDataFrame([("A", 2e9)], "id_producto string, promedio_historico double")
+    stock = spark.createDataFrame([], schemas.STOCK)
+    none = spark.createDataFrame([], schemas.THRESHOLDS)
+    position = alerts.stock_position(averages, stock)
+    got = alerts.effective_thresholds(alerts.sku_thresholds(position, none)).first()
+    assert got.umbral_sobreabastecimiento == 60_000_000_000
+
+
 def test_semi_join_and_no_cartesian(spark):
     from conftest import SF
 

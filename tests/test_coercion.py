@@ -118,3 +118,16 @@ def test_stratification_needs_two_rows_of_several_skus(spark):
 def test_scaler_refuses_no_rows(spark):
     with pytest.raises(ValueError):
         features.fit_scaler(spark.createDataFrame([], "id_producto_encoded int, mes int, anio int, dia_semana int, dia int"))
+
+
+def test_every_day_reads_back_in_every_format(spark):
+    days = spark.range(0, 20000, 7).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    for pattern in ("yyyy-MM-dd", "yyyy-M-d", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
+                    "MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS"):
+        read = days.withColumn("back", coerce.to_sale_date(F.date_format("d", pattern)))
+        assert read.filter("back is null or back <> d").isEmpty(), pattern
+
+
+def test_whole_numbers_read_back(spark):
+    numbers = spark.range(-5000, 5000).selectExpr("cast(id * 429496 as int) as q")
+    assert numbers.filter(coerce.to_quantity(F.col("q").cast("string")) != F.col("q")).isEmpty()

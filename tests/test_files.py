@@ -13,6 +13,7 @@ from surtido.fixed_values import MSG_BAD_FORMAT, MSG_EMPTY_FILE, MSG_NO_SHEET, M
 from surtido.plans.ingest import check_files, ingest_files
 from surtido.sources.snapshots import read_snapshot, write_snapshot
 from surtido.sources.tables import append_sales, jdbc_options, read_sales
+from surtido.sources.uris import filesystem_of
 from surtido.sources.xlsx import sheet_rows
 from surtido.streaming.sales_stream import start_ingest
 
@@ -134,11 +135,11 @@ def test_stream_takes_each_file_once_and_survives_replay(spark, tmp_path):
     (tmp_path / "in" / "a.csv").write_text("SKU,Fecha Venta,Cantidad\nA,2021-01-05,3\n")
     assert run() == 1
     assert run() == 1
-    (tmp_path / "in" / "b.csv").write_text("Cantidad,SKU,Fecha Venta\n3,B,2021-01-05\n1,B,2022-01-05\n")
+    (tmp_path / "in" / "b [1] {x}#%20?.csv").write_text("Cantidad,SKU,Fecha Venta\n3,B,2021-01-05\n1,B,2022-01-05\n")
     (tmp_path / "in" / "c.csv").write_text("SKU,Fecha Venta,Cantidad\nA,abc,3\n")
     assert run() == 3
     files = {r.nombre_archivo: r.estado for r in read_snapshot(spark, registry, schemas.FILES).collect()}
-    assert files == {"a.csv": "aprobado", "b.csv": "aprobado", "c.csv": "invalido"}
+    assert files == {"a.csv": "aprobado", "b [1] {x}#%20?.csv": "aprobado", "c.csv": "invalido"}
 
 
 def test_snapshot_versions(spark, tmp_path):
@@ -155,6 +156,13 @@ def test_snapshot_versions(spark, tmp_path):
     assert read_snapshot(spark, root, schemas.METRICS).count() == 2
 
 
+def test_filesystem_paths():
+    assert filesystem_of("file:/a/b c.csv")[1] == filesystem_of("file:///a/b c.csv")[1] == "/a/b c.csv"
+    known = {"s3://cubo/": ("fs", "cubo"), "hdfs://nn:9000/": ("fs", "/")}
+    assert filesystem_of("s3a://cubo/x/y z.csv", known) == ("fs", "cubo/x/y z.csv")
+    assert filesystem_of("hdfs://nn:9000/x/y.csv", known) == ("fs", "/x/y.csv")
+
+
 def test_jdbc_options():
     options = jdbc_options("jdbc:postgresql://h/db", "ventas_detalle", "u", "p", numPartitions="8")
     assert options["dbtable"] == "ventas_detalle" and options["numPartitions"] == "8"

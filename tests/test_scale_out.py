@@ -5,6 +5,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from surtido import session
 from surtido.checks.fixtures import fixture
 from surtido.operators import features, lookups, positions, sales
 from surtido.session import materialize
@@ -89,7 +90,7 @@ def test_large_lookup_join_equals_plain_join(spark, skewed, how):
     rows = materialize(skewed.unionByName(unmatched))
     lookup = materialize(features.fit_encoder(skewed))
     wanted = rows.join(lookup, "id_producto", how)
-    got = lookups.lookup_join(rows, lookup, "id_producto", how, broadcast_rows=0, slices=50)
+    got = lookups.lookup_join(rows, lookup, "id_producto", how, broadcast_bytes=0, slices=50)
     assert sorted(got.columns) == sorted(wanted.columns)
     assert got.select(*wanted.columns).exceptAll(wanted).isEmpty()
     assert wanted.exceptAll(got.select(*wanted.columns)).isEmpty()
@@ -100,6 +101,17 @@ def test_hot_rows_do_not_shuffle_by_their_key(spark, skewed):
     assert [r.id_producto for r in hot.collect()] == ["SKU-HOT"]
 
 
+def test_lookup_size_counts_the_texts(spark):
+    table = spark.createDataFrame([("añb", 1), (None, 2)], "t string, n int")
+    assert lookups.measured_bytes(table) == 2 * 32 + 4
+    assert lookups.measured_bytes(table.limit(0)) == 0
+
+
+def test_shuffle_settings_follow_the_bytes():
+    assert session.shuffle_settings(1)["spark.sql.shuffle.partitions"] == "200"
+    assert session.shuffle_settings(10 << 40)["spark.sql.shuffle.partitions"] == str(10 * 8192)
+
+
 def test_counts_collapse_copies(skewed):
     counted = sales.sales_counts(skewed)
     assert counted.agg(F.sum("n")).first()[0] == skewed.count()
