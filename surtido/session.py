@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
 
 def build_session(app_name: str = "surtido", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution and UTC; extra settings override."""
@@ -58,8 +63,28 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path under the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Fresh path in the application's own part of the shared folder."""
+    folder = _FOLDER.get()
+    if folder is None:
+        folder = f"{shared_root(spark).rstrip('/')}/surtido-{spark.sparkContext.applicationId}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def temporary_results(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block are deleted when it ends.
+
+    For jobs that run again and again in one session; frames computed inside
+    must not be used after the block.
+    """
+    folder = scratch_path(spark, "run")
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

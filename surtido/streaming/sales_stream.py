@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import ingest_files
+from ..session import temporary_results
 from ..sources.uris import literal
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -36,7 +37,10 @@ def start_ingest(
         paths = [literal(row.path) for row in batch.collect()]  # at most ``max_files`` names
         if paths:
             now = dt.datetime.now(dt.timezone.utc)
-            ingest_files(batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve)
+            with temporary_results(spark):
+                ingest_files(
+                    batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve
+                )
 
     arrivals = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)

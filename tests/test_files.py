@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import os
 import zipfile
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from surtido import schemas
 from surtido.checks.inbox import workbook
 from surtido.fixed_values import MSG_BAD_FORMAT, MSG_EMPTY_FILE, MSG_NO_SHEET, MSG_NO_VALID_ROWS
+from surtido.session import materialize, temporary_results
 from surtido.plans.ingest import check_files, ingest_files
 from surtido.sources.snapshots import read_snapshot, write_snapshot
 from surtido.sources.tables import append_sales, jdbc_options, read_sales
@@ -142,6 +144,16 @@ def test_stream_takes_each_file_once_and_survives_replay(spark, tmp_path):
     assert files == {"a.csv": "aprobado", "b [1] {x}#%20?.csv": "aprobado", "c.csv": "invalido"}
 
 
+def test_temporary_results_are_deleted(spark):
+    with temporary_results(spark):
+        inside = materialize(spark.range(10))
+        files = inside.inputFiles()
+        assert inside.count() == 10
+    path = files[0].removeprefix("file://")
+    assert "/run-" in path and not os.path.exists(os.path.dirname(os.path.dirname(path)))
+    assert materialize(spark.range(3)).count() == 3
+
+
 def test_snapshot_versions(spark, tmp_path):
     root = str(tmp_path / "tabla")
     assert read_snapshot(spark, root, schemas.METRICS).isEmpty()
