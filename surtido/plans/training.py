@@ -97,7 +97,7 @@ def train(
     """Train on the sales of approved files, measure on held-out rows, store everything.
 
     The metric log gets the row of the final model: the hybrid, or the only
-    model in ``use``.
+    model that was asked for or could be trained.
     """
     spark = sales.sparkSession
     chosen = training_rows(sales, files, on_empty).select(*BUSINESS_KEYS)
@@ -121,15 +121,26 @@ def train(
     train_rows, test_rows = table.filter(~F.col("es_prueba")), table.filter("es_prueba")
 
     artifacts = Artifacts(encoder, ranges)
-    names, scored = {}, test_rows
+    failures = []
     if "trees" in use:
-        artifacts.trees = gbt.fit_trees(train_rows)
+        try:
+            artifacts.trees = gbt.fit_trees(train_rows)
+        except Exception as error:  # noqa: BLE001 - one model may fail, the other carries on
+            failures.append(f"{MODEL_TREES}: {error}")
+    if "network" in use:
+        try:
+            artifacts.network = net.fit_network(train_rows, trained_on)
+        except Exception as error:  # noqa: BLE001
+            failures.append(f"{MODEL_NETWORK}: {error}")
+    names, scored = {}, test_rows
+    if artifacts.trees is not None:
         scored = gbt.predict_trees(artifacts.trees, scored)
         names[gbt.PREDICTION] = MODEL_TREES
-    if "network" in use:
-        artifacts.network = net.fit_network(train_rows, trained_on)
+    if artifacts.network is not None:
         scored = net.predict_network(artifacts.network, scored)
         names[net.PREDICTION] = MODEL_NETWORK
+    if not names:
+        return Trained("error", "Fallaron todos los entrenamientos. " + " ".join(failures))
     if len(names) > 1:
         scored = scored.withColumn(HYBRID, mean_of_present(*[F.col(c) for c in names]))
         names[HYBRID] = MODEL_HYBRID
@@ -138,7 +149,7 @@ def train(
     final = list(names.values())[-1]
     append_metrics(metrics.filter(F.col("model") == final), metrics_path)
     path = save_artifacts(spark, artifacts, artifacts_root)
-    return Trained("success", "Entrenamiento completado.", artifacts, path, metrics)
+    return Trained("success", " ".join(["Entrenamiento completado.", *failures]), artifacts, path, metrics)
 
 
 def retrain(

@@ -10,27 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def _versions(spark: SparkSession, root: str) -> tuple[list[int], list[int]]:
-    """All version numbers present, and the complete ones."""
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """All version numbers present, complete or not, in order."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return [], []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    present = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-    marker = spark._jvm.org.apache.hadoop.fs.Path
-    complete = [v for v in present if fs.exists(marker(f"{root}/v={v:06d}/_SUCCESS"))]
-    return present, complete
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(path)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
 def latest_path(spark: SparkSession, root: str) -> str | None:
-    complete = _versions(spark, root)[1]
-    return f"{root}/v={complete[-1]:06d}" if complete else None
+    for version in reversed(_versions(spark, root)):
+        path = f"{root}/v={version:06d}"
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            return path
+    return None
 
 
 def next_path(spark: SparkSession, root: str) -> str:
-    present = _versions(spark, root)[0]
-    return f"{root}/v={(present[-1] if present else 0) + 1:06d}"
+    return f"{root}/v={max(_versions(spark, root), default=0) + 1:06d}"
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:

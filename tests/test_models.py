@@ -148,6 +148,26 @@ def test_training_needs_approved_rows(spark, sales):
     assert result.status == "error" and result.artifacts is None
 
 
+def test_one_failing_model_leaves_the_other(spark, sales, monkeypatch):
+    def broken(*_, **__):
+        raise RuntimeError("sin memoria")
+
+    files = spark.createDataFrame(
+        [(1, "a.csv", "aprobado")], "id bigint, nombre_archivo string, estado string"
+    )
+    monkeypatch.setattr(gbt, "fit_trees", broken)
+    monkeypatch.setattr(
+        net, "fit_network", lambda *_: net.Network(net.initial_parameters(NETWORK_LAYERS, 1))
+    )
+    log = scratch_path(spark, "log")
+    result = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
+    assert result.status == "success" and "sin memoria" in result.message
+    assert [r.model for r in spark.read.parquet(log).collect()] == ["MLP (Keras - MVP)"]
+    monkeypatch.setattr(net, "fit_network", broken)
+    failed = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
+    assert failed.status == "error" and failed.path is None
+
+
 def test_stratified_network_training(spark, sales):
     files = spark.createDataFrame(
         [(1, "a.csv", "aprobado"), (2, "b.csv", "aprobado")], "id bigint, nombre_archivo string, estado string"
