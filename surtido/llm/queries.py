@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surtido.llm import bpe_automaton
+from surtido.llm import bpe_automaton, language_mixture, packing, quality_cascade, secret_scan, uniform_threshold
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,8 +25,37 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(coded)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_mixture.identify(docs, language_mixture.fit_labelled(docs))
+    return found.select("doc_id", language_mixture.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.assess(_table(spark, sf_dir, "documents"))
+
+
+def op8_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uniform_threshold.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
+    "op3_secret_scan": op3_secret_scan,
+    "op6_language_mixture": op6_language_mixture,
+    "op7_quality_cascade": op7_quality_cascade,
+    "op8_uniform_threshold": op8_uniform_threshold,
+    "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_uniform_threshold": uniform_threshold.SQL,
+}
