@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from surtido.llm import bpe_automaton, language_mixture, packing, quality_cascade, secret_scan, uniform_threshold
+from surtido.llm import (
+    bpe_automaton,
+    chat_snapshots,
+    hamming_join,
+    language_mixture,
+    line_blocks,
+    packing,
+    quality_cascade,
+    secret_scan,
+    uniform_threshold,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +40,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_blocks.extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_mixture.identify(docs, language_mixture.fit_labelled(docs))
@@ -47,15 +67,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_snapshots.render(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op3_secret_scan": op3_secret_scan,
+    "op4_line_blocks": op4_line_blocks,
+    "op5_hamming_join": op5_hamming_join,
     "op6_language_mixture": op6_language_mixture,
     "op7_quality_cascade": op7_quality_cascade,
     "op8_uniform_threshold": op8_uniform_threshold,
     "op9_packing": op9_packing,
+    "op10_chat_snapshots": op10_chat_snapshots,
 }
 
 ORACLES: dict[str, str] = {
     "op8_uniform_threshold": uniform_threshold.SQL,
+    "op10_chat_snapshots": chat_snapshots.SQL,
 }
