@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -68,3 +69,14 @@ def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 def struct_of(**kinds: str) -> T.StructType:
     """Schema from ``name="long"`` pairs."""
     return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()])
+
+
+def release_shuffles(df: DataFrame) -> DataFrame:
+    """``df``, after asking the driver to let go of the shuffle files of finished steps now.
+
+    Spark deletes them once the driver has collected the plan that made them,
+    which a driver with little work may put off for half an hour.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from surtido.llm import (
     bpe_automaton,
     chat_snapshots,
+    column_bwt,
     hamming_join,
     language_mixture,
     line_blocks,
@@ -36,6 +37,10 @@ def op1_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(coded)
 
 
+def op2_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_bwt.digests(column_bwt.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
@@ -73,6 +78,7 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
+    "op2_column_bwt": op2_column_bwt,
     "op3_secret_scan": op3_secret_scan,
     "op4_line_blocks": op4_line_blocks,
     "op5_hamming_join": op5_hamming_join,
