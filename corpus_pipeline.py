@@ -3,12 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from surtido.llm import column_bwt, hamming_join, language_mixture, packing, secret_scan
+from surtido.llm.queries import tokenizer_path
 from surtido.session import materialize
 
-STAGES = []
 
-#: DuckDB SQL for run()'s rows; tokenizing and near-duplicate components go beyond SQL.
+def _counted(docs: DataFrame) -> DataFrame:
+    """With ``n_chars`` as the texts now are."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose language cannot be told."""
+    return language_mixture.keep_identified(docs, language_mixture.fit_labelled(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return hamming_join.one_of_each(docs, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur more than once in the corpus."""
+    return _counted(column_bwt.without_repeats(docs))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked."""
+    return _counted(secret_scan.mask_secrets(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of tokens."""
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+STAGES = [
+    ("language id", language_id),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("secrets", secrets),
+    ("packing", packed),
+]
+
+#: Signatures, the order of suffixes and tokens go beyond SQL; tests compare run() with brute force.
 ORACLE_SQL = None
 
 

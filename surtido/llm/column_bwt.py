@@ -396,30 +396,66 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 65, most_context
     empty table gives an empty table.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(plain, length, k, most_contexts).toDF("of_id", "of_hash", "spans")
-    kind = spans.schema["spans"].dataType
+    spans = repeated_spans(plain, length, k, most_contexts)
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", kind),
-        T.StructField("kept", T.BinaryType())])
+        T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("spans", spans.schema["spans"].dataType), T.StructField("kept", T.BinaryType())])
     arrow = to_arrow_schema(schema)
-    joined = _keyed(plain).join(
-        spans, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+    rows = _with_spans(plain.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), spans, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _texts(batches, 1):
-            raw, kept = data.tobytes(), []
-            runs = [_merged(r or ()) for r in part.column(2).to_pylist()]
-            for start, end, spans in zip(offsets[:-1].tolist(), offsets[1:].tolist(), runs):
-                pieces, at = [], start
-                for span in spans:
-                    pieces.append(raw[at : start + span["start"]])
-                    at = start + span["end"]
-                kept.append(b"".join([*pieces, raw[at:end]]))
-            spans = pa.array(runs, arrow[2].type)
+            runs, kept = _cut(part.column(2), data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(offsets)), spans, pa.array(kept, pa.binary())], schema=arrow)
+                [part.column(0), pa.array(np.diff(offsets)), pa.array(runs, arrow[2].type), pa.array(kept, pa.binary())],
+                schema=arrow)
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+
+
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same rows and columns, with repeated passages cut out of the texts.
+
+    A character of which a cut leaves a part goes as a whole. Null texts stay null.
+    """
+    spans = repeated_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length)
+    place = docs.columns.index(text_col)
+    arrow = to_arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _texts(batches, place):
+            runs, kept = _cut(part.column(part.num_columns - 1), data, offsets)
+            old = part.column(place)
+            new = pa.array([k.decode("utf-8", "ignore") if r else None for r, k in zip(runs, kept)], arrow[place].type)
+            cut = pa.array([bool(r) for r in runs], pa.bool_())
+            columns = list(part.columns[:-1])
+            columns[place] = pc.if_else(cut, new, old.cast(arrow[place].type))
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return _with_spans(docs, spans, id_col, text_col).mapInArrow(run, docs.schema)
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns of ``docs`` by place and, as the last one, the spans of the text (null: none)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    joined = keyed.join(
+        spans.toDF("_of_id", "_of_hash", "_spans"),
+        F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_hash") == F.col("_of_hash")), "left")
+    return joined.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), "_spans")
+
+
+def _cut(spans: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[dict]], list[bytes]]:
+    """The merged runs of each text and what is left without them."""
+    raw, kept = data.tobytes(), []
+    runs = [_merged(r or ()) for r in spans.to_pylist()]
+    for start, end, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), runs):
+        pieces, at = [], start
+        for span in own:
+            pieces.append(raw[at : start + span["start"]])
+            at = start + span["end"]
+        kept.append(b"".join([*pieces, raw[at:end]]))
+    return runs, kept
 
 
 def _merged(runs) -> list[dict]:

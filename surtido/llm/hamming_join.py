@@ -1,11 +1,11 @@
 """Near-duplicates by MinHash signatures and a multi-index Hamming join.
 
-A document's set of word shingles gives a signature of ``CHUNKS * WIDTH``
-symbols of eight bits. The chance of a differing symbol is about one minus the
-similarity, so linked documents differ in few symbols. Cut into chunks, two
-signatures with at most ``2 * CHUNKS - 1`` differing symbols agree in some chunk
-but for one symbol at most (pigeonhole), so each chunk is indexed under all its
-words with one symbol left out: no pair within that distance is lost. Links are
+A document's set of word shingles gives a signature of symbols of 16 bits each.
+The chance of a differing symbol is about one minus the similarity, so linked
+documents differ in few symbols. Cut into chunks, two signatures with fewer
+differing symbols than twice the number of chunks agree in some chunk but for
+one symbol at most (pigeonhole), so each chunk is indexed with each of its
+symbols left out in turn: no pair within that distance is lost. Links are
 confirmed on full sets.
 
 Groups are joined without writing out their pairs: first every bucket is
@@ -17,6 +17,7 @@ that nobody else has and on signature distance leave a link possible.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from surtido.llm.common import kept_by_worker, map_rows, struct_of
+from surtido.llm.common import kept_by_worker, map_rows, release_shuffles, struct_of
 from surtido.session import materialize
 
-CHUNKS, WIDTH = 20, 6
-SYMBOLS = CHUNKS * WIDTH
-#: At similarity 0.85 the mean distance is 18 with a deviation of 3.9; this is 5.4 deviations above.
-MOST_APART = 2 * CHUNKS - 1
+@dataclass(frozen=True)
+class Index:
+    """How signatures are cut: ``chunks`` chunks of ``width`` symbols."""
+
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def most_apart(self) -> int:
+        return 2 * self.chunks - 1
+
+
+def index_for(percent: int) -> Index:
+    """The smallest index that reaches 5.3 deviations beyond the mean distance of pairs at the threshold."""
+    differ = 1 - percent / 100
+    for width in ((6,) if percent >= 85 else (5,) if percent >= 75 else (4, 3, 2)):
+        for chunks in range(2, 128 // width + 1):
+            n = chunks * width
+            if 2 * chunks - 1 >= n * differ + 5.3 * (n * differ * (1 - differ)) ** 0.5:
+                return Index(chunks, width)
+    raise ValueError(f"no index for {percent} percent")
+
 
 _U = np.uint64
 
@@ -46,7 +69,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed word shingles and their signatures, a block of texts at a time."""
 
-    def __init__(self, words: int, longest: int):
+    def __init__(self, words: int, symbols: int, longest: int):
         rng = np.random.default_rng(20)
         self.words = words
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -54,8 +77,8 @@ class Shingler:
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
         self.place = rng.integers(1, 2**63, words, dtype=np.uint64) * _U(2) + _U(1)
-        self.flip = rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-        self.turn = rng.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
+        self.flip = rng.integers(0, 2**63, symbols, dtype=np.uint64)
+        self.turn = rng.integers(1, 2**63, symbols, dtype=np.uint64) * _U(2) + _U(1)
         self.power, self.back = self._powers(longest)
 
     @staticmethod
@@ -99,11 +122,11 @@ class Shingler:
                 yield np.empty(0, dtype=np.uint64)
 
     def signature(self, shingles: np.ndarray) -> bytes:
-        least = np.full(SYMBOLS, np.iinfo(np.uint64).max, dtype=np.uint64)
+        least = np.full(len(self.flip), np.iinfo(np.uint64).max, dtype=np.uint64)
         for start in range(0, len(shingles), 1024):
             part = (shingles[start : start + 1024, None] ^ self.flip) * self.turn
             np.minimum(least, part.min(axis=0), out=least)
-        return (_mix(least) >> _U(56)).astype(np.uint8).tobytes()
+        return (_mix(least) >> _U(48)).astype("<u2").tobytes()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[tuple]:
@@ -121,17 +144,17 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20)
             start = end
 
 
-def _shingler(words: int) -> Shingler:
-    return kept_by_worker(("shingler", words), lambda: Shingler(words, 2 << 20))
+def _shingler(words: int, symbols: int) -> Shingler:
+    return kept_by_worker(("shingler", words, symbols), lambda: Shingler(words, symbols, 2 << 20))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
+def sketches(docs: DataFrame, words: int, index: Index) -> DataFrame:
     """``doc_id``, ``text_hash``, ``n_shingles``, ``set_id`` (null for no words) and ``signature`` of each document."""
     schema = struct_of(doc_id="long", text_hash="long", n_shingles="long", set_id="binary", signature="binary")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _shingler(words)
+        shingler = _shingler(words, index.symbols)
         for part, data, offsets in _texts(batches, 2):
             n, ids, signatures = [], [], []
             for s in shingler.shingles(data, offsets):
@@ -155,7 +178,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def index_keys(signed: DataFrame) -> DataFrame:
+def index_keys(signed: DataFrame, index: Index) -> DataFrame:
     """``key``, ``rid``: one key for each chunk and symbol left out; the upper bits say which."""
     schema = struct_of(key="long", rid="long")
     arrow = to_arrow_schema(schema)
@@ -165,30 +188,30 @@ def index_keys(signed: DataFrame) -> DataFrame:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
                 rid = np.asarray(batch.column(0))
-                symbols = _signatures(batch.column(1)).astype(np.int64)
-                for c in range(CHUNKS):
+                symbols = _signatures(batch.column(1), index).astype(np.uint64)
+                for c in range(index.chunks):
                     keys = []
-                    for out in range(WIDTH):
-                        key = np.full(len(rid), c * WIDTH + out, dtype=np.int64)
-                        for j in range(WIDTH):
+                    for out in range(index.width):
+                        key = np.zeros(len(rid), dtype=np.uint64)
+                        for j in range(index.width):
                             if j != out:
-                                key = key << 8 | symbols[:, c * WIDTH + j]
-                        keys.append(key)
+                                key = _mix(key + symbols[:, c * index.width + j] + _U(1))
+                        keys.append((key >> _U(8) | _U((c * index.width + out) << 56)).view(np.int64))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(np.tile(rid, WIDTH))], schema=arrow)
+                        [pa.array(np.concatenate(keys)), pa.array(np.tile(rid, index.width))], schema=arrow)
 
     return signed.select("rid", "signature").mapInArrow(run, schema)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SYMBOLS)
+def _signatures(column, index: Index) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), index.symbols)
 
 
 def _size_allows(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, index: Index) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets have ``percent`` of their union in common or more."""
     of = [signed.select(F.col("rid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
           for x in ("a", "b")]
@@ -196,8 +219,8 @@ def linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -
     def near(taken: Iterator[tuple]) -> Iterator[tuple]:
         for a, b, n_a, s_a, n_b, s_b in taken:
             if 100 * min(n_a, n_b) >= percent * max(n_a, n_b):
-                apart = np.frombuffer(s_a, np.uint8) != np.frombuffer(s_b, np.uint8)
-                if apart.sum() <= MOST_APART:
+                apart = np.frombuffer(s_a, "<u2") != np.frombuffer(s_b, "<u2")
+                if apart.sum() <= index.most_apart:
                     yield a, b
 
     close = map_rows(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "s_a", "n_b", "s_b"),
@@ -252,9 +275,10 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
 
-def _cross_pairs(signed: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, block: int = 2048) -> DataFrame:
+def _cross_pairs(signed: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, index: Index,
+                 block: int = 2048) -> DataFrame:
     """Pairs of different components that share a key and may be linked, each of them once."""
-    keys = _rooted(index_keys(signed), roots)
+    keys = _rooted(index_keys(signed, index), roots)
     by_root = keys.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = by_root.groupBy("key").agg(
         F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("n_most"),
@@ -292,7 +316,7 @@ def _cross_pairs(signed: DataFrame, sets: DataFrame, roots: DataFrame, percent:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
-            found = _open_pairs(unit, percent)
+            found = _open_pairs(unit, percent, index)
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=arrow)
 
@@ -319,11 +343,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(unit: pa.Table, percent: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
     side, rid, root, n, alone = (unit.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
-    signs = np.frombuffer(b"".join(unit.column(8).to_pylist()), np.uint8).reshape(len(rid), SYMBOLS)
-    which = int(unit.column(0)[0].as_py()) >> (8 * (WIDTH - 1))
-    chunk, out = divmod(which, WIDTH)
+    signs = _signatures(unit.column(8), index)
+    chunk, out = divmod(int(unit.column(0)[0].as_py()) >> 56, index.width)
     few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     pairs_a, pairs_b = [], []
     for start in range(0, len(few), 64):
@@ -334,12 +357,12 @@ def _open_pairs(unit: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         i, j = i[open_], j[open_]
         if not len(i):
             continue
-        differ = (signs[i] != signs[j]).reshape(len(i), CHUNKS, WIDTH)
+        differ = (signs[i] != signs[j]).reshape(len(i), index.chunks, index.width)
         by_chunk = differ.sum(axis=2)
         # Of the keys that the two share, the first one gives the pair.
         first = (by_chunk <= 1).argmax(axis=1)
         left_out = np.where(by_chunk[np.arange(len(i)), first] == 0, 0, differ[np.arange(len(i)), first].argmax(axis=1))
-        good = (by_chunk.sum(axis=1) <= MOST_APART) & (first == chunk) & (left_out == out)
+        good = (by_chunk.sum(axis=1) <= index.most_apart) & (first == chunk) & (left_out == out)
         pairs_a.append(np.minimum(rid[i[good]], rid[j[good]]))
         pairs_b.append(np.maximum(rid[i[good]], rid[j[good]]))
     if not pairs_a:
@@ -363,38 +386,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     only if no member has one, and such rows are kept. Other columns are not
     read; an empty table gives an empty table.
     """
+    base, grouped = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent, words)
+    ids = grouped.groupBy("root").agg(F.min("row.doc_id").alias("component_id"))
+    of_set = grouped.join(ids, "root").select("set_id", "component_id")
+    return base.join(of_set, "set_id", "left").select(
+        F.col("doc_id").alias(id_col), "n_shingles",
+        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document of the smallest id.
+
+    Of repeated rows one stays; documents without shingles stay.
+    """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base = materialize(sketches(plain, words), "sketches")
-    # Equal sets are one class; copies meet as partial results, not as rows.
+    base, grouped = _grouped(plain, percent, words)
+    chosen = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash")
+    chosen = chosen.unionByName(base.filter("set_id is null").select("doc_id", "text_hash").distinct()).toDF("_of_id", "_of_hash")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    found = keyed.join(chosen, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
+    return found.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+
+
+def _grouped(plain: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all documents, and ``root`` and the first ``row`` of each class of equal sets."""
+    index = index_for(percent)
+    base = materialize(sketches(plain, words, index), "sketches")
+    # Equal sets are one class; copies meet as partial results, not as rows. Rows without an id come last.
     classes = base.filter("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "text_hash")).alias("row"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"),
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     signed = materialize(
-        classes.select(F.monotonically_increasing_id().alias("rid"), "set_id", "class_id", "row.doc_id", "row.text_hash",
-                       "n_shingles", "signature"), "classes")
+        classes.select(F.monotonically_increasing_id().alias("rid"), "set_id", "row", "n_shingles", "signature"), "classes")
     by_key = Window.partitionBy("key").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
     pivots = materialize(
-        index_keys(signed).withColumn("pivot", F.first("rid").over(by_key)).filter("rid <> pivot")
+        index_keys(signed, index).withColumn("pivot", F.first("rid").over(by_key)).filter("rid <> pivot")
         .select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "pivot_pairs")
     wanted = pivots.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = materialize(signed.join(wanted, "rid", "left_semi"), "candidates")
-    sets = materialize(_sets(plain, some, words), "sets")
-    first = materialize(linked(pivots, some, sets, percent), "first_links")
+    some = release_shuffles(materialize(signed.join(wanted, "rid", "left_semi"), "candidates"))
+    sets = release_shuffles(materialize(_sets(plain, some, words), "sets"))
+    first = materialize(linked(pivots, some, sets, percent, index), "first_links")
     roots = components(first)
-    second = _confirmed(_cross_pairs(some, sets, roots, percent), sets, percent)
+    second = _confirmed(_cross_pairs(some, sets, roots, percent, index), sets, percent)
     roots = components(first.union(second))
-    grouped = _rooted(signed.select("rid", "set_id", "class_id"), roots)
-    ids = grouped.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    of_set = grouped.join(ids, "root").select("set_id", "component_id")
-    return base.join(of_set, "set_id", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    return base, _rooted(signed.select("rid", "set_id", "row"), roots)
 
 
 def _sets(plain: DataFrame, some: DataFrame, words: int) -> DataFrame:
     """``rid``, ``shingles`` (sorted) of the given classes, read again from the text of one of their documents."""
-    who = some.select("rid", F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+    who = some.select("rid", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
     texts = (
         _keyed(plain).join(who, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
         .dropDuplicates(["rid"]).select("rid", "text")
@@ -403,7 +446,7 @@ def _sets(plain: DataFrame, some: DataFrame, words: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _shingler(words)
+        shingler = _shingler(words, 0)
         for part, data, offsets in _texts(batches, 1):
             sets = [np.sort(s.view(np.int64)) for s in shingler.shingles(data, offsets)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, arrow[1].type)], schema=arrow)

@@ -191,27 +191,48 @@ def identify(docs: DataFrame, model: LanguageModel, rounds: int = 6, penalty: fl
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for start, end, block in _blocks(texts):
-                found = proportions(model, block, rounds, penalty)
-                score = found.max(axis=1) if found.shape[1] else np.zeros(end - start)
-                pred = np.where(score > 0, found.argmax(axis=1), -1) if found.shape[1] else np.full(end - start, -1)
-                # A word needs no letter: texts without a plain one are looked at one by one.
-                plain = np.asarray(pc.fill_null(pc.match_substring_regex(texts.slice(start, end - start), "[A-Za-z]"), False))
-                for i in np.flatnonzero((pred >= 0) & ~plain):
-                    if not any(c.isalpha() for c in texts[start + int(i)].as_py()):
-                        pred[i], score[i], found[i] = -1, 0.0, 0.0
+            for start, end, found, pred in _predicted(model, batch.column(1), rounds, penalty):
+                score = np.where(pred >= 0, found.max(axis=1, initial=0.0), 0.0)
                 sets = [
-                    sorted(({"lang": names[j], "proportion": float(row[j])} for j in np.flatnonzero(row)),
-                           key=lambda x: -x["proportion"]) for row in found]
+                    sorted(({"lang": names[j], "proportion": float(row[j])} for j in np.flatnonzero(row) if p >= 0),
+                           key=lambda x: -x["proportion"]) for row, p in zip(found, pred)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, end - start), pa.array(sets, arrow[1].type),
+                    [batch.column(0).slice(start, end - start), pa.array(sets, arrow[1].type),
                      pa.array(names[pred], pa.string()), pa.array(score, pa.float64())], schema=arrow)
 
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema).withColumnRenamed("row_id", id_col)
 
 
+def _predicted(model: LanguageModel, texts: pa.Array, rounds: int, penalty: float) -> Iterator[tuple]:
+    """(first text, end, proportions, number of the language or -1) over blocks of texts."""
+    for start, end, block in _blocks(texts):
+        found = proportions(model, block, rounds, penalty)
+        pred = np.full(end - start, -1)
+        if found.shape[1]:
+            pred = np.where(found.max(axis=1) > 0, found.argmax(axis=1), -1)
+        # A word needs no letter: texts without a plain one are looked at one by one.
+        plain = np.asarray(pc.fill_null(pc.match_substring_regex(texts.slice(start, end - start), "[A-Za-z]"), False))
+        for i in np.flatnonzero((pred >= 0) & ~plain):
+            if not any(c.isalpha() for c in texts[start + int(i)].as_py()):
+                pred[i] = -1
+        yield start, end, found, pred
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, rounds: int = 6, penalty: float = 3.0,
+                    text_col: str = "text") -> DataFrame:
+    """The rows whose language can be told, with all their columns."""
+    place = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end, _, pred in _predicted(shared.value, batch.column(place).cast(pa.string()), rounds, penalty):
+                yield batch.slice(start, end - start).filter(pa.array(pred >= 0))
+
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept out of learning, by its id alone; rows without an id are kept out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(True))

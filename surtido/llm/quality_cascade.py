@@ -81,11 +81,11 @@ def _holds(rule: Rule) -> Column:
     return F.coalesce(F.expr(rule.rejects), F.lit(False))
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...], sample_rows: int) -> list[Rule]:
-    """The rules by rejections per second on the first ``sample_rows`` rows that Spark finds (a bound on the work)."""
+def order_rules(sample: DataFrame, rules: tuple[Rule, ...]) -> list[Rule]:
+    """The rules by rejections per second on a sample of measured rows."""
     if not rules:
         return []
-    sample = measured.limit(sample_rows).cache()
+    sample = sample.cache()
     try:
         shares = sample.agg(*(F.avg(_holds(r).cast("int")).alias(r.name) for r in rules)).first()
         cost = {}
@@ -106,7 +106,7 @@ def cascade(measured: DataFrame, ordered: list[Rule]) -> DataFrame:
     return measured.withColumn("failed_rule", verdict)
 
 
-def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, id_col: str = "doc_id",
+def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """Measures, ``base_failed`` and ``kept`` of every document.
 
@@ -117,7 +117,9 @@ def assess(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     """
     measured = measures(docs, id_col, text_col)
     base = [r for r in rules if r.name in BASE]
-    ordered = base + order_rules(measured, tuple(r for r in rules if r.name not in BASE), sample_rows)
+    # The sample only orders the rules; its size bounds the work of that.
+    sample = measures(docs.limit(sample_rows), id_col, text_col)
+    ordered = base + order_rules(sample, tuple(r for r in rules if r.name not in BASE))
     failed = cascade(measured, ordered)
     return failed.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
