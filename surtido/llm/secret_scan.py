@@ -79,19 +79,29 @@ def _of_strings(strings: set[str]):
 def _of_sequence(nodes) -> tuple[set[str] | None, object]:
     """(all strings it can match, or None if too many; the query of what is not in them)."""
     run, whole, found = {""}, True, []
-    for node in nodes:
-        strings, query = _of_node(*node)
+    for kind, value in nodes:
+        strings, query = _of_node(kind, value)
         found.append(query)
         if strings is not None and len(run) * len(strings) <= _MOST_STRINGS:
             run = {a + b for a in run for b in strings}
         else:
+            inner = _repeated(kind, value)
+            if inner and len(run) * len(inner) <= _MOST_STRINGS:
+                run = {a + b for a in run for b in inner}
             found.append(_of_strings(run))
-            run, whole = strings or {""}, False
+            run, whole = strings or inner or {""}, False
     if not whole:
         found.append(_of_strings(run))
     return (run if whole else None), _and(found)
 
 
+def _repeated(kind, value) -> set[str] | None:
+    """The strings that stand at both ends of what is repeated once or more."""
+    if kind in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] > 0:
+        return _of_sequence(value[2])[0]
+    return None
+
+
 def _of_node(kind, value) -> tuple[set[str] | None, object]:
     if kind is sre.LITERAL:
         return {chr(value).lower()}, True
