@@ -45,7 +45,8 @@ FIXTURES = {
                            lpad(CAST(k % 24 AS STRING), 2, '0'), ':30:00') AS TIMESTAMP) AS fecha_carga,
                CASE k % 4 WHEN 0 THEN 'aprobado' WHEN 1 THEN 'valido' WHEN 2 THEN 'procesado'
                     ELSE 'invalido' END AS estado,
-               n AS filas_guardadas, CAST(NULL AS STRING) AS mensaje, 'Sistema' AS cargado_por
+               n AS filas_guardadas, CAST(NULL AS STRING) AS mensaje, 'Sistema' AS cargado_por,
+               nombre_archivo AS ruta
         FROM (SELECT l_suppkey AS k, {_STEM} AS nombre_archivo, count(*) AS n
               FROM {{lineitem}} GROUP BY 1, 2) t""",
     "umbrales": f"""
@@ -132,6 +133,24 @@ FIXTURES = {
                     ELSE {_SKU.format("o_custkey")} END AS id_producto,
                CAST(CAST(o_orderdate AS DATE) AS STRING) AS fecha_str
         FROM {{orders}}""",
+    # Every accepted way to write a date, and some that are none.
+    "fechas": """
+        SELECT texto, forma % 2 = 1 AS dia_primero, CASE WHEN forma < 16 THEN iso END AS esperada FROM (
+            SELECT forma, iso, CASE forma
+                WHEN 0 THEN iso WHEN 1 THEN concat(' ', iso, ' 23:59:59')
+                WHEN 2 THEN concat(iso, 'T10:00:00Z') WHEN 3 THEN concat(iso, 'T23:30:00.123-05:00')
+                WHEN 4 THEN replace(iso, '-', '') WHEN 5 THEN replace(iso, '-', '/')
+                WHEN 6 THEN concat(m, '/', d, '/', y, ' 00:00') WHEN 7 THEN concat(d, '/', m, '/', y)
+                WHEN 8 THEN concat(m, '-', d, '-', y) WHEN 9 THEN concat(d, '-', m, '-', y, ' 1:05 PM')
+                WHEN 10 THEN concat(iso, ' 1:05:07 am') WHEN 11 THEN concat(d, '.', m, '.', y)
+                WHEN 12 THEN replace(iso, '-', '.') WHEN 13 THEN concat(iso, ' 10:20:30.123456')
+                WHEN 14 THEN concat(m, '/', d, '/', y) WHEN 15 THEN concat(iso, 'T10:20:30+0100')
+                WHEN 16 THEN '44201' WHEN 17 THEN concat(iso, ' 25:00') WHEN 18 THEN concat(iso, ' basura')
+                WHEN 19 THEN concat(y, '-13-', d) ELSE 'abc' END AS texto
+            FROM (SELECT l_orderkey % 21 AS forma, CAST(CAST(l_shipdate AS DATE) AS STRING) AS iso,
+                         substring(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 4) AS y,
+                         substring(CAST(CAST(l_shipdate AS DATE) AS STRING), 6, 2) AS m,
+                         substring(CAST(CAST(l_shipdate AS DATE) AS STRING), 9, 2) AS d FROM {lineitem}) t) u""",
     # Stands in for the models where only the alert logic is checked.
     "pronostico": f"""
         SELECT {_L} AS id_producto, CAST(ceil(avg(l_quantity)) AS INT) AS prediccion

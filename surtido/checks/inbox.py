@@ -61,6 +61,19 @@ def _csv(rows: list[list]) -> bytes:
     return out.getvalue().encode()
 
 
+def write_named(rows: DataFrame, folder: str, name: str) -> None:
+    """The rows as one CSV file of the given name; Spark's writer names files itself."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    rows.coalesce(1).write.option("header", "true").csv(f"{folder}.parts")
+    source = path(f"{folder}.parts")
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
+    fs.mkdirs(path(folder))
+    fs.rename(parts[0], path(f"{folder}/{name}"))
+    fs.delete(source, True)
+
+
 def write_inbox(raw: DataFrame, root: str) -> int:
     """One file per ``source_file``; returns how many.
 

@@ -6,12 +6,13 @@ from ..fixed_values import (
     FEATURES,
     MISSING_MARKERS,
     MSG_BAD_FORMAT,
+    MSG_MISSING_COLUMNS,
     MSG_NO_VALID_ROWS,
     MSG_QUIEBRE,
     MSG_SAVED,
     MSG_SOBRESTOCK,
 )
-from ..operators.digest import HTML_HEAD, HTML_TAIL
+from ..operators.digest import PAGE_END, PAGE_START
 from .fixtures import fixture_sql
 
 
@@ -86,13 +87,17 @@ _REGISTRO = f"""registro AS (
     SELECT source_file AS nombre_archivo,
            CASE WHEN n > 0 THEN 'valido' ELSE 'invalido' END AS estado, n AS filas_guardadas,
            CASE WHEN ilegible THEN {_text(MSG_BAD_FORMAT)}
-                WHEN incompleto THEN concat('Faltan columnas requeridas en ''', source_file, ''': Cantidad')
+                WHEN incompleto THEN {_text(MSG_MISSING_COLUMNS + "Cantidad")}
                 WHEN n > 0 THEN {_text(MSG_SAVED)} ELSE {_text(MSG_NO_VALID_ROWS)} END AS mensaje
     FROM (SELECT source_file, source_file LIKE '%.txt' AS ilegible, proveedor % 20 = 0 AS incompleto,
                  count(*) FILTER (WHERE motivo IS NULL AND source_file NOT LIKE '%.txt' AND proveedor % 20 <> 0) AS n
           FROM coercionadas GROUP BY ALL) t)"""
 _LEGIBLES = "motivo IS NULL AND source_file NOT LIKE '%.txt' AND proveedor % 20 <> 0"
 
+# SKUs of the approved files, which are those that a model knows.
+_APRENDIDOS = """SELECT DISTINCT id_producto FROM ventas v WHERE EXISTS (
+    SELECT 1 FROM archivos a WHERE a.estado = 'aprobado' AND a.ruta = v.source_file)"""
+
 _CODIGOS = """codigos AS (
     SELECT id_producto, CAST(row_number() OVER (ORDER BY id_producto) - 1 AS INT) AS id_producto_encoded
     FROM (SELECT DISTINCT id_producto FROM ventas) t)"""
@@ -103,6 +108,12 @@ _RASGOS = """rasgos AS (
     FROM ventas v JOIN codigos c USING (id_producto))"""
 
 
+def _escaped(column: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        column = f"replace({column}, '{sign}', '{name}')"
+    return column
+
+
 def _minute(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M') AS {column}"
 
@@ -207,10 +218,11 @@ ORACLES = {
     "alert_digest_pages": _with(
         _DIGEST_INPUTS,
         f"""SELECT destinatario, pagina, count(*) AS n_alertas,
-                   concat({_text(HTML_HEAD)}, string_agg(
-                       concat('<tr><td>', sku, '</td><td class="', lower(tipo_alerta), '">', tipo_alerta,
-                              '</td><td>', mensaje, '</td><td>', CAST(fecha_proyeccion AS VARCHAR), '</td></tr>'),
-                       '' ORDER BY sku, tipo_alerta), {_text(HTML_TAIL)}) AS html
+                   concat({_text(PAGE_START)}, string_agg(
+                       concat('<li data-kind="', CASE tipo_alerta WHEN 'QUIEBRE' THEN 'short' ELSE 'excess' END,
+                              '"><code>', {_escaped('sku')}, '</code> <time>', CAST(fecha_proyeccion AS VARCHAR),
+                              '</time> ', {_escaped('mensaje')}, '</li>'),
+                       '' ORDER BY sku, tipo_alerta), {_text(PAGE_END)}) AS html
             FROM (SELECT *, CAST(floor((row_number() OVER (
                       PARTITION BY destinatario ORDER BY sku, tipo_alerta) - 1) / 50) AS INT) AS pagina
                   FROM rutas) t
@@ -339,7 +351,7 @@ ORACLES = {
     ),
     "registry_listing": _with(
         "archivos",
-        f"""SELECT id, nombre_archivo, {_minute('fecha_carga')}, estado, filas_guardadas, mensaje, cargado_por
+        f"""SELECT id, nombre_archivo, {_minute('fecha_carga')}, estado, filas_guardadas, mensaje, cargado_por, ruta
             FROM archivos a ORDER BY a.fecha_carga DESC, id""",
     ),
     "approved_files": _with(
@@ -379,7 +391,7 @@ ORACLES = {
     "approved_sales": _with(
         "ventas archivos",
         """SELECT * FROM ventas v WHERE EXISTS (SELECT 1 FROM archivos a
-             WHERE a.estado = 'aprobado' AND a.nombre_archivo = v.source_file)""",
+             WHERE a.estado = 'aprobado' AND a.ruta = v.source_file)""",
     ),
     "training_rows_fallback": _with("ventas", "SELECT * FROM ventas"),
     # --- demand
@@ -487,6 +499,14 @@ ORACLES = {
         f"""SELECT model, mae, rmse, r2, {_minute('fecha_registro')} FROM entrenamiento
             UNION ALL SELECT model, mae, rmse, r2, '2001-11-05 06:00' FROM entrenamiento""",
     ),
+    "coerced_dates": _with(
+        "fechas", "SELECT texto, dia_primero, CAST(esperada AS DATE) AS fecha FROM fechas"
+    ),
+    "same_name_files": f"""
+        SELECT concat('dia', CAST(l_suppkey % 2 AS VARCHAR), '/ventas.csv') AS archivo,
+               CASE WHEN l_suppkey % 2 = 0 THEN 'valido' ELSE 'invalido' END AS estado,
+               count(*) FILTER (WHERE l_suppkey % 2 = 0) AS filas_guardadas
+        FROM lineitem GROUP BY 1, 2""",
     # --- files
     "file_ingest_sales": _with(
         "ventas_raw", f"SELECT {_COERCED} FROM coercionadas WHERE {_LEGIBLES}", _COERCIONADAS
@@ -502,10 +522,38 @@ ORACLES = {
                 FROM coercionadas WHERE {_LEGIBLES} GROUP BY 1) s ON s.source_file = r.nombre_archivo""",
         _COERCIONADAS, _REGISTRO,
     ),
+    "stored_scaler": _with(
+        "ventas archivos",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS columna, CAST(min({c}) AS DOUBLE) AS minimo, CAST(max({c}) AS DOUBLE) AS maximo FROM rasgos"
+            for c in FEATURES
+        ),
+        """aprobadas AS (SELECT * FROM ventas v WHERE EXISTS (SELECT 1 FROM archivos a
+             WHERE a.estado = 'aprobado' AND a.ruta = v.source_file))""",
+        _CODIGOS.replace("FROM ventas", "FROM aprobadas"), _RASGOS.replace("FROM ventas", "FROM aprobadas"),
+    ),
+    "request_forecast_keys": _with(
+        "ventas archivos solicitudes",
+        f"SELECT id_producto, CAST(fecha_str AS DATE) AS fecha FROM solicitudes WHERE id_producto IN ({_APRENDIDOS})",
+    ),
+    "rejected_forecast_requests": _with(
+        "ventas archivos solicitudes",
+        f"""SELECT id_producto, fecha_str, 'sku' AS motivo FROM solicitudes
+            WHERE id_producto NOT IN ({_APRENDIDOS})""",
+    ),
+    "horizon_forecast_keys": _with(
+        "ventas archivos",
+        f"""SELECT s.id_producto, d.fecha FROM ({_APRENDIDOS}) s
+            CROSS JOIN (SELECT DATE '2001-11-06' AS fecha UNION ALL SELECT DATE '2001-11-07') d""",
+    ),
+    "daily_alerts_of_given_forecasts": _with(
+        _ALERT_INPUTS,
+        "SELECT sku, tipo_alerta, mensaje, fecha_proyeccion, 'PENDIENTE' AS estado FROM alertas", *_ALERT_STEPS,
+    ),
     "stored_encoder": _with(
         "ventas archivos",
         """SELECT id_producto, CAST(row_number() OVER (ORDER BY id_producto) - 1 AS INT) AS id_producto_encoded
            FROM (SELECT DISTINCT id_producto FROM ventas v WHERE EXISTS (SELECT 1 FROM archivos a
-                 WHERE a.estado = 'aprobado' AND a.nombre_archivo = v.source_file)) t""",
+                 WHERE a.estado = 'aprobado' AND a.ruta = v.source_file)) t""",
     ),
 }

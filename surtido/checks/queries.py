@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..fixed_values import ALERT_STATES, FEATURES, REQUIRED_COLUMNS, TARGET, TEST_SHARE
+from ..fixed_values import ALERT_STATES, DAY_FIRST_FORMATS, FEATURES, REQUIRED_COLUMNS, TARGET, TEST_SHARE
 from ..functions.calendar import day_text, minute_text
+from ..functions.coerce import to_sale_date
 from ..functions.numbers import mean_of_present
 from ..models.artifacts import Artifacts, load_artifacts
 from ..operators import alerts, demand, digest, evaluation, features, registry, sales, snapshots, thresholds
 from ..plans.daily_alerts import run_daily_alerts
-from ..plans.forecasting import forecast, forecast_horizon
+from ..plans.forecasting import forecast, forecast_horizon, rejected_requests
 from ..plans.ingest import ingest_files
 from ..plans.training import hash_split, train
 from ..session import materialize, scratch_path
@@ -22,7 +23,7 @@ from ..sources.snapshots import read_snapshot
 from ..sources.tables import append_metrics, append_sales, read_sales, read_table
 from ..streaming.sales_stream import start_ingest
 from .fixtures import AS_OF, MOMENT, fixture
-from .inbox import write_inbox
+from .inbox import write_inbox, write_named
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,7 +195,10 @@ def stock_upsert(spark, sf):
 
 @query
 def sales_scan(spark, sf):
-    return fixture(spark, sf, "ventas")
+    """Sales as a job reads them: a stored table through its reader."""
+    path, rows = scratch_path(spark, "sales"), fixture(spark, sf, "ventas")
+    rows.write.parquet(path)
+    return read_table(spark, path, rows.schema)
 
 
 @query
@@ -215,6 +219,13 @@ def valid_sales(spark, sf):
     return sales.valid_sales(sales.coerce_sales(_raw(spark, sf)))
 
 
+@query
+def coerced_dates(spark, sf):
+    rows = fixture(spark, sf, "fechas")
+    date = F.when(F.col("dia_primero"), to_sale_date(F.col("texto"), DAY_FIRST_FORMATS))
+    return rows.select("texto", "dia_primero", date.otherwise(to_sale_date(F.col("texto"))).alias("fecha"))
+
+
 @query
 def rejected_sales(spark, sf):
     return sales.rejected_sales(sales.coerce_sales(_raw(spark, sf)))
@@ -227,7 +238,7 @@ def quality_report(spark, sf):
 
 @query
 def file_outcomes(spark, sf):
-    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(_raw(spark, sf))))
+    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(_raw(spark, sf)))).drop("ruta")
 
 
 @query
@@ -333,7 +344,7 @@ def approved_sales(spark, sf):
 
 @query
 def training_rows_fallback(spark, sf):
-    files = fixture(spark, sf, "archivos").withColumn("nombre_archivo", F.concat(F.lit("Manual_"), "nombre_archivo"))
+    files = fixture(spark, sf, "archivos").withColumn("ruta", F.concat(F.lit("Manual_"), "ruta"))
     return registry.training_rows(fixture(spark, sf, "ventas"), files, on_empty="all")
 
 
@@ -497,7 +508,26 @@ def _inbox(spark: SparkSession, sf: str) -> str:
 def file_ingest_sales(spark, sf):
     sales_path, registry_root = scratch_path(spark, "sales"), scratch_path(spark, "registry")
     ingest_files(spark, _inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
-    return read_sales(spark, sales_path).select("id_producto", "fecha", "cantidad_vendida", "source_file")
+    name = F.element_at(F.split("source_file", "/"), -1).alias("source_file")
+    return read_sales(spark, sales_path).select("id_producto", "fecha", "cantidad_vendida", name)
+
+
+@query
+def same_name_files(spark, sf):
+    """Two folders with a file of the same name, one of them without a quantity: each has its own outcome."""
+    root, sales_path, registry_root = (scratch_path(spark, n) for n in ("inbox", "sales", "registry"))
+    columns = ["id_producto AS SKU", "fecha AS `Fecha Venta`", "cantidad_vendida AS Cantidad"]
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_suppkey % 2 AS dia", "cast(l_partkey as string) AS id_producto", "cast(l_shipdate as date) AS fecha",
+        "cast(l_quantity as int) AS cantidad_vendida")
+    for day in (0, 1):
+        part = lines.filter(F.col("dia") == day).selectExpr(*columns[: 3 - day])
+        # Files of one name: a folder of part files each, named alike by the reader's view of them.
+        write_named(part, f"{root}/dia{day}", "ventas.csv")
+    ingest_files(spark, root, sales_path, registry_root, 1, MOMENT)
+    files = read_snapshot(spark, registry_root, schemas.FILES)
+    shown = F.concat_ws("/", F.slice(F.split("ruta", "/"), -2, 2)).alias("archivo")
+    return files.select(shown, "estado", "filas_guardadas")
 
 
 @query
@@ -514,13 +544,13 @@ def stream_ingest(spark, sf):
     registry_root, checkpoint = scratch_path(spark, "registry"), scratch_path(spark, "stream")
     for _ in range(2):  # the second run finds nothing new
         start_ingest(spark, inbox, sales_path, registry_root, checkpoint).awaitTermination()
-    stored = read_sales(spark, sales_path).groupBy("source_file").agg(
+    stored = read_sales(spark, sales_path).groupBy(F.col("source_file").alias("ruta")).agg(
         F.count(F.lit(1)).alias("filas"), F.sum("cantidad_vendida").alias("unidades")
     )
     files = read_snapshot(spark, registry_root, schemas.FILES).select(
-        F.col("nombre_archivo").alias("source_file"), "estado", "filas_guardadas"
+        "ruta", F.col("nombre_archivo").alias("source_file"), "estado", "filas_guardadas"
     )
-    return files.join(stored, "source_file", "left")
+    return files.join(stored, "ruta", "left").drop("ruta")
 
 
 # --- training and serving -------------------------------------------------------
@@ -565,6 +595,38 @@ def horizon_forecasts(spark, sf):
     return forecast_horizon(skus, _artifacts(spark, sf), AS_OF)
 
 
+@query
+def stored_scaler(spark, sf):
+    rows = [(name, *ends) for name, ends in _artifacts(spark, sf).ranges.items()]
+    return spark.createDataFrame(rows, "columna string, minimo double, maximo double")
+
+
+@query
+def request_forecast_keys(spark, sf):
+    """Which requests get a forecast; the numbers themselves are the models'."""
+    return forecast(fixture(spark, sf, "solicitudes"), _artifacts(spark, sf)).select("id_producto", "fecha")
+
+
+@query
+def rejected_forecast_requests(spark, sf):
+    return rejected_requests(fixture(spark, sf, "solicitudes"), _artifacts(spark, sf))
+
+
+@query
+def horizon_forecast_keys(spark, sf):
+    return horizon_forecasts(spark, sf).select("id_producto", "fecha")
+
+
+@query
+def daily_alerts_of_given_forecasts(spark, sf):
+    """The whole daily job, fed with forecasts that SQL can follow."""
+    names = ("ventas", "inventario", "umbrales", "configuracion", "usuarios")
+    tables = [fixture(spark, sf, name) for name in names]
+    run = run_daily_alerts(
+        *tables, None, scratch_path(spark, "alerts"), AS_OF, MOMENT, forecasts=_stock_forecast(spark, sf))
+    return run.alerts.select("sku", "tipo_alerta", "mensaje", "fecha_proyeccion", "estado")
+
+
 @query
 def daily_alert_run(spark, sf):
     names = ("ventas", "inventario", "umbrales", "configuracion", "usuarios")

@@ -21,14 +21,6 @@ MSG_QUIEBRE = "Riesgo de quiebre. Stock: %d. Demanda esperada: %d. Proyectado: %
 MSG_SOBRESTOCK = (
     "Sobrestock detectado. Stock: %d. Demanda esperada: %d. Proyectado: %d. Umbral máximo: %d."
 )
-MSG_NO_VALID_ROWS = (
-    "El archivo no contiene registros válidos después de la limpieza "
-    "(fechas incorrectas o cantidades <= 0)."
-)
-MSG_EMPTY_FILE = "El archivo o la hoja 'Detalle' está vacía."
-MSG_NO_SHEET = "El archivo Excel no contiene una hoja llamada 'Detalle'."
-MSG_BAD_FORMAT = "Formato de archivo no soportado (solo .csv, .xls, .xlsx)"
-MSG_SAVED = "Procesamiento exitoso. Datos guardados con éxito en 'ventas_detalle'."
 
 # --- Fixed values: alert defaults.
 DEFAULT_AVERAGE = 10.0
@@ -36,11 +28,6 @@ SAFETY_STOCK_FACTOR = 0.5
 OVERSTOCK_FACTOR = 30
 HORIZON_DAYS = 2
 
-# --- Fixed values: model names stored with the metrics.
-MODEL_TREES = "XGBoost (MVP)"
-MODEL_NETWORK = "MLP (Keras - MVP)"
-MODEL_HYBRID = "Modelo Híbrido (XGB + MLP)"
-
 # --- Fixed values: feature columns, in training order.
 FEATURES = ("id_producto_encoded", "mes", "anio", "dia_semana", "dia")
 TARGET = "cantidad_vendida"
@@ -62,12 +49,26 @@ MISSING_MARKERS = (
     "nan", "null",
 )
 
-# --- Accepted date texts, tried in this order.
+# --- Accepted dates, tried in this order; a time of day may follow each of them.
+# Where day and month could be either, the month comes first; a day above 12
+# says for itself. ``DAY_FIRST_FORMATS`` is the choice for day-first sources.
 DATE_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "yyyy-M-d H:m:s.SSSSSS",
-    "yyyy/M/d",
-    "M/d/yyyy",
+    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd",
+    "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M.d.yyyy", "d.M.yyyy",
 )
+DAY_FIRST_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyyMMdd",
+    "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "d.M.yyyy", "M.d.yyyy",
+)
+
+# --- Our own texts, free to change.
+MSG_NO_VALID_ROWS = "Ninguna fila sirve: revise fechas, cantidades y SKU."
+MSG_EMPTY_FILE = "Sin filas de datos."
+MSG_NO_SHEET = "Falta la hoja Detalle en el libro."
+MSG_BAD_FORMAT = "Tipo de archivo desconocido: se leen csv y xlsx."
+MSG_MISSING_COLUMNS = "Faltan columnas: "
+MSG_UNREADABLE = "No se pudo leer: "
+MSG_SAVED = "Ventas guardadas."
+MODEL_TREES = "Árboles potenciados"
+MODEL_NETWORK = "Red densa"
+MODEL_HYBRID = "Media de árboles y red"

@@ -26,7 +26,7 @@ def to_quantity(raw: Column) -> Column:
 
 def _shape(fmt: str) -> str:
     """Regular expression of the texts a date format can read."""
-    digits = {"yyyy": "[0-9]{4}", "SSSSSS": "[0-9]{6}"}
+    digits = {"yyyy": "[0-9]{4}", "MM": "[0-9]{2}", "dd": "[0-9]{2}"}
     tokens = re.finditer(r"'([^']*)'|([A-Za-z])\2*|.", fmt)
     return "^" + "".join(
         re.escape(t[1]) if t[1] is not None
@@ -36,18 +36,31 @@ def _shape(fmt: str) -> str:
     ) + "$"
 
 
+# A time of day with seconds, fractions, AM or PM and an offset, each as far as given.
+_TIME = (
+    r"^([T ]\s*([01]?[0-9]|2[0-3]):[0-5]?[0-9](:[0-5]?[0-9]([.,][0-9]{1,9})?)?"
+    r"(\s*[AaPp]\.?\s?[Mm]\.?)?(\s*(Z|UTC|[+-][0-9]{2}:?[0-9]{2}))?)?$"
+)
+
+
 def to_sale_date(raw: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Date of the first format that reads the text, else null.
+    """Date as written in the text, else null; ``formats`` are day patterns, the first that reads it counts.
 
-    The shape of the text picks the format, so that a text is parsed once and
-    unreadable ones not at all: a failing parse costs far more than a match.
+    A time of day may follow and does not move the date, nor does its offset.
+    The shape of the text picks the patterns, so that unreadable texts are not
+    parsed at all: a failing parse costs far more than a match.
     """
     text = F.trim(raw.cast("string"))
-    cases = F.when(F.lit(False), F.lit(None).cast("date"))
+    day = F.regexp_extract(text, r"^[0-9./-]+", 0)
+    rest = F.substring(text, F.length(day) + 1, F.length(text))
+    by_shape: dict[str, list[Column]] = {}
     for fmt in formats:
         plain = fmt == "yyyy-M-d"  # what a cast reads by itself, and faster
-        parsed = text.try_cast("date") if plain else F.try_to_timestamp(text, F.lit(fmt)).cast("date")
-        cases = cases.when(text.rlike(_shape(fmt)), parsed)
+        parsed = day.try_cast("date") if plain else F.try_to_timestamp(day, F.lit(fmt)).cast("date")
+        by_shape.setdefault(_shape(fmt), []).append(parsed)
+    cases = F.when(~rest.rlike(_TIME), F.lit(None).cast("date"))
+    for shape, parsed in by_shape.items():
+        cases = cases.when(day.rlike(shape), F.coalesce(*parsed))
     return cases
 
 

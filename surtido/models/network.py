@@ -28,7 +28,9 @@ from ..fixed_values import (
 
 PREDICTION = "pred_network"
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-7
-MAX_PIECES = 10_000
+#: Rows of a partition. More of them train one after the other, so this sets the trained model
+#: together with the rows, whatever the cluster.
+ROWS_PER_PARTITION = 200_000
 _STATS = "kind string, place int, value double, n double"
 
 
@@ -156,11 +158,10 @@ def _even_pieces(rows: DataFrame) -> DataFrame:
 
     A mini-batch weighs its rows against each other, so a very heavy row has to
     appear in as many batches as its weight deserves. This at most doubles the
-    rows; a single row gives at most ``MAX_PIECES``, then heavier ones. The
-    total weight stays the same.
+    rows. The total weight stays the same.
     """
     mean = rows.agg(F.avg("n")).first()[0] or 1.0
-    pieces = F.least(F.ceil(F.col("n") / F.lit(mean)), F.lit(MAX_PIECES)).cast("int")
+    pieces = F.ceil(F.col("n") / F.lit(mean)).cast("int")
     return (
         rows.withColumn("_pieces", F.greatest(pieces, F.lit(1)))
         .withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_pieces"))))
@@ -168,9 +169,14 @@ def _even_pieces(rows: DataFrame) -> DataFrame:
     )
 
 
+def partitions_for(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
+    return max(1, -(-rows // rows_per_partition))
+
+
 def fit_network(
     train: DataFrame,
     rows: int,
+    rows_per_partition: int = ROWS_PER_PARTITION,
     partitions: int | None = None,
     layers: tuple[int, ...] = NETWORK_LAYERS,
     rate: float = NETWORK_LEARNING_RATE,
@@ -182,17 +188,19 @@ def fit_network(
 
     ``train``: scaled features, target, ``n`` (equal rows a row stands for) and
     ``es_validacion``, read from a stored table; it is spread and cached for the
-    epochs. ``rows`` is its row count, which sets the batch size and keeps each
-    partition at 50 batches or more.
+    epochs. ``rows`` is its row count, which sets the batch size and, with
+    ``rows_per_partition``, the number of partitions. Partitions are sorted, so
+    that a second run over the same rows gives the same weights.
     """
     spark = train.sparkSession
     batch_size = max(4, min(32, rows // 10))
     if partitions is None:
-        partitions = max(1, min(spark.sparkContext.defaultParallelism, rows // (50 * batch_size)))
+        partitions = partitions_for(rows, rows_per_partition)
     columns = [*(F.col(c).cast("double") for c in FEATURES), F.col(TARGET).cast("double"),
                F.col("n").cast("double"), "es_validacion"]
     data = (
         _even_pieces(train.select(*columns)).repartition(partitions, *FEATURES, TARGET, "_piece")
+        .sortWithinPartitions(*FEATURES, TARGET, "es_validacion", "n", "_piece")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
 
@@ -205,7 +213,9 @@ def fit_network(
         task = _epoch_task(shared, layers, batch_size, rate, seed + epoch, training)
         sums = (
             data.mapInPandas(task, _STATS).groupBy("kind", "place")
-            .agg(F.sum("value").alias("value"), F.sum("n").alias("n")).toPandas()
+            # As decimals the sums do not depend on which partition ends first.
+            .agg(F.sum(F.col("value").cast("decimal(38,12)")).cast("double").alias("value"),
+                 F.sum(F.col("n").cast("decimal(38,12)")).cast("double").alias("n")).toPandas()
         )
         shared.destroy()
         loss = sums[sums.kind == "loss"].iloc[0]

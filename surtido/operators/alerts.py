@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
@@ -19,24 +19,29 @@ from ..fixed_values import (
     SOBRESTOCK,
 )
 from .demand import horizon_demand, sku_averages
-from .snapshots import change_state
+from .snapshots import change_state, latest_per_key
 from .thresholds import active_thresholds
 
 
 def sku_thresholds(skus: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Every SKU with its active threshold row, if any. Both sides are one row per SKU."""
-    active = active_thresholds(thresholds).select(
-        F.col("producto_id").alias("id_producto"),
-        "umbral_minimo", "umbral_sobreabastecimiento", "email_notificacion",
-    )
+    active = latest_per_key(
+        active_thresholds(thresholds).select(
+            F.col("producto_id").alias("id_producto"), "updated_at",
+            "umbral_minimo", "umbral_sobreabastecimiento", "email_notificacion"),
+        "id_producto", ["updated_at"]).drop("updated_at")
     return skus.join(active, "id_producto", "left")
 
 
 def stock_position(averages: DataFrame, stock: DataFrame) -> DataFrame:
     """SKU averages with current stock; safety stock defaults to half the average."""
     safety = (F.col("promedio_historico") * SAFETY_STOCK_FACTOR).cast("int")
+    # One row a SKU: of several the last update counts.
+    held = latest_per_key(
+        stock.select("id_producto", "stock_actual", "stock_seguridad", "ultima_actualizacion"),
+        "id_producto", ["ultima_actualizacion"]).drop("ultima_actualizacion")
     return (
-        averages.join(stock.select("id_producto", "stock_actual", "stock_seguridad"), "id_producto", "left")
+        averages.join(held, "id_producto", "left")
         .withColumn("stock_actual", F.coalesce("stock_actual", F.lit(0)))
         .withColumn("stock_seguridad", F.coalesce(F.col("stock_seguridad"), safety))
     )
@@ -99,30 +104,27 @@ def upsert_alerts(current: DataFrame, found: DataFrame, moment: dt.datetime) ->
     time, so repeating a run changes nothing.
     """
     now = F.lit(moment).cast("timestamp")
-    keys = ["sku", "tipo_alerta"]
-    pending = (
-        current.filter(F.col("estado") == "PENDIENTE").groupBy(*keys).agg(F.min("id").alias("id"))
-    )
-    fresh = found.select(*keys, "mensaje", "fecha_proyeccion").join(pending, keys, "left")
-    text = F.concat_ws("|", "sku", "tipo_alerta", F.unix_micros(now).cast("string"))
-    inserts = fresh.filter(F.col("id").isNull()).select(
-        F.substring(F.sha2(text, 256), 1, 32).alias("id"), *keys, "mensaje", "fecha_proyeccion",
-        F.lit("PENDIENTE").alias("estado"), now.alias("creado_en"),
-    )
-    refreshed = fresh.filter(F.col("id").isNotNull()).select(
-        "id", F.col("mensaje").alias("_mensaje"), F.col("fecha_proyeccion").alias("_fecha"),
-        F.lit(True).alias("_hit"),
-    )
-    kept = (
-        current.join(refreshed, "id", "left")
-        .withColumns({
-            "mensaje": F.when(F.col("_hit"), F.col("_mensaje")).otherwise(F.col("mensaje")),
-            "fecha_proyeccion": F.when(F.col("_hit"), F.col("_fecha")).otherwise(F.col("fecha_proyeccion")),
-            "creado_en": F.when(F.col("_hit"), now).otherwise(F.col("creado_en")),
-        })
-        .select(*current.columns)
-    )
-    return kept.unionByName(inserts.select(*current.columns))
+    # The pending alert to refresh carries its key; one join then tells refreshed, kept and new rows.
+    place = F.row_number().over(
+        Window.partitionBy("sku", "tipo_alerta", F.col("estado").eqNullSafe(F.lit("PENDIENTE"))).orderBy("id"))
+    target = F.coalesce((F.col("estado") == "PENDIENTE") & (place == 1), F.lit(False))
+    old = current.withColumn("_target", target).withColumns(
+        {"_sku": F.when(F.col("_target"), F.col("sku")), "_tipo": F.when(F.col("_target"), F.col("tipo_alerta"))}
+    ).drop("_target")
+    new = found.select(
+        F.col("sku").alias("_sku"), F.col("tipo_alerta").alias("_tipo"),
+        F.col("mensaje").alias("_mensaje"), F.col("fecha_proyeccion").alias("_fecha"), F.lit(True).alias("_hit"))
+    text = F.concat_ws("|", "_sku", "_tipo", F.unix_micros(now).cast("string"))
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    return old.join(new, ["_sku", "_tipo"], "full_outer").select(
+        F.coalesce("id", F.substring(F.sha2(text, 256), 1, 32)).alias("id"),
+        F.coalesce("sku", "_sku").alias("sku"),
+        F.coalesce("tipo_alerta", "_tipo").alias("tipo_alerta"),
+        F.when(hit, F.col("_mensaje")).otherwise(F.col("mensaje")).alias("mensaje"),
+        F.when(hit, F.col("_fecha")).otherwise(F.col("fecha_proyeccion")).alias("fecha_proyeccion"),
+        F.when(F.col("id").isNull(), F.lit("PENDIENTE")).otherwise(F.col("estado")).alias("estado"),
+        F.when(hit, now).otherwise(F.col("creado_en")).alias("creado_en"),
+    ).select(*current.columns)
 
 
 def set_alert_states(alerts: DataFrame, changes: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Joins of a large table with a keyed lookup table.
 
 A lookup is broadcast only when its measured size allows it. Beyond that the
-join shuffles, except for rows whose key is hot: those keys are few by
-arithmetic (fewer than ``slices`` keys can each hold more than 1/``slices`` of
-the rows), so their part of the lookup is broadcast and the hot rows never move.
+join shuffles both sides once; adaptive execution splits the partitions of hot
+keys, which it can do for every kind of join used here, as the large side stands
+on the left.
 """
 
 from __future__ import annotations
@@ -11,10 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-
 BROADCAST_BYTES = 64 << 20
-SLICES = 1000
 
 
 def measured_bytes(table: DataFrame) -> int:
@@ -26,48 +23,20 @@ def measured_bytes(table: DataFrame) -> int:
     return table.agg(F.sum(width)).first()[0] or 0
 
 
-def hot_keys(df: DataFrame, key: str, slices: int = SLICES) -> DataFrame:
-    """Keys holding more than 1/``slices`` of the keyed rows: fewer than ``slices`` rows."""
-    loads = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(key).isNotNull())
-    loads = materialize(loads)
-    total = loads.agg(F.sum("_n")).first()[0] or 0
-    return loads.filter(F.col("_n") * slices > total).select(key)
-
-
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
     key: str,
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
-    slices: int = SLICES,
 ) -> DataFrame:
     """Join on ``key``; ``lookup`` is narrow and has one row per key.
 
-    ``how``: ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how``: ``inner``, ``left``, ``left_semi`` or ``left_anti``. With
+    ``broadcast_bytes=0`` the join always shuffles.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join: {how}")
-    if measured_bytes(lookup) <= broadcast_bytes:
+    if broadcast_bytes and measured_bytes(lookup) <= broadcast_bytes:
         return rows.join(F.broadcast(lookup), key, how)
-
-    hot = materialize(
-        hot_keys(rows, key, slices).join(lookup.withColumn("_hit", F.lit(True)), key, "left")
-    )
-    on_hot = rows.join(F.broadcast(hot), key, "inner")
-    if how == "inner":
-        on_hot = on_hot.filter("_hit").drop("_hit")
-    elif how == "left":
-        on_hot = on_hot.drop("_hit")
-    elif how == "left_semi":
-        on_hot = on_hot.filter("_hit").select(*rows.columns)
-    else:
-        on_hot = on_hot.filter(F.col("_hit").isNull()).select(*rows.columns)
-
-    cold = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    result = on_hot.unionByName(cold.join(lookup, key, how))
-    if how in ("left", "left_anti"):
-        # Null keys match nothing; they skip the shuffle instead of meeting in one task.
-        keyless = rows.filter(F.col(key).isNull())
-        result = result.unionByName(keyless, allowMissingColumns=True)
-    return result
+    return rows.join(lookup.hint("merge"), key, how)

@@ -15,18 +15,22 @@ from .snapshots import change_state, promote, remove_ids
 
 
 def register_files(
-    outcomes: DataFrame, batch_id: int, loaded_at: dt.datetime, loaded_by: str = "Sistema"
+    outcomes: DataFrame, batch_id: int, loaded_at: dt.datetime, loaded_by: str = "Sistema", origin: str = "manual"
 ) -> DataFrame:
-    """Registry rows of file outcomes. The id follows from name and batch, so a replay repeats it."""
+    """Registry rows of file outcomes. The id follows from path, source and batch, so a replay repeats it."""
     moment = F.lit(loaded_at).cast("timestamp")
+    batch = F.lit(batch_id).cast("bigint")
     return outcomes.select(
-        F.xxhash64("nombre_archivo", F.lit(batch_id).cast("bigint")).alias("id"),
+        F.xxhash64("ruta", F.lit(origin), batch).alias("id"),
         "nombre_archivo",
         moment.alias("fecha_carga"),
         "estado",
         F.col("filas_guardadas").cast("bigint").alias("filas_guardadas"),
         "mensaje",
         F.lit(loaded_by).alias("cargado_por"),
+        "ruta",
+        F.lit(origin).alias("origen"),
+        batch.alias("batch_id"),
     )
 
 
@@ -92,9 +96,9 @@ def delete_files(files: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def approved_sales(sales: DataFrame, files: DataFrame) -> DataFrame:
-    """Sales whose file is approved. The registry side is broadcast while small."""
-    names = approved_files(files).select(F.col("nombre_archivo").alias("source_file")).distinct()
-    return lookup_join(sales, names, "source_file", "left_semi")
+    """Sales whose file, by its path, is approved. The registry side is broadcast while small."""
+    paths = approved_files(files).select(F.col("ruta").alias("source_file")).distinct()
+    return lookup_join(sales, paths, "source_file", "left_semi")
 
 
 def training_rows(sales: DataFrame, files: DataFrame, on_empty: str = "empty") -> DataFrame:

@@ -7,7 +7,14 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import DATE_FORMATS, MSG_NO_VALID_ROWS, MSG_SAVED, REQUIRED_COLUMNS, STORED_NAMES
+from ..fixed_values import (
+    DATE_FORMATS,
+    MSG_MISSING_COLUMNS,
+    MSG_NO_VALID_ROWS,
+    MSG_SAVED,
+    REQUIRED_COLUMNS,
+    STORED_NAMES,
+)
 from ..functions.calendar import day_text
 from ..functions.coerce import finite_or_null, to_quantity, to_sale_date, to_sku
 from ..functions.numbers import hash60, hash_below
@@ -27,7 +34,7 @@ def project_required(df: DataFrame, names: dict[str, str] = STORED_NAMES) -> Dat
     """The required columns under their stored names, plus ``source_file`` if present."""
     absent = missing_columns(df.columns, list(names))
     if absent:
-        raise ValueError(f"Faltan columnas requeridas: {absent}")
+        raise ValueError(MSG_MISSING_COLUMNS + ", ".join(absent))
     extra = [F.col("source_file")] if "source_file" in df.columns else []
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()], *extra)
 
@@ -73,14 +80,15 @@ def quality_report(coerced: DataFrame) -> DataFrame:
 
 
 def file_outcomes(report: DataFrame, problems: DataFrame | None = None) -> DataFrame:
-    """State, saved rows and message of each file, from its quality report.
+    """Path, name, state, saved rows and message of each file, from its quality report.
 
     ``problems`` lists files that could not be read at all (``source_file``,
     ``problema``).
     """
     kept = F.col("filas_validas")
+    name = F.element_at(F.split("source_file", "/"), -1).alias("nombre_archivo")
     outcomes = report.select(
-        F.col("source_file").alias("nombre_archivo"),
+        F.col("source_file").alias("ruta"), name,
         F.when(kept > 0, "valido").otherwise("invalido").alias("estado"),
         kept.alias("filas_guardadas"),
         F.when(kept > 0, MSG_SAVED).otherwise(MSG_NO_VALID_ROWS).alias("mensaje"),
@@ -88,7 +96,7 @@ def file_outcomes(report: DataFrame, problems: DataFrame | None = None) -> DataF
     if problems is not None:
         outcomes = outcomes.unionByName(
             problems.select(
-                F.col("source_file").alias("nombre_archivo"),
+                F.col("source_file").alias("ruta"), name,
                 F.lit("invalido").alias("estado"),
                 F.lit(0).cast("bigint").alias("filas_guardadas"),
                 F.col("problema").alias("mensaje"),
@@ -129,17 +137,21 @@ def sales_counts(sales: DataFrame) -> DataFrame:
 
 
 def split_counts(
-    counts: DataFrame, name: str, share: Sequence[int], salt: str, where: Column | None = None
+    counts: DataFrame, name: str, share: Sequence[int], salt: str, where: Column | None = None,
+    bounds: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Divide the ``n`` copies of every row in the given share, flagged in ``name``.
 
     A row of many copies is divided like any other group of rows, so a hot one
     cannot upset the share; a hash of the row decides about the remainder. Rows
-    outside ``where`` stay whole. No shuffle.
+    outside ``where`` stay whole; ``bounds`` are the fewest and most copies of a
+    row to flag. No shuffle.
     """
     num, den = share
     keys = [F.lit(salt), *[F.col(c) for c in BUSINESS_KEYS]]
     taken = F.floor(F.col("n") * num / den) + hash_below((F.col("n") * num) % den, den, *keys).cast("int")
+    if bounds is not None:
+        taken = F.least(F.greatest(taken, bounds[0]), bounds[1])
     if where is not None:
         taken = F.when(where, taken).otherwise(F.lit(0))
     others = [c for c in counts.columns if c != "n"]

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed_values import HORIZON_DAYS
+from ..fixed_values import DATE_FORMATS, HORIZON_DAYS
 from ..functions.coerce import to_sale_date
 from ..models import network as net
 from ..models import trees as gbt
 from ..models.artifacts import Artifacts
 from ..operators.demand import combine_predictions, horizon_grid
-from ..operators.features import encode, scale, unknown_skus, with_date_features
+from ..operators.features import CODE, encode, scale, unknown_skus, with_date_features
+from ..operators.lookups import lookup_join
 
 
 def score(coded: DataFrame, artifacts: Artifacts) -> DataFrame:
@@ -31,13 +33,13 @@ def score(coded: DataFrame, artifacts: Artifacts) -> DataFrame:
     return combine_predictions(rows, columns)
 
 
-def forecast(requests: DataFrame, artifacts: Artifacts) -> DataFrame:
+def forecast(requests: DataFrame, artifacts: Artifacts, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """Whole units expected for each request (``id_producto``, ``fecha_str``).
 
-    Requests with an unreadable date or an unknown SKU get no row; the latter are
-    listed by :func:`unknown_requests`.
+    Requests with an unreadable date or an unknown SKU get no row;
+    :func:`rejected_requests` lists them. ``formats`` are the day patterns.
     """
-    dated = requests.withColumn("fecha", to_sale_date(F.col("fecha_str"))).filter("fecha is not null")
+    dated = requests.withColumn("fecha", to_sale_date(F.col("fecha_str"), formats)).filter("fecha is not null")
     return score(encode(dated, artifacts.encoder), artifacts).select(
         "id_producto", "fecha", "prediccion"
     )
@@ -47,6 +49,15 @@ def unknown_requests(requests: DataFrame, artifacts: Artifacts) -> DataFrame:
     return unknown_skus(requests, artifacts.encoder)
 
 
+def rejected_requests(
+    requests: DataFrame, artifacts: Artifacts, formats: Sequence[str] = DATE_FORMATS
+) -> DataFrame:
+    """Requests without a forecast and why: ``fecha`` (unreadable) or ``sku`` (unknown to the models)."""
+    coded = lookup_join(requests, artifacts.encoder, "id_producto", "left")
+    why = F.when(to_sale_date(F.col("fecha_str"), formats).isNull(), F.lit("fecha")).when(F.col(CODE).isNull(), F.lit("sku"))
+    return coded.withColumn("motivo", why).filter("motivo is not null").select(*requests.columns, "motivo")
+
+
 def forecast_horizon(
     skus: DataFrame, artifacts: Artifacts, as_of: dt.date, days: int = HORIZON_DAYS
 ) -> DataFrame:

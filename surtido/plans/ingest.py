@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import MSG_EMPTY_FILE
+from ..fixed_values import DATE_FORMATS, MSG_EMPTY_FILE
 from ..operators.lookups import lookup_join
 from ..operators.registry import approve_valid, register_files
 from ..operators.sales import coerce_sales, file_outcomes, quality_report, rejected_sales, valid_sales
 from ..schemas import FILES
-from ..session import materialize
+from ..session import materialize, temporary_results
 from ..sources.sales_files import list_files, read_sales_files
-from ..sources.snapshots import read_snapshot, write_snapshot
+from ..sources.snapshots import read_snapshot, update_snapshot
 from ..sources.tables import append_sales
 
 
@@ -27,11 +28,17 @@ class Ingested:
     outcomes: DataFrame
 
 
-def check_files(spark: SparkSession, source: str | list[str], multiline: bool = False) -> Ingested:
-    """Read and coerce a folder or list of files once; rows, rejects and reports share the result."""
+def check_files(
+    spark: SparkSession, source: str | list[str], multiline: bool = False, formats: Sequence[str] = DATE_FORMATS
+) -> Ingested:
+    """Read and coerce a folder or list of files once; rows, rejects and reports share the result.
+
+    ``formats`` are the day patterns to accept; for day-first sources pass
+    ``DAY_FIRST_FORMATS``.
+    """
     listed = list_files(spark, source)
     raw = read_sales_files(spark, source, listed, multiline)
-    coerced = coerce_sales(raw.filter(F.col("problema").isNull())).withColumn(
+    coerced = coerce_sales(raw.filter(F.col("problema").isNull()), formats).withColumn(
         "problema", F.lit(None).cast("string")
     )
     broken = raw.filter(F.col("problema").isNotNull()).select("source_file", "problema")
@@ -70,19 +77,31 @@ def ingest_files(
     loaded_by: str = "Sistema",
     approve: bool = False,
     multiline: bool = False,
-) -> Ingested:
-    """Check files, store their valid sales, register every file.
+    formats: Sequence[str] = DATE_FORMATS,
+    origin: str = "manual",
+) -> DataFrame:
+    """Check files, store their valid sales, register every file; returns the registry rows of the batch.
 
-    Both writes can be repeated: a batch replaces its own sales, and files already
-    registered for this batch are not registered again. ``approve`` promotes valid
-    files, as the periodic ingest does.
+    A batch is known by ``origin`` and ``batch_id``. It can be repeated: it
+    replaces its own sales, and its files are not registered again. The same
+    batch with other files is refused, as it would delete the sales of the
+    first ones. ``approve`` promotes valid files, as the periodic ingest does.
     """
-    checked = check_files(spark, source, multiline)
-    append_sales(checked.valid, sales_path, batch_id, loaded_at)
+    own = (F.col("origen") == origin) & (F.col("batch_id") == batch_id)
+    with temporary_results(spark):
+        checked = check_files(spark, source, multiline, formats)
+        rows = materialize(register_files(checked.outcomes, batch_id, loaded_at, loaded_by, origin), "outcomes")
+        known = read_snapshot(spark, registry_root, FILES).filter(own).select("ruta")
+        if not known.isEmpty() and not (
+            known.join(rows, "ruta", "left_anti").isEmpty() and rows.join(known, "ruta", "left_anti").isEmpty()
+        ):
+            raise ValueError(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
+        append_sales(checked.valid, sales_path, batch_id, loaded_at, origin)
+
+        def register(registered: DataFrame) -> DataFrame:
+            new = rows.join(registered.select("id"), "id", "left_anti").select(*FILES.names)
+            updated = registered.select(*FILES.names).unionByName(new)
+            return approve_valid(updated) if approve else updated
 
-    registered = read_snapshot(spark, registry_root, FILES)
-    rows = register_files(checked.outcomes, batch_id, loaded_at, loaded_by)
-    new = rows.join(registered.select("id"), "id", "left_anti").select(*FILES.names)
-    updated = registered.select(*FILES.names).unionByName(new)
-    write_snapshot(approve_valid(updated) if approve else updated, registry_root)
-    return checked
+        update_snapshot(registry_root, FILES, register, spark)
+    return read_snapshot(spark, registry_root, FILES).filter(own)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import (
@@ -25,10 +26,17 @@ from ..models.artifacts import Artifacts, save_artifacts
 from ..operators.evaluation import evaluate, stamp_metrics
 from ..operators.features import encode, fit_encoder, fit_scaler, scale, with_date_features
 from ..operators.registry import approved_files, mark_processed, training_rows
-from ..operators.sales import BUSINESS_KEYS, sales_counts, split_counts, stratified_split
+from ..operators.sales import (
+    BUSINESS_KEYS,
+    can_stratify,
+    clean_stored_sales,
+    sales_counts,
+    split_counts,
+    stratified_split,
+)
 from ..schemas import FILES
 from ..session import materialize
-from ..sources.snapshots import read_snapshot, write_snapshot
+from ..sources.snapshots import read_snapshot, update_snapshot
 from ..sources.tables import append_metrics
 
 HYBRID = "pred_hybrid"
@@ -52,6 +60,24 @@ def hash_split(sales: DataFrame, share: Sequence[int] = TEST_SHARE, salt: str =
     return sales.withColumn("es_prueba", hash_below(*share, F.lit(salt), *keys))
 
 
+def hash_sides(counts: DataFrame) -> DataFrame:
+    """Counted sales divided by hash into test and training copies, ``es_prueba``.
+
+    The first row by its keys has a test copy and the last one a training copy,
+    however the hash falls, so two sales or more leave rows on both sides.
+    """
+    key = F.struct(*BUSINESS_KEYS)
+    ends = counts.agg(F.min(key).alias("first"), F.max(key).alias("last"), F.sum("n").alias("total")).first()
+    low, high = F.lit(0), F.col("n")
+    if (ends["total"] or 0) > 1:
+        def is_(row) -> Column:
+            return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.lit(row[c])) for c in BUSINESS_KEYS])
+
+        low = F.when(is_(ends["first"]), 1).otherwise(0)
+        high = F.col("n") - F.when(is_(ends["last"]), 1).otherwise(0)
+    return split_counts(counts, "es_prueba", TEST_SHARE, "prueba", bounds=(low, high))
+
+
 def training_cells(sales: DataFrame, stratified: bool = False) -> DataFrame:
     """Distinct sales with counts ``n`` and the sides ``es_prueba`` and ``es_validacion``, stored.
 
@@ -63,7 +89,7 @@ def training_cells(sales: DataFrame, stratified: bool = False) -> DataFrame:
         flagged = stratified_split(materialize(sales, "rows"))
         cells = flagged.groupBy(*BUSINESS_KEYS, "es_prueba").agg(F.count(F.lit(1)).alias("n"))
     else:
-        cells = split_counts(sales_counts(sales), "es_prueba", TEST_SHARE, "prueba")
+        cells = hash_sides(materialize(sales_counts(sales), "counts"))
     held = split_counts(cells, "es_validacion", NETWORK_VALIDATION_SHARE, "validacion", ~F.col("es_prueba"))
     return materialize(held, "cells")
 
@@ -72,7 +98,7 @@ def feature_table(
     cells: DataFrame, encoder: DataFrame, fit_on_train: bool = False
 ) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """Scaled features of the cells, and the ranges used."""
-    features = materialize(with_date_features(encode(cells, encoder)), "features")
+    features = with_date_features(encode(cells, encoder))
     ranges = fit_scaler(features.filter(~F.col("es_prueba")) if fit_on_train else features)
     return scale(features, ranges), ranges
 
@@ -93,31 +119,36 @@ def train(
     stratified: bool = False,
     fit_on_train: bool = False,
     use: Sequence[str] = ("trees", "network"),
+    clean: bool = False,
+    rows_per_partition: int = net.ROWS_PER_PARTITION,
 ) -> Trained:
     """Train on the sales of approved files, measure on held-out rows, store everything.
 
+    ``clean`` drops duplicates and rows without a date or a positive quantity
+    first. ``stratified`` gives every SKU its share of test rows, where every
+    SKU has two sales or more; else the split is by hash.
+
     The metric log gets the row of the final model: the hybrid, or the only
     model that was asked for or could be trained.
     """
     spark = sales.sparkSession
     chosen = training_rows(sales, files, on_empty).select(*BUSINESS_KEYS)
+    if clean:
+        chosen = clean_stored_sales(chosen)
+    stratified = stratified and bool(can_stratify(chosen).first().estratificable)
     cells = training_cells(chosen, stratified)
     trained_on, tested_on = _sides(cells)
-    if not stratified and trained_on + tested_on and not (trained_on and tested_on):
-        # So few sales that the hash left one side empty: split them exactly.
-        cells = training_cells(chosen, stratified=True)
-        trained_on, tested_on = _sides(cells)
     if not trained_on + tested_on:
-        return Trained("error", "La base de datos está vacía o no se pudo leer.")
+        return Trained("error", "Sin ventas de archivos aprobados.")
     if not trained_on or not tested_on:
-        return Trained("error", "No hay suficientes datos para entrenamiento o prueba después de dividir.")
+        return Trained("error", "Una sola venta no alcanza para entrenar y probar.")
 
     encoder = materialize(fit_encoder(cells), "encoder")
     table, ranges = feature_table(cells, encoder, fit_on_train)
-    # Training passes over this table many times: one even slice per core.
+    # Training passes over this table many times: even slices, as many as its rows ask for.
     columns = [*FEATURES, TARGET, "n", "es_prueba", "es_validacion"]
-    cores = spark.sparkContext.defaultParallelism
-    table = materialize(table.select(*columns).repartition(cores, *FEATURES, TARGET), "scaled")
+    slices = net.partitions_for(trained_on + tested_on, rows_per_partition)
+    table = materialize(table.select(*columns).repartition(slices, *FEATURES, TARGET), "scaled")
     train_rows, test_rows = table.filter(~F.col("es_prueba")), table.filter("es_prueba")
 
     artifacts = Artifacts(encoder, ranges)
@@ -129,7 +160,7 @@ def train(
             failures.append(f"{MODEL_TREES}: {error}")
     if "network" in use:
         try:
-            artifacts.network = net.fit_network(train_rows, trained_on)
+            artifacts.network = net.fit_network(train_rows, trained_on, rows_per_partition)
         except Exception as error:  # noqa: BLE001
             failures.append(f"{MODEL_NETWORK}: {error}")
     names, scored = {}, test_rows
@@ -140,7 +171,7 @@ def train(
         scored = net.predict_network(artifacts.network, scored)
         names[net.PREDICTION] = MODEL_NETWORK
     if not names:
-        return Trained("error", "Fallaron todos los entrenamientos. " + " ".join(failures))
+        return Trained("error", "Ningún modelo se pudo entrenar. " + " ".join(failures))
     if len(names) > 1:
         scored = scored.withColumn(HYBRID, mean_of_present(*[F.col(c) for c in names]))
         names[HYBRID] = MODEL_HYBRID
@@ -149,7 +180,7 @@ def train(
     final = list(names.values())[-1]
     append_metrics(metrics.filter(F.col("model") == final), metrics_path)
     path = save_artifacts(spark, artifacts, artifacts_root)
-    return Trained("success", " ".join(["Entrenamiento completado.", *failures]), artifacts, path, metrics)
+    return Trained("success", " ".join(["Modelos guardados.", *failures]), artifacts, path, metrics)
 
 
 def retrain(
@@ -158,9 +189,8 @@ def retrain(
     """Train on the files approved now, then mark exactly those as processed."""
     spark = sales.sparkSession
     files = read_snapshot(spark, registry_root, FILES)
-    used = materialize(approved_files(files).select("id", "nombre_archivo", "estado"), "used")
+    used = materialize(approved_files(files).select("id", "ruta", "estado"), "used")
     result = train(sales, used, artifacts_root, metrics_path, moment, **options)
     if result.status == "success":
-        now = read_snapshot(spark, registry_root, FILES)
-        write_snapshot(mark_processed(now, used), registry_root)
+        update_snapshot(registry_root, FILES, lambda now: mark_processed(now, used), spark)
     return result

@@ -17,11 +17,11 @@ RAW_SALES = _schema("source_file string, sku_raw string, fecha_raw string, canti
 FILE_PROBLEMS = _schema("source_file string, problema string")
 SALES = _schema(
     "id_producto string, fecha date, cantidad_vendida int, source_file string,"
-    "fecha_carga timestamp, batch_id bigint, anio int"
+    "fecha_carga timestamp, origen string, batch_id bigint, anio int"
 )
 FILES = _schema(
     "id bigint, nombre_archivo string, fecha_carga timestamp, estado string,"
-    "filas_guardadas bigint, mensaje string, cargado_por string"
+    "filas_guardadas bigint, mensaje string, cargado_por string, ruta string, origen string, batch_id bigint"
 )
 ALERTS = _schema(
     "id string, sku string, tipo_alerta string, mensaje string, fecha_proyeccion date,"

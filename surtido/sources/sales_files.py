@@ -1,7 +1,8 @@
 """Many sales files, CSV and xlsx, as one frame of raw texts.
 
 Every reader returns the raw columns plus ``problema``: a row with a problem
-stands for a whole file that could not be read.
+stands for a whole file that could not be read. A file is known by its whole
+path, ``source_file``; names repeat from folder to folder.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,9 @@ from pyspark.sql import types as T
 from ..fixed_values import (
     MSG_BAD_FORMAT,
     MSG_EMPTY_FILE,
+    MSG_MISSING_COLUMNS,
     MSG_NO_SHEET,
+    MSG_UNREADABLE,
     REQUIRED_COLUMNS,
     SHEET_NAME,
 )
@@ -54,19 +58,28 @@ def _select(spark: SparkSession, source: str | list[str], kind: str):
 
 
 def list_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
-    """Path, URI, name and ending of the files in a folder or a list; contents are not read."""
+    """URI, path (``source_file``), ending and whether empty, of the files in a folder or a list.
+
+    Contents are not read. Readers skip files without a single byte; they are
+    found as those that the folder has and the reader does not.
+    """
     files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(source)
-    listed = files.select("path", F.col("_metadata.file_path").alias("uri"), _file_name())
-    listed = listed.withColumn("ending", F.lower(F.element_at(F.split("source_file", r"\."), -1)))
+    read = files.select(F.col("_metadata.file_path").alias("uri"), _path()).withColumn("vacio", F.lit(False))
+    # The driver holds these names already: Spark lists a folder there.
+    names = [(uri, unquote(uri), True) for uri in files.inputFiles()]
+    there = spark.createDataFrame(names, "uri string, source_file string, vacio boolean")
+    listed = read.unionByName(there.join(read, "source_file", "left_anti"))
+    listed = listed.withColumn("ending", F.lower(F.element_at(F.split(F.element_at(F.split("source_file", "/"), -1), r"\."), -1)))
     return materialize(listed, "listing")
 
 
-def _file_name() -> Column:
-    return F.element_at(F.split("path", "/"), -1).alias("source_file")
+def _path() -> Column:
+    """The path in one form, whatever reader gives it: ``file:/a`` and ``file:///a`` are the same."""
+    return F.regexp_replace("path", "^file:/+", "file:///").alias("source_file")
 
 
-def _missing_message(source: str, missing: list[str]) -> str:
-    return f"Faltan columnas requeridas en '{source}': {', '.join(missing)}"
+def _missing_message(missing: list[str]) -> str:
+    return MSG_MISSING_COLUMNS + ", ".join(missing)
 
 
 def _first_line(path: str, opened: dict) -> str:
@@ -86,19 +99,20 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     opened: dict = {}
     for batch in batches:
         found = []
-        for path, uri, source in zip(batch["path"], batch["uri"], batch["source_file"]):
+        for uri, source in zip(batch["uri"], batch["source_file"]):
             places, problem = (None, None, None), None
+            # A failing store is no fault of the file: the error ends the task, which is tried again.
             try:
-                names = next(csv.reader(io.StringIO(_first_line(path, opened))), [])
+                names = next(csv.reader(io.StringIO(_first_line(source, opened))), [])
                 missing = missing_columns(names)
                 if not names:
                     problem = MSG_EMPTY_FILE
                 elif missing:
-                    problem = _missing_message(source, missing)
+                    problem = _missing_message(missing)
                 else:
                     places = tuple(names.index(name) for name in REQUIRED_COLUMNS)
-            except (OSError, UnicodeDecodeError, csv.Error) as error:
-                problem = f"Error general al leer el archivo: {error}"
+            except (UnicodeDecodeError, csv.Error) as error:
+                problem = f"{MSG_UNREADABLE}{error}"
             found.append((uri, source, *places, problem))
         # Object columns keep missing places null instead of turning them into NaN.
         yield pd.DataFrame(found, columns=_HEADER.names, dtype=object)
@@ -114,7 +128,7 @@ def read_csv_files(
     data looks the places up by file. ``multiline`` allows line breaks inside
     quotes, at the price of reading each file in one task.
     """
-    files = listed.filter(F.col("ending") == "csv").select("path", "uri", "source_file")
+    files = listed.filter((F.col("ending") == "csv") & ~F.col("vacio")).select("uri", "source_file")
     # One small read per file. A fixed number of slices, because by their bytes
     # a million paths would look like work for one task.
     slices = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
@@ -158,7 +172,7 @@ def _workbook_frames(content: bytes, source: str) -> Iterator[pd.DataFrame]:
         return
     missing = missing_columns(name for name in header if name)
     if missing:
-        yield problem(_missing_message(source, missing))
+        yield problem(_missing_message(missing))
         return
     places = [header.index(name) for name in REQUIRED_COLUMNS]
     chunk = []
@@ -179,7 +193,7 @@ def _read_workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except MissingSheet:
                 text = MSG_NO_SHEET
             except Exception as error:  # noqa: BLE001 - any damage makes this one file invalid
-                text = f"Error al leer el archivo Excel: {error}"
+                text = f"{MSG_UNREADABLE}{error}"
             if text:
                 yield pd.DataFrame([(source, None, None, None, text)], columns=RAW_WITH_PROBLEM.names)
 
@@ -194,15 +208,16 @@ def read_workbooks(spark: SparkSession, source: str | list[str]) -> DataFrame:
     if not paths:
         return spark.createDataFrame([], RAW_WITH_PROBLEM)
     files = reader.format("binaryFile").load(paths)
-    return files.select("content", _file_name()).mapInPandas(_read_workbooks, RAW_WITH_PROBLEM)
+    return files.select("content", _path()).mapInPandas(_read_workbooks, RAW_WITH_PROBLEM)
 
 
 def unsupported_files(listed: DataFrame) -> DataFrame:
-    """A problem for each file that is neither CSV nor Excel."""
-    return listed.filter(~F.col("ending").isin("csv", "xlsx", "xls")).select(
+    """A problem for each file that is empty or neither CSV nor Excel."""
+    known = F.col("ending").isin("csv", "xlsx", "xls")
+    return listed.filter(~known | F.col("vacio")).select(
         "source_file",
         *[F.lit(None).cast("string").alias(f.name) for f in RAW_SALES.fields[1:]],
-        F.lit(MSG_BAD_FORMAT).alias("problema"),
+        F.when(known, MSG_EMPTY_FILE).otherwise(MSG_BAD_FORMAT).alias("problema"),
     )
 
 

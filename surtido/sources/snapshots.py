@@ -1,46 +1,115 @@
 """State tables kept as whole versions: ``root/v=000001``, ``root/v=000002``, ...
 
-A version counts once its ``_SUCCESS`` marker exists, so a job that dies while
-writing leaves the previous version in force.
+A version is written beside the others under a hidden name and then renamed to
+the number after the one it was made from. Of two writers that started from the
+same version one fails to rename, reads again and applies its change to what
+the other wrote, so no change is lost. A job that dies while writing leaves the
+previous version in force.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+class StaleVersion(RuntimeError):
+    """Another writer published the version after the one that was read."""
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path as Hadoop's, and its filesystem."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """All version numbers present, complete or not, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, fs = _hadoop(spark, root)
     if not fs.exists(path):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(path)]
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
-def latest_path(spark: SparkSession, root: str) -> str | None:
+def _version_path(root: str, version: int) -> str:
+    return f"{root}/v={version:06d}"
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """Number of the newest complete version; 0 before the first."""
     for version in reversed(_versions(spark, root)):
-        path = f"{root}/v={version:06d}"
-        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
-            return path
-    return None
+        marker, fs = _hadoop(spark, f"{_version_path(root, version)}/_SUCCESS")
+        if fs.exists(marker):
+            return version
+    return 0
+
+
+def latest_path(spark: SparkSession, root: str) -> str | None:
+    version = latest_version(spark, root)
+    return _version_path(root, version) if version else None
 
 
 def next_path(spark: SparkSession, root: str) -> str:
-    return f"{root}/v={max(_versions(spark, root), default=0) + 1:06d}"
+    return _version_path(root, max(_versions(spark, root), default=0) + 1)
+
+
+def read_version(spark: SparkSession, root: str, schema: StructType, version: int) -> DataFrame:
+    if not version:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_version_path(root, version))
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """Newest complete version; an empty table before the first."""
-    path = latest_path(spark, root)
-    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
+    return read_version(spark, root, schema, latest_version(spark, root))
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write ``df`` as the next version. Fails if another writer took the number."""
-    path = next_path(df.sparkSession, root)
-    df.write.mode("errorifexists").parquet(path)
+def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Publish ``df`` as the version following ``after`` (default: the newest now).
+
+    Raises :class:`StaleVersion` if that number is taken.
+    """
+    spark = df.sparkSession
+    if after is None:
+        after = latest_version(spark, root)
+    hidden, path = f"{root}/.w-{uuid.uuid4().hex}", _version_path(root, after + 1)
+    df.write.parquet(hidden)
+    source, fs = _hadoop(spark, hidden)
+    jvm = spark._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        # Unlike a move, this fails when the target exists.
+        context.rename(source, _hadoop(spark, path)[0], options)
+    except Exception as error:
+        fs.delete(source, True)
+        if after + 1 in _versions(spark, root):
+            raise StaleVersion(path) from error
+        raise
     return path
+
+
+def update_snapshot(
+    root: str, schema: StructType, change: Callable[[DataFrame], DataFrame], spark: SparkSession,
+    attempts: int = 10, keep: int = 20,
+) -> str:
+    """Read the newest version, publish ``change`` of it; again from the start if another writer came first.
+
+    Versions older than the last ``keep`` are deleted.
+    """
+    for _ in range(attempts):
+        version = latest_version(spark, root)
+        try:
+            path = write_snapshot(change(read_version(spark, root, schema, version)), root, version)
+        except StaleVersion:
+            continue
+        for old in _versions(spark, root):
+            if old <= version + 1 - keep:
+                gone, fs = _hadoop(spark, _version_path(root, old))
+                fs.delete(gone, True)
+        return path
+    raise StaleVersion(f"{root}: {attempts} writers came first")

@@ -1,4 +1,4 @@
-"""Stored tables: sales partitions, the metric log, JDBC options."""
+"""Stored tables: sales partitions and the metric log."""
 
 from __future__ import annotations
 
@@ -21,16 +21,20 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, SALES)
 
 
-def append_sales(sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime) -> None:
+def append_sales(
+    sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime, origin: str = "manual"
+) -> None:
     """Write one batch of sales under its own partitions.
 
-    Partitioned by batch and year, so that writing a batch again replaces it and
-    date filters prune. Rebalancing gives even files whatever the year or the
+    Partitioned by source, batch and year, so that writing a batch again
+    replaces it, sources that number their batches alike stay apart, and date
+    filters prune. Rebalancing gives even files whatever the year or the
     SKU mix; the sort lets filters on a SKU skip row groups.
     """
     ready = sales.select(
         "id_producto", "fecha", "cantidad_vendida", "source_file",
         F.lit(loaded_at).cast("timestamp").alias("fecha_carga"),
+        F.lit(origin).alias("origen"),
         F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.year("fecha").alias("anio"),
     )
@@ -38,29 +42,10 @@ def append_sales(sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datet
         ready.hint("rebalance", "anio")
         .sortWithinPartitions("anio", "id_producto", "fecha")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "anio").parquet(path)
+        .partitionBy("origen", "batch_id", "anio").parquet(path)
     )
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.select(*METRICS.names).coalesce(1).write.mode("append").parquet(path)
 
-
-def jdbc_options(url: str, table: str, user: str, password: str, **extra: str) -> dict[str, str]:
-    """Options for ``spark.read.format("jdbc")`` and the matching writer on PostgreSQL.
-
-    Pass ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
-    in ``extra`` to read in parallel.
-    """
-    return {
-        "url": url, "dbtable": table, "user": user, "password": password,
-        "driver": "org.postgresql.Driver", **extra,
-    }
-
-
-def read_jdbc(spark: SparkSession, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(**options).load()
-
-
-def append_jdbc(df: DataFrame, **options: str) -> None:
-    df.write.format("jdbc").mode("append").options(**options).save()

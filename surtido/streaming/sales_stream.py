@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..fixed_values import DATE_FORMATS
 from ..plans.ingest import ingest_files
-from ..session import temporary_results
 from ..sources.uris import literal
 
 _FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -23,24 +24,28 @@ def start_ingest(
     every: str | None = None,
     max_files: int = 1000,
     approve: bool = True,
+    formats: Sequence[str] = DATE_FORMATS,
+    origin: str | None = None,
 ) -> StreamingQuery:
     """Ingest files as they arrive under ``source``.
 
     The stream carries paths only: each batch then reads its files by their own
     headers and formats. ``every`` (say ``"1 minute"``) keeps it running; without
     it the query takes what is there and stops. A replayed batch replaces its
-    own sales and registers nothing twice. A new ``checkpoint`` numbers batches
-    from 0 again, so it needs a new ``sales_path`` and ``registry_root``.
+    own sales and registers nothing twice. Batches are numbered from 0 for each
+    ``checkpoint``, so its path is the name of the source unless ``origin`` gives
+    another; other ingests into the same tables keep apart. Files without a
+    single byte never arrive in a file stream; a batch ingest registers them.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         paths = [literal(row.path) for row in batch.collect()]  # at most ``max_files`` names
         if paths:
             now = dt.datetime.now(dt.timezone.utc)
-            with temporary_results(spark):
-                ingest_files(
-                    batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve
-                )
+            ingest_files(
+                batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve,
+                formats=formats, origin=origin or checkpoint,
+            )
 
     arrivals = (
         spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)

@@ -102,7 +102,7 @@ def test_training_rows_rules(spark):
     sales = spark.createDataFrame([("A", "f1"), ("B", "f2")], "id_producto string, source_file string")
 
     def files(*rows):
-        return spark.createDataFrame(rows, "id int, nombre_archivo string, estado string")
+        return spark.createDataFrame(rows, "id int, ruta string, estado string")
 
     def chosen(table, mode):
         return sorted(r.id_producto for r in registry.training_rows(sales, table, mode).collect())

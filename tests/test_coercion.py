@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from surtido.fixed_values import DAY_FIRST_FORMATS
 from surtido.functions import coerce
 from surtido.functions.calendar import date_features
 from surtido.functions.numbers import mean_of_present, never_negative, rescale, units_up
@@ -25,8 +26,16 @@ def test_quantity(spark):
 def test_date(spark):
     day = dt.date(2021, 1, 5)
     texts = ["2021-01-05", "2021-1-5", "2021-01-05 10:20:30", "2021-01-05T10:20:30", "2021/01/05",
-             "01/05/2021", " 2021-01-05 ", "abc", None, "2021-02-30", "44201", "", "2021-01-05 basura"]
-    assert values(spark, texts, coerce.to_sale_date) == [day] * 7 + [None] * 6
+             "01/05/2021", " 2021-01-05 ", "20210105", "1-5-2021 10:00 pm", "2021-01-05T23:59:59.5-05:00", "1.5.2021",
+             "abc", None, "2021-02-30", "44201", "", "2021-01-05 basura", "2021-01-05 25:00", "20211305", "13/13/2021"]
+    assert values(spark, texts, coerce.to_sale_date) == [day] * 11 + [None] * 9
+
+
+def test_day_first_is_a_choice_and_large_days_say_it_themselves(spark):
+    texts = ["05/01/2021", "13/01/2021", "01/13/2021", "05-01-2021 00:00", "05.01.2021"]
+    days = [dt.date(2021, 1, 5), dt.date(2021, 1, 13), dt.date(2021, 1, 13), dt.date(2021, 1, 5), dt.date(2021, 1, 5)]
+    assert values(spark, texts, lambda c: coerce.to_sale_date(c, DAY_FIRST_FORMATS)) == days
+    assert values(spark, texts[:3], coerce.to_sale_date) == [dt.date(2021, 5, 1), *days[1:3]]
 
 
 def test_sku(spark):
@@ -123,7 +132,7 @@ def test_scaler_refuses_no_rows(spark):
 def test_every_day_reads_back_in_every_format(spark):
     days = spark.range(0, 20000, 7).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     for pattern in ("yyyy-MM-dd", "yyyy-M-d", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-                    "MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS"):
+                    "MM/dd/yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyyMMdd", "M-d-yyyy h:mm a"):
         read = days.withColumn("back", coerce.to_sale_date(F.date_format("d", pattern)))
         assert read.filter("back is null or back <> d").isEmpty(), pattern
 

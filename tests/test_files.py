@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 
 from surtido import schemas
 from surtido.checks.inbox import workbook
-from surtido.fixed_values import MSG_BAD_FORMAT, MSG_EMPTY_FILE, MSG_NO_SHEET, MSG_NO_VALID_ROWS
+from surtido.fixed_values import (
+    DAY_FIRST_FORMATS,
+    MSG_BAD_FORMAT,
+    MSG_EMPTY_FILE,
+    MSG_MISSING_COLUMNS,
+    MSG_NO_SHEET,
+    MSG_NO_VALID_ROWS,
+    MSG_UNREADABLE,
+)
 from surtido.session import materialize, temporary_results
 from surtido.plans.ingest import check_files, ingest_files
-from surtido.sources.snapshots import read_snapshot, write_snapshot
-from surtido.sources.tables import append_sales, jdbc_options, read_sales
+from surtido.sources import sales_files
+from surtido.sources.snapshots import StaleVersion, latest_version, read_snapshot, update_snapshot, write_snapshot
+from surtido.sources.tables import append_sales, read_sales
 from surtido.sources.uris import filesystem_of
 from surtido.sources.xlsx import sheet_rows
 from surtido.streaming.sales_stream import start_ingest
@@ -32,7 +41,7 @@ def inbox(tmp_path):
     (root / "sub" / "TRES.CSV").write_text("\nSKU,Fecha Venta,Cantidad\r\nC,2021-01-07,5\r\nC,2021-01-08\r\n")
     (root / "sin_columna.csv").write_text("SKU,Fecha Venta\nA,2021-01-05\n")
     (root / "vacio.csv").write_text("\n\n")
-    (root / "cero.csv").write_text("")  # Spark's readers skip files without bytes
+    (root / "cero.csv").write_text("")
     (root / "solo_titulo.csv").write_text("SKU,Fecha Venta,Cantidad\n")
     (root / "sin_final.csv").write_text("SKU,Fecha Venta,Cantidad\nG,2021-01-09,1")
     (root / "todo_malo.csv").write_text("SKU,Fecha Venta,Cantidad\nA,abc,3\n")
@@ -49,23 +58,27 @@ def inbox(tmp_path):
 
 def test_mixed_inbox(spark, inbox):
     got = check_files(spark, str(inbox))
-    valid = {(r.source_file, r.id_producto, str(r.fecha), r.cantidad_vendida) for r in got.valid.collect()}
+    def name(path):
+        assert path.startswith("file:///")
+        return path.rsplit("/", 1)[1]
+
+    valid = {(name(r.source_file), r.id_producto, str(r.fecha), r.cantidad_vendida) for r in got.valid.collect()}
     assert valid == {
         ("uno.csv", "A", "2021-01-05", 3), ("dos ñ.csv", "B", "2021-01-06", 4),
         ("TRES.CSV", "C", "2021-01-07", 5), ("sin_final.csv", "G", "2021-01-09", 1),
         ("bien.xlsx", "D", "2021-01-05", 2),
     }
     outcomes = {r.nombre_archivo: r for r in got.outcomes.collect()}
-    assert len(outcomes) == 14
+    assert len(outcomes) == 15
     assert {n for n, r in outcomes.items() if r.estado == "valido"} == {r[0] for r in valid}
     messages = {n: r.mensaje for n, r in outcomes.items()}
-    assert messages["vacio.csv"] == messages["solo_titulo.csv"] == messages["hoja_vacia.xlsx"] == MSG_EMPTY_FILE
-    assert messages["sin_columna.csv"] == "Faltan columnas requeridas en 'sin_columna.csv': Cantidad"
+    assert messages["cero.csv"] == messages["vacio.csv"] == messages["solo_titulo.csv"] == messages["hoja_vacia.xlsx"] == MSG_EMPTY_FILE
+    assert messages["sin_columna.csv"] == MSG_MISSING_COLUMNS + "Cantidad"
     assert messages["todo_malo.csv"] == MSG_NO_VALID_ROWS
     assert messages["nota.txt"] == MSG_BAD_FORMAT
     assert messages["sin_hoja.xlsx"] == MSG_NO_SHEET
-    assert messages["roto.xlsx"].startswith("Error al leer") and messages["viejo.xls"].startswith("Error al leer")
-    reasons = {(r.source_file, r.motivo) for r in got.rejected.collect()}
+    assert messages["roto.xlsx"].startswith(MSG_UNREADABLE) and messages["viejo.xls"].startswith(MSG_UNREADABLE)
+    reasons = {(name(r.source_file), r.motivo) for r in got.rejected.collect()}
     assert reasons == {
         ("uno.csv", "sku"), ("TRES.CSV", "cantidad"), ("todo_malo.csv", "fecha"), ("bien.xlsx", "fecha"),
     }
@@ -112,10 +125,45 @@ def test_repeated_batch_replaces_itself(spark, inbox, tmp_path):
     stored = read_sales(spark, sales_path)
     assert stored.filter("batch_id = 7").count() == 5 and stored.count() == 10
     files = read_snapshot(spark, registry, schemas.FILES)
-    assert files.count() == 28 and files.select("id").distinct().count() == 28
+    assert files.count() == 30 and files.select("id").distinct().count() == 30
     assert {r.estado for r in files.collect()} == {"valido", "invalido"}
 
 
+def test_a_batch_with_other_files_is_refused_and_sources_stay_apart(spark, inbox, tmp_path):
+    sales_path, registry = str(tmp_path / "ventas"), str(tmp_path / "registro")
+    ingest_files(spark, str(inbox / "uno.csv"), sales_path, registry, 1, NOW)
+    with pytest.raises(ValueError, match="lote 1"):
+        ingest_files(spark, str(inbox / "dos ñ.csv"), sales_path, registry, 1, NOW)
+    rows = ingest_files(spark, str(inbox / "dos ñ.csv"), sales_path, registry, 1, NOW, origin="otro")
+    assert [r.nombre_archivo for r in rows.collect()] == ["dos ñ.csv"]
+    assert {r.id_producto for r in read_sales(spark, sales_path).collect()} == {"A", "B"}
+
+
+def test_files_of_one_name_are_two_files(spark, tmp_path):
+    for day, columns in (("d1", "SKU,Fecha Venta,Cantidad"), ("d2", "SKU,Fecha Venta")):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "part-0.csv").write_text(f"{columns}\nA,2021-01-05,3\nB,2021-01-05,3\n")
+    got = check_files(spark, str(tmp_path))
+    assert got.valid.count() == 2
+    assert sorted((r.nombre_archivo, r.estado) for r in got.outcomes.collect()) == [
+        ("part-0.csv", "invalido"), ("part-0.csv", "valido")]
+
+
+def test_a_failing_store_raises(spark, inbox, monkeypatch):
+    def broken(path, opened):
+        raise OSError("almacén caído")
+
+    monkeypatch.setattr(sales_files, "_first_line", broken)
+    with pytest.raises(Exception, match="almacén caído"):
+        check_files(spark, str(inbox)).valid.count()
+
+
+def test_day_first_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("SKU,Fecha Venta,Cantidad\nA,05/01/2021,1\nB,31/01/2021,1\n")
+    got = check_files(spark, str(tmp_path), formats=DAY_FIRST_FORMATS).valid
+    assert sorted(str(r.fecha) for r in got.collect()) == ["2021-01-05", "2021-01-31"]
+
+
 def test_history_filter_reaches_the_scan_and_years_prune(spark, inbox, tmp_path):
     path = str(tmp_path / "ventas")
     append_sales(check_files(spark, str(inbox)).valid, path, 1, NOW)
@@ -162,10 +210,31 @@ def test_snapshot_versions(spark, tmp_path):
         F.current_timestamp().alias("fecha_registro"),
     )
     assert write_snapshot(row, root).endswith("v=000001")
-    (tmp_path / "tabla" / "v=000002").mkdir()  # a writer that died
+    (tmp_path / "tabla" / ".w-muerto").mkdir()  # a writer that died
     assert read_snapshot(spark, root, schemas.METRICS).count() == 1
-    assert write_snapshot(row.union(row), root).endswith("v=000003")
+    assert write_snapshot(row.union(row), root).endswith("v=000002")
     assert read_snapshot(spark, root, schemas.METRICS).count() == 2
+    with pytest.raises(StaleVersion):  # both writers had read version 1
+        write_snapshot(row, root, after=1)
+    assert read_snapshot(spark, root, schemas.METRICS).count() == 2
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    root, schema = str(tmp_path / "tabla"), schemas.FILE_PROBLEMS
+
+    def adding(name, first=None):
+        def change(current):
+            if first and first.pop("open", False):
+                update_snapshot(root, schema, adding("dos"), spark)  # another writer comes in between
+            return current.union(spark.createDataFrame([(name, "x")], schema))
+        return change
+
+    update_snapshot(root, schema, adding("uno", {"open": True}), spark)
+    assert {r.source_file for r in read_snapshot(spark, root, schema).collect()} == {"uno", "dos"}
+    for i in range(4):
+        update_snapshot(root, schema, adding(f"n{i}"), spark, keep=2)
+    assert latest_version(spark, root) == 6 and read_snapshot(spark, root, schema).count() == 6
+    assert sorted(p.name for p in (tmp_path / "tabla").iterdir() if p.name.startswith("v=")) == ["v=000005", "v=000006"]
 
 
 def test_filesystem_paths():
@@ -174,7 +243,3 @@ def test_filesystem_paths():
     assert filesystem_of("s3a://cubo/x/y z.csv", known) == ("fs", "cubo/x/y z.csv")
     assert filesystem_of("hdfs://nn:9000/x/y.csv", known) == ("fs", "/x/y.csv")
 
-
-def test_jdbc_options():
-    options = jdbc_options("jdbc:postgresql://h/db", "ventas_detalle", "u", "p", numPartitions="8")
-    assert options["dbtable"] == "ventas_detalle" and options["numPartitions"] == "8"

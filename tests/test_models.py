@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surtido import schemas
-from surtido.fixed_values import FEATURES, NETWORK_LAYERS, TARGET
+from surtido.fixed_values import FEATURES, MODEL_NETWORK, MODEL_TREES, NETWORK_LAYERS, TARGET
 from surtido.models import network as net
 from surtido.models import trees as gbt
 from surtido.models.artifacts import load_artifacts
@@ -78,8 +78,15 @@ def test_few_sales_still_give_both_sides(spark):
         F.lit("A").alias("id_producto"), F.lit("2024-01-01").cast("date").alias("fecha"),
         F.lit(3).alias("cantidad_vendida"), F.lit("a.csv").alias("source_file"),
     ))
-    cells = training.training_cells(sales.limit(2).drop("source_file"), stratified=True)
-    assert training._sides(cells) == (1, 1)
+    for stratified in (True, False):
+        cells = training.training_cells(sales.limit(2).drop("source_file"), stratified)
+        assert training._sides(cells) == (1, 1)
+    assert sum(training._sides(training.training_cells(sales.limit(1).drop("source_file")))) == 1
+
+
+def test_network_repeats_itself(spark, learnable):
+    runs = [net.fit_network(learnable, 6000, partitions=3, epochs=3).flat for _ in range(2)]
+    assert np.array_equal(*runs)
 
 
 def test_network_table_round_trip(spark, learnable):
@@ -115,7 +122,7 @@ def sales(spark):
 
 def registry_of(spark, root, *rows):
     table = spark.createDataFrame(
-        [(i, name, NOW.replace(tzinfo=None), state, 1, None, "Sistema") for i, name, state in rows], schemas.FILES
+        [(i, name, NOW.replace(tzinfo=None), state, 1, None, "Sistema", name, "manual", 1) for i, name, state in rows], schemas.FILES
     )
     write_snapshot(table, root)
 
@@ -128,7 +135,7 @@ def test_retrain_stores_a_model_and_marks_only_the_files_it_read(spark, sales):
     states = {r.id: r.estado for r in read_snapshot(spark, root, schemas.FILES).collect()}
     assert states == {1: "procesado", 2: "valido"}
     logged = spark.read.parquet(log).collect()
-    assert [r.model for r in logged] == ["XGBoost (MVP)"] and logged[0].r2 > 0.95
+    assert [r.model for r in logged] == [MODEL_TREES] and logged[0].r2 > 0.95
 
     artifacts = load_artifacts(spark, models)
     assert artifacts.network is None and artifacts.encoder.count() == 6  # b.csv's SKU was not approved
@@ -143,7 +150,7 @@ def test_retrain_stores_a_model_and_marks_only_the_files_it_read(spark, sales):
 
 
 def test_training_needs_approved_rows(spark, sales):
-    files = spark.createDataFrame([(1, "a.csv", "valido")], "id bigint, nombre_archivo string, estado string")
+    files = spark.createDataFrame([(1, "a.csv", "valido")], "id bigint, ruta string, estado string")
     result = training.train(sales, files, scratch_path(spark, "m"), scratch_path(spark, "l"), NOW)
     assert result.status == "error" and result.artifacts is None
 
@@ -153,7 +160,7 @@ def test_one_failing_model_leaves_the_other(spark, sales, monkeypatch):
         raise RuntimeError("sin memoria")
 
     files = spark.createDataFrame(
-        [(1, "a.csv", "aprobado")], "id bigint, nombre_archivo string, estado string"
+        [(1, "a.csv", "aprobado")], "id bigint, ruta string, estado string"
     )
     monkeypatch.setattr(gbt, "fit_trees", broken)
     monkeypatch.setattr(
@@ -162,7 +169,7 @@ def test_one_failing_model_leaves_the_other(spark, sales, monkeypatch):
     log = scratch_path(spark, "log")
     result = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
     assert result.status == "success" and "sin memoria" in result.message
-    assert [r.model for r in spark.read.parquet(log).collect()] == ["MLP (Keras - MVP)"]
+    assert [r.model for r in spark.read.parquet(log).collect()] == [MODEL_NETWORK]
     monkeypatch.setattr(net, "fit_network", broken)
     failed = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
     assert failed.status == "error" and failed.path is None
@@ -170,13 +177,13 @@ def test_one_failing_model_leaves_the_other(spark, sales, monkeypatch):
 
 def test_stratified_network_training(spark, sales):
     files = spark.createDataFrame(
-        [(1, "a.csv", "aprobado"), (2, "b.csv", "aprobado")], "id bigint, nombre_archivo string, estado string"
+        [(1, "a.csv", "aprobado"), (2, "b.csv", "aprobado")], "id bigint, ruta string, estado string"
     )
     models = scratch_path(spark, "models")
     result = training.train(
         sales, files, models, scratch_path(spark, "log"), NOW, stratified=True, fit_on_train=True, use=("network",)
     )
-    assert [r.model for r in result.metrics.collect()] == ["MLP (Keras - MVP)"]
+    assert [r.model for r in result.metrics.collect()] == [MODEL_NETWORK]
     back = load_artifacts(spark, models)
     assert back.trees is None and np.array_equal(back.network.flat, result.artifacts.network.flat)
 

@@ -5,6 +5,7 @@ from compare import connection, differences
 from conftest import SF
 
 import __spark_entry__ as entry_points
+from surtido.fixed_values import MODEL_HYBRID, MODEL_NETWORK, MODEL_TREES
 
 QUERIES = entry_points.queries()
 ORACLES = entry_points.oracle_sql()
@@ -15,7 +16,8 @@ def duck():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
+# The training-data queries have tests of their own.
+@pytest.mark.parametrize("name", [n for n in entry_points.QUERIES if n in ORACLES])
 def test_matches_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF), duck, ORACLES[name]) == []
 
@@ -34,7 +36,7 @@ def test_entry_is_the_flagship(spark):
 
 def test_training_metrics(spark):
     rows = QUERIES["training_metrics"](spark, SF).collect()
-    assert [r.model for r in rows] == ["XGBoost (MVP)", "MLP (Keras - MVP)", "Modelo Híbrido (XGB + MLP)"]
+    assert [r.model for r in rows] == [MODEL_TREES, MODEL_NETWORK, MODEL_HYBRID]
     for r in rows:
         assert 0 < r.mae <= r.rmse and 0 <= r.r2 <= 1
 

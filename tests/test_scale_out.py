@@ -90,15 +90,21 @@ def test_large_lookup_join_equals_plain_join(spark, skewed, how):
     rows = materialize(skewed.unionByName(unmatched))
     lookup = materialize(features.fit_encoder(skewed))
     wanted = rows.join(lookup, "id_producto", how)
-    got = lookups.lookup_join(rows, lookup, "id_producto", how, broadcast_bytes=0, slices=50)
+    got = lookups.lookup_join(rows, lookup, "id_producto", how, broadcast_bytes=0)
+    assert "SortMergeJoin" in got._jdf.queryExecution().toString()
     assert sorted(got.columns) == sorted(wanted.columns)
     assert got.select(*wanted.columns).exceptAll(wanted).isEmpty()
     assert wanted.exceptAll(got.select(*wanted.columns)).isEmpty()
 
 
-def test_hot_rows_do_not_shuffle_by_their_key(spark, skewed):
-    hot = lookups.hot_keys(skewed, "id_producto", slices=10)
-    assert [r.id_producto for r in hot.collect()] == ["SKU-HOT"]
+def test_scans_do_not_multiply(spark):
+    from surtido.checks.queries import QUERIES
+
+    def scans(name):
+        return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().count("/lineitem.parquet")
+
+    assert scans("encoded_sales_large_lookup") <= 2
+    assert scans("alert_upsert") <= scans("stock_alerts") + 1
 
 
 def test_lookup_size_counts_the_texts(spark):
