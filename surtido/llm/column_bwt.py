@@ -315,12 +315,17 @@ def _repeats(contexts: DataFrame, length: int, k: int, most: int) -> DataFrame:
     return contexts.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, k: int = 65, most_contexts: int = 1024) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, k: int = 65, most_contexts: int = 1024,
+                   most_split: int = 16384) -> DataFrame:
     """``doc_id``, ``text_hash``, ``spans``: per text with repeats the byte runs (start, end) they cover.
 
     Sorted by start, not yet merged where they overlap or touch. A byte is covered if it lies in a string of ``length`` bytes that starts
     anywhere else too. ``docs`` has ``doc_id`` and ``text``. A text is known by
     id and hash, so repeated rows share one row here.
+
+    An anchor with more than ``most_contexts`` different contexts is split by
+    longer pieces of its passages; a piece that still has more than
+    ``most_split`` is settled passage by passage. Neither changes the result.
     """
     window = length - k + 1
     table = release_shuffles(materialize(
@@ -347,7 +352,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 65, most_context
     )
     texts = release_shuffles(materialize(_contexts(docs, wanted, length, k), "context_bytes"))
     alike = texts.filter("family >= 0").groupBy("anchor", "family", "core").agg(F.count("*").alias("contexts"))
-    large = alike.filter(F.col("contexts") > most_contexts)
+    large = alike.filter(F.col("contexts") > most_split)
     group = ["anchor", "family", "core"]
     found = _repeats(texts.join(large, group, "left_anti"), length, k, 4 * most_contexts).unionByName(
         _by_passage(texts.join(large, group, "left_semi"), length, k))
@@ -385,8 +390,8 @@ def _by_passage(texts: DataFrame, length: int, k: int) -> DataFrame:
         "anchor", "context", (-F.col("before")).cast("int").alias("low"), (1 - F.col("before")).cast("int").alias("high"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, k: int = 65, most_contexts: int = 1024, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, k: int = 65, most_contexts: int = 1024, most_split: int = 16384,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` (maximal removed runs) and ``kept`` (binary: the remaining bytes) of every document.
 
     Strings are judged on the input: where a passage repeats, all its
@@ -396,7 +401,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 65, most_context
     empty table gives an empty table.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(plain, length, k, most_contexts)
+    spans = repeated_spans(plain, length, k, most_contexts, most_split)
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("spans", spans.schema["spans"].dataType), T.StructField("kept", T.BinaryType())])

@@ -37,9 +37,9 @@ def passages():
     return rows + [base[: rng.randint(0, 800)] + "Q" + base[rng.randint(600, 1000) :] for _ in range(30)]
 
 
-@pytest.mark.parametrize("most_contexts", [1024, 4, 1])
-def test_passages_and_split_collections(spark, most_contexts):
-    check(odd.documents(spark, passages()), most_contexts=most_contexts)
+@pytest.mark.parametrize("most_contexts, most_split", [(1024, 16384), (4, 16384), (1, 8), (1, 1)])
+def test_passages_and_split_collections(spark, most_contexts, most_split):
+    check(odd.documents(spark, passages()), most_contexts=most_contexts, most_split=most_split)
 
 
 def test_odd_rows(spark):
