@@ -51,7 +51,7 @@ def _found(spark: SparkSession, sf: str) -> DataFrame:
 _RAW: dict[tuple[str, str], DataFrame] = {}
 
 
-def _raw(spark: SparkSession, sf: str) -> DataFrame:
+def shared_raw(spark: SparkSession, sf: str) -> DataFrame:
     """Raw sales texts as stored rows, the way file readers hand them over."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _RAW:
@@ -203,7 +203,7 @@ def sales_scan(spark, sf):
 
 @query
 def required_columns(spark, sf):
-    raw = _raw(spark, sf).withColumnsRenamed(
+    raw = shared_raw(spark, sf).withColumnsRenamed(
         dict(zip(("sku_raw", "fecha_raw", "cantidad_raw"), REQUIRED_COLUMNS))
     )
     return sales.project_required(raw)
@@ -211,12 +211,12 @@ def required_columns(spark, sf):
 
 @query
 def coerced_sales(spark, sf):
-    return sales.coerce_sales(_raw(spark, sf))
+    return sales.coerce_sales(shared_raw(spark, sf))
 
 
 @query
 def valid_sales(spark, sf):
-    return sales.valid_sales(sales.coerce_sales(_raw(spark, sf)))
+    return sales.valid_sales(sales.coerce_sales(shared_raw(spark, sf)))
 
 
 @query
@@ -228,17 +228,17 @@ def coerced_dates(spark, sf):
 
 @query
 def rejected_sales(spark, sf):
-    return sales.rejected_sales(sales.coerce_sales(_raw(spark, sf)))
+    return sales.rejected_sales(sales.coerce_sales(shared_raw(spark, sf)))
 
 
 @query
 def quality_report(spark, sf):
-    return sales.quality_report(sales.coerce_sales(_raw(spark, sf)))
+    return sales.quality_report(sales.coerce_sales(shared_raw(spark, sf)))
 
 
 @query
 def file_outcomes(spark, sf):
-    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(_raw(spark, sf)))).drop("ruta")
+    return sales.file_outcomes(sales.quality_report(sales.coerce_sales(shared_raw(spark, sf)))).drop("ruta")
 
 
 @query
@@ -275,7 +275,7 @@ def sku_histories(spark, sf):
 @query
 def appended_sales(spark, sf):
     path = scratch_path(spark, "sales")
-    rows = sales.valid_sales(sales.coerce_sales(_raw(spark, sf)))
+    rows = sales.valid_sales(sales.coerce_sales(shared_raw(spark, sf)))
     for _ in range(2):  # the second write replaces the first
         append_sales(rows, path, 1, MOMENT)
     return read_sales(spark, path).select(
@@ -494,12 +494,12 @@ def appended_metrics(spark, sf):
 _INBOXES: dict[tuple[str, str], str] = {}
 
 
-def _inbox(spark: SparkSession, sf: str) -> str:
+def shared_inbox(spark: SparkSession, sf: str) -> str:
     """The raw sales as real files, written once per session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INBOXES:
         root = scratch_path(spark, "inbox")
-        write_inbox(_raw(spark, sf), root)
+        write_inbox(shared_raw(spark, sf), root)
         _INBOXES[key] = root
     return _INBOXES[key]
 
@@ -507,7 +507,7 @@ def _inbox(spark: SparkSession, sf: str) -> str:
 @query
 def file_ingest_sales(spark, sf):
     sales_path, registry_root = scratch_path(spark, "sales"), scratch_path(spark, "registry")
-    ingest_files(spark, _inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
+    ingest_files(spark, shared_inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
     name = F.element_at(F.split("source_file", "/"), -1).alias("source_file")
     return read_sales(spark, sales_path).select("id_producto", "fecha", "cantidad_vendida", name)
 
@@ -533,14 +533,14 @@ def same_name_files(spark, sf):
 @query
 def file_ingest_registry(spark, sf):
     sales_path, registry_root = scratch_path(spark, "sales"), scratch_path(spark, "registry")
-    ingest_files(spark, _inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
+    ingest_files(spark, shared_inbox(spark, sf), sales_path, registry_root, 1, MOMENT)
     files = read_snapshot(spark, registry_root, schemas.FILES)
     return files.select("nombre_archivo", "estado", "filas_guardadas", "mensaje")
 
 
 @query
 def stream_ingest(spark, sf):
-    inbox, sales_path = _inbox(spark, sf), scratch_path(spark, "sales")
+    inbox, sales_path = shared_inbox(spark, sf), scratch_path(spark, "sales")
     registry_root, checkpoint = scratch_path(spark, "registry"), scratch_path(spark, "stream")
     for _ in range(2):  # the second run finds nothing new
         start_ingest(spark, inbox, sales_path, registry_root, checkpoint).awaitTermination()
@@ -558,7 +558,7 @@ def stream_ingest(spark, sf):
 _TRAINED: dict[tuple[str, str], tuple[str, str, DataFrame]] = {}
 
 
-def _trained(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame]:
+def shared_training(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame]:
     """Artifacts, metric log path and metrics of one training run, shared by the queries below."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
@@ -570,13 +570,18 @@ def _trained(spark: SparkSession, sf: str) -> tuple[str, str, DataFrame]:
     return _TRAINED[key]
 
 
+def forget_training(spark: SparkSession, sf: str) -> None:
+    """Let the next query that needs models train them."""
+    _TRAINED.pop((spark.sparkContext.applicationId, sf), None)
+
+
 def _artifacts(spark: SparkSession, sf: str) -> Artifacts:
-    return load_artifacts(spark, _trained(spark, sf)[0])
+    return load_artifacts(spark, shared_training(spark, sf)[0])
 
 
 @query
 def training_metrics(spark, sf):
-    return _trained(spark, sf)[2]
+    return shared_training(spark, sf)[2]
 
 
 @query

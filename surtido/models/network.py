@@ -30,7 +30,7 @@ PREDICTION = "pred_network"
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-7
 #: Rows of a partition. More of them train one after the other, so this sets the trained model
 #: together with the rows, whatever the cluster.
-ROWS_PER_PARTITION = 200_000
+ROWS_PER_PARTITION = 20_000
 _STATS = "kind string, place int, value double, n double"
 
 
