@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from surtido.llm.common import kept_by_worker, release_shuffles
+from surtido.llm.common import kept_by_worker, release_shuffles, settled
 from surtido.llm.hamming_join import _mix, _texts
 from surtido.session import materialize
 
@@ -327,6 +327,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 65, most_context
     longer pieces of its passages; a piece that still has more than
     ``most_split`` is settled passage by passage. Neither changes the result.
     """
+    return settled(docs.sparkSession, "spans", lambda: _spans(docs, length, k, most_contexts, most_split))
+
+
+def _spans(docs: DataFrame, length: int, k: int, most_contexts: int, most_split: int) -> DataFrame:
     window = length - k + 1
     table = release_shuffles(materialize(
         _anchored(docs, length, k).withColumn("rid", F.monotonically_increasing_id()), "anchors"))
@@ -370,10 +374,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 65, most_context
         .groupBy("rid", "start").agg(F.max("end").alias("end"))
         .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("found"))
     )
-    return release_shuffles(materialize(
+    return (
         runs.join(owners, "rid")
         .select(F.col("of_id").alias("doc_id"), F.col("of_hash").alias("text_hash"), F.col("found").alias("spans"))
-        .dropDuplicates(["doc_id", "text_hash"]), "spans"))
+        .dropDuplicates(["doc_id", "text_hash"])
+    )
 
 
 def _by_passage(texts: DataFrame, length: int, k: int) -> DataFrame:

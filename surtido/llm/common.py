@@ -8,11 +8,13 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from surtido.session import scratch_path, temporary_results
+
 
 def kept_by_worker(key: tuple, make: Callable):
     """``make()``, called once in each Python worker and kept for its later tasks.
@@ -71,6 +73,16 @@ def struct_of(**kinds: str) -> T.StructType:
     return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items()])
 
 
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``build()`` as a table in the shared folder; the tables that ``build`` stored on the way are deleted."""
+    path = scratch_path(spark, name)
+    with temporary_results(spark):
+        built = build()
+        schema = built.schema
+        built.write.parquet(path)
+    return release_shuffles(spark.read.schema(schema).parquet(path))
+
+
 def release_shuffles(df: DataFrame) -> DataFrame:
     """``df``, after asking the driver to let go of the shuffle files of finished steps now.
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from surtido.llm.common import map_rows, struct_of
+from surtido.llm.common import map_rows, settled, struct_of
 from surtido.session import materialize
 
 
@@ -96,6 +96,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, lists: int = 2, rows
     each; a repeated query is answered once. Fewer candidates than k give fewer
     rows, an empty table none; other columns are not read.
     """
+    return settled(vectors.sparkSession, "top_k", lambda: _top_k(vectors, k, every, lists, rows_each, queries_each, id_col, vector_col))
+
+
+def _top_k(vectors: DataFrame, k: int, every: int, lists: int, rows_each: int, queries_each: int, id_col: str,
+           vector_col: str) -> DataFrame:
     e = F.col(vector_col).cast("array<double>")
     valid = materialize(
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), e.alias("embedding"))
