@@ -49,19 +49,19 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``n_dup_lines``, ``n_repeat_words``: longs, 0 for empty texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # A column that a later lambda reads is read there twice or more, or else
-    # the optimizer would put its expression into the lambda.
+    # transform(array(x), v -> ...)[0] binds x to v: were x read in the inner
+    # lambda itself, a pushed-down filter would work it out for every element.
     return (
         docs.select(F.col(id_col).alias("doc_id"), text.alias("text_"))
         .withColumn("words_", F.array_remove(F.split("text_", _BLANKS, -1), ""))
         .withColumn("lines_", F.filter(F.split("text_", "\n", -1), lambda x: x.rlike(_WORD)))
         # Three-word windows by hash and place, sorted: equal windows stand side by side.
         .withColumn("windows_", F.expr(
-            "sort_array(transform(slice(words_, 1, greatest(size(words_) - 2, 0)),"
-            " (w, i) -> struct(xxhash64(w, words_[i + 1], words_[i + 2]) as h, i as i)))"))
+            "transform(array(words_), v -> sort_array(transform(slice(v, 1, greatest(size(v) - 2, 0)),"
+            " (w, i) -> struct(xxhash64(w, v[i + 1], v[i + 2]) as h, i as i))))[0]"))
         .withColumn("repeated_", F.expr(
-            "sort_array(transform(filter(windows_, (x, k) -> x.h = get(windows_, k - 1).h or x.h = get(windows_, k + 1).h),"
-            " x -> x.i))"))
+            "transform(array(windows_), v -> sort_array(transform(filter(v,"
+            " (x, k) -> x.h = get(v, k - 1).h or x.h = get(v, k + 1).h), x -> x.i)))[0]"))
         .select(
             "doc_id", "text_", "words_",
             F.size("words_").cast("long").alias("n_words"),
@@ -71,8 +71,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             (F.size("lines_") - F.size(F.array_distinct("lines_"))).cast("long").alias("n_dup_lines"),
             # A word counts once however many repeated windows cover it.
             F.expr(
-                "aggregate(transform(repeated_, (p, k) -> least(3, coalesce(get(repeated_, k + 1) - p, 3))),"
-                " 0L, (a, x) -> a + x)").alias("n_repeat_words"),
+                "transform(array(repeated_), v -> aggregate(transform(v,"
+                " (p, k) -> least(3, coalesce(get(v, k + 1) - p, 3))), 0L, (a, x) -> a + x))[0]").alias("n_repeat_words"),
         )
     )
 

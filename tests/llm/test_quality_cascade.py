@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import odd
@@ -56,6 +57,13 @@ def test_rules_that_reject_more_for_less_come_first(spark):
     assert [r.name for r in quality_cascade.order_rules(sample, (never, always))] == ["always", "never"]
 
 
+def test_a_filter_on_the_result_stays_linear(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(60_000))
+    docs = odd.documents(spark, [long, "short " * 60])
+    assert quality_cascade.assess(docs).filter("n_repeat_words > 40000 and not kept").count() == 1
+
+
 def test_plan_has_no_python(spark):
     plan = quality_cascade.assess(odd.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
