@@ -10,8 +10,9 @@ confirmed on full sets.
 
 Groups are joined without writing out their pairs: first every bucket is
 compared with one member and the links found make components; then only pairs
-of different components are looked at, as far as bounds on size, on shingles
-that nobody else has and on signature distance leave a link possible.
+of different components are looked at, as far as signature distance and bounds
+on the intersection leave a link possible. The bounds follow from the sizes, from
+what each has in common with that one member, and from shingles nobody else has.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from surtido.llm.common import kept_by_worker, map_rows, release_shuffles, struct_of
+from surtido.llm.common import kept_by_worker, release_shuffles, settled, struct_of
 from surtido.session import materialize
 
 @dataclass(frozen=True)
@@ -211,41 +212,18 @@ def _size_allows(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def linked(pairs: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, index: Index) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets have ``percent`` of their union in common or more."""
-    of = [signed.select(F.col("rid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-          for x in ("a", "b")]
-
-    def near(taken: Iterator[tuple]) -> Iterator[tuple]:
-        for a, b, n_a, s_a, n_b, s_b in taken:
-            if 100 * min(n_a, n_b) >= percent * max(n_a, n_b):
-                apart = np.frombuffer(s_a, "<u2") != np.frombuffer(s_b, "<u2")
-                if apart.sum() <= index.most_apart:
-                    yield a, b
-
-    close = map_rows(pairs.join(of[0], "a").join(of[1], "b").select("a", "b", "n_a", "s_a", "n_b", "s_b"),
-                     near, struct_of(a="long", b="long"))
-    return _confirmed(close, sets, percent)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``, the sizes ``n_a``, ``n_b`` of their full sets and ``common``, the size of the intersection."""
     whole = [sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b")]
-    schema = struct_of(a="long", b="long")
-    arrow = to_arrow_schema(schema)
+    return pairs.join(whole[0], "a").join(whole[1], "b").select(
+        "a", "b", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"),
+        F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = []
-            for i in range(batch.num_rows):
-                x, y = np.asarray(left[i].values), np.asarray(right[i].values)
-                place = np.searchsorted(x, y)
-                place[place == len(x)] = 0
-                both = int((x[place] == y).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=arrow).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(whole[0], "a").join(whole[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
+def _linked(counted: DataFrame, percent: int) -> DataFrame:
+    """Pairs with ``percent`` of their union in common or more."""
+    # percent * union = percent * (n_a + n_b - common)
+    return counted.filter((100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,10 +253,10 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
 
-def _cross_pairs(signed: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, index: Index,
-                 block: int = 2048) -> DataFrame:
+def _cross_pairs(keys: DataFrame, pivot: DataFrame, counted: DataFrame, signed: DataFrame, sets: DataFrame,
+                 roots: DataFrame, percent: int, index: Index, block: int = 2048) -> DataFrame:
     """Pairs of different components that share a key and may be linked, each of them once."""
-    keys = _rooted(index_keys(signed, index), roots)
+    keys = _rooted(keys.select("key", "rid"), roots)
     by_root = keys.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = by_root.groupBy("key").agg(
         F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("n_most"),
@@ -290,26 +268,32 @@ def _cross_pairs(signed: DataFrame, sets: DataFrame, roots: DataFrame, percent:
         F.ceil((F.col("n") - F.col("n_most")) / block).cast("int").alias("few_blocks"))
     held = materialize(held, "mixed")
     inside = held.select("rid").distinct()
-    # How many of a document's shingles no other document in these buckets has.
+    # How many of a document's shingles no other candidate has, its buckets' pivots included.
     alone = (
-        sets.join(inside, "rid", "left_semi").select("rid", F.explode("shingles").alias("shingle"))
+        sets.select("rid", F.explode("shingles").alias("shingle"))
         .groupBy("shingle").agg(F.count("*").alias("n"), F.min("rid").alias("rid")).filter("n = 1")
         .groupBy("rid").agg(F.count("*").alias("n_alone"))
     )
+    # What each row has in common with the pivot of its bucket; the pivot with itself: all.
+    ends = counted.select(F.explode(F.array(
+        F.struct(F.col("a").alias("rid"), F.col("b").alias("pivot"), "common"),
+        F.struct(F.col("b").alias("rid"), F.col("a").alias("pivot"), "common"))).alias("e")).select("e.*")
+    held = held.join(pivot, "key").join(ends, ["rid", "pivot"], "left")
     facts = materialize(
         signed.join(inside, "rid", "left_semi").join(alone, "rid", "left")
         .select("rid", "n_shingles", F.coalesce("n_alone", F.lit(0)).alias("n_alone"), "signature"), "facts")
     salt = F.xxhash64("rid")
     few = held.filter("not in_most").select(
-        "key", "rid", "root", F.lit(0).alias("side"), F.pmod(salt, "few_blocks").cast("int").alias("few"),
+        "key", "rid", "root", "in_most", "common", F.lit(0).alias("side"), F.pmod(salt, "few_blocks").cast("int").alias("few"),
         F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("every"))
     every = held.select(
-        "key", "rid", "root", F.lit(1).alias("side"),
+        "key", "rid", "root", "in_most", "common", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("few_blocks") - 1)).alias("few"), F.pmod(salt, "all_blocks").cast("int").alias("every"))
     units = (
         few.unionByName(every).join(facts, "rid")
         .repartition("key", "few", "every").sortWithinPartitions("key", "few", "every", "side")
-        .select("key", "few", "every", "side", "rid", "root", "n_shingles", "n_alone", "signature")
+        .select("key", "few", "every", "side", "rid", "root", "n_shingles", "n_alone", "signature", "in_most",
+                F.coalesce("common", "n_shingles").alias("common"))
     )
     schema = struct_of(a="long", b="long")
     arrow = to_arrow_schema(schema)
@@ -347,13 +331,18 @@ def _open_pairs(unit: pa.Table, percent: int, index: Index) -> tuple[np.ndarray,
     side, rid, root, n, alone = (unit.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
     signs = _signatures(unit.column(8), index)
     chunk, out = divmod(int(unit.column(0)[0].as_py()) >> 56, index.width)
+    in_most, common = unit.column(9).to_numpy(), unit.column(10).to_numpy()
+    # Shared with the pivot, and neither shared with it nor alone: what two rows have in common is in one of them.
+    rest = np.maximum(n - common - alone, 0)
     few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     pairs_a, pairs_b = [], []
     for start in range(0, len(few), 64):
         i, j = np.meshgrid(few[start : start + 64], every, indexing="ij")
         i, j = i.ravel(), j.ravel()
-        open_ = (root[i] != root[j]) & _size_allows(n[i], n[j], percent)
-        open_ &= (100 + percent) * np.minimum(n[i] - alone[i], n[j] - alone[j]) >= percent * (n[i] + n[j])
+        # Two rows outside the largest component meet twice; once is enough.
+        open_ = (root[i] != root[j]) & (in_most[j] | (rid[i] < rid[j])) & _size_allows(n[i], n[j], percent)
+        most = np.minimum(common[i], common[j]) + np.minimum(rest[i], rest[j])
+        open_ &= (100 + percent) * most >= percent * (n[i] + n[j])
         i, j = i[open_], j[open_]
         if not len(i):
             continue
@@ -386,13 +375,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col:
     only if no member has one, and such rows are kept. Other columns are not
     read; an empty table gives an empty table.
     """
-    base, grouped = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent, words)
-    ids = grouped.groupBy("root").agg(F.min("row.doc_id").alias("component_id"))
-    of_set = grouped.join(ids, "root").select("set_id", "component_id")
-    return base.join(of_set, "set_id", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles",
-        F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def build() -> DataFrame:
+        base, grouped = _grouped(plain, percent, words)
+        ids = grouped.groupBy("root").agg(F.min("row.doc_id").alias("component_id"))
+        of_set = grouped.join(ids, "root").select("set_id", "component_id")
+        return base.join(of_set, "set_id", "left").select(
+            "doc_id", "n_shingles",
+            F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+    return settled(docs.sparkSession, "near_duplicates", build).withColumnRenamed("doc_id", id_col)
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id",
@@ -402,9 +396,14 @@ def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str
     Of repeated rows one stays; documents without shingles stay.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base, grouped = _grouped(plain, percent, words)
-    chosen = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash")
-    chosen = chosen.unionByName(base.filter("set_id is null").select("doc_id", "text_hash").distinct()).toDF("_of_id", "_of_hash")
+
+    def build() -> DataFrame:
+        base, grouped = _grouped(plain, percent, words)
+        chosen = grouped.groupBy("root").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash")
+        return chosen.unionByName(base.filter("set_id is null").select("doc_id", "text_hash").distinct()).toDF(
+            "_of_id", "_of_hash")
+
+    chosen = settled(docs.sparkSession, "one_of_each", build)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
     found = keyed.join(chosen, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
@@ -421,17 +420,24 @@ def _grouped(plain: DataFrame, percent: int, words: int) -> tuple[DataFrame, Dat
         F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     signed = materialize(
         classes.select(F.monotonically_increasing_id().alias("rid"), "set_id", "row", "n_shingles", "signature"), "classes")
-    by_key = Window.partitionBy("key").orderBy("rid").rowsBetween(Window.unboundedPreceding, 0)
+    in_bucket = F.count("*").over(Window.partitionBy("key"))
+    keys = release_shuffles(materialize(index_keys(signed, index).withColumn("n", in_bucket).filter("n > 1"), "shared_keys"))
+    # The member that shares most buckets is likest to the others: comparing with it links most of a group.
+    shares = keys.groupBy("rid").agg(F.sum("n").alias("shares"))
+    some = materialize(signed.join(shares, "rid"), "candidates")
+    pivot = keys.join(some.select("rid", "shares"), "rid").groupBy("key").agg(
+        F.max_by("rid", F.struct("shares", "rid")).alias("pivot"))
     pivots = materialize(
-        index_keys(signed, index).withColumn("pivot", F.first("rid").over(by_key)).filter("rid <> pivot")
-        .select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct(), "pivot_pairs")
-    wanted = pivots.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = release_shuffles(materialize(signed.join(wanted, "rid", "left_semi"), "candidates"))
+        keys.join(pivot, "key").filter("rid <> pivot")
+        .select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct(), "pivot_pairs")
+    pivot = materialize(pivot, "pivots")
     sets = release_shuffles(materialize(_sets(plain, some, words), "sets"))
-    first = materialize(linked(pivots, some, sets, percent, index), "first_links")
+    counted = release_shuffles(materialize(_with_common(pivots, sets), "pivot_counts"))
+    first = _linked(counted, percent)
     roots = components(first)
-    second = _confirmed(_cross_pairs(some, sets, roots, percent, index), sets, percent)
-    roots = components(first.union(second))
+    cross = _cross_pairs(keys, pivot, counted, some, sets, roots, percent, index)
+    cross = release_shuffles(materialize(cross, "cross_pairs"))
+    roots = components(first.union(_linked(_with_common(cross, sets), percent)))
     return base, _rooted(signed.select("rid", "set_id", "row"), roots)
 
 
