@@ -32,8 +32,22 @@ def byte_level_encoder(path: str):
 
     Where a merge's place in the list is its token's place in the vocabulary,
     the vocabulary alone says what merges first, and ``tiktoken`` gives the same
-    ids several times as fast; other byte-level files go to ``tokenizers``.
+    ids several times as fast; other byte-level files go to ``tokenizers``, and
+    so do texts that ``tiktoken`` refuses (a run of a million blanks is too much
+    for its expression).
     """
+    library = None
+
+    def by_library(text: str) -> np.ndarray:
+        nonlocal library
+        if library is None:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+        return np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab = spec["model"]["vocab"]
@@ -52,14 +66,15 @@ def byte_level_encoder(path: str):
         byte = {symbol: b for b, symbol in _byte_symbols().items()}
         ranks = {bytes(byte[ord(c)] for c in t): i for t, i in vocab.items() if t not in special}
         encoding = tiktoken.Encoding("file", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
 
-    from tokenizers import Tokenizer
+        def encode(text: str) -> np.ndarray:
+            try:
+                return encoding.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                return by_library(text)
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    return lambda text: np.array(library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return encode
+    return by_library
 
 
 def token_runs(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -51,6 +51,11 @@ def test_every_id_in_one_place(spark, length):
     check(odd.documents(spark).repartition(3), length)
 
 
+@pytest.mark.parametrize("blank", [" ", "\n"])
+def test_very_long_blanks(spark, blank):
+    check(odd.documents(spark, ["word" + blank * 2_000_000 + "word", "the next text"]), 2048)
+
+
 def test_small_table(spark):
     check(spark.read.parquet(f"{SF}/documents.parquet").limit(60), 2048)
 
