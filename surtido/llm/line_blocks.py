@@ -4,7 +4,8 @@ Markup is stripped to lines, one for each block element; what stands in
 navigation, adverts, forms, comments and the like leaves an empty line. The
 lengths of ``window`` consecutive lines are summed. The main text lies between
 a surge, where the sums rise from nothing and reach the threshold, and the next
-dive to nothing; everything between is kept, short lines too.
+dive to nothing; everything between is kept, short lines too. Where a page marks
+its article, the marks say what is text, and the threshold drops none of it.
 """
 
 from __future__ import annotations
@@ -132,16 +133,17 @@ def main_text(page: str, window: int = 3, threshold: int = 86, share: float = 0.
     """The lines between surge and dive, joined by line feeds.
 
     Where a page marks its article (or its main part), other lines count as
-    empty. Without such marks, lines that are mostly links count as empty. A
-    stretch between surge and dive counts if one of its sums reaches the
+    empty, and every line with text between the first surge and the last dive
+    is kept. Without such marks, lines that are mostly links count as empty, and
+    a stretch between surge and dive counts if one of its sums reaches the
     threshold or, on pages with little text, ``share`` of the largest sum.
     """
     lines = lines_of(page)
     scope = max((s for text, _, s in lines if text), default=0)
     if scope:
-        lengths = [len(text) if s == scope else 0 for text, _, s in lines]
-    else:
-        lengths = [0 if 2 * links > len(text) else len(text) for text, links, _ in lines]
+        # A few excluded blocks in a row make a dive, but what follows them in the marked part is text all the same.
+        return "\n".join(text for text, _, s in lines if text and s == scope)
+    lengths = [0 if 2 * links > len(text) else len(text) for text, links, _ in lines]
     if not any(lengths):
         return ""
     sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]

@@ -32,6 +32,16 @@ def test_parts_inside_an_article_that_are_none():
     assert main_text(page) == "T\nOne.\nTwo <b> & three\nFour"
 
 
+def test_short_text_after_excluded_blocks_of_an_article():
+    blocks = "<div class=ad>Buy</div><div class=share>Share</div><form>Sign up</form>"
+    for mark in ("article", "main"):
+        assert main_text(f"<{mark}><p>{'a' * 300}</p>{blocks}<p>Ending</p></{mark}>") == "a" * 300 + "\nEnding"
+    posts = f"<article><p>{'b' * 300}</p></article>{'<p>between</p>' * 3}<article><p>Short.</p></article>"
+    assert main_text(posts) == "b" * 300 + "\nShort."
+    # Without marks the threshold still tells the text from the rest.
+    assert main_text(f"<p>{'a' * 300}</p>{blocks}<p>Ending</p>") == "a" * 300
+
+
 def test_odd_pages():
     assert main_text("") == main_text("   ") == main_text("<nav>a</nav>") == main_text("<script>x") == main_text("<!-- a") == ""
     assert main_text("plain text") == "plain text"
