@@ -211,23 +211,35 @@ def _predicted(model: LanguageModel, texts: pa.Array, rounds: int, penalty: floa
         pred = np.full(end - start, -1)
         if found.shape[1]:
             pred = np.where(found.max(axis=1) > 0, found.argmax(axis=1), -1)
-        # A word needs no letter: texts without a plain one are looked at one by one.
-        plain = np.asarray(pc.fill_null(pc.match_substring_regex(texts.slice(start, end - start), "[A-Za-z]"), False))
-        for i in np.flatnonzero((pred >= 0) & ~plain):
-            if not any(c.isalpha() for c in texts[start + int(i)].as_py()):
-                pred[i] = -1
+        # A word needs no letter.
+        some = np.flatnonzero(pred >= 0)
+        pred[some[~_with_letter(texts.slice(start, end - start), some)]] = -1
         yield start, end, found, pred
 
 
+def _with_letter(texts: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """Whether each of the given rows holds a letter; those without a plain one are looked at one by one."""
+    plain = np.asarray(pc.fill_null(pc.match_substring_regex(texts, "[A-Za-z]"), False))[rows]
+    return np.array([p or any(c.isalpha() for c in texts[int(i)].as_py() or "") for i, p in zip(rows, plain)], dtype=bool)
+
+
 def keep_identified(docs: DataFrame, model: LanguageModel, rounds: int = 6, penalty: float = 3.0,
                     text_col: str = "text") -> DataFrame:
-    """The rows whose language can be told, with all their columns."""
+    """The rows whose language can be told, with all their columns.
+
+    Where nothing was learned (no label at all, say), no language can be told
+    of any text; then null texts and texts without a letter go, and no others.
+    """
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, _, pred in _predicted(shared.value, batch.column(place).cast(pa.string()), rounds, penalty):
+            texts = batch.column(place).cast(pa.string())
+            if not shared.value.languages:
+                yield batch.filter(pa.array(_with_letter(texts, np.arange(len(texts)))))
+                continue
+            for start, end, _, pred in _predicted(shared.value, texts, rounds, penalty):
                 yield batch.slice(start, end - start).filter(pa.array(pred >= 0))
 
     return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(run, docs.schema)

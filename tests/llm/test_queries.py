@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from compare import connection, differences
 from conftest import SF
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -58,6 +59,15 @@ def test_pipeline(spark):
         assert sum(p.length for p in pieces[i]) == len(ids)
 
 
+def test_pipeline_without_labels(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
+    odd.documents(spark, [r.text for r in docs.collect()] + [None, "12 34 !!"]).withColumn(
+        "lang", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = plain_pipeline(spark.read.parquet(f"{tmp_path}/documents.parquet").collect())
+    found = {p.doc_id for p in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert found == set(wanted) and len(found) > 30
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     for docs in (odd.documents(spark), odd.documents(spark).limit(0)):
         names = docs.schema.names
