@@ -18,7 +18,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose language cannot be told; where no row has a label, without those that hold no letter."""
+    """Without documents that hold no letter. Which language it is, and in what proportion, decides about no row."""
     return language_mixture.keep_identified(docs, language_mixture.fit_labelled(docs))
 
 

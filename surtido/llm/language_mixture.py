@@ -227,8 +227,10 @@ def keep_identified(docs: DataFrame, model: LanguageModel, rounds: int = 6, pena
                     text_col: str = "text") -> DataFrame:
     """The rows whose language can be told, with all their columns.
 
-    Where nothing was learned (no label at all, say), no language can be told
-    of any text; then null texts and texts without a letter go, and no others.
+    Some language is told of every text with a letter, so only null texts and
+    texts without a letter go; proportions and sets of languages decide about
+    no row and are not carried on. Where nothing was learned (no label at all,
+    say), no language can be told of any text; then the same rows go.
     """
     place = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

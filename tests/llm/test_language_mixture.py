@@ -40,6 +40,14 @@ def test_odd_rows(spark, learned):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in rows if letters[r.doc_id])
 
 
+def test_the_mixture_decides_about_no_row(spark, learned):
+    docs, model = odd.documents(spark), learned[1]
+    turned = language_mixture.LanguageModel(model.languages, model.log_likelihood[::-1].copy())
+    kept = [sorted(str(r.doc_id) for r in language_mixture.keep_identified(docs, m).collect()) for m in (model, turned)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < docs.count()
+    assert "decide about no row" in " ".join(language_mixture.keep_identified.__doc__.split())
+
+
 def test_learns_from_the_labelled_rows_alone(spark):
     from zlib import crc32
 
