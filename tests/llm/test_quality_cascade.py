@@ -57,6 +57,16 @@ def test_rules_that_reject_more_for_less_come_first(spark):
     assert [r.name for r in quality_cascade.order_rules(sample, (never, always))] == ["always", "never"]
 
 
+def test_the_sample_spreads_over_the_table(spark, monkeypatch):
+    docs = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", "concat('text ', id) as text")
+    seen, order = [], quality_cascade.order_rules
+    monkeypatch.setattr(quality_cascade, "order_rules", lambda sample, rules: seen.extend(
+        r.doc_id for r in sample.select("doc_id").collect()) or order(sample, rules))
+    quality_cascade.assess(docs)
+    assert 300 < len(seen) <= 500
+    assert all(sum(k * 5000 <= i < (k + 1) * 5000 for i in seen) > 50 for k in range(4))
+
+
 def test_a_filter_on_the_result_stays_linear(spark):
     rng = random.Random(3)
     long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(60_000))
