@@ -19,8 +19,8 @@ def rolling_hashes(turns: DataFrame) -> DataFrame:
     seeds, exact in decimals, so that the running sum of a window makes it.
     """
     said = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    turn = F.struct("turn", "role", "text")
-    once = turns.withColumn("again", F.coalesce(F.lag(turn).over(said).eqNullSafe(turn), F.lit(False))).filter("not again")
+    # Repeated turns combine before the shuffle, so that a turn logged a million times is one row of a window.
+    once = turns.dropDuplicates(["conv_id", "turn", "role", "text"])
     numbered = once.withColumn("at", F.row_number().over(said)).withColumn(
         "last", F.lead("at").over(Window.partitionBy("conv_id").orderBy("at")).isNull())
     upto = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)

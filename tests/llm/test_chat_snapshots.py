@@ -36,6 +36,15 @@ def test_long_conversation_and_its_snapshots(spark):
     assert [(r.conv_id, r.n_turns, r.n_copies) for r in found] == [(0, turns, 1)]
 
 
+def test_repeated_turns_combine_before_the_window(spark):
+    log = spark.range(0, 20_000, 1, 4).selectExpr(
+        "cast(null as long) as conv_id", "id % 3 as turn", "'user' as role", "concat('t', id % 3) as text")
+    rolled = chat_snapshots.rolling_hashes(log)
+    assert sorted((r.at, r.text, r.last) for r in rolled.collect()) == [(1, "t0", False), (2, "t1", False), (3, "t2", True)]
+    plan = rolled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan and plan.rindex("Aggregate") > plan.rindex("Window")
+
+
 def test_empty_table(spark):
     log = spark.read.parquet(f"{SF}/conversations.parquet").limit(0)
     assert chat_snapshots.render(log).collect() == []
