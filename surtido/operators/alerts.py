@@ -104,13 +104,12 @@ def upsert_alerts(current: DataFrame, found: DataFrame, moment: dt.datetime) ->
     time, so repeating a run changes nothing.
     """
     now = F.lit(moment).cast("timestamp")
-    # The pending alert to refresh carries its key; one join then tells refreshed, kept and new rows.
-    place = F.row_number().over(
-        Window.partitionBy("sku", "tipo_alerta", F.col("estado").eqNullSafe(F.lit("PENDIENTE"))).orderBy("id"))
-    target = F.coalesce((F.col("estado") == "PENDIENTE") & (place == 1), F.lit(False))
-    old = current.withColumn("_target", target).withColumns(
-        {"_sku": F.when(F.col("_target"), F.col("sku")), "_tipo": F.when(F.col("_target"), F.col("tipo_alerta"))}
-    ).drop("_target")
+    pending = F.col("estado").eqNullSafe(F.lit("PENDIENTE"))
+    place = F.row_number().over(Window.partitionBy("sku", "tipo_alerta").orderBy("id"))
+    numbered = current.filter(pending).withColumn("_place", place)
+    # Only alerts to refresh meet the new ones; settled alerts, whose number grows with the history, never move.
+    others = current.filter(~pending).unionByName(numbered.filter("_place > 1").drop("_place"))
+    old = numbered.filter("_place = 1").withColumns({"_sku": F.col("sku"), "_tipo": F.col("tipo_alerta")}).drop("_place")
     new = found.select(
         F.col("sku").alias("_sku"), F.col("tipo_alerta").alias("_tipo"),
         F.col("mensaje").alias("_mensaje"), F.col("fecha_proyeccion").alias("_fecha"), F.lit(True).alias("_hit"))
@@ -124,7 +123,7 @@ def upsert_alerts(current: DataFrame, found: DataFrame, moment: dt.datetime) ->
         F.when(hit, F.col("_fecha")).otherwise(F.col("fecha_proyeccion")).alias("fecha_proyeccion"),
         F.when(F.col("id").isNull(), F.lit("PENDIENTE")).otherwise(F.col("estado")).alias("estado"),
         F.when(hit, now).otherwise(F.col("creado_en")).alias("creado_en"),
-    ).select(*current.columns)
+    ).select(*current.columns).unionByName(others)
 
 
 def set_alert_states(alerts: DataFrame, changes: DataFrame) -> DataFrame:

@@ -170,3 +170,21 @@ def test_delete_keeps_sales_untouched(spark):
     files = spark.createDataFrame([(1, "a"), (2, "b")], "id bigint, nombre_archivo string")
     left = registry.delete_files(files, files.filter(F.col("id") == 2))
     assert [r.id for r in left.collect()] == [1]
+
+
+def test_settled_alerts_spread_over_the_tasks_of_the_upsert(spark):
+    stored = spark.range(4000).select(
+        F.col("id").cast("string"), F.concat(F.lit("S"), F.col("id") % 900).alias("sku"), F.lit("QUIEBRE").alias("tipo_alerta"),
+        F.lit("m").alias("mensaje"), F.lit(AS_OF).alias("fecha_proyeccion"),
+        F.when(F.col("id") < 100, "PENDIENTE").otherwise("RESUELTO").alias("estado"),
+        F.lit(NOW).cast("timestamp").alias("creado_en"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        done = alerts.upsert_alerts(stored, found(spark, ("S1", "QUIEBRE"), ("new", "QUIEBRE")), NOW)
+        sizes = [r["count"] for r in done.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 4001 and max(sizes) < 1000
