@@ -10,6 +10,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.uris import filesystem_of
 
@@ -61,17 +62,19 @@ def _csv(rows: list[list]) -> bytes:
     return out.getvalue().encode()
 
 
-def write_named(rows: DataFrame, folder: str, name: str) -> None:
-    """The rows as one CSV file of the given name; Spark's writer names files itself."""
-    spark = rows.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    rows.coalesce(1).write.option("header", "true").csv(f"{folder}.parts")
-    source = path(f"{folder}.parts")
-    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = [s.getPath() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-")]
-    fs.mkdirs(path(folder))
-    fs.rename(parts[0], path(f"{folder}/{name}"))
-    fs.delete(source, True)
+def write_named(rows: DataFrame, root: str, name: str) -> int:
+    """One CSV file of the given name for each folder in ``carpeta``; returns how many. Spark's writer names files itself."""
+    columns = [c for c in rows.columns if c != "carpeta"]
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        filesystem, folder = filesystem_of(f"{root}/{part['carpeta'].iloc[0]}")
+        filesystem.create_dir(folder, recursive=True)
+        with filesystem.open_output_stream(f"{folder}/{name}") as stream:
+            stream.write(_csv([columns, *map(list, zip(*(part[c] for c in columns)))]))
+        return pd.DataFrame({"n": [1]})
+
+    texts = rows.select("carpeta", *(F.col(f"`{c}`").cast("string").alias(c) for c in columns))
+    return texts.groupBy("carpeta").applyInPandas(write, "n int").count()
 
 
 def write_inbox(raw: DataFrame, root: str) -> int:

@@ -514,20 +514,21 @@ def file_ingest_sales(spark, sf):
 
 @query
 def same_name_files(spark, sf):
-    """Two folders with a file of the same name, one of them without a quantity: each has its own outcome."""
+    """A folder of each supplier with a file of the same name, those of one day without a quantity: each has its own outcome."""
     root, sales_path, registry_root = (scratch_path(spark, n) for n in ("inbox", "sales", "registry"))
-    columns = ["id_producto AS SKU", "fecha AS `Fecha Venta`", "cantidad_vendida AS Cantidad"]
+    columns = ["carpeta", "id_producto AS SKU", "fecha AS `Fecha Venta`", "cantidad_vendida AS Cantidad"]
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
-        "l_suppkey % 2 AS dia", "cast(l_partkey as string) AS id_producto", "cast(l_shipdate as date) AS fecha",
+        "l_suppkey % 2 AS dia", "concat('proveedor', l_suppkey, '/dia', l_suppkey % 2) AS carpeta",
+        "cast(l_partkey as string) AS id_producto", "cast(l_shipdate as date) AS fecha",
         "cast(l_quantity as int) AS cantidad_vendida")
     for day in (0, 1):
-        part = lines.filter(F.col("dia") == day).selectExpr(*columns[: 3 - day])
-        # Files of one name: a folder of part files each, named alike by the reader's view of them.
-        write_named(part, f"{root}/dia{day}", "ventas.csv")
+        part = lines.filter(F.col("dia") == day).selectExpr(*columns[: 4 - day])
+        # A file for each supplier, so that no file grows with the table.
+        write_named(part, root, "ventas.csv")
     ingest_files(spark, root, sales_path, registry_root, 1, MOMENT)
     files = read_snapshot(spark, registry_root, schemas.FILES)
     shown = F.concat_ws("/", F.slice(F.split("ruta", "/"), -2, 2)).alias("archivo")
-    return files.select(shown, "estado", "filas_guardadas")
+    return files.groupBy(shown, "estado").agg(F.sum("filas_guardadas").alias("filas_guardadas"))
 
 
 @query

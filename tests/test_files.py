@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surtido import schemas
-from surtido.checks.inbox import workbook
+from surtido.checks.inbox import workbook, write_named
 from surtido.fixed_values import (
     DAY_FIRST_FORMATS,
     MSG_BAD_FORMAT,
@@ -243,3 +243,11 @@ def test_filesystem_paths():
     assert filesystem_of("s3a://cubo/x/y z.csv", known) == ("fs", "cubo/x/y z.csv")
     assert filesystem_of("hdfs://nn:9000/x/y.csv", known) == ("fs", "/x/y.csv")
 
+
+def test_files_of_one_name_are_one_for_each_folder(spark, tmp_path):
+    rows = spark.range(60).selectExpr("concat('p', id % 6, '/dia0') as carpeta", "id as SKU", "date'2024-05-01' as `Fecha Venta`")
+    assert write_named(rows, str(tmp_path), "ventas.csv") == 6
+    files = sorted(tmp_path.rglob("ventas.csv"))
+    assert [f.parent.parent.name for f in files] == [f"p{i}" for i in range(6)]
+    lines = [f.read_text().splitlines() for f in files]
+    assert all(len(x) == 11 and x[0] == "SKU,Fecha Venta" for x in lines) and "2,2024-05-01" in lines[2]
