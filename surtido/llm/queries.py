@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surtido.llm import (
+    bidiagonal_whitening,
     bpe_automaton,
     chat_snapshots,
     column_bwt,
+    decontamination,
+    diagonal_alignment,
     hamming_join,
     language_mixture,
     line_blocks,
@@ -76,6 +79,19 @@ def op10_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_snapshots.render(_table(spark, sf_dir, "conversations"))
 
 
+def op11_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bidiagonal_whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_diagonal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagonal_alignment.align_tokenizers(
+        _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_column_bwt": op2_column_bwt,
@@ -87,9 +103,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_uniform_threshold": op8_uniform_threshold,
     "op9_packing": op9_packing,
     "op10_chat_snapshots": op10_chat_snapshots,
+    "op11_bidiagonal_whitening": op11_bidiagonal_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_diagonal_alignment": op13_diagonal_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op8_uniform_threshold": uniform_threshold.SQL,
     "op10_chat_snapshots": chat_snapshots.SQL,
+    "op12_decontamination": decontamination.SQL,
 }

@@ -22,7 +22,7 @@ def test_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and len(QUERIES) == 10
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and len(QUERIES) == 13
 
 
 def plain_pipeline(rows):
