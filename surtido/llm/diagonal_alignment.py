@@ -245,7 +245,8 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, links_each:
         if held:
             yield packed()
 
-    return map_rows(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), rows, schema)
+    return map_rows(docs.select(F.col(id_col).cast("long"), whole_text(text_col)), rows, schema,
+                    batch_bytes=1 << 20)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -257,7 +258,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return counted.withColumn("best", F.col("count") == F.max("count").over(same_b))
 
 
-def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, links_each: int = 2 << 20,
+def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, links_each: int = 1 << 18,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """How two tokenizers' tokens lie over each other, one row for each input row.
 
