@@ -20,8 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surtido.llm.common import map_rows, settled, struct_of
-from surtido.session import materialize
+from surtido.llm.common import map_rows, settled, stored_blocks, struct_of
 
 _SHIFT = 1_000_000
 _SUMS = dict(place="int", value="double")
@@ -173,7 +172,7 @@ def bidiagonalise(centred: Centred, wanted: int, tolerance: float = 1e-13) -> tu
     return sigma[:wanted], (right @ q.T)[:, :wanted]
 
 
-def whiten(vectors: DataFrame, components: int = 32, rows_each: int = 4096, id_col: str = "vec_id",
+def whiten(vectors: DataFrame, components: int = 32, rows_each: int = 1024, id_col: str = "vec_id",
            vector_col: str = "embedding") -> DataFrame:
     """Rows on their principal components, each to unit deviation: one output row a vector and component.
 
@@ -206,7 +205,7 @@ def fit(vectors: DataFrame, rows_each: int, id_col: str, vector_col: str) -> Cen
         valid.select(F.posexplode("x").alias("place", "x")).groupBy("place")
         .agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("k")).orderBy("place").collect())
     exact = [int(r.s) + _SHIFT * (n - r.k) for r in sums]  # one number a dimension
-    return Centred(materialize(_blocks(valid, dims, rows_each), "vector_blocks"), n, exact)
+    return Centred(stored_blocks(_blocks(valid, dims, rows_each), "vector_blocks"), n, exact)
 
 
 def _whitened(vectors: DataFrame, components: int, rows_each: int, id_col: str, vector_col: str) -> DataFrame:

@@ -83,6 +83,18 @@ def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> D
     return release_shuffles(spark.read.schema(schema).parquet(path))
 
 
+def stored_blocks(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` for rows of a megabyte or so.
+
+    Parquet looks at a page's size only once it has a hundred rows, and packs a
+    page as a whole outside the heap; here it looks after each row.
+    """
+    path = scratch_path(df.sparkSession, name)
+    checks = {f"parquet.{part}.size.row.check.{end}": "1" for part in ("page", "block") for end in ("min", "max")}
+    df.write.options(**checks).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release_shuffles(df: DataFrame) -> DataFrame:
     """``df``, after asking the driver to let go of the shuffle files of finished steps now.
 

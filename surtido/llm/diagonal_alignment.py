@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from surtido.llm.bpe_automaton import _byte_symbols
-from surtido.llm.common import kept_by_worker, map_rows, settled, struct_of, whole_text
+from surtido.llm.common import kept_by_worker, map_rows, settled, stored_blocks, struct_of, whole_text
 from surtido.llm.packing import SPLIT_PATTERN
 from surtido.session import materialize
 
@@ -279,7 +279,7 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, links_eac
 
 
 def _aligned(docs: DataFrame, byte_path: str, piece_path: str, links_each: int, id_col: str, text_col: str) -> DataFrame:
-    blocks = materialize(aligned_blocks(docs, byte_path, piece_path, links_each, id_col, text_col), "aligned_blocks")
+    blocks = stored_blocks(aligned_blocks(docs, byte_path, piece_path, links_each, id_col, text_col), "aligned_blocks")
     counts = materialize(pair_counts(blocks), "pair_counts")
     # Every block gets the counts of its own pairs, in the order of its pairs.
     wanted = blocks.select("block", F.explode("pair").alias("pair"))
