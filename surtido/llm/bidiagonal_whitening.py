@@ -1,11 +1,11 @@
 """Whitening of vectors by Golub-Kahan-Lanczos bidiagonalisation.
 
-The centred rows X, n by d, lie in stored blocks. Each step multiplies twice,
-one Spark job each: u = Xv and v = X'u. Left vectors u have a number for every
+The centred rows X, n by d, lie in stored blocks. Each step multiplies twice in
+one pass over the blocks: u = Xv and X'u. Left vectors u have a number for every
 row, so they are not kept: u is X times a vector w of d numbers, and a task
 makes the rows of U that it needs from its block and the w's. Every new u and v
-is made orthogonal to all earlier ones, twice; what tasks hand back is sums of
-at most d numbers. The singular values of the small bidiagonal matrix over the
+is made orthogonal to all earlier ones, u once more by a second pass where less
+than a tenth is left of it; what tasks hand back is sums of at most 2 d numbers. The singular values of the small bidiagonal matrix over the
 root of n are the deviations, its right vectors the components.
 
 Integers stay exact as long as they matter: centred entries are x - S/n from
@@ -93,17 +93,8 @@ class Centred:
             out[place] = value
         return out
 
-    def left(self, w: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, float]:
-        """With u = X w: U'u for U = X times ``earlier``, and u'u."""
-        def part(x: np.ndarray) -> np.ndarray:
-            u = x @ w
-            return np.append((x @ earlier).T @ u, u @ u)
-
-        found = self.summed(part)
-        return found[:-1], float(found[-1])
-
-    def right(self, w: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """With u = X w: X'u, U'u and u'u."""
+    def products(self, w: np.ndarray, earlier: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """With u = X w: X'u, U'u for U = X times ``earlier``, and u'u."""
         def part(x: np.ndarray) -> np.ndarray:
             u = x @ w
             return np.concatenate([x.T @ u, (x @ earlier).T @ u, [u @ u]])
@@ -139,12 +130,14 @@ def bidiagonalise(centred: Centred, wanted: int, tolerance: float = 1e-13) -> tu
     while True:
         k = right.shape[1]
         right = np.column_stack([right, v])
-        # u = Xv less its part in the earlier u's; then once more, with the product X'u.
-        inner, _ = centred.left(v, left)
-        w = v - left @ inner
-        product, inner, square = centred.right(w, left)
-        w, product = w - left @ inner, product - back @ inner
-        alpha = float(np.sqrt(max(0.0, square - inner @ inner)))
+        # u = Xv less its part in the earlier u's; once more where little is left of it.
+        w = v
+        for _ in range(2):
+            product, inner, square = centred.products(w, left)
+            w, product = w - left @ inner, product - back @ inner
+            alpha = float(np.sqrt(max(0.0, square - inner @ inner)))
+            if alpha > 0.1 * np.sqrt(square):
+                break
         scale = max(scale, alpha)
         if alpha > 1e-13 * scale:
             w, product = w / alpha, product / alpha
