@@ -342,6 +342,13 @@ ORACLES = {
             FROM coercionadas WHERE motivo IS NULL""",
         _COERCIONADAS,
     ),
+    "replayed_sales": _with(
+        "ventas_raw",
+        f"""SELECT {_COERCED}, CAST(CASE WHEN year(fecha) < 1996 THEN 2 ELSE 1 END AS BIGINT) AS batch_id,
+                   CAST(year(fecha) AS INT) AS anio
+            FROM coercionadas WHERE motivo IS NULL AND (year(fecha) >= 1996 OR cantidad_vendida > 25)""",
+        _COERCIONADAS,
+    ),
     # --- registry
     "files_by_state": _with(
         "archivos",

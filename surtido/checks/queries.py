@@ -20,7 +20,7 @@ from ..plans.ingest import ingest_files
 from ..plans.training import hash_split, train
 from ..session import materialize, scratch_path
 from ..sources.snapshots import read_snapshot
-from ..sources.tables import append_metrics, append_sales, read_sales, read_table
+from ..sources.tables import append_metrics, append_sales, read_sales, read_table, write_attempt
 from ..streaming.sales_stream import start_ingest
 from .fixtures import AS_OF, MOMENT, fixture
 from .inbox import write_inbox, write_named
@@ -283,6 +283,21 @@ def appended_sales(spark, sf):
     )
 
 
+@query
+def replayed_sales(spark, sf):
+    """A batch comes again with rows of other years, and an attempt at another is never committed."""
+    path = scratch_path(spark, "sales")
+    rows = sales.valid_sales(sales.coerce_sales(shared_raw(spark, sf)))
+    early = F.year("fecha") < 1996
+    append_sales(rows.filter(early), path, 1, MOMENT)
+    append_sales(rows.filter(~early), path, 1, MOMENT)
+    append_sales(rows.filter(early & (F.col("cantidad_vendida") > 25)), path, 2, MOMENT)
+    write_attempt(rows, path, 2, MOMENT)
+    return read_sales(spark, path).select(
+        "id_producto", "fecha", "cantidad_vendida", "source_file", "batch_id", "anio"
+    )
+
+
 # --- file registry ----------------------------------------------------------
 
 @query

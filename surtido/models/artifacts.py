@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.snapshots import latest_path, next_path
+from ..sources.snapshots import StaleVersion, latest_path, latest_version, new_folder, publish_version
 from .network import Network, network_from_table, network_table
 
 _SCALER = "columna string, minimo double, maximo double"
@@ -22,8 +22,8 @@ class Artifacts:
 
 
 def save_artifacts(spark: SparkSession, artifacts: Artifacts, root: str) -> str:
-    """Write a new version under ``root``. The manifest goes last and makes it count."""
-    path = next_path(spark, root)
+    """Write a new version under ``root`` and return its folder. The commit goes last and makes it count."""
+    path = new_folder(root)
     parts = ["encoder", "scaler"]
     artifacts.encoder.write.parquet(f"{path}/encoder")
     scaler = [(name, float(low), float(high)) for name, (low, high) in artifacts.ranges.items()]
@@ -37,7 +37,13 @@ def save_artifacts(spark: SparkSession, artifacts: Artifacts, root: str) -> str:
     manifest = spark.createDataFrame([(p,) for p in parts], "parte string").coalesce(1)
     # Appending files beside the part folders leaves those in place.
     manifest.write.mode("append").text(path)
-    return path
+    while True:
+        try:
+            # Two trainings at once are both versions, in the order in which they end.
+            publish_version(spark, root, latest_version(spark, root), [{"path": path.rsplit("/", 1)[1], "rows": 0, "changes": False}])
+            return path
+        except StaleVersion:
+            continue
 
 
 def load_artifacts(spark: SparkSession, root: str) -> Artifacts:

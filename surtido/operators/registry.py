@@ -34,6 +34,18 @@ def register_files(
     )
 
 
+def registered_again(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` as they are to be registered: new outcomes count, but a valid file keeps an approval it already has."""
+    before = files.select("id", F.col("estado").alias("_antes"))
+    kept = (F.col("estado") == "valido") & F.col("_antes").isin("aprobado", "procesado")
+    approved = (F.col("estado") == "aprobado") & (F.col("_antes") == "procesado")
+    return (
+        rows.join(before, "id", "left")
+        .withColumn("estado", F.when(kept | approved, F.col("_antes")).otherwise(F.col("estado")))
+        .select(*rows.columns)
+    )
+
+
 def files_by_state(files: DataFrame) -> DataFrame:
     state = F.col("estado")
     return files.agg(

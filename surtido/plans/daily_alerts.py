@@ -20,7 +20,7 @@ from ..operators.demand import first_skus, horizon_demand, sku_averages
 from ..operators.digest import digest_pages, route_alerts, settings_with_recipient
 from ..schemas import ALERTS
 from ..session import materialize
-from ..sources.snapshots import update_snapshot
+from ..sources.snapshots import read_version, update_snapshot
 from .forecasting import forecast_horizon
 
 
@@ -61,7 +61,7 @@ def run_daily_alerts(
     position = effective_thresholds(sku_thresholds(stock_position(averages, stock), thresholds))
     found = materialize(evaluate_alerts(projected_stock(position, demand), as_of), "alerts")
 
-    path = update_snapshot(alerts_root, ALERTS, lambda current: upsert_alerts(current, found, moment), spark)
+    version = update_snapshot(alerts_root, ALERTS, lambda current: upsert_alerts(current, found, moment), spark)
     recipient = settings_with_recipient(settings, users).select("email_destinatario_alertas").first()
     digest = digest_pages(route_alerts(found, recipient[0] if recipient else None))
-    return DailyAlerts(found, digest, spark.read.schema(ALERTS).parquet(path))
+    return DailyAlerts(found, digest, read_version(spark, alerts_root, ALERTS, version))

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DATE_FORMATS, MSG_EMPTY_FILE
 from ..operators.lookups import lookup_join
-from ..operators.registry import approve_valid, register_files
+from ..operators.registry import approve_valid, register_files, registered_again
 from ..operators.sales import coerce_sales, file_outcomes, quality_report, rejected_sales, valid_sales
-from ..schemas import FILES
+from ..schemas import BATCHES, FILES
 from ..session import materialize, temporary_results
 from ..sources.sales_files import list_files, read_sales_files
-from ..sources.snapshots import read_snapshot, update_snapshot
-from ..sources.tables import append_sales
+from ..sources.snapshots import merge_snapshot, read_snapshot
+from ..sources.tables import OtherFiles, batches_root, commit_batch, write_attempt
 
 
 @dataclass
@@ -82,26 +82,64 @@ def ingest_files(
 ) -> DataFrame:
     """Check files, store their valid sales, register every file; returns the registry rows of the batch.
 
-    A batch is known by ``origin`` and ``batch_id``. It can be repeated: it
-    replaces its own sales, and its files are not registered again. The same
-    batch with other files is refused, as it would delete the sales of the
-    first ones. ``approve`` promotes valid files, as the periodic ingest does.
+    A batch is known by ``origin`` and ``batch_id``. It can be repeated: its
+    sales and the outcomes of its files then replace the earlier ones, only
+    approved and processed files that are still valid stay so. The same batch
+    with other files is refused, as it would delete the sales of the first ones.
+    ``approve`` promotes valid files, as the periodic ingest does.
+
+    The commit of the batch is the one step that counts. Its registry rows are
+    stored before it, so if the job dies right after it, the next ingest
+    registers them.
     """
     own = (F.col("origen") == origin) & (F.col("batch_id") == batch_id)
     with temporary_results(spark):
         checked = check_files(spark, source, multiline, formats)
         rows = materialize(register_files(checked.outcomes, batch_id, loaded_at, loaded_by, origin), "outcomes")
-        known = read_snapshot(spark, registry_root, FILES).filter(own).select("ruta")
-        if not known.isEmpty() and not (
-            known.join(rows, "ruta", "left_anti").isEmpty() and rows.join(known, "ruta", "left_anti").isEmpty()
-        ):
-            raise ValueError(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
-        append_sales(checked.valid, sales_path, batch_id, loaded_at, origin)
-
-        def register(registered: DataFrame) -> DataFrame:
-            new = rows.join(registered.select("id"), "id", "left_anti").select(*FILES.names)
-            updated = registered.select(*FILES.names).unionByName(new)
-            return approve_valid(updated) if approve else updated
-
-        update_snapshot(registry_root, FILES, register, spark)
+        files = files_digest(rows)
+        known = read_snapshot(spark, batches_root(sales_path), BATCHES).filter(own).select("huella").first()
+        if known is not None and known.huella != files:
+            raise OtherFiles(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
+        attempt = write_attempt(checked.valid, sales_path, batch_id, loaded_at, origin)
+        (approve_valid(rows) if approve else rows).write.parquet(_outcomes_path(sales_path, attempt))
+        commit_batch(spark, sales_path, batch_id, attempt, loaded_at, origin, files, registered=False)
+    settle_batches(spark, sales_path, registry_root, approve)
     return read_snapshot(spark, registry_root, FILES).filter(own)
+
+
+def files_digest(rows: DataFrame) -> str:
+    """One text for a set of paths, in any order; added up by Spark."""
+    paths = rows.select("ruta").distinct()
+    pair = [F.xxhash64(F.lit(seed), "ruta").cast("decimal(38,0)") for seed in (1, 2)]
+    return "-".join(str(v) for v in paths.agg(F.count(F.lit(1)), *[F.sum(h) for h in pair]).first())
+
+
+def _outcomes_path(sales_path: str, attempt: str) -> str:
+    return f"{sales_path}/_archivos/{attempt}"
+
+
+def settle_batches(spark: SparkSession, sales_path: str, registry_root: str, approve: bool = False) -> int:
+    """Register the files of committed batches that are not registered yet; returns how many batches there were.
+
+    Safe to repeat and to run beside other writers.
+    """
+    root = batches_root(sales_path)
+    # The batch just committed, and those whose ingest died before this step.
+    open_ = read_snapshot(spark, root, BATCHES).filter("not registrado").collect()
+    if not open_:
+        return 0
+    rows = spark.read.schema(FILES).parquet(*(_outcomes_path(sales_path, b.intento) for b in open_))
+
+    def register(registered: DataFrame) -> DataFrame:
+        changed = registered_again(registered, rows)
+        if approve:
+            others = registered.filter("estado = 'valido'").join(rows.select("id"), "id", "left_anti")
+            changed = approve_valid(changed.unionByName(others.select(*FILES.names)))
+        return changed
+
+    merge_snapshot(registry_root, FILES, ["id"], register, spark)
+    attempts = [b.intento for b in open_]
+    merge_snapshot(
+        root, BATCHES, ["origen", "batch_id"],
+        lambda batches: batches.filter(F.col("intento").isin(attempts)).withColumn("registrado", F.lit(True)), spark)
+    return len(open_)

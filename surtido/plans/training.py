@@ -36,7 +36,7 @@ from ..operators.sales import (
 )
 from ..schemas import FILES
 from ..session import materialize
-from ..sources.snapshots import read_snapshot, update_snapshot
+from ..sources.snapshots import merge_snapshot, read_snapshot
 from ..sources.tables import append_metrics
 
 HYBRID = "pred_hybrid"
@@ -192,5 +192,7 @@ def retrain(
     used = materialize(approved_files(files).select("id", "ruta", "estado"), "used")
     result = train(sales, used, artifacts_root, metrics_path, moment, **options)
     if result.status == "success":
-        update_snapshot(registry_root, FILES, lambda now: mark_processed(now, used), spark)
+        merge_snapshot(
+            registry_root, FILES, ["id"],
+            lambda now: mark_processed(now.join(used.select("id"), "id", "left_semi"), used), spark)
     return result

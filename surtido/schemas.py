@@ -23,6 +23,9 @@ FILES = _schema(
     "id bigint, nombre_archivo string, fecha_carga timestamp, estado string,"
     "filas_guardadas bigint, mensaje string, cargado_por string, ruta string, origen string, batch_id bigint"
 )
+BATCHES = _schema(
+    "origen string, batch_id bigint, intento string, huella string, fecha_carga timestamp, registrado boolean"
+)
 ALERTS = _schema(
     "id string, sku string, tipo_alerta string, mensaje string, fecha_proyeccion date,"
     "estado string, creado_en timestamp"

@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..schemas import METRICS, SALES
+from ..schemas import BATCHES, METRICS, SALES
+from .commits import hadoop
+from .snapshots import merge_snapshot, read_snapshot, row_bound
+
+_BROADCAST_BATCHES = 200_000
+
+
+class OtherFiles(ValueError):
+    """A batch that is already stored comes again from other files."""
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -17,19 +26,36 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return reader.parquet(path)
 
 
+def batches_root(path: str) -> str:
+    """State table of the committed batches of a sales table, :data:`BATCHES`."""
+    return f"{path}/_lotes"
+
+
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, SALES)
+    """Sales of committed batches.
+
+    Every writing of a batch lies in a folder of its own; the batch's row in the
+    table of batches says which one counts, so what failed or replaced attempts
+    have left is never read.
+    """
+    data, fs = hadoop(spark, f"{path}/datos")
+    if not fs.exists(data):
+        return spark.createDataFrame([], SALES)
+    stored = StructType([*SALES.fields, StructField("intento", StringType())])
+    rows = spark.read.schema(stored).parquet(f"{path}/datos")
+    committed = read_snapshot(spark, batches_root(path), BATCHES).select("intento")
+    # A short row a batch: the commit says how many there are at most.
+    if row_bound(spark, batches_root(path)) <= _BROADCAST_BATCHES:
+        committed = F.broadcast(committed)
+    return rows.join(committed, "intento", "left_semi").select(*SALES.names)
 
 
-def append_sales(
-    sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime, origin: str = "manual"
-) -> None:
-    """Write one batch of sales under its own partitions.
+def write_attempt(sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime, origin: str = "manual") -> str:
+    """Store the rows of a batch where no reader sees them yet; returns the name of the attempt.
 
-    Partitioned by source, batch and year, so that writing a batch again
-    replaces it, sources that number their batches alike stay apart, and date
-    filters prune. Rebalancing gives even files whatever the year or the
-    SKU mix; the sort lets filters on a SKU skip row groups.
+    Partitioned by attempt and year, so that date filters prune. Rebalancing
+    gives even files whatever the year or the SKU mix; the sort lets filters on
+    a SKU skip row groups.
     """
     ready = sales.select(
         "id_producto", "fecha", "cantidad_vendida", "source_file",
@@ -38,12 +64,61 @@ def append_sales(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.year("fecha").alias("anio"),
     )
+    attempt = uuid.uuid4().hex
     (
         ready.hint("rebalance", "anio")
         .sortWithinPartitions("anio", "id_producto", "fecha")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("origen", "batch_id", "anio").parquet(path)
+        .write.partitionBy("anio").parquet(f"{path}/datos/intento={attempt}")
     )
+    return attempt
+
+
+def commit_batch(
+    spark: SparkSession, path: str, batch_id: int, attempt: str, loaded_at: dt.datetime, origin: str = "manual",
+    files: str = "", registered: bool = True,
+) -> None:
+    """Make an attempt the batch's rows, in place of any earlier one, in one step.
+
+    ``files`` is a digest of the files the batch came from; the same batch from
+    other files is refused, also if two writers come at once.
+    """
+
+    def commit(batches: DataFrame) -> DataFrame:
+        known = batches.filter((F.col("origen") == origin) & (F.col("batch_id") == batch_id)).select("huella").first()
+        if known is not None and known.huella != files:
+            raise OtherFiles(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
+        row = (origin, batch_id, attempt, files, loaded_at, registered)
+        return spark.createDataFrame([row], BATCHES)
+
+    merge_snapshot(batches_root(path), BATCHES, ["origen", "batch_id"], commit, spark)
+
+
+def append_sales(
+    sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime, origin: str = "manual", files: str = ""
+) -> None:
+    """Write one batch of sales; the same batch written again replaces all its rows, of whatever years."""
+    attempt = write_attempt(sales, path, batch_id, loaded_at, origin)
+    commit_batch(sales.sparkSession, path, batch_id, attempt, loaded_at, origin, files)
+
+
+def remove_replaced_sales(spark: SparkSession, path: str, older_than_ms: int = 7 * 86_400_000) -> int:
+    """Delete the rows of attempts that failed or were replaced and that no reader can still use; returns how many.
+
+    Outcomes of files that are in the registry go too.
+    """
+    now = spark._jvm.java.lang.System.currentTimeMillis()
+    batches = read_snapshot(spark, batches_root(path), BATCHES)
+    found = []
+    for folder, needed in (("datos", batches), ("_archivos", batches.filter("not registrado"))):
+        parent, fs = hadoop(spark, f"{path}/{folder}")
+        there = fs.listStatus(parent) if fs.exists(parent) else []
+        old = [s.getPath().toString() for s in there if now - s.getModificationTime() > older_than_ms]
+        names = spark.createDataFrame([(p, p.rsplit("/", 1)[1].rpartition("=")[2]) for p in old], "ruta string, intento string")
+        lost = names.join(needed.select("intento"), "intento", "left_anti").collect()
+        for row in lost:
+            fs.delete(hadoop(spark, row.ruta)[0], True)
+        found.append(len(lost))
+    return found[0]
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
