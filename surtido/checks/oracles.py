@@ -5,6 +5,9 @@ from __future__ import annotations
 from ..fixed_values import (
     FEATURES,
     MISSING_MARKERS,
+    MODEL_HYBRID,
+    MODEL_NETWORK,
+    MODEL_TREES,
     MSG_BAD_FORMAT,
     MSG_MISSING_COLUMNS,
     MSG_NO_VALID_ROWS,
@@ -98,6 +101,23 @@ _LEGIBLES = "motivo IS NULL AND source_file NOT LIKE '%.txt' AND proveedor % 20
 _APRENDIDOS = """SELECT DISTINCT id_producto FROM ventas v WHERE EXISTS (
     SELECT 1 FROM archivos a WHERE a.estado = 'aprobado' AND a.ruta = v.source_file)"""
 
+# Held-out sales of approved files: a fifth of the copies of each row by hash; the first row keeps one, the last gives one up.
+def _apartadas() -> str:
+    return f"""apartadas AS (
+    SELECT id_producto, fecha, cantidad_vendida, t AS n FROM (
+        SELECT *, greatest(
+            least(n // 5 + CASE WHEN {_below('prueba', '(n % 5)')} THEN 1 ELSE 0 END,
+                  n - CASE WHEN ultima THEN 1 ELSE 0 END),
+            CASE WHEN primera THEN 1 ELSE 0 END) AS t
+        FROM (
+            SELECT id_producto, fecha, cantidad_vendida, count(*) AS n,
+                   row_number() OVER (ORDER BY id_producto, fecha, cantidad_vendida) = 1 AS primera,
+                   row_number() OVER (ORDER BY id_producto DESC, fecha DESC, cantidad_vendida DESC) = 1 AS ultima
+            FROM ventas v WHERE EXISTS (SELECT 1 FROM archivos a WHERE a.estado = 'aprobado' AND a.ruta = v.source_file)
+            GROUP BY 1, 2, 3) c) h
+    WHERE t > 0)"""
+
+
 _CODIGOS = """codigos AS (
     SELECT id_producto, CAST(row_number() OVER (ORDER BY id_producto) - 1 AS INT) AS id_producto_encoded
     FROM (SELECT DISTINCT id_producto FROM ventas) t)"""
@@ -539,6 +559,25 @@ ORACLES = {
              WHERE a.estado = 'aprobado' AND a.ruta = v.source_file))""",
         _CODIGOS.replace("FROM ventas", "FROM aprobadas"), _RASGOS.replace("FROM ventas", "FROM aprobadas"),
     ),
+    "training_metrics_recomputed": _with(
+        "ventas archivos",
+        f"""SELECT model, CAST(sum(n) AS BIGINT) AS filas, CAST(sum(n * cantidad_vendida) AS BIGINT) AS unidades, true AS coincide
+            FROM apartadas, (VALUES ({_text(MODEL_TREES)}), ({_text(MODEL_NETWORK)}), ({_text(MODEL_HYBRID)})) m(model) GROUP BY model""",
+        _apartadas(),
+    ),
+    "tree_predictions_by_splits": _with(
+        "ventas archivos", "SELECT *, true AS coincide FROM apartadas", _apartadas(),
+    ),
+    "request_forecasts_recomputed": _with(
+        "ventas archivos solicitudes",
+        f"""SELECT DISTINCT id_producto, CAST(fecha_str AS DATE) AS fecha, true AS coincide
+            FROM solicitudes WHERE id_producto IN ({_APRENDIDOS})""",
+    ),
+    "horizon_forecasts_recomputed": _with(
+        "ventas archivos",
+        f"""SELECT s.id_producto, d.fecha, true AS coincide FROM ({_APRENDIDOS}) s
+            CROSS JOIN (SELECT DATE '2001-11-06' AS fecha UNION ALL SELECT DATE '2001-11-07') d""",
+    ),
     "request_forecast_keys": _with(
         "ventas archivos solicitudes",
         f"SELECT id_producto, CAST(fecha_str AS DATE) AS fecha FROM solicitudes WHERE id_producto IN ({_APRENDIDOS})",

@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..fixed_values import ALERT_STATES, DAY_FIRST_FORMATS, FEATURES, REQUIRED_COLUMNS, TARGET, TEST_SHARE
+from ..fixed_values import (
+    ALERT_STATES,
+    DAY_FIRST_FORMATS,
+    FEATURES,
+    MODEL_HYBRID,
+    MODEL_NETWORK,
+    MODEL_TREES,
+    REQUIRED_COLUMNS,
+    TARGET,
+    TEST_SHARE,
+    TREES,
+)
 from ..functions.calendar import day_text, minute_text
 from ..functions.coerce import to_sale_date
 from ..functions.numbers import mean_of_present
+from ..models import network as net
+from ..models import tables
+from ..models import trees as gbt
 from ..models.artifacts import Artifacts, load_artifacts
 from ..operators import alerts, demand, digest, evaluation, features, registry, sales, snapshots, thresholds
 from ..plans.daily_alerts import run_daily_alerts
@@ -600,6 +614,67 @@ def training_metrics(spark, sf):
     return shared_training(spark, sf)[2]
 
 
+def _by_tables(rows: DataFrame, artifacts: Artifacts, key: str) -> DataFrame:
+    """``rows`` with the scores of the stored trees and network, worked out by joins over their tables."""
+    trees = tables.tree_scores(rows, artifacts.splits, key, TREES["maxDepth"])
+    return rows.join(trees, key).join(tables.network_scores(rows, artifacts.neurons, key), key)
+
+
+def _close(a: str, b: str) -> Column:
+    return F.abs(F.col(a) - F.col(b)) <= F.lit(1e-7) * (1 + F.abs(F.col(b)))
+
+
+@query
+def training_metrics_recomputed(spark, sf):
+    """Held-out rows behind each model's metrics, and whether plain SQL over the stored predictions gives those metrics."""
+    measured = shared_training(spark, sf)[2]
+    predictions = _artifacts(spark, sf).predictions
+    names = {net.PREDICTION: MODEL_NETWORK, gbt.PREDICTION: MODEL_TREES, "pred_hybrid": MODEL_HYBRID}
+    predictions.createOrReplaceTempView("predicciones_guardadas")
+    again = spark.sql(" UNION ALL ".join(f"""
+        SELECT '{name}' AS model, cast(sum(n) as bigint) AS filas, cast(sum(n * {TARGET}) as bigint) AS unidades,
+               sum(n * abs({TARGET} - greatest({column}, 0))) / sum(n) AS mae_sql,
+               sqrt(sum(n * pow({TARGET} - greatest({column}, 0), 2)) / sum(n)) AS rmse_sql,
+               greatest(0, 1 - sum(n * pow({TARGET} - greatest({column}, 0), 2))
+                   / (sum(n * {TARGET} * {TARGET}) - pow(sum(n * {TARGET}), 2) / sum(n))) AS r2_sql
+        FROM predicciones_guardadas""" for column, name in names.items()))
+    same = _close("mae_sql", "mae") & _close("rmse_sql", "rmse") & _close("r2_sql", "r2")
+    return again.join(measured, "model").select("model", "filas", "unidades", same.alias("coincide"))
+
+
+@query
+def tree_predictions_by_splits(spark, sf):
+    """Every held-out row, and whether a walk over the stored nodes gives the prediction of the trees."""
+    artifacts = _artifacts(spark, sf)
+    rows = materialize(artifacts.predictions.withColumn("fila", F.monotonically_increasing_id()), "held_out")
+    scores = tables.tree_scores(rows, artifacts.splits, "fila", TREES["maxDepth"])
+    return rows.join(scores, "fila").select(
+        "id_producto", "fecha", "cantidad_vendida", F.col("n").cast("bigint").alias("n"),
+        _close("pred_arboles", gbt.PREDICTION).alias("coincide"))
+
+
+def _recomputed(spark: SparkSession, sf: str, forecasts: DataFrame) -> DataFrame:
+    """Each forecast, and whether the tables of the models give it: scaled features, both scores, mean, whole units."""
+    artifacts = _artifacts(spark, sf)
+    asked = materialize(forecasts.distinct().withColumn("fila", F.monotonically_increasing_id()), "asked")
+    rows = features.scale(features.with_date_features(features.encode(asked, artifacts.encoder)), artifacts.ranges)
+    mean = (F.col("pred_arboles") + F.col("pred_red")) / 2
+    # A mean next to a whole number may be rounded either way.
+    low, high = (F.greatest(F.ceil(mean + e), F.lit(0)) for e in (-1e-7, 1e-7))
+    return _by_tables(rows, artifacts, "fila").select(
+        "id_producto", "fecha", F.col("prediccion").between(low, high).alias("coincide"))
+
+
+@query
+def request_forecasts_recomputed(spark, sf):
+    return _recomputed(spark, sf, request_forecasts(spark, sf))
+
+
+@query
+def horizon_forecasts_recomputed(spark, sf):
+    return _recomputed(spark, sf, horizon_forecasts(spark, sf))
+
+
 @query
 def stored_encoder(spark, sf):
     return _artifacts(spark, sf).encoder

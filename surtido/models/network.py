@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..fixed_values import (
     FEATURES,
@@ -25,12 +26,18 @@ from ..fixed_values import (
     NETWORK_PATIENCE,
     TARGET,
 )
+from ..sources.snapshots import read_snapshot, write_snapshot
 
 PREDICTION = "pred_network"
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-7
 #: Rows of a partition. More of them train one after the other, so this sets the trained model
 #: together with the rows, whatever the cluster.
 ROWS_PER_PARTITION = 20_000
+_PROGRESS = StructType([
+    StructField("huella", StringType()), StructField("epoca", IntegerType()),
+    *[StructField(c, ArrayType(DoubleType())) for c in ("estado", "mejor", "perdidas")],
+    StructField("mejor_perdida", DoubleType()), StructField("sin_mejora", IntegerType()),
+])
 _STATS = "kind string, place int, value double, n double"
 
 
@@ -81,6 +88,10 @@ def gradient(flat, layers, x, y, weight) -> np.ndarray:
     return out
 
 
+class NotFitted(ValueError):
+    """The network does not fit its rows: the loss is no number."""
+
+
 @dataclass
 class AdamState:
     """Parameters with their Adam moments; ``steps`` is averaged like the rest."""
@@ -169,6 +180,12 @@ def _even_pieces(rows: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(data: DataFrame, *settings) -> str:
+    """Tells rows and settings apart; the same whatever the order of the rows."""
+    hashes = F.xxhash64(*data.columns).cast("decimal(38,0)")
+    return "-".join(map(str, [*data.agg(F.count(F.lit(1)), F.sum(hashes)).first(), *settings]))
+
+
 def partitions_for(rows: int, rows_per_partition: int = ROWS_PER_PARTITION) -> int:
     return max(1, -(-rows // rows_per_partition))
 
@@ -183,9 +200,16 @@ def fit_network(
     epochs: int = NETWORK_EPOCHS,
     patience: int = NETWORK_PATIENCE,
     seed: int = 42,
+    checkpoint: str | None = None,
+    checkpoint_every: int = 5,
 ) -> Network:
     """Train with early stopping; the weights of the best validation loss are kept.
 
+    With a ``checkpoint`` folder, weights, moments and losses are stored every
+    ``checkpoint_every`` epochs. A run over the same rows and settings goes on
+    from there and ends with the same weights as one that was never cut short;
+    other rows or settings start anew.
+
     ``train``: scaled features, target, ``n`` (equal rows a row stands for) and
     ``es_validacion``, read from a stored table; it is spread and cached for the
     epochs. ``rows`` is its row count, which sets the batch size and, with
@@ -206,8 +230,14 @@ def fit_network(
 
     flat = initial_parameters(layers, seed)
     state = AdamState(flat, np.zeros_like(flat), np.zeros_like(flat))
-    best, best_loss, since, losses = flat, np.inf, 0, []
-    for epoch in range(epochs + 1):
+    best, best_loss, since, losses, done = flat, np.inf, 0, [], 0
+    if checkpoint:
+        same = _fingerprint(data, layers, rate, seed, batch_size, partitions, patience, epochs)
+        kept = read_snapshot(spark, checkpoint, _PROGRESS).first()
+        if kept is not None and kept.huella == same:
+            state, best, losses = AdamState.unpack(np.array(kept.estado)), np.array(kept.mejor), list(kept.perdidas)
+            best_loss, since, done = kept.mejor_perdida, kept.sin_mejora, kept.epoca
+    for epoch in range(done, epochs + 1):
         training = epoch < epochs
         shared = spark.sparkContext.broadcast(state.pack())
         task = _epoch_task(shared, layers, batch_size, rate, seed + epoch, training)
@@ -219,6 +249,8 @@ def fit_network(
         )
         shared.destroy()
         loss = sums[sums.kind == "loss"].iloc[0]
+        if loss.n and not np.isfinite(loss.value):
+            raise NotFitted(f"loss {loss.value} in epoch {epoch}")
         if epoch:  # the loss of the weights the previous epoch produced
             losses.append(float(loss.value / loss.n) if loss.n else np.nan)
             if not loss.n or losses[-1] < best_loss:
@@ -230,6 +262,10 @@ def fit_network(
         if training:
             params = sums[sums.kind == "param"].sort_values("place")
             state = AdamState.unpack((params["value"] / params["n"]).to_numpy())
+            if checkpoint and (epoch + 1) % checkpoint_every == 0:
+                # Before the loss of these weights is known: the epoch it belongs to comes next.
+                row = (same, epoch + 1, state.pack().tolist(), best.tolist(), losses, float(best_loss), since)
+                write_snapshot(spark.createDataFrame([row], _PROGRESS), checkpoint, keep=2)
     data.unpersist()
     return Network(best, layers, losses)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ from ..operators.sales import (
 )
 from ..schemas import FILES
 from ..session import materialize
-from ..sources.snapshots import merge_snapshot, read_snapshot
+from ..sources.snapshots import merge_snapshot, new_folder, read_snapshot
 from ..sources.tables import append_metrics
 
 HYBRID = "pred_hybrid"
+#: A model that does not fit its rows or settings; everything else is a failure of the job.
+MODEL_ERRORS = (net.NotFitted, IllegalArgumentException)
 
 
 @dataclass
@@ -121,6 +124,7 @@ def train(
     use: Sequence[str] = ("trees", "network"),
     clean: bool = False,
     rows_per_partition: int = net.ROWS_PER_PARTITION,
+    checkpoint: str | None = None,
 ) -> Trained:
     """Train on the sales of approved files, measure on held-out rows, store everything.
 
@@ -129,7 +133,11 @@ def train(
     SKU has two sales or more; else the split is by hash.
 
     The metric log gets the row of the final model: the hybrid, or the only
-    model that was asked for or could be trained.
+    model that was asked for or could be trained. ``status`` is ``success``,
+    ``partial`` (one of two models could not be fitted to these rows),
+    or ``error`` (no rows, no model). Failures of Spark or of the store are
+    raised. ``checkpoint`` is a folder for the state of the network between
+    epochs; a run that died goes on from there.
     """
     spark = sales.sparkSession
     chosen = training_rows(sales, files, on_empty).select(*BUSINESS_KEYS)
@@ -146,7 +154,7 @@ def train(
     encoder = materialize(fit_encoder(cells), "encoder")
     table, ranges = feature_table(cells, encoder, fit_on_train)
     # Training passes over this table many times: even slices, as many as its rows ask for.
-    columns = [*FEATURES, TARGET, "n", "es_prueba", "es_validacion"]
+    columns = ["id_producto", "fecha", *FEATURES, TARGET, "n", "es_prueba", "es_validacion"]
     slices = net.partitions_for(trained_on + tested_on, rows_per_partition)
     table = materialize(table.select(*columns).repartition(slices, *FEATURES, TARGET), "scaled")
     train_rows, test_rows = table.filter(~F.col("es_prueba")), table.filter("es_prueba")
@@ -156,12 +164,12 @@ def train(
     if "trees" in use:
         try:
             artifacts.trees = gbt.fit_trees(train_rows)
-        except Exception as error:  # noqa: BLE001 - one model may fail, the other carries on
+        except MODEL_ERRORS as error:
             failures.append(f"{MODEL_TREES}: {error}")
     if "network" in use:
         try:
-            artifacts.network = net.fit_network(train_rows, trained_on, rows_per_partition)
-        except Exception as error:  # noqa: BLE001
+            artifacts.network = net.fit_network(train_rows, trained_on, rows_per_partition, checkpoint=checkpoint)
+        except MODEL_ERRORS as error:
             failures.append(f"{MODEL_NETWORK}: {error}")
     names, scored = {}, test_rows
     if artifacts.trees is not None:
@@ -176,11 +184,16 @@ def train(
         scored = scored.withColumn(HYBRID, mean_of_present(*[F.col(c) for c in names]))
         names[HYBRID] = MODEL_HYBRID
 
-    metrics = materialize(stamp_metrics(evaluate(scored, TARGET, names, "n"), moment), "metrics")
+    # The metrics are those of the stored predictions, so they can be worked out again from them.
+    path = new_folder(artifacts_root)
+    scored.select("id_producto", "fecha", TARGET, "n", *FEATURES, *names).write.parquet(f"{path}/predictions")
+    artifacts.predictions = spark.read.parquet(f"{path}/predictions")
+    metrics = materialize(stamp_metrics(evaluate(artifacts.predictions, TARGET, names, "n"), moment), "metrics")
     final = list(names.values())[-1]
+    path = save_artifacts(spark, artifacts, artifacts_root, path)
     append_metrics(metrics.filter(F.col("model") == final), metrics_path)
-    path = save_artifacts(spark, artifacts, artifacts_root)
-    return Trained("success", " ".join(["Modelos guardados.", *failures]), artifacts, path, metrics)
+    status = "partial" if failures else "success"
+    return Trained(status, " ".join(["Modelos guardados.", *failures]), artifacts, path, metrics)
 
 
 def retrain(
@@ -190,8 +203,9 @@ def retrain(
     spark = sales.sparkSession
     files = read_snapshot(spark, registry_root, FILES)
     used = materialize(approved_files(files).select("id", "ruta", "estado"), "used")
+    options = {"checkpoint": f"{artifacts_root}/_avance", **options}
     result = train(sales, used, artifacts_root, metrics_path, moment, **options)
-    if result.status == "success":
+    if result.status in ("success", "partial"):
         merge_snapshot(
             registry_root, FILES, ["id"],
             lambda now: mark_processed(now.join(used.select("id"), "id", "left_semi"), used), spark)

@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from surtido import schemas
-from surtido.fixed_values import FEATURES, MODEL_NETWORK, MODEL_TREES, NETWORK_LAYERS, TARGET
+from surtido.fixed_values import FEATURES, MODEL_HYBRID, MODEL_NETWORK, MODEL_TREES, NETWORK_LAYERS, TARGET, TREES
 from surtido.models import network as net
+from surtido.models import tables
 from surtido.models import trees as gbt
 from surtido.models.artifacts import load_artifacts
+from surtido.operators import evaluation, features
 from surtido.plans import training
 from surtido.plans.forecasting import forecast, unknown_requests
 from surtido.session import materialize, scratch_path
@@ -157,23 +159,79 @@ def test_training_needs_approved_rows(spark, sales):
 
 def test_one_failing_model_leaves_the_other(spark, sales, monkeypatch):
     def broken(*_, **__):
-        raise RuntimeError("sin memoria")
+        raise net.NotFitted("sin ajuste")
 
     files = spark.createDataFrame(
         [(1, "a.csv", "aprobado")], "id bigint, ruta string, estado string"
     )
     monkeypatch.setattr(gbt, "fit_trees", broken)
     monkeypatch.setattr(
-        net, "fit_network", lambda *_: net.Network(net.initial_parameters(NETWORK_LAYERS, 1))
+        net, "fit_network", lambda *_, **__: net.Network(net.initial_parameters(NETWORK_LAYERS, 1))
     )
     log = scratch_path(spark, "log")
     result = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
-    assert result.status == "success" and "sin memoria" in result.message
+    assert result.status == "partial" and "sin ajuste" in result.message
     assert [r.model for r in spark.read.parquet(log).collect()] == [MODEL_NETWORK]
     monkeypatch.setattr(net, "fit_network", broken)
     failed = training.train(sales, files, scratch_path(spark, "m"), log, NOW)
     assert failed.status == "error" and failed.path is None
 
+    def dies(*_, **__):
+        raise RuntimeError("sin memoria")
+
+    monkeypatch.setattr(net, "fit_network", dies)  # no fault of the model
+    with pytest.raises(RuntimeError, match="sin memoria"):
+        training.train(sales, files, scratch_path(spark, "m"), log, NOW)
+
+
+def test_a_network_that_diverges_is_not_fitted(spark, sales):
+    files = spark.createDataFrame([(1, "a.csv", "aprobado")], "id bigint, ruta string, estado string")
+    wild = sales.withColumn("cantidad_vendida", F.lit(2_000_000_000))
+    cells = training.training_cells(wild.select(*training.BUSINESS_KEYS))
+    table, _ = training.feature_table(cells, features.fit_encoder(cells))
+    with pytest.raises(net.NotFitted):
+        net.fit_network(table.withColumn(TARGET, F.col(TARGET) * 1e300), 100, epochs=2)
+
+
+def test_training_goes_on_after_a_lost_driver(spark, sales, monkeypatch):
+    cells = training.training_cells(sales.select(*training.BUSINESS_KEYS))
+    table = materialize(training.feature_table(cells, features.fit_encoder(cells))[0])
+    whole = net.fit_network(table, 4000, 2000, epochs=8)
+    root, task, calls = scratch_path(spark, "avance"), net._epoch_task, []
+
+    def counted(*args):
+        calls.append(args)
+        if len(calls) == 6:
+            raise RuntimeError("conductor perdido")
+        return task(*args)
+
+    monkeypatch.setattr(net, "_epoch_task", counted)
+    with pytest.raises(RuntimeError, match="conductor"):
+        net.fit_network(table, 4000, 2000, epochs=8, checkpoint=root, checkpoint_every=2)
+    again = net.fit_network(table, 4000, 2000, epochs=8, checkpoint=root, checkpoint_every=2)
+    assert len(calls) == 6 + 5  # epochs 4 to 8
+    assert (again.flat == whole.flat).all() and again.losses == whole.losses
+    other = net.fit_network(table, 4000, 2000, epochs=8, seed=1, checkpoint=root)  # other settings start anew
+    assert (other.flat != whole.flat).any() and len(calls) > 11 + 8
+
+
+def test_scores_by_joins_equal_the_models(spark, sales):
+    files = spark.createDataFrame([(1, "a.csv", "aprobado")], "id bigint, ruta string, estado string")
+    root, log = scratch_path(spark, "m"), scratch_path(spark, "log")
+    result = training.train(sales, files, root, log, NOW)
+    stored = load_artifacts(spark, root)
+    rows = materialize(stored.predictions.withColumn("fila", F.monotonically_increasing_id()))
+    assert rows.count() > 100
+    by_tree = tables.tree_scores(rows, stored.splits, "fila", TREES["maxDepth"])
+    by_net = tables.network_scores(rows, stored.neurons, "fila")
+    both = rows.join(by_tree, "fila").join(by_net, "fila")
+    assert both.count() == rows.count()
+    off = both.filter("abs(pred_trees - pred_arboles) > 1e-8 or abs(pred_network - pred_red) > 1e-8")
+    assert off.isEmpty()
+    again = evaluation.evaluate(stored.predictions, TARGET, {"pred_hybrid": MODEL_HYBRID}, "n").first()
+    logged = spark.read.parquet(log).first()
+    assert result.status == "success" and (again.mae, again.rmse, again.r2) == (logged.mae, logged.rmse, logged.r2)
+
 
 def test_stratified_network_training(spark, sales):
     files = spark.createDataFrame(
