@@ -85,6 +85,13 @@ coercionadas AS (
     SELECT *, CASE WHEN fecha IS NULL THEN 'fecha' WHEN cantidad_vendida <= 0 THEN 'cantidad'
                    WHEN id_producto IS NULL THEN 'sku' END AS motivo
     FROM leidas)"""
+# Day and month in the order of each file; files of doubtful dates only cannot tell theirs.
+_ORDENES = """archivos_de_fechas AS (
+    SELECT concat('proveedor', l_suppkey, '.csv') AS source_file, CAST(l_partkey AS VARCHAR) AS id_producto, CAST(l_shipdate AS DATE) AS f,
+           CAST(l_quantity AS INT) AS cantidad_vendida, l_suppkey % 2 AS impar,
+           bool_and(day(CAST(l_shipdate AS DATE)) <= 12) OVER (PARTITION BY l_suppkey) OR l_suppkey % 5 = 0 AS suelta
+    FROM lineitem
+    WHERE l_suppkey % 5 <> 0 OR (day(CAST(l_shipdate AS DATE)) <= 12 AND day(CAST(l_shipdate AS DATE)) <> month(CAST(l_shipdate AS DATE))))"""
 _COERCED = "id_producto, fecha, cantidad_vendida, source_file"
 _REGISTRO = f"""registro AS (
     SELECT source_file AS nombre_archivo,
@@ -310,6 +317,14 @@ ORACLES = {
     "valid_sales": _with(
         "ventas_raw", f"SELECT {_COERCED} FROM coercionadas WHERE motivo IS NULL", _COERCIONADAS
     ),
+    "dates_by_file": f"""WITH {_ORDENES}
+        SELECT source_file, id_producto, CASE WHEN suelta AND impar = 0 THEN make_date(year(f), day(f), month(f)) ELSE f END AS fecha,
+               cantidad_vendida FROM archivos_de_fechas""",
+    "file_date_orders": f"""WITH {_ORDENES}
+        SELECT source_file, CASE WHEN count(*) FILTER (WHERE day(f) > 12) = 0 THEN 'indeciso' WHEN impar = 0 THEN 'dia' ELSE 'mes' END AS orden,
+               count(*) FILTER (WHERE day(f) > 12 AND impar = 0) AS fechas_dia, count(*) FILTER (WHERE day(f) > 12 AND impar = 1) AS fechas_mes,
+               count(*) FILTER (WHERE day(f) <= 12 AND day(f) <> month(f)) AS fechas_ambos
+        FROM archivos_de_fechas GROUP BY source_file, impar HAVING count(*) FILTER (WHERE day(f) <= 12 AND day(f) <> month(f)) > 0""",
     "rejected_sales": _with(
         "ventas_raw", f"SELECT {_COERCED}, motivo FROM coercionadas WHERE motivo IS NOT NULL", _COERCIONADAS
     ),

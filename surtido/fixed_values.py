@@ -69,6 +69,7 @@ MSG_BAD_FORMAT = "Tipo de archivo desconocido: se leen csv y xlsx."
 MSG_MISSING_COLUMNS = "Faltan columnas: "
 MSG_UNREADABLE = "No se pudo leer: "
 MSG_SAVED = "Ventas guardadas."
+MSG_UNDECIDED = " Sin decidir si el día o el mes va primero en %d fechas."
 MODEL_TREES = "Árboles potenciados"
 MODEL_NETWORK = "Red densa"
 MODEL_HYBRID = "Media de árboles y red"

@@ -16,7 +16,7 @@ from ..fixed_values import (
     STORED_NAMES,
 )
 from ..functions.calendar import day_text
-from ..functions.coerce import finite_or_null, to_quantity, to_sale_date, to_sku
+from ..functions.coerce import day_first, finite_or_null, order_told, other_order, to_quantity, to_sale_date, to_sku
 from ..functions.numbers import hash60, hash_below
 from .lookups import lookup_join
 from .positions import with_position
@@ -39,8 +39,8 @@ def project_required(df: DataFrame, names: dict[str, str] = STORED_NAMES) -> Dat
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()], *extra)
 
 
-def coerce_sales(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
-    """Typed columns and ``motivo``, the reason a row is rejected (null when kept).
+def coerce_sales(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS, *extra: str) -> DataFrame:
+    """Typed columns, those named in ``extra``, and ``motivo``, the reason a row is rejected (null when kept).
 
     Input columns: ``source_file``, ``sku_raw``, ``fecha_raw``, ``cantidad_raw``.
     """
@@ -49,6 +49,7 @@ def coerce_sales(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataF
         to_sale_date(F.col("fecha_raw"), formats).alias("fecha"),
         to_quantity(F.col("cantidad_raw")).alias("cantidad_vendida"),
         "source_file",
+        *extra,
     )
     reason = (
         F.when(F.col("fecha").isNull(), F.lit("fecha"))
@@ -58,6 +59,44 @@ def coerce_sales(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataF
     return typed.withColumn("motivo", reason)
 
 
+def coerce_both_orders(raw: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """``coerce_sales`` with ``orden``, what the date tells, and ``fecha_otra``, its reading in the other order.
+
+    Texts that can be read in both orders are read in that of ``formats`` until
+    ``settle_dates`` knows the file's own.
+    """
+    told = order_told(F.col("fecha_raw")) if day_first(formats) is not None else F.lit(None).cast("string")
+    other = F.when(told == "ambos", to_sale_date(F.col("fecha_raw"), other_order(formats)))
+    extra = raw.withColumn("orden", told).withColumn("fecha_otra", other)
+    coerced = coerce_sales(extra, formats, "orden", "fecha_otra")
+    # A text of which one reading fails after all is no doubtful one.
+    sure = F.col("fecha").isNull() | F.col("fecha_otra").isNull()
+    return coerced.withColumn("orden", F.when((F.col("orden") == "ambos") & sure, F.lit(None)).otherwise(F.col("orden")))
+
+
+def date_orders(coerced: DataFrame) -> DataFrame:
+    """The order of day and month in each file with dates that depend on it, by one pass of partial counts.
+
+    ``orden`` is what more of its dates tell, ``dia`` or ``mes``, and
+    ``indeciso`` if none or as many of either do. Files whose dates leave no
+    doubt are not listed.
+    """
+    counted = coerced.filter(F.col("orden").isNotNull()).groupBy("source_file").agg(
+        *(F.count_if(F.col("orden") == name).alias(f"fechas_{name}") for name in ("dia", "mes", "ambos")))
+    more = F.when(F.col("fechas_dia") > F.col("fechas_mes"), "dia").when(F.col("fechas_mes") > F.col("fechas_dia"), "mes")
+    return counted.filter("fechas_ambos > 0").withColumn("orden", more.otherwise("indeciso"))
+
+
+def settle_dates(coerced: DataFrame, orders: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Every doubtful date in its file's order; in that of ``formats`` where the file is undecided."""
+    other = "mes" if day_first(formats) else "dia"
+    turned = orders.filter(F.col("orden") == other).select("source_file", F.lit(True).alias("_otra"))
+    joined = lookup_join(coerced, turned, "source_file", "left")
+    use = F.col("_otra") & (F.col("orden") == "ambos")
+    return joined.withColumn("fecha", F.when(use, F.col("fecha_otra")).otherwise(F.col("fecha"))).select(
+        *[c for c in coerced.columns if c not in ("orden", "fecha_otra")])
+
+
 def valid_sales(coerced: DataFrame) -> DataFrame:
     return coerced.filter(F.col("motivo").isNull()).drop("motivo")
 

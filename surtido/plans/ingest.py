@@ -9,10 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixed_values import DATE_FORMATS, MSG_EMPTY_FILE
+from ..fixed_values import DATE_FORMATS, MSG_EMPTY_FILE, MSG_UNDECIDED
 from ..operators.lookups import lookup_join
 from ..operators.registry import approve_valid, register_files, registered_again
-from ..operators.sales import coerce_sales, file_outcomes, quality_report, rejected_sales, valid_sales
+from ..operators.sales import (
+    coerce_both_orders,
+    date_orders,
+    file_outcomes,
+    quality_report,
+    rejected_sales,
+    settle_dates,
+    valid_sales,
+)
 from ..schemas import BATCHES, FILES
 from ..session import materialize, temporary_results
 from ..sources.sales_files import list_files, read_sales_files
@@ -26,6 +34,8 @@ class Ingested:
     rejected: DataFrame
     report: DataFrame
     outcomes: DataFrame
+    #: Files whose dates depend on the order of day and month, with the order found.
+    orders: DataFrame
 
 
 def check_files(
@@ -33,12 +43,15 @@ def check_files(
 ) -> Ingested:
     """Read and coerce a folder or list of files once; rows, rejects and reports share the result.
 
-    ``formats`` are the day patterns to accept; for day-first sources pass
-    ``DAY_FIRST_FORMATS``.
+    ``formats`` are the day patterns to accept. Where they allow both orders of
+    day and month, each file's own dates tell its order, and all its doubtful
+    dates are read by it. Where they do not, the order of ``formats`` counts and
+    the outcome of the file says how many dates are in doubt; for day-first
+    sources pass ``DAY_FIRST_FORMATS``.
     """
     listed = list_files(spark, source)
     raw = read_sales_files(spark, source, listed, multiline)
-    coerced = coerce_sales(raw.filter(F.col("problema").isNull()), formats).withColumn(
+    coerced = coerce_both_orders(raw.filter(F.col("problema").isNull()), formats).withColumn(
         "problema", F.lit(None).cast("string")
     )
     broken = raw.filter(F.col("problema").isNotNull()).select("source_file", "problema")
@@ -48,10 +61,12 @@ def check_files(
     problems = staged.filter(F.col("problema").isNotNull()).groupBy("source_file").agg(
         F.min("problema").alias("problema")
     )
-    rows = lookup_join(
+    read = lookup_join(
         staged.filter(F.col("problema").isNull()).drop("problema"),
         problems.select("source_file"), "source_file", "left_anti",
     )
+    orders = materialize(date_orders(read), "orders")
+    rows = settle_dates(read, orders, formats)
     report = quality_report(rows)
     # Listed files that gave neither rows nor a problem hold a header only.
     silent = (
@@ -63,10 +78,19 @@ def check_files(
         valid=valid_sales(rows),
         rejected=rejected_sales(rows),
         report=report,
-        outcomes=file_outcomes(report, problems.unionByName(silent)),
+        outcomes=with_doubts(file_outcomes(report, problems.unionByName(silent)), orders),
+        orders=orders,
     )
 
 
+def with_doubts(outcomes: DataFrame, orders: DataFrame) -> DataFrame:
+    """Outcomes whose message also says how many dates of the file are in doubt."""
+    doubts = orders.filter("orden = 'indeciso'").select(F.col("source_file").alias("ruta"), "fechas_ambos")
+    told = F.when(F.col("fechas_ambos") > 0, F.format_string(MSG_UNDECIDED, "fechas_ambos")).otherwise("")
+    joined = lookup_join(outcomes, doubts, "ruta", "left")
+    return joined.withColumn("mensaje", F.concat("mensaje", told)).select(*outcomes.columns)
+
+
 def ingest_files(
     spark: SparkSession,
     source: str | list[str],

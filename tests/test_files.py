@@ -18,6 +18,8 @@ from surtido.fixed_values import (
     MSG_MISSING_COLUMNS,
     MSG_NO_SHEET,
     MSG_NO_VALID_ROWS,
+    MSG_SAVED,
+    MSG_UNDECIDED,
     MSG_UNREADABLE,
 )
 from surtido.session import materialize, temporary_results
@@ -165,6 +167,31 @@ def test_day_first_files(spark, tmp_path):
     assert sorted(str(r.fecha) for r in got.collect()) == ["2021-01-05", "2021-01-31"]
 
 
+def test_each_file_has_its_own_order_of_day_and_month(spark, tmp_path):
+    head = "SKU,Fecha Venta,Cantidad\n"
+    (tmp_path / "dia.csv").write_text(head + "A,05/01/2021,1\nB,31/01/2021 10:00,1\nC,2021-02-03,1\nD,28-02-2021,1\n")
+    (tmp_path / "mes.csv").write_text(head + "A,05/01/2021,1\nB,01/31/2021,1\nC,7/7/2021,1\n")
+    (tmp_path / "mezcla.csv").write_text(head + "A,05/01/2021,1\nB,13/01/2021,1\nC,14/01/2021,1\nD,01/15/2021,1\n")
+    (tmp_path / "nada.csv").write_text(head + "A,05/01/2021,1\nB,06/01/2021 1:05 pm,1\nC,99/99/2021,1\nD,08/08/2021,1\n")
+    (tmp_path / "libro.xlsx").write_bytes(workbook({"Detalle": [HEADER, ["A", "05/01/2021", "1"], ["B", "30/01/2021", "1"]]}))
+    got = check_files(spark, str(tmp_path))
+    dates = {(r.source_file.rsplit("/", 1)[1][:-4], r.id_producto): str(r.fecha)[5:] for r in got.valid.collect()}
+    assert dates == {
+        ("dia", "A"): "01-05", ("dia", "B"): "01-31", ("dia", "C"): "02-03", ("dia", "D"): "02-28",
+        ("mes", "A"): "05-01", ("mes", "B"): "01-31", ("mes", "C"): "07-07",
+        ("mezcla", "A"): "01-05", ("mezcla", "B"): "01-13", ("mezcla", "C"): "01-14", ("mezcla", "D"): "01-15",
+        ("nada", "A"): "05-01", ("nada", "B"): "06-01", ("nada", "D"): "08-08",
+        ("libro.", "A"): "01-05", ("libro.", "B"): "01-30",
+    }
+    orders = {r.source_file.rsplit("/", 1)[1]: (r.orden, r.fechas_dia, r.fechas_mes, r.fechas_ambos) for r in got.orders.collect()}
+    assert orders == {"dia.csv": ("dia", 2, 0, 1), "mes.csv": ("mes", 0, 1, 1), "mezcla.csv": ("dia", 2, 1, 1),
+                      "nada.csv": ("indeciso", 0, 0, 2), "libro.xlsx": ("dia", 1, 0, 1)}
+    messages = {r.nombre_archivo: r.mensaje for r in got.outcomes.collect()}
+    assert messages["nada.csv"] == MSG_SAVED + MSG_UNDECIDED % 2 and messages["dia.csv"] == MSG_SAVED
+    fixed = check_files(spark, str(tmp_path / "dia.csv"), formats=("yyyy-M-d", "M/d/yyyy")).valid.collect()
+    assert {str(r.fecha) for r in fixed} == {"2021-05-01", "2021-02-03"}  # one order only: no election
+
+
 def test_history_filter_reaches_the_scan_and_years_prune(spark, inbox, tmp_path):
     path = str(tmp_path / "ventas")
     append_sales(check_files(spark, str(inbox)).valid, path, 1, NOW)
