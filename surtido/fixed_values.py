@@ -68,6 +68,7 @@ MSG_NO_SHEET = "Falta la hoja Detalle en el libro."
 MSG_BAD_FORMAT = "Tipo de archivo desconocido: se leen csv y xlsx."
 MSG_MISSING_COLUMNS = "Faltan columnas: "
 MSG_UNREADABLE = "No se pudo leer: "
+MSG_LONG_HEADER = "La línea de títulos no termina en los primeros %d bytes."
 MSG_SAVED = "Ventas guardadas."
 MSG_UNDECIDED = " Sin decidir si el día o el mes va primero en %d fechas."
 MODEL_TREES = "Árboles potenciados"

@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -92,9 +93,9 @@ def _cell_text(cell, strings: list[str], dates: set[int], day0: dt.datetime) ->
     return str(int(number)) if number.is_integer() else repr(number)
 
 
-def sheet_rows(content: bytes, sheet: str) -> Iterator[list[str | None]]:
-    """Cell texts of every non-empty row, in order; dates as ISO texts."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def sheet_rows(content: bytes | BinaryIO, sheet: str) -> Iterator[list[str | None]]:
+    """Cell texts of every non-empty row, in order; dates as ISO texts. ``content``: the bytes, or a file to seek in."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as book:
         part, day0 = _sheet_part(book, sheet)
         strings, dates = _shared_strings(book), _date_styles(book)
         with book.open(part) as stream:

@@ -15,6 +15,7 @@ from surtido.fixed_values import (
     DAY_FIRST_FORMATS,
     MSG_BAD_FORMAT,
     MSG_EMPTY_FILE,
+    MSG_LONG_HEADER,
     MSG_MISSING_COLUMNS,
     MSG_NO_SHEET,
     MSG_NO_VALID_ROWS,
@@ -161,6 +162,85 @@ def test_a_failing_store_raises(spark, inbox, monkeypatch):
         check_files(spark, str(inbox)).valid.count()
 
 
+def test_a_file_without_a_line_end_is_reported_after_its_first_bytes(spark, tmp_path, monkeypatch):
+    (tmp_path / "bien.csv").write_text("SKU,Fecha Venta,Cantidad\nA,2021-01-05,3\n")
+    with open(tmp_path / "larga.csv", "wb") as f:
+        f.truncate(1 << 28)  # zero bytes, no line end
+    with open(tmp_path / "titulo.csv", "w") as f:
+        f.write("SKU,Fecha Venta,Cantidad\nB,2021-01-05,3\n" + "x" * (20 << 20) + "\nC,2021-01-05,3\n")
+    read = []
+
+    class Counting(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return b"x" * n
+
+    class Store:
+        def open_input_stream(self, _):
+            return Counting()
+
+    with pytest.raises(sales_files.LongHeader):
+        monkeypatch.setattr(sales_files, "filesystem_of", lambda *_: (Store(), ""))
+        sales_files._first_line("x", {})
+    assert sum(read) == sales_files.HEADER_BYTES
+    monkeypatch.undo()
+    got = check_files(spark, str(tmp_path))
+    assert {r.id_producto for r in got.valid.collect()} == {"A", "B", "C"}
+    outcomes = {r.nombre_archivo: r.mensaje for r in got.outcomes.collect()}
+    assert outcomes["larga.csv"] == MSG_LONG_HEADER % sales_files.HEADER_BYTES
+
+
+def test_header_lines(tmp_path):
+    def first(data):
+        (tmp_path / "a.csv").write_bytes(data)
+        return sales_files._first_line(f"file://{tmp_path}/a.csv", {})
+
+    assert first(b"") == "" and first(b"\n\r\n  \n") == "" and first(b"\xef\xbb\xbf") == ""
+    assert first(b"\n \r\na,b\r\nc") == "a,b" and first(b"a,b") == "a,b"
+    assert first(b"\xef\xbb\xbfa\n") == "a" and first(b"\n" * 200_000 + b"z\n") == "z"
+    assert first(b"q" * 100_000 + b"\n1") == "q" * 100_000
+
+
+def test_listing_is_by_tasks_and_whole(spark, tmp_path):
+    for name in ("a.csv", "x/y/b.CSV", "x/c.xlsx", "x/_SUCCESS", ".oculto/d.csv", "x/con espacio %41/e [1].csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name.endswith("xlsx") else "z")
+    rows = {r.source_file.removeprefix(f"file://{tmp_path}/"): (r.ending, r.vacio) for r in sales_files.list_files(spark, str(tmp_path)).collect()}
+    assert rows == {"a.csv": ("csv", False), "x/y/b.CSV": ("csv", False), "x/c.xlsx": ("xlsx", True),
+                    "x/con espacio %41/e [1].csv": ("csv", False)}
+    some = sales_files.list_files(spark, [f"{tmp_path}/x/*.xlsx", f"{tmp_path}/a.csv"]).collect()
+    assert len(some) == 2
+    with pytest.raises(FileNotFoundError):
+        sales_files.list_files(spark, str(tmp_path / "nada"))
+    assert sales_files.hadoop_uri("file:///a b/ñ%[x].csv") == "file:/a%20b/ñ%25%5Bx%5D.csv"
+
+
+def test_workbooks_are_read_by_ranges(spark, tmp_path):
+    """A workbook with a large part that nobody needs; the binary reader would refuse it below its limit."""
+    content = io.BytesIO(workbook({"Detalle": [HEADER, ["A", "2021-01-05", "1"]]}))
+    with zipfile.ZipFile(content, "a") as z:
+        z.writestr("xl/media/foto.bin", os.urandom(30 << 20))
+    (tmp_path / "grande.xlsx").write_bytes(content.getvalue())
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1 << 20)
+    try:
+        got = check_files(spark, str(tmp_path))
+        assert [r.id_producto for r in got.valid.collect()] == ["A"]
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+    seen = []
+
+    class Ranged(io.BytesIO):
+        def read(self, n=-1):
+            data = super().read(n)
+            seen.append(len(data))
+            return data
+
+    assert len(list(sheet_rows(Ranged(content.getvalue()), "Detalle"))) == 2
+    assert sum(seen) < 1 << 20
+
+
 def test_day_first_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("SKU,Fecha Venta,Cantidad\nA,05/01/2021,1\nB,31/01/2021,1\n")
     got = check_files(spark, str(tmp_path), formats=DAY_FIRST_FORMATS).valid
