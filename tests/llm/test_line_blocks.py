@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from conftest import SF
 
@@ -38,8 +39,43 @@ def test_short_text_after_excluded_blocks_of_an_article():
         assert main_text(f"<{mark}><p>{'a' * 300}</p>{blocks}<p>Ending</p></{mark}>") == "a" * 300 + "\nEnding"
     posts = f"<article><p>{'b' * 300}</p></article>{'<p>between</p>' * 3}<article><p>Short.</p></article>"
     assert main_text(posts) == "b" * 300 + "\nShort."
-    # Without marks the threshold still tells the text from the rest.
-    assert main_text(f"<p>{'a' * 300}</p>{blocks}<p>Ending</p>") == "a" * 300
+    # Without marks too: what excluded blocks leave empty does not end the text, lines of links do.
+    assert main_text(f"<p>{'a' * 300}</p>{blocks}<p>Ending</p>") == "a" * 300 + "\nEnding"
+    links = "<p><a href=1>More of this</a></p>" * 4
+    assert main_text(f"<p>Top</p>{links}<p>{'a' * 300}</p>{links}<p>Small print</p>") == "a" * 300
+
+
+def test_names_that_speak_of_a_part_without_being_it():
+    for mark in ('article style="overflow:hidden"', 'div class="overflow-hidden"', 'div class="content no-sidebar"',
+                 'article class="post has-comments"', 'article class="post-with-sidebar"', "div hidden=false", 'div data-x="hidden"'):
+        assert main_text(f"<{mark}><p>Whole text</p></{mark.split()[0]}>") == "Whole text", mark
+    for mark in ('div class="site-footer"', "div id=commentList", "div hidden", "div class='x main-sidebar-left'",
+                 'article class="comment"', 'section style="display: none"', "div role=navigation"):
+        assert main_text(f"<p>Text</p><{mark}><p>Other</p></{mark.split()[0]}>") == "Text", mark
+
+
+def test_broken_markup_loses_no_text():
+    assert main_text("<p>if a < b then c follows here") == "if a < b then c follows here"
+    assert main_text("<p>a <b and no end") == "a <b and no end"
+    assert main_text("<p>x</p><b title=it's href=y>one</b><p>two</p><p>it's</p>") == "x\none\ntwo\nit's"
+    assert main_text('<p>x</p><p class="open>two</p><p>three</p>') == "x\ntwo\nthree"
+    assert main_text("<p>a</p></ p><p>b <3 c</p><?x?><!doctype x>") == "a\nb <3 c"
+    assert main_text("<p>a<svg><path d='M0'/><p>b</p>").startswith("a")
+
+
+def test_an_article_that_is_a_teaser_does_not_stand_for_the_page():
+    teaser = "<article><p>Teaser.</p></article>"
+    assert main_text(f"<main><p>{'long ' * 100}</p>{teaser}<p>End.</p></main>") == ("long " * 100).strip() + "\nTeaser.\nEnd."
+    assert main_text(f"<p>{'long ' * 100}</p>{teaser}<p>End.</p>") == ("long " * 100).strip() + "\nTeaser.\nEnd."
+    assert main_text(f"<main><p>Intro</p><article><p>{'text ' * 50}</p></article></main>") == ("text " * 50).strip()
+
+
+def test_broken_pages_take_linear_time():
+    for piece in ("<script ", "<a ", "<", "<!--", "</", "<a b='", '<p x="', "<b>", "</b>", "<i><p>", "&", "<svg>", "<!x", "<textarea", "< p='"):
+        for end in ("", ">", "-->", "</p>"):
+            began = time.perf_counter()
+            main_text(piece * (1_000_000 // len(piece)) + end)
+            assert time.perf_counter() - began < 12, (piece, end)
 
 
 def test_odd_pages():
