@@ -49,7 +49,7 @@ class Anchors:
         self.length, self.k, self.window = length, k, length - k + 1
         rng = np.random.default_rng(2)
         self.byte = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        self._powers(1 << 22)
+        self._powers(1 << 20)
 
     def _powers(self, n: int) -> None:
         base = 0x9E3779B97F4A7C15
@@ -124,7 +124,8 @@ def _anchored(docs: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = _anchors(length, k)
-        for part, data, offsets in _texts(batches, 2):
+        # The finder holds some twenty arrays of eight bytes for each byte of a block.
+        for part, data, offsets in _texts(batches, 2, 512 << 10):
             text, place, anchor, context = finder.of(data, offsets)
             first = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(first), pa.array(x)).cast(f.type)
@@ -426,7 +427,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, k: int = 65, most_context
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns, with repeated passages cut out of the texts.
 
-    A character of which a cut leaves a part goes as a whole. Null texts stay null.
+    All occurrences of a passage go, the first one too. A character of which a
+    cut leaves a part goes as a whole. Null texts stay null; ids may be null or
+    repeat (repeated rows are copies of one another); columns may have any
+    names; an empty table gives an empty table.
     """
     spans = repeated_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length)
     place = docs.columns.index(text_col)
@@ -447,12 +451,14 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of ``docs`` by place and, as the last one, the spans of the text (null: none)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name of the table can clash
+    id_at, text_at = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    keyed = docs.toDF(*names).withColumns(
+        {"_id": id_at.cast("long"), "_hash": F.xxhash64(F.coalesce(text_at.cast("string"), F.lit("")))})
     joined = keyed.join(
         spans.toDF("_of_id", "_of_hash", "_spans"),
         F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_hash") == F.col("_of_hash")), "left")
-    return joined.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), "_spans")
+    return joined.select(*names, "_spans")
 
 
 def _cut(spans: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[dict]], list[bytes]]:
