@@ -393,7 +393,10 @@ def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str
                 text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the document of the smallest id.
 
-    Of repeated rows one stays; documents without shingles stay.
+    Of repeated rows, and of rows of one id and text, one stays; documents
+    without shingles (null or empty texts) stay, one for each id. Rows without
+    an id come after those with one. Columns may have any names; an empty table
+    gives an empty table.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -404,10 +407,12 @@ def one_of_each(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str
             "_of_id", "_of_hash")
 
     chosen = settled(docs.sparkSession, "one_of_each", build)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text)})
+    names = [f"c{i}" for i in range(len(docs.columns))]  # by place, so that no name of the table can clash
+    id_at, text_at = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    keyed = docs.toDF(*names).withColumns(
+        {"_id": id_at.cast("long"), "_hash": F.xxhash64(F.coalesce(text_at.cast("string"), F.lit("")))})
     found = keyed.join(chosen, F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_hash") == F.col("_of_hash")), "left_semi")
-    return found.dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return found.dropDuplicates(["_id", "_hash"]).select(*names).toDF(*docs.columns)
 
 
 def _grouped(plain: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:

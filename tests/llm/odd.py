@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 #: Names that operators use inside; as extra columns they must not matter.
-CLASHING = ("n_tokens", "kept", "spans", "key", "root", "rid", "row_id", "text_hash", "c0", "row", "text_", "words_", "part")
+CLASHING = ("n_tokens", "kept", "spans", "key", "root", "rid", "row_id", "text_hash", "c0", "row", "text_", "words_", "part",
+            "_id", "_hash", "_spans", "_of_id", "_of_hash")
 
 
 def texts() -> list[str | None]:

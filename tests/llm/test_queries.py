@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from surtido.llm import column_bwt, hamming_join, secret_scan
 from surtido.llm.queries import ORACLES, QUERIES
 
 
@@ -76,3 +77,23 @@ def test_stages_take_odd_and_empty_tables(spark):
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert docs.schema.names == names
         docs.collect()
+
+
+def test_columns_of_inner_names_keep_their_values(spark):
+    rows = [(i, f"text number {i} of its own words and more {i} {i * i} ends here", f"m{i}", f"h{i}", f"s{i}") for i in range(5)]
+    passage = " ".join(f"w{i}" for i in range(90))
+    rows += [(5, passage + " first", "m5", "h5", "s5"), (6, "second one " + passage, "m6", "h6", "s6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _hash string, _spans string")
+    for step in (hamming_join.one_of_each, column_bwt.without_repeats, secret_scan.mask_secrets):
+        kept = step(docs)
+        assert kept.columns == docs.columns
+        assert all((r._id, r._hash, r._spans) == tuple(f"{c}{r.doc_id}" for c in "mhs") for r in kept.collect())
+    assert len(column_bwt.without_repeats(docs).filter("doc_id = 5").first().text) < 30
+
+
+def test_a_long_run_of_token_starts_takes_linear_time(spark):
+    text = "eyJ" * 700_000
+    token = "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12
+    docs = spark.createDataFrame([(1, text), (2, f"x {token} y"), (3, f"bearer={token}")], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.scan_secrets(docs)).collect()}
+    assert "jwt" not in spans[1] and f"jwt:2:{2 + len(token)}" in spans[2] and "jwt:7:" in spans[3]
