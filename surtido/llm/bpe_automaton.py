@@ -18,12 +18,12 @@ from __future__ import annotations
 
 import json
 import struct
-import unicodedata
 from collections.abc import Iterator
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from surtido.llm.common import kept_by_worker, map_rows, struct_of, whole_text
 
@@ -111,7 +111,12 @@ class _Recent:
 
 class WordTokenizer:
     """Normalises, splits and encodes as the tokenizer file says; supports the file kind
-    "NFC, one space, lower case, split by pattern, byte symbols, BPE with a word-end suffix"."""
+    "NFC, one space, lower case, split by pattern, byte symbols, BPE with a word-end suffix".
+
+    Character tables differ from one Unicode version to the next, so text that is
+    not ASCII goes through the file's own normaliser and pre-tokeniser; the words
+    that they give are encoded by the automaton, as all others.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -124,6 +129,9 @@ class WordTokenizer:
                 or spec.get("decoder") or not suffix:
             raise ValueError(f"{path}: a tokenizer file of another kind")
         self.split = regex.compile(steps[0]["pattern"]["Regex"])
+        library = Tokenizer.from_file(path)
+        self.normalise = library.normalizer.normalize_str
+        self.pre_split = library.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         vocab = model["vocab"]
@@ -183,20 +191,26 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         ids = self._words.get(word)
         if ids is None:
-            found = self.encode_word(word.encode("utf-8").decode("latin-1").translate(self.symbol))
+            found = self.encode_word(word)
             ids = struct.pack(f"<{len(found)}I", *found)
             if len(word) <= 64:
                 self._words.put(word, ids)
         return ids
 
+    def _split(self, chunk: str) -> list[str]:
+        """Words of text without white space, in byte symbols."""
+        if not chunk.isascii():
+            return [word for word, _ in self.pre_split(self.normalise(chunk))]
+        plain = chunk.lower()
+        if plain.isalpha():
+            return [plain]
+        return [word.translate(self.symbol) for word in self.split.findall(plain)]
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of text without white space, packed as little-endian 32-bit integers."""
         ids = self._chunks.older(chunk)
         if ids is None:
-            # The final sigma of Python's lower() is not the plain letter mapping.
-            plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3")
-            plain = plain.lower()
-            words = [plain] if plain.isalpha() else self.split.findall(plain)
+            words = self._split(chunk)
             ids = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
         if len(chunk) <= 64:
             self._chunks.put(chunk, ids)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import odd
@@ -69,6 +70,29 @@ def test_equals_the_library(spark):
         assert sorted(map(tuple, found), key=str) == expected([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_every_code_point_equals_the_library():
+    library, own = Tokenizer.from_file(PATH), bpe_automaton.WordTokenizer(PATH)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    wrong = []
+    for at in range(0, len(points), 512):
+        text = " ".join(f"{c} a{c}B" for c in points[at : at + 512])
+        if own.encode(text) != np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes():
+            wrong.append(at)
+    assert wrong == []
+
+
+def test_sequences_of_marks_and_white_space_equal_the_library():
+    library, own = Tokenizer.from_file(PATH), bpe_automaton.WordTokenizer(PATH)
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x20000) if unicodedata.combining(chr(c))]
+    others = [*"aeo<|'s\t\n\x1c\x1f\x85\xa0\u1680\u180e\u2003\u2028\u202f\u3000\u200b\ufeff\u1100\u1161\u11a8\u212b\u03a3\u0130"]
+    texts = ["\u0740\u0899", *("".join(rng.choice(marks if rng.random() < 0.6 else others)
+                                       for _ in range(rng.randint(1, 30))) for _ in range(20_000))]
+    wrong = [t for t in texts if own.encode(t) != np.array(
+        library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert wrong == []
+
+
 def test_empty_table(spark):
     assert bpe_automaton.bpe_round_trip(odd.documents(spark).limit(0), PATH).collect() == []
 
