@@ -77,6 +77,21 @@ def write_named(rows: DataFrame, root: str, name: str) -> int:
     return texts.groupBy("carpeta").applyInPandas(write, "n int").count()
 
 
+def write_empty(rows: DataFrame, root: str, name: str) -> int:
+    """One file without a single byte for each folder in ``carpeta``; returns how many."""
+
+    def write(batches):
+        for batch in batches:
+            for inner in batch["carpeta"]:
+                filesystem, folder = filesystem_of(f"{root}/{inner}")
+                filesystem.create_dir(folder, recursive=True)
+                with filesystem.open_output_stream(f"{folder}/{name}"):
+                    pass
+            yield pd.DataFrame({"n": [1] * len(batch)})
+
+    return rows.select("carpeta").distinct().mapInPandas(write, "n int").count()
+
+
 def write_inbox(raw: DataFrame, root: str) -> int:
     """One file per ``source_file``; returns how many.
 

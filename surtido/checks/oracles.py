@@ -9,6 +9,7 @@ from ..fixed_values import (
     MODEL_NETWORK,
     MODEL_TREES,
     MSG_BAD_FORMAT,
+    MSG_EMPTY_FILE,
     MSG_MISSING_COLUMNS,
     MSG_NO_VALID_ROWS,
     MSG_QUIEBRE,
@@ -564,6 +565,14 @@ ORACLES = {
                 FROM coercionadas WHERE {_LEGIBLES} GROUP BY 1) s ON s.source_file = r.nombre_archivo""",
         _COERCIONADAS, _REGISTRO,
     ),
+    "stream_empty_files": f"""
+        SELECT concat('proveedor', CAST(l_suppkey AS VARCHAR)) AS carpeta, 'aprobado' AS estado, count(*) AS filas_guardadas,
+               {_text(MSG_SAVED)} AS mensaje, count(*) AS filas, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS unidades
+        FROM lineitem WHERE l_suppkey % 3 <> 0 OR l_suppkey % 6 = 0 GROUP BY 1
+        UNION ALL
+        SELECT DISTINCT concat('proveedor', CAST(l_suppkey AS VARCHAR)), 'invalido', CAST(0 AS BIGINT),
+               {_text(MSG_EMPTY_FILE)}, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+        FROM lineitem WHERE l_suppkey % 3 = 0""",
     "stored_scaler": _with(
         "ventas archivos",
         " UNION ALL ".join(

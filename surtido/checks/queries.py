@@ -37,7 +37,7 @@ from ..sources.snapshots import read_snapshot
 from ..sources.tables import append_metrics, append_sales, read_sales, read_table, write_attempt
 from ..streaming.sales_stream import start_ingest
 from .fixtures import AS_OF, MOMENT, fixture
-from .inbox import write_inbox, write_named
+from .inbox import write_empty, write_inbox, write_named
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,6 +607,28 @@ def stream_ingest(spark, sf):
     return files.join(stored, "ruta", "left").drop("ruta")
 
 
+@query
+def stream_empty_files(spark, sf):
+    """A file of each supplier, every third one empty when it arrives, and half of those filled before the second run."""
+    root, sales_path, registry_root, checkpoint = (
+        scratch_path(spark, n) for n in ("inbox", "sales", "registry", "stream"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(
+        "l_suppkey AS proveedor", "concat('proveedor', l_suppkey) AS carpeta", "cast(l_partkey as string) AS SKU",
+        "cast(l_shipdate as date) AS `Fecha Venta`", "cast(l_quantity as int) AS Cantidad")
+    write_named(lines.filter("proveedor % 3 <> 0").drop("proveedor"), root, "ventas.csv")
+    write_empty(lines.filter("proveedor % 3 = 0"), root, "ventas.csv")
+    start_ingest(spark, root, sales_path, registry_root, checkpoint).awaitTermination()
+    write_named(lines.filter("proveedor % 6 = 0").drop("proveedor"), root, "ventas.csv")
+    for _ in range(2):  # the third run finds nothing new
+        start_ingest(spark, root, sales_path, registry_root, checkpoint).awaitTermination()
+    stored = read_sales(spark, sales_path).groupBy(F.col("source_file").alias("ruta"), F.lit("aprobado").alias("estado")).agg(
+        F.count(F.lit(1)).alias("filas"), F.sum("cantidad_vendida").alias("unidades"))
+    files = read_snapshot(spark, registry_root, schemas.FILES).select("ruta", "estado", "filas_guardadas", "mensaje")
+    folder = F.element_at(F.split("ruta", "/"), -2).alias("carpeta")
+    return files.join(stored, ["ruta", "estado"], "left").select(
+        folder, "estado", "filas_guardadas", "mensaje", "filas", "unidades")
+
+
 # --- training and serving -------------------------------------------------------
 
 _TRAINED: dict[tuple[str, str], tuple[str, str, DataFrame]] = {}

@@ -26,6 +26,7 @@ FILES = _schema(
 BATCHES = _schema(
     "origen string, batch_id bigint, intento string, huella string, fecha_carga timestamp, registrado boolean"
 )
+ARRIVALS = _schema("origen string, ruta string, bytes bigint, batch_id bigint")
 ALERTS = _schema(
     "id string, sku string, tipo_alerta string, mensaje string, fecha_proyeccion date,"
     "estado string, creado_en timestamp"

@@ -1,4 +1,4 @@
-"""New sales files as a stream of file names, ingested batch by batch."""
+"""Continuous ingest of the files that arrive in a folder."""
 
 from __future__ import annotations
 
@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed_values import DATE_FORMATS
-from ..plans.ingest import ingest_files
-from ..sources.uris import literal
-
-_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+from ..plans.arrivals import ingest_arrivals
 
 
 def start_ingest(
@@ -29,29 +26,26 @@ def start_ingest(
 ) -> StreamingQuery:
     """Ingest files as they arrive under ``source``.
 
-    The stream carries paths only: each batch then reads its files by their own
-    headers and formats. ``every`` (say ``"1 minute"``) keeps it running; without
-    it the query takes what is there and stops. A replayed batch replaces its
-    own sales and registers nothing twice. Batches are numbered from 0 for each
-    ``checkpoint``, so its path is the name of the source unless ``origin`` gives
-    another; other ingests into the same tables keep apart. Files without a
-    single byte never arrive in a file stream; a batch ingest registers them.
+    Each micro-batch looks for what has arrived and takes all of it, by
+    ``ingest_arrivals``: files without a single byte are registered too, which
+    Spark's own file stream would pass over. ``every`` (say ``"1 minute"``) keeps
+    it running; without it the query takes what is there and stops.
+
+    The table of arrivals, not the stream's own offsets, says which files were
+    taken: a micro-batch that Spark repeats, or a lost checkpoint, takes no file
+    twice. Batches are numbered from 0 for each ``checkpoint``, so its path is the
+    name of the source unless ``origin`` gives another; other ingests into the
+    same tables keep apart. One running stream for each name.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        paths = [literal(row.path) for row in batch.collect()]  # at most ``max_files`` names
-        if paths:
-            now = dt.datetime.now(dt.timezone.utc)
-            ingest_files(
-                batch.sparkSession, paths, sales_path, registry_root, batch_id, now, approve=approve,
-                formats=formats, origin=origin or checkpoint,
-            )
-
-    arrivals = (
-        spark.readStream.format("binaryFile").schema(_FILE_SCHEMA)
-        .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(max_files))
-        .load(source).select("path")
-    )
-    writer = arrivals.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
+        ingest_arrivals(
+            batch.sparkSession, source, sales_path, registry_root, dt.datetime.now(dt.timezone.utc),
+            origin or checkpoint, max_files, approve, formats,
+        )
+
+    # The rows only mark the time: one for each micro-batch.
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", "1").option("numPartitions", "1").load()
+    writer = ticks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(take)
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return writer.trigger(**trigger).start()
