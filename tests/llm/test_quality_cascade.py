@@ -57,6 +57,16 @@ def test_rules_that_reject_more_for_less_come_first(spark):
     assert [r.name for r in quality_cascade.order_rules(sample, (never, always))] == ["always", "never"]
 
 
+def test_costs_stand_clear_of_the_job(spark):
+    sample = quality_cascade.measures(spark.read.parquet(f"{SF}/documents.parquet")).limit(500).cache()
+    free = quality_cascade.Rule("free", "n_words < 0")
+    words = "size(filter(words_, w -> not w rlike '(a|b)+c$')) < 0"
+    one, four = (quality_cascade.Rule(f"x{n}", " or ".join([words.replace("c", "c" * (k + 1)) for k in range(n)])) for n in (1, 4))
+    cost = quality_cascade.seconds_a_row(sample, (free, one, four))
+    sample.unpersist()
+    assert cost["free"] < cost["x1"] / 20 and 2 < cost["x4"] / cost["x1"] < 8
+
+
 def test_the_sample_spreads_over_the_table(spark, monkeypatch):
     docs = spark.range(0, 20_000, 1, 4).selectExpr("id as doc_id", "concat('text ', id) as text")
     seen, order = [], quality_cascade.order_rules
