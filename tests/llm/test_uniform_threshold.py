@@ -39,6 +39,32 @@ def test_equals_all_scores(spark, blocks):
     assert sorted(map(tuple, found.collect())) == plain(rows, 20, 20)
 
 
+def test_settled_queries_and_pairs_are_left_out(spark, monkeypatch):
+    rng = random.Random(4)
+    # A few long vectors, the rest short: the cutoffs lie above what most blocks can give.
+    rows = [(i, [rng.choice((-1, 1)) * (4.0 if i < 60 else 0.25) for _ in range(8)]) for i in range(1200)]
+    counts, kept = {}, uniform_threshold.open_queries
+
+    def counted(gathered, cutoffs):
+        counts["all"], counts["open"] = gathered.count(), kept(gathered, cutoffs).count()
+        unit = ["query_block", "query_piece", "block", "piece"]
+        counts["pairs"], counts["open pairs"] = (x.select(*unit).distinct().count() for x in (gathered, kept(gathered, cutoffs)))
+        return kept(gathered, cutoffs)
+
+    monkeypatch.setattr(uniform_threshold, "open_queries", counted)
+    found = uniform_threshold.top_k(frame(spark, rows), rows_each=16, queries_each=4)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 20, 20)
+    assert counts["open"] < 0.6 * counts["all"] and counts["open pairs"] < counts["pairs"]
+
+
+@pytest.mark.parametrize("low, high", [(-2.0, 1.0), (-2.0, 2.0), (-512.0, 3.0), (-(2.0**24), 2.0**24)])
+def test_every_width_is_exact(spark, low, high):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice((low, high, 0.0, 1.0, -0.5)) for _ in range(5)]) for i in range(90)]
+    found = uniform_threshold.top_k(frame(spark, rows), every=3, lists=3, rows_each=32, queries_each=8)
+    assert sorted(map(tuple, found.collect())) == plain(rows, 20, 3)
+
+
 def test_large_components_stay_exact(spark):
     rows = [(i, [float(2**s), -float(2**t)]) for i, (s, t) in enumerate([(20, 3), (22, 21), (23, 1), (5, 5), (24, 24)])]
     assert sorted(map(tuple, uniform_threshold.top_k(frame(spark, rows), every=1).collect())) == plain(rows, 20, 1)
