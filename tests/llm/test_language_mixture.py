@@ -1,3 +1,6 @@
+import math
+import re
+
 import odd
 import pytest
 
@@ -26,6 +29,58 @@ def test_mixed_document_has_both_languages(spark, learned):
     assert [x.lang for x in found.languages][:2] == ["en", "de"] and 0.5 < found.score < 0.85
 
 
+def plain_mixture(model, text, rounds=6, penalty=3.0):
+    """Proportions by language, word by word: expectation-maximisation over each nested set in turn."""
+    folded = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in text.lower().encode())
+    words = []
+    for word in re.findall(rb"[^ ]+", folded):
+        around = b" " + word + b" "
+        slots = [(around[i] << 16 | around[i + 1] << 8 | around[i + 2]) * 2654435761 % 2**32 >> 16 for i in range(len(word))]
+        words.append([float(sum(row[s] for s in slots)) for row in model.log_likelihood])
+    if not words:
+        return {}
+    like = [[math.exp(max(x - max(w), -30.0)) for x in w] for w in words]
+
+    def em(languages):
+        share = {j: 1 / len(languages) for j in languages}
+        for _ in range(rounds):
+            total = dict.fromkeys(languages, 0.0)
+            for w in like:
+                whole = sum(w[j] * share[j] for j in languages)
+                for j in languages:
+                    total[j] += w[j] * share[j] / whole
+            share = {j: x / len(like) for j, x in total.items()}
+        return share, sum(math.log(sum(w[j] * share[j] for j in languages)) for w in like)
+
+    everything = range(len(model.languages))
+    order = sorted(everything, key=lambda j, s=em(everything)[0]: -s[j])
+    price = penalty * math.log(len(words) + 1)
+    alone = [sum(math.log(w[j]) for w in like) for j in everything]
+    best, value = {max(everything, key=lambda j: alone[j]): 1.0}, max(alone)
+    for k in range(2, len(order) + 1):
+        share, found = em(order[:k])
+        if found - price * (k - 1) > value:
+            best, value = share, found - price * (k - 1)
+    return {model.languages[j]: x for j, x in best.items() if x}
+
+
+def test_equals_a_plain_mixture(spark, learned):
+    docs, model = learned
+    texts = [r.text[:1500] for r in docs.filter("text is not null").orderBy("doc_id").limit(90).collect()]
+    mixed = [a[:400] + " " + b[:300] + " " + c[:200] for a, b, c in zip(texts, texts[1:], texts[2:])]
+    own = [*texts, *mixed, "a", "12 ab", "the und les", "=-= 3"]
+    found = {r.doc_id: r for r in language_mixture.identify(odd.documents(spark, own), model).collect()}
+    sizes = set()
+    for i, text in enumerate(own):
+        want = plain_mixture(model, text)
+        got = {x.lang: x.proportion for x in found[i].languages}
+        sizes.add(len(want))
+        assert got == pytest.approx(want, abs=1e-3), text[:80]
+        if want:
+            assert want[found[i].lang_pred] == pytest.approx(max(want.values()), abs=1e-3)
+    assert {0, 1, 2, 3} <= sizes
+
+
 def test_odd_rows(spark, learned):
     docs = odd.documents(spark)
     rows = docs.collect()

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 import odd
 import pytest
@@ -27,6 +29,24 @@ def test_base_rules_equal_a_full_search(spark):
     check(spark.read.parquet(f"{SF}/documents.parquet"))
 
 
+def test_every_rule_equals_a_full_search(spark):
+    rng = random.Random(8)
+    planted = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN " + "A" * 41 + "PRIVATE KEY-----", "ghp_" + "a1B2" * 9, "github_pat_" + "x" * 29,
+               "xoxb-" + "1a-" * 9, "xoxz-" + "1" * 30, "AIza" + "Z_-" * 12, "sk_live_" + "9" * 16, "rk_prod_" + "9" * 16, "sk_test_123",
+               "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 12, "eyJ" + "a" * 9 + ".b.c", "GHP_" + "a" * 40, "0123456789abcdef" * 2,
+               "AKIA" + "Q" * 16, "token: " + "k" * 14, "API-KEY", "é", "👍", "\u017fecret=" + "q" * 20, "-", "_", ".", " ", "\n"]
+    texts = ["".join(rng.choice(planted) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    texts += [p[: rng.randint(1, len(p))] for p in planted * 4]
+    want = {}
+    for i, text in enumerate(texts):
+        want[i] = sorted((m.start(), m.end(), rule.kind) for rule in secret_scan.RULES
+                         for m in re.compile(rule.pattern, re.ASCII).finditer(text) if len(m[rule.group]) >= rule.least)
+    found = {r.doc_id: sorted((s.start, s.end, s.kind) for s in r.spans)
+             for r in secret_scan.scan_secrets(odd.documents(spark, texts)).collect()}
+    assert found == want
+    assert {k for spans in want.values() for _, _, k in spans} == {rule.kind for rule in secret_scan.RULES}
+
+
 def test_more_rules_add_spans_and_masks_cover_all(spark):
     text = "é ghp_" + "a1B2" * 9 + " and -----BEGIN RSA PRIVATE KEY----- token=" + "z" * 20
     docs = odd.documents(spark, [text, None, "clean"])
