@@ -59,14 +59,20 @@ def ingest_arrivals(
     is first noted in the table of arrivals and then ingested; a batch that was
     noted but not ingested comes first at the next call, with its own number and
     those of its files that still exist. Folders are listed by tasks and compared
-    with the table by a join, so the driver sees the names of one batch only.
+    with the table by a join, so the driver sees the names of one batch only. A
+    pattern that fits nothing yet gives nothing; a missing folder is an error.
     One writer at a time for each ``origin``: a second one is refused.
     """
     root = arrivals_root(sales_path)
     settle_batches(spark, sales_path, registry_root, approve)  # an ingest that died after its commit
     count = 0
     with temporary_results(spark):
-        present = list_files(spark, source).select(F.col("source_file").alias("ruta"), "bytes")
+        try:
+            present = list_files(spark, source).select(F.col("source_file").alias("ruta"), "bytes")
+        except FileNotFoundError:
+            if source == literal(source):
+                raise
+            return 0
         while True:
             taken = read_snapshot(spark, root, ARRIVALS).filter(F.col("origen") == origin)
             last = taken.agg(F.max("batch_id")).first()[0]

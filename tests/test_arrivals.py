@@ -2,6 +2,7 @@
 
 import datetime as dt
 import shutil
+import time
 
 import pytest
 
@@ -69,6 +70,37 @@ def test_only_an_empty_file_and_an_empty_folder(place):
     assert place.outcomes() == [("vacio.csv", "invalido", 0, 0)] and place.skus() == []
 
 
+def test_a_running_stream_takes_what_arrives(place):
+    def wait(for_):
+        end = time.monotonic() + 60
+        while place.outcomes() != for_ and time.monotonic() < end:
+            assert query.isActive, query.exception()
+            time.sleep(0.5)
+        assert place.outcomes() == for_
+
+    query = start_ingest(
+        place.spark, str(place.inbox), place.sales, place.registry, place.checkpoint, every="1 second", origin="buzon")
+    try:
+        place.put("vacio.csv")
+        wait([("vacio.csv", "invalido", 0, 0)])
+        place.put("b.csv", "B,2021-01-05,3")
+        wait([("b.csv", "aprobado", 1, 1), ("vacio.csv", "invalido", 0, 0)])
+    finally:
+        query.stop()
+
+
+def test_a_pattern_may_fit_nothing_yet_but_a_folder_has_to_exist(place):
+    def take(source):
+        return ingest_arrivals(place.spark, source, place.sales, place.registry, NOW, "prueba")
+
+    assert take(f"{place.inbox}/*/ventas") == 0
+    with pytest.raises(FileNotFoundError):
+        take(f"{place.inbox}/nada")
+    (place.inbox / "p1" / "ventas").mkdir(parents=True)
+    place.put("p1/ventas/a.csv", "A,2021-01-05,3")
+    assert take(f"{place.inbox}/*/ventas") == 1 and place.skus() == ["A"]
+
+
 def test_batches_are_bounded_and_a_lost_checkpoint_takes_nothing_twice(place):
     for name in "abcde":
         place.put(f"{name}.csv", f"{name},2021-01-05,3")
