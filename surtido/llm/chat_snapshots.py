@@ -43,6 +43,10 @@ def maximal_conversations(log: DataFrame, id_col: str = "conv_id", turn_col: str
     """``conv_id``, ``n_turns``, ``n_copies``: conversations that are no prefix of a longer one.
 
     Equal conversations are one, under the smallest id; ``n_copies`` counts them.
+    Turns follow by number (a null first), then by role and text; a turn logged
+    twice counts once; null roles and texts are empty. Rows without a conversation
+    id are one conversation with a null id; other columns are not read; an empty
+    table gives an empty table.
     """
     key = ["at", "h1", "h2"]
     rolled = rolling_hashes(_turns(log, id_col, turn_col, role_col, text_col)).drop("role", "text")

@@ -263,7 +263,9 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "
                  text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span of a secret replaced by ``mask``.
 
-    Overlapping and touching spans become one mask. Null texts stay null.
+    Overlapping and touching spans become one mask. Null texts stay null, empty
+    ones empty; repeated rows stay, each masked alike; ids are not read; columns
+    may have any names; an empty table gives an empty table.
     """
     place = docs.columns.index(text_col)
     arrow = to_arrow_schema(docs.schema)
