@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.snapshots import StaleVersion, latest_path, latest_version, new_folder, publish_version
 from .network import Network, network_from_table, network_table
 from .tables import neuron_rows, split_rows
+from .trees import thresholds
 
 _SCALER = "columna string, minimo double, maximo double"
 
@@ -39,7 +40,8 @@ def save_artifacts(spark: SparkSession, artifacts: Artifacts, root: str, path: s
     spark.createDataFrame(scaler, _SCALER).coalesce(1).write.parquet(f"{path}/scaler")
     if artifacts.trees is not None:
         artifacts.trees.write().save(f"{path}/trees")
-        split_rows(spark, f"{path}/trees/stages/*").coalesce(1).write.parquet(f"{path}/splits")
+        nodes = split_rows(spark, f"{path}/trees/stages/*", thresholds(artifacts.trees))
+        nodes.coalesce(1).write.parquet(f"{path}/splits")
         parts += ["trees", "splits"]
     if artifacts.network is not None:
         network_table(spark, artifacts.network).coalesce(1).write.parquet(f"{path}/network")

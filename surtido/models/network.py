@@ -38,7 +38,10 @@ _PROGRESS = StructType([
     *[StructField(c, ArrayType(DoubleType())) for c in ("estado", "mejor", "perdidas")],
     StructField("mejor_perdida", DoubleType()), StructField("sin_mejora", IntegerType()),
 ])
-_STATS = "kind string, place int, value double, n double"
+#: What a partition hands back: its loss and held-out weight, the weight it was trained on, its parameters times that weight.
+_STATS = "part int, lost double, held double, seen double, packed binary"
+#: So many partitions are added up by one task.
+_TOGETHER = 64
 
 
 def parameter_count(layers: tuple[int, ...]) -> int:
@@ -88,6 +91,51 @@ def gradient(flat, layers, x, y, weight) -> np.ndarray:
     return out
 
 
+class _Steps:
+    """Mini-batch steps of Adam over one set of buffers; the numbers are those of ``gradient`` and ``AdamState.step``."""
+
+    def __init__(self, state: AdamState, layers: tuple[int, ...], rate: float):
+        self.state, self.rate = state, rate
+        self.views = _views(state.flat, layers)
+        self.grad, self.spare = np.empty_like(state.flat), np.empty_like(state.flat)
+        self.grads = _views(self.grad, layers)
+
+    def step(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        acts, last = [x], len(self.views) - 1
+        for i, (w, b) in enumerate(self.views):
+            z = acts[-1] @ w
+            z += b
+            acts.append(np.maximum(z, 0.0, out=z) if i < last else z)
+        delta = acts[-1]
+        delta -= y[:, None]
+        delta *= ((2.0 / weight.sum()) * weight)[:, None]
+        for i in range(last, -1, -1):
+            np.matmul(acts[i].T, delta, out=self.grads[i][0])
+            np.add.reduce(delta, axis=0, out=self.grads[i][1])
+            if i:
+                # A product with one neuron only is a plain one, at a fraction of the time.
+                w = self.views[i][0]
+                delta = delta * w[:, 0] if w.shape[1] == 1 else delta @ w.T
+                delta *= acts[i] > 0
+        self._adam()
+
+    def _adam(self) -> None:
+        state, grad, t = self.state, self.grad, self.spare
+        state.steps += 1
+        np.subtract(grad, state.first, out=t)
+        t *= 1 - _BETA1
+        state.first += t
+        np.multiply(grad, grad, out=t)
+        t -= state.second
+        t *= 1 - _BETA2
+        state.second += t
+        np.sqrt(state.second, out=t)
+        t += _EPSILON
+        np.divide(state.first, t, out=t)
+        t *= self.rate * np.sqrt(1 - _BETA2**state.steps) / (1 - _BETA1**state.steps)
+        state.flat -= t
+
+
 class NotFitted(ValueError):
     """The network does not fit its rows: the loss is no number."""
 
@@ -131,15 +179,15 @@ class Network:
 
 
 def _epoch_task(shared, layers, batch_size: int, rate: float, seed: int, train: bool):
-    """Partition function: validation loss of the shared weights, then local training."""
+    """Partition function: validation loss of the shared weights, then local training; one row of :data:`_STATS`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        packed = np.asarray(shared.value)
-        state = AdamState.unpack(packed)
-        start = state.flat.copy()
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        state = AdamState.unpack(np.frombuffer(shared.value))
+        start, steps = state.flat.copy(), _Steps(state, layers, rate)
+        part = TaskContext.get().partitionId()
+        rng = np.random.default_rng([seed, part])
         seen = lost = held = 0.0
         for frame in batches:
             x = frame[list(FEATURES)].to_numpy(float)
@@ -152,18 +200,38 @@ def _epoch_task(shared, layers, batch_size: int, rate: float, seed: int, train:
             if train and not val.all():
                 x, y, w = x[~val], y[~val], w[~val]
                 order = rng.permutation(len(y))
+                x, y, w = x[order], y[order], w[order]
                 for at in range(0, len(order), batch_size):
-                    take = order[at : at + batch_size]
-                    state.step(gradient(state.flat, layers, x[take], y[take], w[take]), rate)
+                    steps.step(x[at : at + batch_size], y[at : at + batch_size], w[at : at + batch_size])
                 seen += float(w.sum())
-        out = [("loss", 0, lost, held)]
-        if seen:
-            out += [("param", i, v * seen, seen) for i, v in enumerate(state.pack())]
-        yield pd.DataFrame(out, columns=["kind", "place", "value", "n"])
+        packed = (state.pack() * seen).tobytes() if seen else None
+        yield pd.DataFrame([(part, lost, held, seen, packed)], columns=["part", "lost", "held", "seen", "packed"])
 
     return run
 
 
+def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sum of the rows of a partition, in the order of ``part``: it does not depend on which one came first."""
+    rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["part", "lost", "held", "seen", "packed"])])
+    if not len(rows):
+        return
+    rows = rows.sort_values("part")
+    total = None
+    for packed in rows["packed"].dropna():
+        vector = np.frombuffer(packed)
+        total = vector.copy() if total is None else np.add(total, vector, out=total)
+    yield pd.DataFrame([(rows["part"].iloc[0], *(rows[c].sum() for c in ("lost", "held", "seen")),
+                         None if total is None else total.tobytes())], columns=list(rows.columns))
+
+
+def _total(partial: DataFrame, partitions: int):
+    """The sum of all rows of :data:`_STATS`, by tasks of about as many rows as there are tasks."""
+    if partitions > _TOGETHER:
+        groups = int(partitions**0.5)
+        partial = partial.repartition(groups, "part").mapInPandas(_add_up, _STATS)
+    return partial.repartition(1).mapInPandas(_add_up, _STATS).first()
+
+
 def _even_pieces(rows: DataFrame) -> DataFrame:
     """Rows that stand for many equal ones, cut into pieces of about the mean weight.
 
@@ -239,29 +307,22 @@ def fit_network(
             best_loss, since, done = kept.mejor_perdida, kept.sin_mejora, kept.epoca
     for epoch in range(done, epochs + 1):
         training = epoch < epochs
-        shared = spark.sparkContext.broadcast(state.pack())
+        shared = spark.sparkContext.broadcast(state.pack().tobytes())
         task = _epoch_task(shared, layers, batch_size, rate, seed + epoch, training)
-        sums = (
-            data.mapInPandas(task, _STATS).groupBy("kind", "place")
-            # As decimals the sums do not depend on which partition ends first.
-            .agg(F.sum(F.col("value").cast("decimal(38,12)")).cast("double").alias("value"),
-                 F.sum(F.col("n").cast("decimal(38,12)")).cast("double").alias("n")).toPandas()
-        )
+        sums = _total(data.mapInPandas(task, _STATS), partitions)
         shared.destroy()
-        loss = sums[sums.kind == "loss"].iloc[0]
-        if loss.n and not np.isfinite(loss.value):
-            raise NotFitted(f"loss {loss.value} in epoch {epoch}")
+        if sums.held and not np.isfinite(sums.lost):
+            raise NotFitted(f"loss {sums.lost} in epoch {epoch}")
         if epoch:  # the loss of the weights the previous epoch produced
-            losses.append(float(loss.value / loss.n) if loss.n else np.nan)
-            if not loss.n or losses[-1] < best_loss:
+            losses.append(sums.lost / sums.held if sums.held else np.nan)
+            if not sums.held or losses[-1] < best_loss:
                 best, best_loss, since = state.flat, losses[-1], 0
             else:
                 since += 1
                 if since >= patience:
                     break
         if training:
-            params = sums[sums.kind == "param"].sort_values("place")
-            state = AdamState.unpack((params["value"] / params["n"]).to_numpy())
+            state = AdamState.unpack(np.frombuffer(sums.packed) / sums.seen)
             if checkpoint and (epoch + 1) % checkpoint_every == 0:
                 # Before the loss of these weights is known: the epoch it belongs to comes next.
                 row = (same, epoch + 1, state.pack().tolist(), best.tolist(), losses, float(best_loss), since)

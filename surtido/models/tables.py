@@ -7,7 +7,7 @@ products by neuron.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,8 @@ from ..fixed_values import FEATURES
 from .network import Network
 
 
-def split_rows(spark: SparkSession, model_path: str) -> DataFrame:
-    """Nodes of stored boosted trees.
+def split_rows(spark: SparkSession, model_path: str, thresholds: Mapping[int, Sequence[float]] | None = None) -> DataFrame:
+    """Nodes of stored boosted trees; ``thresholds`` are the values between the bins of features that were cut.
 
     ``arbol``, ``peso`` (the tree's weight), ``nodo`` (0 is the root), ``columna``
     (place of the feature, null in a leaf), ``umbral`` (values up to it go left),
@@ -26,10 +26,14 @@ def split_rows(spark: SparkSession, model_path: str) -> DataFrame:
     weights = spark.read.parquet(f"{model_path}/treesMetadata").toDF("arbol", "_meta", "peso").drop("_meta")
     nodes = spark.read.parquet(f"{model_path}/data").select(F.col("treeID").alias("arbol"), "nodeData.*")
     inner = F.col("leftChild") >= 0
+    threshold = F.element_at("split.leftCategoriesOrThreshold", 1)
+    for place, values in (thresholds or {}).items():
+        value = F.get(F.array(*map(F.lit, values)), F.floor(threshold).cast("int"))
+        threshold = F.when(F.col("split.featureIndex") == place, value).otherwise(threshold)
     return nodes.join(F.broadcast(weights), "arbol").select(
         "arbol", "peso", F.col("id").alias("nodo"),
         F.when(inner, F.col("split.featureIndex")).alias("columna"),
-        F.when(inner, F.element_at("split.leftCategoriesOrThreshold", 1)).alias("umbral"),
+        F.when(inner, threshold).alias("umbral"),
         F.when(inner, F.col("leftChild")).alias("izquierda"),
         F.when(inner, F.col("rightChild")).alias("derecha"),
         F.col("prediction").alias("valor"),

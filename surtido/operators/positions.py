@@ -63,6 +63,23 @@ def with_position(
     )
 
 
+def with_running_total(df: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """Add the total of ``amount`` in the rows before, in ``order``, which tells all rows apart."""
+    placed = _placed(df, order, ties=False)
+    # As above: the window over all partitions sees one row of each.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy("_part").agg(F.sum(amount).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    )
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_start") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        .drop("_part", "_row", "_start")
+    )
+
+
 def with_group_position(
     df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "posicion"
 ) -> DataFrame:

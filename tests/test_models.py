@@ -112,6 +112,62 @@ def test_weighted_rows_train_the_same_trees(spark, learnable):
     assert joined.count() == 11
 
 
+def test_trees_read_bins_and_not_all_rows(spark, learnable):
+    typed = materialize(learnable.select(*FEATURES, F.col(TARGET).cast("double"), F.lit(2.0).alias("n")))
+    cuts = gbt.bin_cuts(typed, "n", bins=8, columns=FEATURES[:1])
+    assert list(cuts) == [FEATURES[0]] and len(cuts[FEATURES[0]]) == 7
+    place = sum((F.col(FEATURES[0]) >= c).cast("int") for c in cuts[FEATURES[0]])
+    binned = typed.select(place.alias("b"), TARGET, "n")
+    sizes = [r["count"] for r in binned.groupBy("b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.1 * min(sizes)  # a bin differs by a value's rows
+    grouped = gbt.group_bins(binned, ["b"], "n")
+    assert grouped.count() == 8 and grouped.agg(F.sum("n")).first()[0] == 12000
+    mean = grouped.agg(F.sum(F.col("n") * F.col(TARGET)) / F.sum("n")).first()[0]
+    assert mean == pytest.approx(typed.agg(F.avg(TARGET)).first()[0])
+
+
+def test_a_heavy_value_has_its_own_bin(spark):
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") == 500, 1e6).otherwise(1.0).alias("n"))
+    cuts = gbt.bin_cuts(rows, "n", bins=256, columns=["x"])["x"]
+    assert cuts == [499.5, 500.5]
+
+
+def test_trees_of_binned_rows_are_as_good_and_stored_with_their_thresholds(spark, learnable):
+    plain, binned = gbt.fit_trees(learnable, maxIter=10), gbt.fit_trees(learnable, group_above=0, maxIter=10)
+    assert not gbt.thresholds(plain) and set(gbt.thresholds(binned)) == set(range(len(FEATURES)))
+    both = [r2(gbt.predict_trees(m, learnable), gbt.PREDICTION) for m in (plain, binned)]
+    assert both[1] == pytest.approx(both[0], abs=0.003)
+    assert " in {" not in binned.stages[-1].trees[0].toDebugString  # thresholds, not categories
+    path = scratch_path(spark, "trees")
+    binned.write().save(path)
+    scored = materialize(gbt.predict_trees(binned, learnable))
+    assert scored.columns == [*learnable.columns, gbt.PREDICTION]
+    nodes = materialize(tables.split_rows(spark, f"{path}/stages/*", gbt.thresholds(binned)))
+    walked = scored.join(tables.tree_scores(scored, nodes, "id", TREES["maxDepth"]), "id")
+    assert walked.filter(f"abs(pred_arboles - {gbt.PREDICTION}) > 1e-8").isEmpty() and walked.count() == 6000
+
+
+def test_steps_in_place_are_those_of_the_gradient():
+    rng = np.random.default_rng(1)
+    x, y, w = rng.random((96, 5)), rng.random(96) * 50, rng.integers(1, 4, 96).astype(float)
+    flat = net.initial_parameters(NETWORK_LAYERS, 2)
+    plain, fast = (net.AdamState(flat.copy(), np.zeros_like(flat), np.zeros_like(flat)) for _ in range(2))
+    steps = net._Steps(fast, NETWORK_LAYERS, 0.01)
+    for at in range(0, 96, 32):
+        part = slice(at, at + 32)
+        plain.step(net.gradient(plain.flat, NETWORK_LAYERS, x[part], y[part], w[part]), 0.01)
+        steps.step(x[part], y[part], w[part])
+    assert np.allclose(plain.pack(), fast.pack(), rtol=1e-9, atol=1e-12)
+
+
+def test_partial_sums_are_added_by_many_tasks_in_one_order(spark):
+    rows = [(i, 1.0 / (i + 1), 1.0, 2.0, (np.arange(3.0) / (i + 1)).tobytes() if i % 3 else None) for i in range(100)]
+    sums = [net._total(spark.createDataFrame(r, net._STATS).repartition(7), 100) for r in (rows, rows[::-1])]
+    assert sums[0] == sums[1] and (sums[0].held, sums[0].seen) == (100.0, 200.0)
+    assert np.allclose(np.frombuffer(sums[0].packed), np.arange(3.0) * sum(1 / (i + 1) for i in range(100) if i % 3))
+    assert sums[0].lost == pytest.approx(sum(r[1] for r in rows))
+
+
 @pytest.fixture(scope="module")
 def sales(spark):
     day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 365).cast("int"))
