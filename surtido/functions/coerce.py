@@ -36,6 +36,25 @@ def _shape(fmt: str) -> str:
     ) + "$"
 
 
+#: Texts of each part of a date; those of no month or day are not worth a try.
+_PARTS = {
+    "yyyy": "([0-9]{4})", "M": "(0?[1-9]|1[0-2])", "MM": "(0[1-9]|1[0-2])",
+    "d": "(0?[1-9]|[12][0-9]|3[01])", "dd": "(0[1-9]|[12][0-9]|3[01])",
+}
+
+
+def _date_parts(fmt: str) -> tuple[str, str] | None:
+    """Regular expression of the dates a format reads, a group for each part, and the ISO text of the groups.
+
+    None for formats of other parts or with letters between them.
+    """
+    tokens = [t[0] for t in re.finditer(r"([A-Za-z])\1*|.", fmt)]
+    order = [t[0] for t in tokens if t.isalpha()]
+    if sorted(order) != ["M", "d", "y"] or any(t not in _PARTS and t not in "./-" for t in tokens):
+        return None
+    return "".join(_PARTS.get(t) or re.escape(t) for t in tokens), "-".join(f"${order.index(p) + 1}" for p in "yMd")
+
+
 _ISO = "yyyy-M-d"
 # A time of day with seconds, fractions, AM or PM and an offset, each as far as given.
 _TIME = (
@@ -61,16 +80,27 @@ def to_sale_date(raw: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 
 
 def _by_shape(text: Column, formats: Sequence[str]) -> Column:
+    """By the formats of the first shape that fits.
+
+    Year, month and day are put in the order a cast reads: that costs a match
+    and throws nothing, while a parser of patterns throws for each text that it
+    cannot read. Matching whole texts, nothing is cut out of them first.
+    """
+    by_shape: dict[str, list[str]] = {}
+    for fmt in formats:
+        by_shape.setdefault(_shape(fmt), []).append(fmt)
     day = F.regexp_extract(text, r"^[0-9./-]+", 0)
     rest = F.substring(text, F.length(day) + 1, F.length(text))
-    by_shape: dict[str, list[Column]] = {}
-    for fmt in formats:
-        plain = fmt == _ISO  # what a cast reads by itself, and faster
-        parsed = day.try_cast("date") if plain else F.try_to_timestamp(day, F.lit(fmt)).cast("date")
-        by_shape.setdefault(_shape(fmt), []).append(parsed)
-    cases = F.when(~rest.rlike(_TIME), F.lit(None).cast("date"))
-    for shape, parsed in by_shape.items():
-        cases = cases.when(day.rlike(shape), F.coalesce(*parsed))
+    cases = F.when(text.isNull(), F.lit(None).cast("date"))
+    for shape, alike in by_shape.items():
+        if all(map(_date_parts, alike)):
+            fits, parsed = text.rlike(shape[:-1] + _TIME[1:]), []
+            for pattern, iso in map(_date_parts, alike):
+                parsed.append(F.regexp_replace(text, "^" + pattern + _TIME[1:], iso).try_cast("date"))
+        else:
+            fits = day.rlike(shape) & rest.rlike(_TIME)
+            parsed = [F.try_to_timestamp(day, F.lit(fmt)).cast("date") for fmt in alike]
+        cases = cases.when(fits, F.coalesce(*parsed))
     return cases
 
 
@@ -94,12 +124,13 @@ def order_told(raw: Column) -> Column:
     same day in both orders.
     """
     text = F.trim(raw.cast("string"))
-    shape = r"^([0-9]{1,2})[./-]([0-9]{1,2})[./-][0-9]{4}(?![0-9])"
-    first, second = (F.regexp_extract(text, shape, i).try_cast("int") for i in (1, 2))
-    return (
-        F.when((first > 12) & (second <= 12), "dia").when((second > 12) & (first <= 12), "mes")
-        .when((first <= 12) & (second <= 12) & (first != second), "ambos")
-    )
+    low, high = "(0?[0-9]|1[0-2])", "(1[3-9]|[2-9][0-9])"
+
+    def starts(first: str, second: str) -> Column:
+        return text.rlike(f"^{first}[./-]{second}[./-][0-9]{{4}}(?![0-9])")
+
+    same = text.rlike(r"^0?([0-9]{1,2})[./-]0?\1[./-]")
+    return F.when(starts(high, low), "dia").when(starts(low, high), "mes").when(starts(low, low) & ~same, "ambos")
 
 
 def to_sku(raw: Column) -> Column:

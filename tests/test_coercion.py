@@ -140,3 +140,25 @@ def test_every_day_reads_back_in_every_format(spark):
 def test_whole_numbers_read_back(spark):
     numbers = spark.range(-5000, 5000).selectExpr("cast(id * 429496 as int) as q")
     assert numbers.filter(coerce.to_quantity(F.col("q").cast("string")) != F.col("q")).isEmpty()
+
+
+def test_dates_are_read_by_casts_and_as_the_patterns_say(spark):
+    parts = spark.range(0, 36).select((F.col("id") - 1).cast("string").alias("a"))
+    texts = parts.withColumn("a", F.explode(F.array("a", F.lpad("a", 2, "0")))).distinct()
+    pairs = texts.crossJoin(texts.withColumnRenamed("a", "b")).crossJoin(
+        spark.createDataFrame([("2024",), ("2023",), ("0000",), ("9999",), ("20240",), ("24",)], "y string"))
+    for pattern, text in (("M/d/yyyy", F.concat_ws("/", "a", "b", "y")), ("d.M.yyyy", F.concat_ws(".", "a", "b", "y")),
+                          ("yyyy/M/d", F.concat_ws("/", "y", "a", "b")), ("yyyyMMdd", F.concat("y", "a", "b")),
+                          ("dd-MM-yyyy", F.concat_ws("-", "a", "b", "y"))):
+        shaped = F.when(text.rlike(coerce._shape(pattern)), F.try_to_timestamp(text, F.lit(pattern)).cast("date"))
+        both = pairs.select(text.alias("t"), coerce.to_sale_date(text, [pattern]).alias("x"), shaped.alias("w"))
+        assert [r.t for r in both.filter("not (x <=> w)").limit(5).collect()] == [], pattern
+    plan = pairs.select(coerce.to_sale_date(F.col("y")), coerce.order_told(F.col("y")))
+    assert "gettimestamp" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_a_date_tells_about_its_order(spark):
+    texts = ["13/1/2024", "1/13/2024", "1/2/2024", "01/1/2024", "1-01-2024", "11/1/2024", "12/12/2024", "0/00/2024",
+             "0/1/2024", "13/13/2024", "2024/1/2", "1/2/20245", "1/2/2024 10:00", " 31.12.2024 ", "", None, "001/2/2024"]
+    assert values(spark, texts, coerce.order_told) == [
+        "dia", "mes", "ambos", None, None, "ambos", None, None, "ambos", None, None, None, "ambos", "dia", None, None, None]
