@@ -73,16 +73,20 @@ def neuron_rows(spark: SparkSession, model: Network) -> DataFrame:
 
 
 def network_scores(rows: DataFrame, neurons: DataFrame, key: str, features: Sequence[str] = FEATURES) -> DataFrame:
-    """``key`` and ``pred_red``: layer by layer, a row for each neuron, ReLU inside and linear at the end."""
-    sizes = [r[1] for r in neurons.groupBy("capa").count().orderBy("capa").collect()]  # one number a layer
+    """``key`` and ``pred_red``: layer by layer, a sum of products for each neuron, ReLU inside and linear at the end.
+
+    A layer is one broadcast row of its neurons, so the rows stay where they are: no row for each neuron, no shuffle.
+    """
+    layers = [r[0] for r in neurons.select("capa").distinct().orderBy("capa").collect()]  # one number a layer
     values = rows.select(key, _features(features).alias("_x"))
-    for layer, size in enumerate(sizes):
-        own = neurons.filter(F.col("capa") == layer).select("neurona", "pesos", "sesgo")
-        total = F.aggregate(F.zip_with("_x", "pesos", lambda x, w: x * w), F.col("sesgo"), lambda s, x: s + x)
-        value = total if layer == len(sizes) - 1 else F.greatest(total, F.lit(0.0))
-        spread = values.withColumn("neurona", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
-        values = (
-            spread.join(F.broadcast(own), "neurona").groupBy(key)
-            .agg(F.transform(F.sort_array(F.collect_list(F.struct("neurona", value.alias("v")))), lambda s: s["v"]).alias("_x"))
-        )
+    for layer in layers:
+        own = neurons.filter(F.col("capa") == layer).agg(
+            F.sort_array(F.collect_list(F.struct("neurona", "pesos", "sesgo"))).alias("_neuronas"))
+
+        def value(neuron: Column, last: bool = layer == layers[-1]) -> Column:
+            products = F.zip_with("_x", neuron["pesos"], lambda x, w: x * w)
+            total = F.aggregate(products, neuron["sesgo"], lambda s, x: s + x)
+            return total if last else F.greatest(total, F.lit(0.0))
+
+        values = values.crossJoin(F.broadcast(own)).select(key, F.transform("_neuronas", lambda n: value(n)).alias("_x"))
     return values.select(key, F.get("_x", F.lit(0)).alias("pred_red"))

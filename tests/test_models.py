@@ -168,6 +168,16 @@ def test_partial_sums_are_added_by_many_tasks_in_one_order(spark):
     assert sums[0].lost == pytest.approx(sum(r[1] for r in rows))
 
 
+def test_network_scores_by_tables_move_no_rows(spark):
+    model = net.Network(net.initial_parameters(NETWORK_LAYERS, 7))
+    rows = spark.range(200).select("id", *[(F.pmod(F.hash("id", F.lit(i)), F.lit(100)) / 100).alias(c) for i, c in enumerate(FEATURES)])
+    scores = tables.network_scores(rows, materialize(tables.neuron_rows(spark, model)), "id")
+    both = net.predict_network(model, rows).join(scores, "id")
+    assert both.count() == 200 and both.filter("abs(pred_red - pred_network) > 1e-9").isEmpty()
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == len(NETWORK_LAYERS) - 1  # of the neurons alone
+
+
 @pytest.fixture(scope="module")
 def sales(spark):
     day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("id") % 365).cast("int"))
