@@ -76,8 +76,10 @@ def group_bins(rows: DataFrame, columns: Sequence[str], weight: str) -> DataFram
     total = F.sum(weight)
     # Bins have an order; without a word the trees would take them for categories.
     ordered = [F.col(c).alias(c, metadata={"ml_attr": {"type": "numeric"}}) for c in columns]
-    grouped = materialize(rows.groupBy(*ordered).agg(
-        (F.sum(F.col(weight) * F.col(TARGET)) / total).alias(TARGET), total.alias(weight)), "bins")
+    # A missing target stays one, so that the trees refuse it as they do in single rows.
+    whole = F.count(TARGET) == F.count(F.lit(1))
+    mean = F.when(whole, F.sum(F.col(weight) * F.col(TARGET)) / total)
+    grouped = materialize(rows.groupBy(*ordered).agg(mean.alias(TARGET), total.alias(weight)), "bins")
     # Read again and again: even slices, where adaptive execution would make one.
     slices = max(1, -(-grouped.count() // _SLICE))
     return materialize(grouped.repartition(slices, *columns), "binned")

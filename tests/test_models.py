@@ -126,6 +126,12 @@ def test_trees_read_bins_and_not_all_rows(spark, learnable):
     assert mean == pytest.approx(typed.agg(F.avg(TARGET)).first()[0])
 
 
+def test_a_missing_target_is_not_averaged_away(spark):
+    rows = spark.createDataFrame([(0.0, 1.0, 1.0), (0.0, None, 1.0), (1.0, 3.0, 2.0)], f"b double, {TARGET} double, n double")
+    got = {r.b: (r[TARGET], r.n) for r in gbt.group_bins(rows, ["b"], "n").collect()}
+    assert got == {0.0: (None, 2.0), 1.0: (3.0, 2.0)}
+
+
 def test_a_heavy_value_has_its_own_bin(spark):
     rows = spark.range(1000).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") == 500, 1e6).otherwise(1.0).alias("n"))
     cuts = gbt.bin_cuts(rows, "n", bins=256, columns=["x"])["x"]
