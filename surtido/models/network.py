@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,12 @@ _PROGRESS = StructType([
 ])
 #: What a partition hands back: its loss and held-out weight, the weight it was trained on, its parameters times that weight.
 _STATS = "part int, lost double, held double, seen double, packed binary"
+#: A batch of a partition: rows to train on and held-out rows, each of features, target and weight.
+_BLOCKS = "part int, fit binary, held binary"
 #: So many partitions are added up by one task.
 _TOGETHER = 64
+#: Partitions beyond so many share tasks; a task costs as much as several thousand rows.
+_TASKS = 128
 
 
 def parameter_count(layers: tuple[int, ...]) -> int:
@@ -178,34 +183,47 @@ class Network:
         return forward(self.flat, self.layers, x)[-1][:, 0]
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch as one row of :data:`_BLOCKS`, so that no epoch takes rows apart again."""
+    for frame in batches:
+        val = frame["es_validacion"].to_numpy(bool)
+        rows = frame[[*FEATURES, TARGET, "n"]].to_numpy(float)
+        # A batch lies in one partition of the sorted rows.
+        yield pd.DataFrame([(int(frame["part"].iloc[0]), rows[~val].tobytes(), rows[val].tobytes())],
+                           columns=["part", "fit", "held"])
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, target and weight of packed rows."""
+    rows = np.frombuffer(block).reshape(-1, len(FEATURES) + 2)
+    return np.ascontiguousarray(rows[:, :-2]), rows[:, -2].copy(), rows[:, -1].copy()
+
+
 def _epoch_task(shared, layers, batch_size: int, rate: float, seed: int, train: bool):
-    """Partition function: validation loss of the shared weights, then local training; one row of :data:`_STATS`."""
+    """Partition function: validation loss of the shared weights, then local training; one row of :data:`_STATS` for each ``part``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        state = AdamState.unpack(np.frombuffer(shared.value))
-        start, steps = state.flat.copy(), _Steps(state, layers, rate)
-        part = TaskContext.get().partitionId()
-        rng = np.random.default_rng([seed, part])
-        seen = lost = held = 0.0
-        for frame in batches:
-            x = frame[list(FEATURES)].to_numpy(float)
-            y, w = frame[TARGET].to_numpy(float), frame["n"].to_numpy(float)
-            val = frame["es_validacion"].to_numpy(bool)
-            if val.any():
-                error = forward(start, layers, x[val])[-1][:, 0] - y[val]
-                lost += float((w[val] * error * error).sum())
-                held += float(w[val].sum())
-            if train and not val.all():
-                x, y, w = x[~val], y[~val], w[~val]
-                order = rng.permutation(len(y))
-                x, y, w = x[order], y[order], w[order]
-                for at in range(0, len(order), batch_size):
-                    steps.step(x[at : at + batch_size], y[at : at + batch_size], w[at : at + batch_size])
-                seen += float(w.sum())
-        packed = (state.pack() * seen).tobytes() if seen else None
-        yield pd.DataFrame([(part, lost, held, seen, packed)], columns=["part", "lost", "held", "seen", "packed"])
+        blocks = (block for frame in batches for block in frame.itertuples(index=False))
+        for part, own in groupby(blocks, key=lambda block: block.part):
+            state = AdamState.unpack(np.frombuffer(shared.value))
+            start, steps = state.flat.copy(), _Steps(state, layers, rate)
+            rng = np.random.default_rng([seed, part])
+            seen = lost = held = 0.0
+            for block in own:
+                if block.held:
+                    x, y, w = _unpacked(block.held)
+                    error = forward(start, layers, x)[-1][:, 0] - y
+                    lost += float((w * error * error).sum())
+                    held += float(w.sum())
+                if train and block.fit:
+                    x, y, w = _unpacked(block.fit)
+                    order = rng.permutation(len(y))
+                    x, y, w = x[order], y[order], w[order]
+                    for at in range(0, len(order), batch_size):
+                        steps.step(x[at : at + batch_size], y[at : at + batch_size], w[at : at + batch_size])
+                    seen += float(w.sum())
+            packed = (state.pack() * seen).tobytes() if seen else None
+            yield pd.DataFrame([(part, lost, held, seen, packed)], columns=["part", "lost", "held", "seen", "packed"])
 
     return run
 
@@ -229,7 +247,8 @@ def _total(partial: DataFrame, partitions: int):
     if partitions > _TOGETHER:
         groups = int(partitions**0.5)
         partial = partial.repartition(groups, "part").mapInPandas(_add_up, _STATS)
-    return partial.repartition(1).mapInPandas(_add_up, _STATS).first()
+    # All of the one row: taking the first would break off the task, and its Python worker with it, every epoch.
+    return partial.repartition(1).mapInPandas(_add_up, _STATS).collect()[0]
 
 
 def _even_pieces(rows: DataFrame) -> DataFrame:
@@ -279,8 +298,8 @@ def fit_network(
     other rows or settings start anew.
 
     ``train``: scaled features, target, ``n`` (equal rows a row stands for) and
-    ``es_validacion``, read from a stored table; it is spread and cached for the
-    epochs. ``rows`` is its row count, which sets the batch size and, with
+    ``es_validacion``, read from a stored table; it is spread, packed and cached
+    for the epochs. ``rows`` is its row count, which sets the batch size and, with
     ``rows_per_partition``, the number of partitions. Partitions are sorted, so
     that a second run over the same rows gives the same weights.
     """
@@ -293,7 +312,9 @@ def fit_network(
     data = (
         _even_pieces(train.select(*columns)).repartition(partitions, *FEATURES, TARGET, "_piece")
         .sortWithinPartitions(*FEATURES, TARGET, "es_validacion", "n", "_piece")
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .withColumn("part", F.spark_partition_id()).mapInPandas(_packed, _BLOCKS)
+        # Whole partitions one after the other: each still starts from the shared weights.
+        .coalesce(min(partitions, _TASKS)).persist(StorageLevel.MEMORY_AND_DISK)
     )
 
     flat = initial_parameters(layers, seed)

@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -174,6 +176,30 @@ def test_partial_sums_are_added_by_many_tasks_in_one_order(spark):
     assert sums[0].lost == pytest.approx(sum(r[1] for r in rows))
 
 
+def test_adding_up_an_epoch_leaves_its_python_worker_alive(spark, monkeypatch, tmp_path):
+    add_up = net._add_up
+
+    def noted(batches):
+        import os
+        (tmp_path / str(os.getpid())).touch()
+        yield from add_up(batches)
+
+    monkeypatch.setattr(net, "_add_up", noted)
+    partial = materialize(spark.createDataFrame([(i, 1.0, 1.0, 1.0, np.arange(3.0).tobytes()) for i in range(4)], net._STATS))
+    for _ in range(3):
+        assert net._total(partial, 4).held == 4.0
+    time.sleep(1)
+    used = [int(p.name) for p in tmp_path.iterdir()]
+    assert used and all(Path(f"/proc/{pid}").exists() for pid in used)
+
+
+def test_partitions_of_one_task_train_as_by_themselves(spark, learnable, monkeypatch):
+    alone = net.fit_network(learnable, 6000, partitions=6, epochs=2)
+    monkeypatch.setattr(net, "_TASKS", 2)
+    shared = net.fit_network(learnable, 6000, partitions=6, epochs=2)
+    assert np.array_equal(alone.flat, shared.flat) and alone.losses == shared.losses
+
+
 def test_network_scores_by_tables_move_no_rows(spark):
     model = net.Network(net.initial_parameters(NETWORK_LAYERS, 7))
     rows = spark.range(200).select("id", *[(F.pmod(F.hash("id", F.lit(i)), F.lit(100)) / 100).alias(c) for i, c in enumerate(FEATURES)])
