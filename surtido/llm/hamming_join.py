@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from surtido.llm.common import kept_by_worker, release_shuffles, settled, struct_of
+from surtido.llm.decontamination import ShingleFilter
 from surtido.session import materialize
 
 @dataclass(frozen=True)
@@ -213,17 +214,17 @@ def _size_allows(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _with_common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b``, the sizes ``n_a``, ``n_b`` of their full sets and ``common``, the size of the intersection."""
+    """The columns of ``pairs``, the sizes ``n_a``, ``n_b`` of their full sets and ``common``, the size of the intersection."""
     whole = [sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in ("a", "b")]
     return pairs.join(whole[0], "a").join(whole[1], "b").select(
-        "a", "b", F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"),
+        *pairs.columns, F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"),
         F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"))
 
 
 def _linked(counted: DataFrame, percent: int) -> DataFrame:
     """Pairs with ``percent`` of their union in common or more."""
     # percent * union = percent * (n_a + n_b - common)
-    return counted.filter((100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return counted.filter((100 + percent) * F.col("common") >= percent * (F.col("n_a") + F.col("n_b"))).drop("n_a", "n_b", "common")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,9 +254,17 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
 
 
+def _united(roots: DataFrame, joined: DataFrame) -> DataFrame:
+    """``roots`` after their components were joined: ``joined`` has the roots whose component has a new one."""
+    new = joined.select(F.col("rid").alias("root"), F.col("root").alias("new"))
+    old = roots.join(new, "root", "left").select("rid", F.coalesce("new", "root").alias("root"))
+    # A document without a link so far is its own root and in no row of roots.
+    return old.union(joined.join(roots, "rid", "left_anti").select("rid", "root"))
+
+
 def _cross_pairs(keys: DataFrame, pivot: DataFrame, counted: DataFrame, signed: DataFrame, sets: DataFrame,
                  roots: DataFrame, percent: int, index: Index, block: int = 2048) -> DataFrame:
-    """Pairs of different components that share a key and may be linked, each of them once."""
+    """Pairs ``a``, ``b`` of different components (``root_a``, ``root_b``) that share a key and may be linked, each of them once."""
     keys = _rooted(keys.select("key", "rid"), roots)
     by_root = keys.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = by_root.groupBy("key").agg(
@@ -295,13 +304,13 @@ def _cross_pairs(keys: DataFrame, pivot: DataFrame, counted: DataFrame, signed:
         .select("key", "few", "every", "side", "rid", "root", "n_shingles", "n_alone", "signature", "in_most",
                 F.coalesce("common", "n_shingles").alias("common"))
     )
-    schema = struct_of(a="long", b="long")
+    schema = struct_of(a="long", b="long", root_a="long", root_b="long")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _units(batches):
             found = _open_pairs(unit, percent, index)
-            if len(found[0]):
+            if found.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=arrow)
 
     return units.mapInArrow(run, schema)
@@ -327,7 +336,8 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _open_pairs(unit: pa.Table, percent: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(unit: pa.Table, percent: int, index: Index) -> np.ndarray:
+    """Rows of the two ends and their components."""
     side, rid, root, n, alone = (unit.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
     signs = _signatures(unit.column(8), index)
     chunk, out = divmod(int(unit.column(0)[0].as_py()) >> 56, index.width)
@@ -335,7 +345,7 @@ def _open_pairs(unit: pa.Table, percent: int, index: Index) -> tuple[np.ndarray,
     # Shared with the pivot, and neither shared with it nor alone: what two rows have in common is in one of them.
     rest = np.maximum(n - common - alone, 0)
     few, every = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    pairs_a, pairs_b = [], []
+    pairs = []
     for start in range(0, len(few), 64):
         i, j = np.meshgrid(few[start : start + 64], every, indexing="ij")
         i, j = i.ravel(), j.ravel()
@@ -352,12 +362,10 @@ def _open_pairs(unit: pa.Table, percent: int, index: Index) -> tuple[np.ndarray,
         first = (by_chunk <= 1).argmax(axis=1)
         left_out = np.where(by_chunk[np.arange(len(i)), first] == 0, 0, differ[np.arange(len(i)), first].argmax(axis=1))
         good = (by_chunk.sum(axis=1) <= index.most_apart) & (first == chunk) & (left_out == out)
-        pairs_a.append(np.minimum(rid[i[good]], rid[j[good]]))
-        pairs_b.append(np.maximum(rid[i[good]], rid[j[good]]))
-    if not pairs_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.unique(np.stack([np.concatenate(pairs_a), np.concatenate(pairs_b)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+        turned = rid[i[good]] > rid[j[good]]
+        low, high = np.where(turned, j[good], i[good]), np.where(turned, i[good], j[good])
+        pairs.append(np.stack([rid[low], rid[high], root[low], root[high]]))
+    return np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((4, 0), np.int64)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id_col: str = "doc_id",
@@ -442,16 +450,22 @@ def _grouped(plain: DataFrame, percent: int, words: int) -> tuple[DataFrame, Dat
     roots = components(first)
     cross = _cross_pairs(keys, pivot, counted, some, sets, roots, percent, index)
     cross = release_shuffles(materialize(cross, "cross_pairs"))
-    roots = components(first.union(_linked(_with_common(cross, sets), percent)))
+    # Only components are joined now, so the steps read a link of two of them and no link a second time.
+    joins = _linked(_with_common(cross, sets), percent).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    roots = _united(roots, components(joins))
     return base, _rooted(signed.select("rid", "set_id", "row"), roots)
 
 
 def _sets(plain: DataFrame, some: DataFrame, words: int) -> DataFrame:
-    """``rid``, ``shingles`` (sorted) of the given classes, read again from the text of one of their documents."""
-    who = some.select("rid", F.col("row.doc_id").alias("of_id"), F.col("row.text_hash").alias("of_hash"))
+    """``rid``, ``shingles`` (sorted) of the given classes, read again from the text of one of their documents.
+
+    A bitmap of the wanted hashes, of bounded size, keeps most other texts out
+    of the shuffle; the join on id and hash removes what it lets through.
+    """
+    who = some.select("rid", *_identity("row.doc_id", "row.text_hash"))
     texts = (
-        _keyed(plain).join(who, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")))
-        .dropDuplicates(["rid"]).select("rid", "text")
+        _passing(_keyed(plain), ShingleFilter(who, "of_hash")).select("text", *_identity("doc_id", "text_hash"))
+        .dropDuplicates(["of_id", "no_id", "of_hash"]).join(who, ["of_id", "no_id", "of_hash"]).select("rid", "text")
     )
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
@@ -463,3 +477,23 @@ def _sets(plain: DataFrame, some: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, arrow[1].type)], schema=arrow)
 
     return texts.mapInArrow(run, schema)
+
+
+def _identity(doc_id: str, text_hash: str) -> list[Column]:
+    """``of_id``, ``no_id``, ``of_hash``, none of them null: one shuffle by them serves removal of copies and join."""
+    return [F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("of_id"), F.col(doc_id).isNull().alias("no_id"),
+            F.col(text_hash).alias("of_hash")]
+
+
+def _passing(keyed: DataFrame, wanted: ShingleFilter) -> DataFrame:
+    """The rows whose ``text_hash`` may be wanted."""
+    passing, load = wanted.reader()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = load()
+        for batch in batches:
+            at = passing(bitmap, np.asarray(batch.column(1)))
+            if len(at):
+                yield batch.take(pa.array(at))
+
+    return keyed.mapInArrow(run, keyed.schema)

@@ -82,6 +82,25 @@ def test_long_chains_become_one_component(spark):
     assert roots == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_texts_of_no_candidate_are_not_shuffled(spark):
+    rows = copies(4, groups=1, each=3) + [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(400)]
+    docs = odd.documents(spark, rows)
+    keyed = hamming_join._keyed(docs)
+    some = keyed.filter("doc_id < 3").selectExpr("doc_id AS rid", "struct(doc_id, text_hash) AS row")
+    plan = hamming_join._sets(docs.union(docs), some, 5)
+    wanted = [r.text_hash for r in keyed.filter("doc_id < 3").collect()]
+    passed = hamming_join._passing(keyed, hamming_join.ShingleFilter(some.select("row.text_hash"), "text_hash"))
+    assert {r.text_hash for r in passed.collect()} >= set(wanted) and passed.count() < 40
+    assert sorted(r.rid for r in plan.collect()) == [0, 1, 2]
+
+
+def test_components_joined_later_keep_their_members(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (8, 8), (9, 8)], "rid long, root long")
+    joined = spark.createDataFrame([(3, 1), (1, 1), (7, 1)], "rid long, root long")
+    found = {r.rid: r.root for r in hamming_join._united(roots, joined).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 7: 1, 8: 8, 9: 8}
+
+
 def test_empty_table(spark):
     docs = odd.documents(spark).limit(0)
     assert hamming_join.near_duplicates(docs).collect() == [] and hamming_join.one_of_each(docs).collect() == []
