@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import FILE_STATES
@@ -15,9 +15,9 @@ from .snapshots import change_state, promote, remove_ids
 
 
 def register_files(
-    outcomes: DataFrame, batch_id: int, loaded_at: dt.datetime, loaded_by: str = "Sistema", origin: str = "manual"
+    outcomes: DataFrame, batch_id: int | Column, loaded_at: dt.datetime, loaded_by: str = "Sistema", origin: str = "manual"
 ) -> DataFrame:
-    """Registry rows of file outcomes. The id follows from path, source and batch, so a replay repeats it."""
+    """Registry rows of file outcomes, of one batch or by a column of them. The id follows from path, source and batch, so a replay repeats it."""
     moment = F.lit(loaded_at).cast("timestamp")
     batch = F.lit(batch_id).cast("bigint")
     return outcomes.select(

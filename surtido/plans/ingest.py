@@ -25,7 +25,7 @@ from ..schemas import BATCHES, FILES
 from ..session import materialize, temporary_results
 from ..sources.sales_files import list_files, read_sales_files
 from ..sources.snapshots import merge_snapshot, read_snapshot
-from ..sources.tables import OtherFiles, batches_root, commit_batch, write_attempt
+from ..sources.tables import batches_root, commit_batch, refuse_other_files, write_attempt
 
 
 @dataclass
@@ -39,7 +39,8 @@ class Ingested:
 
 
 def check_files(
-    spark: SparkSession, source: str | list[str], multiline: bool = False, formats: Sequence[str] = DATE_FORMATS
+    spark: SparkSession, source: str | list[str], multiline: bool = False, formats: Sequence[str] = DATE_FORMATS,
+    listed: DataFrame | None = None,
 ) -> Ingested:
     """Read and coerce a folder or list of files once; rows, rejects and reports share the result.
 
@@ -47,9 +48,11 @@ def check_files(
     day and month, each file's own dates tell its order, and all its doubtful
     dates are read by it. Where they do not, the order of ``formats`` counts and
     the outcome of the file says how many dates are in doubt; for day-first
-    sources pass ``DAY_FIRST_FORMATS``.
+    sources pass ``DAY_FIRST_FORMATS``. ``listed`` is the ``list_files`` of
+    ``source``, where that is known already.
     """
-    listed = list_files(spark, source)
+    if listed is None:
+        listed = list_files(spark, source)
     raw = read_sales_files(spark, source, listed, multiline)
     coerced = coerce_both_orders(raw.filter(F.col("problema").isNull()), formats).withColumn(
         "problema", F.lit(None).cast("string")
@@ -103,6 +106,7 @@ def ingest_files(
     multiline: bool = False,
     formats: Sequence[str] = DATE_FORMATS,
     origin: str = "manual",
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Check files, store their valid sales, register every file; returns the registry rows of the batch.
 
@@ -112,30 +116,45 @@ def ingest_files(
     with other files is refused, as it would delete the sales of the first ones.
     ``approve`` promotes valid files, as the periodic ingest does.
 
+    ``listed`` names the files of several batches, the first of them ``batch_id``:
+    the ``list_files`` of ``source`` with each file's own ``batch_id``. They are
+    read, stored and committed in one go, and are afterwards what they would be
+    one by one: each can be repeated by itself.
+
     The commit of the batch is the one step that counts. Its registry rows are
     stored before it, so if the job dies right after it, the next ingest
     registers them.
     """
-    own = (F.col("origen") == origin) & (F.col("batch_id") == batch_id)
+    several = listed is not None
+    numbers = [r[0] for r in listed.select("batch_id").distinct().collect()] if several else [batch_id]
+    own = (F.col("origen") == origin) & F.col("batch_id").isin(numbers)
     with temporary_results(spark):
-        checked = check_files(spark, source, multiline, formats)
-        rows = materialize(register_files(checked.outcomes, batch_id, loaded_at, loaded_by, origin), "outcomes")
-        files = files_digest(rows)
-        known = read_snapshot(spark, batches_root(sales_path), BATCHES).filter(own).select("huella").first()
-        if known is not None and known.huella != files:
-            raise OtherFiles(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
-        attempt = write_attempt(checked.valid, sales_path, batch_id, loaded_at, origin)
+        checked = check_files(spark, source, multiline, formats, listed)
+        valid, outcomes, number = checked.valid, checked.outcomes, batch_id
+        if several:
+            batch_of = listed.select("source_file", "batch_id")
+            valid, number = lookup_join(valid, batch_of, "source_file", "inner"), F.col("batch_id")
+            outcomes = lookup_join(outcomes, batch_of.withColumnRenamed("source_file", "ruta"), "ruta", "inner")
+        rows = materialize(register_files(outcomes, number, loaded_at, loaded_by, origin), "outcomes")
+        digests = files_digests(rows)
+        files = {n: digests.get(n, _NO_FILES) for n in numbers}
+        refuse_other_files(read_snapshot(spark, batches_root(sales_path), BATCHES), origin, files)
+        attempt = write_attempt(valid, sales_path, number, loaded_at, origin)
         (approve_valid(rows) if approve else rows).write.parquet(_outcomes_path(sales_path, attempt))
-        commit_batch(spark, sales_path, batch_id, attempt, loaded_at, origin, files, registered=False)
+        commit_batch(spark, sales_path, files, attempt, loaded_at, origin, registered=False)
     settle_batches(spark, sales_path, registry_root, approve)
     return read_snapshot(spark, registry_root, FILES).filter(own)
 
 
-def files_digest(rows: DataFrame) -> str:
-    """One text for a set of paths, in any order; added up by Spark."""
-    paths = rows.select("ruta").distinct()
+_NO_FILES = "0-None-None"
+
+
+def files_digests(rows: DataFrame) -> dict[int, str]:
+    """One text for the set of paths of each batch, in any order; added up by Spark."""
+    paths = rows.select("batch_id", "ruta").distinct()
     pair = [F.xxhash64(F.lit(seed), "ruta").cast("decimal(38,0)") for seed in (1, 2)]
-    return "-".join(str(v) for v in paths.agg(F.count(F.lit(1)), *[F.sum(h) for h in pair]).first())
+    sums = paths.groupBy("batch_id").agg(F.count(F.lit(1)), *[F.sum(h) for h in pair]).collect()
+    return {number: "-".join(map(str, values)) for number, *values in sums}
 
 
 def _outcomes_path(sales_path: str, attempt: str) -> str:
@@ -152,7 +171,12 @@ def settle_batches(spark: SparkSession, sales_path: str, registry_root: str, app
     open_ = read_snapshot(spark, root, BATCHES).filter("not registrado").collect()
     if not open_:
         return 0
-    rows = spark.read.schema(FILES).parquet(*(_outcomes_path(sales_path, b.intento) for b in open_))
+    attempts = sorted({b.intento for b in open_})
+    stored = spark.read.schema(FILES).parquet(*(_outcomes_path(sales_path, a) for a in attempts))
+    # An attempt may hold several batches, of which another attempt can have replaced some.
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("intento")
+    counted = spark.createDataFrame([(b.intento, b.origen, b.batch_id) for b in open_], "intento string, origen string, batch_id bigint")
+    rows = stored.select("*", folder).join(F.broadcast(counted), ["intento", "origen", "batch_id"], "left_semi").select(*FILES.names)
 
     def register(registered: DataFrame) -> DataFrame:
         changed = registered_again(registered, rows)
@@ -162,7 +186,6 @@ def settle_batches(spark: SparkSession, sales_path: str, registry_root: str, app
         return changed
 
     merge_snapshot(registry_root, FILES, ["id"], register, spark)
-    attempts = [b.intento for b in open_]
     merge_snapshot(
         root, BATCHES, ["origen", "batch_id"],
         lambda batches: batches.filter(F.col("intento").isin(attempts)).withColumn("registrado", F.lit(True)), spark)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -34,24 +35,26 @@ def batches_root(path: str) -> str:
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """Sales of committed batches.
 
-    Every writing of a batch lies in a folder of its own; the batch's row in the
-    table of batches says which one counts, so what failed or replaced attempts
-    have left is never read.
+    Every writing of a batch, or of several in one go, lies in a folder of its own;
+    the batch's row in the table of batches says which one counts for it, so what
+    failed or replaced attempts have left is never read.
     """
     data, fs = hadoop(spark, f"{path}/datos")
     if not fs.exists(data):
         return spark.createDataFrame([], SALES)
     stored = StructType([*SALES.fields, StructField("intento", StringType())])
     rows = spark.read.schema(stored).parquet(f"{path}/datos")
-    committed = read_snapshot(spark, batches_root(path), BATCHES).select("intento")
+    committed = read_snapshot(spark, batches_root(path), BATCHES).select("intento", "origen", "batch_id")
     # A short row a batch: the commit says how many there are at most.
     if row_bound(spark, batches_root(path)) <= _BROADCAST_BATCHES:
         committed = F.broadcast(committed)
-    return rows.join(committed, "intento", "left_semi").select(*SALES.names)
+    return rows.join(committed, ["intento", "origen", "batch_id"], "left_semi").select(*SALES.names)
 
 
-def write_attempt(sales: DataFrame, path: str, batch_id: int, loaded_at: dt.datetime, origin: str = "manual") -> str:
-    """Store the rows of a batch where no reader sees them yet; returns the name of the attempt.
+def write_attempt(
+    sales: DataFrame, path: str, batch_id: int | Column, loaded_at: dt.datetime, origin: str = "manual"
+) -> str:
+    """Store the rows of a batch, or of several by a column of ``sales``, where no reader sees them yet; returns the name of the attempt.
 
     Partitioned by attempt and year, so that date filters prune. Rebalancing
     gives even files whatever the year or the SKU mix; the sort lets filters on
@@ -73,22 +76,28 @@ def write_attempt(sales: DataFrame, path: str, batch_id: int, loaded_at: dt.date
     return attempt
 
 
+def refuse_other_files(batches: DataFrame, origin: str, files: Mapping[int, str]) -> None:
+    """Raise :class:`OtherFiles` if a batch of ``files`` is among ``batches`` with another digest."""
+    known = batches.filter((F.col("origen") == origin) & F.col("batch_id").isin(list(files)))
+    for row in known.select("batch_id", "huella").orderBy("batch_id").collect():
+        if row.huella != files[row.batch_id]:
+            raise OtherFiles(f"lote {row.batch_id} de {origin}: ya registrado con otros archivos")
+
+
 def commit_batch(
-    spark: SparkSession, path: str, batch_id: int, attempt: str, loaded_at: dt.datetime, origin: str = "manual",
-    files: str = "", registered: bool = True,
+    spark: SparkSession, path: str, files: Mapping[int, str], attempt: str, loaded_at: dt.datetime,
+    origin: str = "manual", registered: bool = True,
 ) -> None:
-    """Make an attempt the batch's rows, in place of any earlier one, in one step.
+    """Make an attempt the rows of its batches, in place of any earlier ones, in one step.
 
-    ``files`` is a digest of the files the batch came from; the same batch from
-    other files is refused, also if two writers come at once.
+    ``files`` has each batch's digest of the files it came from; the same batch
+    from other files is refused, also if two writers come at once.
     """
 
     def commit(batches: DataFrame) -> DataFrame:
-        known = batches.filter((F.col("origen") == origin) & (F.col("batch_id") == batch_id)).select("huella").first()
-        if known is not None and known.huella != files:
-            raise OtherFiles(f"lote {batch_id} de {origin}: ya registrado con otros archivos")
-        row = (origin, batch_id, attempt, files, loaded_at, registered)
-        return spark.createDataFrame([row], BATCHES)
+        refuse_other_files(batches, origin, files)
+        rows = [(origin, number, attempt, digest, loaded_at, registered) for number, digest in files.items()]
+        return spark.createDataFrame(rows, BATCHES)
 
     merge_snapshot(batches_root(path), BATCHES, ["origen", "batch_id"], commit, spark)
 
@@ -98,7 +107,7 @@ def append_sales(
 ) -> None:
     """Write one batch of sales; the same batch written again replaces all its rows, of whatever years."""
     attempt = write_attempt(sales, path, batch_id, loaded_at, origin)
-    commit_batch(sales.sparkSession, path, batch_id, attempt, loaded_at, origin, files)
+    commit_batch(sales.sparkSession, path, {batch_id: files}, attempt, loaded_at, origin)
 
 
 def remove_replaced_sales(spark: SparkSession, path: str, older_than_ms: int = 7 * 86_400_000) -> int:

@@ -160,3 +160,79 @@ def test_a_file_filled_between_listing_and_reading_is_taken_once(spark):
     files = spark.createDataFrame(
         [("f1", 3, "procesado"), ("f2", 3, "invalido"), ("f2", 2, "aprobado")], "ruta string, batch_id bigint, estado string")
     assert sorted(map(tuple, new_arrivals(present, taken, files).collect())) == [("f2", 9), ("f5", 0)]
+
+
+def test_batches_in_one_go_are_what_they_would_be_one_by_one(place):
+    for name in "abcde":
+        place.put(f"{name}.csv", f"{name},2021-01-05,3")
+    place.put("f.csv")
+    calls, ingest_files = [], arrivals.ingest_files
+
+    def counted(*args, **options):
+        calls.append(options["listed"].count())
+        return ingest_files(*args, **options)
+
+    arrivals.ingest_files = counted
+    try:
+        assert place.take(max_files=2) == 6
+        assert calls == [6]  # before, a run of jobs for each batch: 2, 2, 2
+    finally:
+        arrivals.ingest_files = ingest_files
+    assert place.outcomes() == [
+        *((f"{n}.csv", "aprobado", 1, at // 2) for at, n in enumerate("abcde")), ("f.csv", "invalido", 0, 2)]
+    sales = read_sales(place.spark, place.sales)
+    assert sorted((r.id_producto, r.batch_id) for r in sales.collect()) == [(n, at // 2) for at, n in enumerate("abcde")]
+    # One batch of them is replayed by itself; with other files it is refused.
+    place.put("c.csv", "c,2021-01-05,3", "z,2021-01-05,3")
+    pair = [f"{place.inbox}/{n}.csv" for n in "cd"]
+    arrivals.ingest_files(place.spark, pair, place.sales, place.registry, 1, NOW, origin="prueba", approve=True)
+    assert place.skus() == list("abcdez")
+    assert [o for o in place.outcomes() if o[3] == 1] == [("c.csv", "aprobado", 2, 1), ("d.csv", "aprobado", 1, 1)]
+    with pytest.raises(OtherFiles, match="lote 2"):
+        arrivals.ingest_files(place.spark, pair, place.sales, place.registry, 2, NOW, origin="prueba")
+    assert place.take(max_files=2) == 0
+
+
+def test_batches_noted_in_one_go_keep_their_numbers_after_a_crash(place, monkeypatch):
+    for name in "abcd":
+        place.put(f"{name}.csv", f"{name},2021-01-05,3")
+    with monkeypatch.context() as broken:
+        def fail(*_, **__):
+            raise RuntimeError("driver lost")
+        broken.setattr(arrivals, "ingest_files", fail)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            place.take(max_files=1)
+    (place.inbox / "b.csv").unlink()
+    place.put("e.csv", "e,2021-01-05,3")
+    assert place.take(max_files=1) == 4
+    assert [(o[0], o[3]) for o in place.outcomes()] == [("a.csv", 0), ("c.csv", 2), ("d.csv", 3), ("e.csv", 4)]
+    assert place.skus() == list("acde") and place.take(max_files=1) == 0
+
+
+def test_a_go_is_bounded_by_bytes(place):
+    class File:
+        def __init__(self, size):
+            self.bytes = size
+
+    files = [File(n) for n in (5, 5, 5, 5, 1)]
+    assert [len(arrivals._in_one_go(files, 2, most)) for most in (9, 10, 19, 20, 21)] == [2, 2, 2, 4, 5]
+
+
+def test_a_replaced_batch_is_registered_once_after_a_crash(place, monkeypatch):
+    from surtido.plans import ingest
+
+    for name in "ab":
+        place.put(f"{name}.csv", f"{name},2021-01-05,3")
+    settle = ingest.settle_batches
+    with monkeypatch.context() as broken:
+        def fail(*_, **__):
+            raise RuntimeError("driver lost")
+        broken.setattr(ingest, "settle_batches", fail)
+        with pytest.raises(RuntimeError, match="driver lost"):
+            place.take(max_files=1)
+        place.put("a.csv", "a,2021-01-05,3", "z,2021-01-05,3")
+        with pytest.raises(RuntimeError, match="driver lost"):
+            arrivals.ingest_files(
+                place.spark, [f"{place.inbox}/a.csv"], place.sales, place.registry, 0, NOW, origin="prueba", approve=True)
+    assert settle(place.spark, place.sales, place.registry, True) == 2
+    assert place.outcomes() == [("a.csv", "aprobado", 2, 0), ("b.csv", "aprobado", 1, 1)] and place.skus() == list("abz")
