@@ -11,6 +11,7 @@ import csv
 import io
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import quote
 
@@ -93,13 +94,17 @@ def list_files(spark: SparkSession, source: str | list[str]) -> DataFrame:
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     opened: dict = {}
     for batch in batches:
+        rows: list = []  # of many folders: a frame for each would cost more than its listing
         for folder in batch["ruta"]:
             filesystem, inner = filesystem_of(folder, opened)
             found = filesystem.get_file_info(fs.FileSelector(inner))
-            rows = [(f"{folder.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size or 0)
-                    for f in found if not f.base_name.startswith((".", "_"))]
-            for at in range(0, len(rows), _CHUNK_ROWS):
-                yield pd.DataFrame(rows[at : at + _CHUNK_ROWS], columns=["ruta", "carpeta", "bytes"])
+            rows += [(f"{folder.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size or 0)
+                     for f in found if not f.base_name.startswith((".", "_"))]
+            while len(rows) >= _CHUNK_ROWS:
+                yield pd.DataFrame(rows[:_CHUNK_ROWS], columns=["ruta", "carpeta", "bytes"])
+                rows = rows[_CHUNK_ROWS:]
+        if rows:
+            yield pd.DataFrame(rows, columns=["ruta", "carpeta", "bytes"])
 
 
 def _plain(path: str) -> Column:
@@ -167,6 +172,18 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=_HEADER.names, dtype=object)
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark lists named files with a task for each of up to 10,000; inside this, with a few for each core."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_csv_files(
     spark: SparkSession, source: str | list[str], listed: DataFrame, multiline: bool = False
 ) -> DataFrame:
@@ -191,15 +208,15 @@ def read_csv_files(
         return problems
     columns = [f"c{i}" for i in range(last + 1)]
     paths = source if isinstance(source, str) else [p for p in source if _ending(p) == "csv"]
-    rows = (
+    reader = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _CSV_PATTERN)
         .schema(", ".join(f"{c} string" for c in columns))
         .option("header", "true").option("escape", '"').option("mode", "PERMISSIVE")
         .option("multiLine", str(multiline).lower())
         .option("mapreduce.input.linerecordreader.line.maxlength", str(LINE_BYTES))
-        .csv(paths)
-        .select(F.array(*columns).alias("values"), F.col("_metadata.file_path").alias("uri"))
     )
+    with _few_listing_tasks(spark):
+        rows = reader.csv(paths).select(F.array(*columns).alias("values"), F.col("_metadata.file_path").alias("uri"))
     places = headers.filter(F.col("problema").isNull()).drop("problema")
     taken = lookup_join(rows, places, "uri", "inner")
     return taken.select(

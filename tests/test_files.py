@@ -6,6 +6,7 @@ import os
 import re
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,32 @@ def test_files_of_one_name_are_one_for_each_folder(spark, tmp_path):
     assert [f.parent.parent.name for f in files] == [f"p{i}" for i in range(6)]
     lines = [f.read_text().splitlines() for f in files]
     assert all(len(x) == 11 and x[0] == "SKU,Fecha Venta" for x in lines) and "2,2024-05-01" in lines[2]
+
+
+def test_many_folders_are_listed_by_few_frames_and_many_files_by_few_tasks(spark, tmp_path):
+    folders = [tmp_path / f"p{i}" for i in range(50)]
+    for folder in folders:
+        folder.mkdir()
+        (folder / "a.csv").write_text("SKU,Fecha Venta,Cantidad\nA,2021-01-05,1\n")
+    named = pd.DataFrame({"ruta": [str(f) for f in folders]})
+    frames = list(sales_files._list_folders(iter([named])))
+    assert [len(f) for f in frames] == [50]  # before, a frame for each folder
+    paths = [f"{f}/a.csv" for f in folders]
+    setting, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before = spark.conf.get(setting)
+    listed = sales_files.list_files(spark, paths)
+    spark.sparkContext.setJobGroup("lectura", "lectura")
+    try:
+        read = sales_files.read_csv_files(spark, paths, listed)
+        tracker = spark.sparkContext.statusTracker()
+        for job in tracker.getJobIdsForGroup("lectura"):
+            for stage in tracker.getJobInfo(job).stageIds:
+                info = tracker.getStageInfo(stage)
+                if info:
+                    seen.append(info.numTasks)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    # Before, a task for each file.
+    assert max(seen) <= 4 * spark.sparkContext.defaultParallelism and spark.conf.get(setting) == before
+    assert read.count() == 50
