@@ -661,7 +661,7 @@ def training_metrics(spark, sf):
 
 
 def _by_tables(rows: DataFrame, artifacts: Artifacts, key: str) -> DataFrame:
-    """``rows`` with the scores of the stored trees and network, worked out by joins over their tables."""
+    """``rows`` with the scores of the stored trees and network, worked out from their tables."""
     trees = tables.tree_scores(rows, artifacts.splits, key, TREES["maxDepth"])
     return rows.join(trees, key).join(tables.network_scores(rows, artifacts.neurons, key), key)
 

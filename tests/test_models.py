@@ -350,3 +350,36 @@ def test_hash_split_is_disjoint_complete_and_about_a_fifth(sales):
     assert rows.filter("es_prueba is null").isEmpty() and 0.15 < share < 0.25
     sides = rows.groupBy("id_producto", "fecha", "cantidad_vendida").agg(F.countDistinct("es_prueba").alias("k"))
     assert sides.filter("k > 1").isEmpty()
+
+
+def test_scores_by_tables_of_missing_and_odd_values(spark):
+    """Against plain walks and sums, value by value; a missing value goes right and gives a neuron nothing."""
+    nan, inf = float("nan"), float("inf")
+    values = [(None, 0.5), (nan, 0.5), (inf, -inf), (0.25, 0.5), (0.2500001, None), (-0.0, 2.0)]
+    rows = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "k bigint, a double, b double").repartition(3)
+    splits = spark.createDataFrame(
+        [(0, 1.0, 0, 0, 0.25, 7, 9, 0.0), (0, 1.0, 7, 1, 0.5, 8, 4, 0.0), (0, 1.0, 9, None, None, None, None, 30.0),
+         (0, 1.0, 8, None, None, None, None, 10.0), (0, 1.0, 4, None, None, None, None, 20.0),
+         (1, 0.1, 0, None, None, None, None, 5.0)],
+        "arbol int, peso double, nodo int, columna int, umbral double, izquierda int, derecha int, valor double")
+    scores = tables.tree_scores(rows, splits, "k", 2, ("a", "b"))
+    assert {r.k: r.pred_arboles for r in scores.collect()} == {0: 30.5, 1: 30.5, 2: 30.5, 3: 10.5, 4: 30.5, 5: 20.5}
+    # The rows do not meet the nodes by joins, and no row for each tree is made.
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    neurons = spark.createDataFrame(
+        [(0, 0, [1.0, 2.0], 0.5), (0, 1, [-1.0, 1.0], 0.0), (1, 0, [2.0, 3.0], -1.0)],
+        "capa int, neurona int, pesos array<double>, sesgo double")
+
+    def plain(a, b):
+        if a is None or b is None:
+            return -1.0
+        inside = [a + 2 * b + 0.5, b - a]
+        x, y = (v if v != v else max(v, 0.0) for v in inside)
+        return 2 * x + 3 * y - 1
+
+    found = {r.k: r.pred_red for r in tables.network_scores(rows, neurons, "k", ("a", "b")).collect()}
+    for i, v in enumerate(values):
+        assert found[i] == plain(*v) or (found[i] != found[i] and plain(*v) != plain(*v)), (v, found[i])
+    last = tables.network_scores(rows, neurons.filter("capa = 1"), "k", ("a", "b"))
+    assert {r.k: r.pred_red is None for r in last.collect()} == {i: None in v for i, v in enumerate(values)}
