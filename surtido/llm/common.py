@@ -55,15 +55,15 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterator[tuple]],
             held.append(row)
             size += 24 + sum(len(v) if isinstance(v, (str, bytes)) else 16 for v in row)
             if size >= batch_bytes or len(held) >= 8192:
-                yield _batch(held, arrow)
+                yield arrow_batch(held, arrow)
                 held, size = [], 0
         if held:
-            yield _batch(held, arrow)
+            yield arrow_batch(held, arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+def arrow_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 

@@ -15,17 +15,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+import pickle
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from surtido.llm.bpe_automaton import _byte_symbols
-from surtido.llm.common import kept_by_worker, map_rows, settled, stored_blocks, struct_of, whole_text
+from surtido.llm.common import arrow_batch, kept_by_worker, map_rows, settled, stored_blocks, struct_of, whole_text
 from surtido.llm.packing import SPLIT_PATTERN
 from surtido.session import materialize
 
@@ -212,11 +216,9 @@ def align(text: str, first: ByteTokenizer, second: PieceTokenizer, digits) -> tu
 
 
 def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, links_each: int, id_col: str, text_col: str) -> DataFrame:
-    """Documents in blocks of about ``links_each`` links: their counts, the block's distinct pairs in order with
-    how often each is linked, and ``links``, the place of each link's pair, document after document."""
-    schema = struct_of(
-        block="long", doc_id="array<long>", n_a="array<long>", n_b="array<long>", n_groups="array<long>",
-        groups_sha256="array<string>", n_links="array<long>", pair="array<long>", n="array<int>", links="binary")
+    """Documents in blocks of about ``links_each`` links: the block's distinct pairs in order with how often each is
+    linked, and ``told``, the documents' own values and the place of each link's pair, document after document."""
+    schema = struct_of(block="long", pair="array<long>", n="array<int>", told="binary")
 
     def rows(taken: Iterator[tuple]) -> Iterator[tuple]:
         first = kept_by_worker(("bytes of ids", byte_path), lambda: ByteTokenizer(byte_path))
@@ -231,8 +233,7 @@ def aligned_blocks(docs: DataFrame, byte_path: str, piece_path: str, links_each:
             rank = np.empty(len(order), dtype="<i4")
             rank[order] = np.arange(len(order))
             n = np.bincount(place, minlength=len(order))[order]
-            columns = (list(c) for c in zip(*held))
-            return block, *columns, pairs[order].tolist(), n.tolist(), rank[place].tobytes()
+            return block, pairs[order].tolist(), n.tolist(), pickle.dumps((held, rank[place].tobytes()))
 
         for doc_id, text in taken:
             *counts, sha, codes = align(text, first, second, digits)
@@ -281,27 +282,46 @@ def align_tokenizers(docs: DataFrame, byte_path: str, piece_path: str, links_eac
 def _aligned(docs: DataFrame, byte_path: str, piece_path: str, links_each: int, id_col: str, text_col: str) -> DataFrame:
     blocks = stored_blocks(aligned_blocks(docs, byte_path, piece_path, links_each, id_col, text_col), "aligned_blocks")
     counts = materialize(pair_counts(blocks), "pair_counts")
-    # Every block gets the counts of its own pairs, in the order of its pairs.
+    # Every block gets the counts of its own pairs, in the order of its pairs: first the block, then its pairs, one
+    # after the other, so that no task holds the pairs of more than one block, however many blocks it has.
     wanted = blocks.select("block", F.explode("pair").alias("pair"))
-    found = (
-        wanted.join(counts, "pair").groupBy("block")
-        .agg(F.sort_array(F.collect_list(F.struct("pair", "count", "best"))).alias("found")))
-    told = blocks.drop("pair", "n").join(
-        found.select("block", F.col("found.count").alias("counts"), F.col("found.best").alias("bests")), "block", "left")
-    per_doc = ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_links")
-
-    def rows(taken: Iterator[tuple]) -> Iterator[tuple]:
-        for *columns, links, counts, bests in taken:
-            place = np.frombuffer(links, "<i4")
-            count = np.array(counts or [], dtype=np.int64)
-            best = np.array(bests or [], dtype=np.int64)
-            at = 0
-            for doc_id, n_a, n_b, n_groups, sha, n_links in zip(*columns):
-                mine = place[at : at + n_links]
-                at += n_links
-                yield doc_id, n_a, n_b, n_groups, n_links, int(best[mine].sum()), int(count[mine].sum()), sha
-
+    packed = (2 * F.col("count") + F.col("best").cast("long")).alias("packed")
+    pairs = wanted.join(counts, "pair").select("block", "pair", packed, F.lit(None).cast("binary").alias("told"))
+    nothing = F.lit(None).cast("long")
+    heads = blocks.select("block", nothing.alias("pair"), nothing.alias("packed"), "told")
+    sent = heads.unionByName(pairs).repartition("block").sortWithinPartitions("block", F.asc_nulls_first("pair"))
     schema = struct_of(doc_id="long", n_a="long", n_b="long", n_groups="long", n_links="long", n_best="long",
                        count_sum="long", groups_sha256="string")
-    done = map_rows(told.select(*per_doc, "links", "counts", "bests"), rows, schema)
+    done = sent.select("packed", "told").mapInArrow(_totals(schema), schema)
     return done.withColumnRenamed("doc_id", id_col)
+
+
+def _totals(schema: T.StructType):
+    """Rows of the documents, from blocks that are each followed by the counts of their pairs."""
+    arrow = to_arrow_schema(schema)
+
+    def rows(told: bytes, packed: list[np.ndarray]) -> list[tuple]:
+        held, links = pickle.loads(told)
+        place, numbers = np.frombuffer(links, "<i4"), np.concatenate([*packed, np.empty(0, dtype=np.int64)])
+        count, best, found, at = numbers >> 1, numbers & 1, [], 0
+        for doc_id, n_a, n_b, n_groups, sha, n_links in held:
+            mine = place[at : at + n_links]
+            at += n_links
+            found.append((doc_id, n_a, n_b, n_groups, n_links, int(best[mine].sum()), int(count[mine].sum()), sha))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, packed = None, []
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            numbers = batch.column(0).fill_null(0).to_numpy()
+            for start, end in zip([0, *(h + 1 for h in heads)], [*heads, batch.num_rows]):
+                packed.append(numbers[start:end].copy())
+                if end < batch.num_rows:  # the next block begins
+                    if told is not None:
+                        yield arrow_batch(rows(told, packed), arrow)
+                    told, packed = batch.column(1)[end].as_py(), []
+        if told is not None:
+            yield arrow_batch(rows(told, packed), arrow)
+
+    return run

@@ -1,14 +1,19 @@
 """Alignment of two tokenizers against all pairs of tokens of each text."""
 
 import hashlib
+import pickle
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import odd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from surtido.llm import diagonal_alignment
 from surtido.llm.bpe_automaton import _byte_symbols
 from surtido.llm.diagonal_alignment import ByteTokenizer, PieceTokenizer, _stretched, align_tokenizers, diagonal_runs
 
@@ -121,3 +126,24 @@ def test_long_blank_runs():
     for text in ("a" + " " * 1_200_000 + "b", "\n" * 1_200_000):
         assert b"".join(first.bytes[i] for i in first.encode(" " + text).tolist()) == (" " + text).encode()
         assert b"".join(second.bytes[i] for i in second.encode(text).tolist()) == (" " + text).encode()
+
+
+def test_pairs_of_many_blocks_are_not_held_together(spark):
+    """Before, lists of the pairs of up to 128 blocks were made at once in a task; now a block follows the other."""
+    docs = odd.documents(spark, odd.texts()).repartition(2)
+    plan = diagonal_alignment._aligned(docs, BYTES, PIECES, 100, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+    def batches():  # a block's pairs may lie in several batches, and several blocks in one
+        def head(doc_id, links):
+            return pickle.dumps(([(doc_id, 1, 1, 1, "x", len(links))], np.array(links, dtype="<i4").tobytes()))
+
+        rows = [(None, head(1, [0, 1, 1])), (5, None), (8, None), (None, head(2, [])), (None, head(3, [0])), (7, None)]
+        for cut in ((0, 2), (2, 4), (4, 4), (4, 6)):
+            some = rows[slice(*cut)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], type=t) for i, t in enumerate((pa.int64(), pa.binary()))], names=["packed", "told"])
+
+    schema = T._parse_datatype_string(
+        "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    found = [tuple(r.values()) for b in diagonal_alignment._totals(schema)(batches()) for r in b.to_pylist()]
+    assert found == [(1, 1, 1, 1, 3, 1, 10, "x"), (2, 1, 1, 1, 0, 0, 0, "x"), (3, 1, 1, 1, 1, 1, 3, "x")]
