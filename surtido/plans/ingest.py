@@ -139,7 +139,7 @@ def ingest_files(
         digests = files_digests(rows)
         files = {n: digests.get(n, _NO_FILES) for n in numbers}
         refuse_other_files(read_snapshot(spark, batches_root(sales_path), BATCHES), origin, files)
-        attempt = write_attempt(valid, sales_path, number, loaded_at, origin)
+        attempt = write_attempt(valid, sales_path, number, loaded_at, origin, len(numbers))
         (approve_valid(rows) if approve else rows).write.parquet(_outcomes_path(sales_path, attempt))
         commit_batch(spark, sales_path, files, attempt, loaded_at, origin, registered=False)
     settle_batches(spark, sales_path, registry_root, approve)

@@ -46,13 +46,17 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(stored).parquet(f"{path}/datos")
     committed = read_snapshot(spark, batches_root(path), BATCHES).select("intento", "origen", "batch_id")
     # A short row a batch: the commit says how many there are at most.
-    if row_bound(spark, batches_root(path)) <= _BROADCAST_BATCHES:
-        committed = F.broadcast(committed)
-    return rows.join(committed, ["intento", "origen", "batch_id"], "left_semi").select(*SALES.names)
+    small = row_bound(spark, batches_root(path)) <= _BROADCAST_BATCHES
+    # Of an attempt with several batches, one may have been replaced since: only then the rows' own batches are read.
+    together = F.regexp_extract("intento", "x([0-9]+)$", 1).cast("int")
+    shared = committed.filter(F.col("intento").contains("x")).groupBy("intento").agg(F.count(F.lit(1)).alias("n"))
+    key = ["intento"] if shared.filter(F.col("n") < together).isEmpty() else ["intento", "origen", "batch_id"]
+    wanted = committed.select(*key)
+    return rows.join(F.broadcast(wanted) if small else wanted, key, "left_semi").select(*SALES.names)
 
 
 def write_attempt(
-    sales: DataFrame, path: str, batch_id: int | Column, loaded_at: dt.datetime, origin: str = "manual"
+    sales: DataFrame, path: str, batch_id: int | Column, loaded_at: dt.datetime, origin: str = "manual", batches: int = 1
 ) -> str:
     """Store the rows of a batch, or of several by a column of ``sales``, where no reader sees them yet; returns the name of the attempt.
 
@@ -67,7 +71,8 @@ def write_attempt(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.year("fecha").alias("anio"),
     )
-    attempt = uuid.uuid4().hex
+    # The name tells how many batches it holds, where they are several.
+    attempt = uuid.uuid4().hex + (f"x{batches}" if batches > 1 else "")
     (
         ready.hint("rebalance", "anio")
         .sortWithinPartitions("anio", "id_producto", "fecha")
